@@ -6,10 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quadrille.llm import line_dedup, quality_rules
 from quadrille.llm.decontaminate import op7_decontamination
+from quadrille.llm.line_dedup import op8_line_dedup
+from quadrille.llm.quality_rules import op10_quality_rules
+from quadrille.llm.secrets import op2_secret_scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_secret_scan": op2_secret_scan,
     "op7_decontamination": op7_decontamination,
+    "op8_line_dedup": op8_line_dedup,
+    "op10_quality_rules": op10_quality_rules,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op8_line_dedup": line_dedup.SQL,
+    "op10_quality_rules": quality_rules.SQL,
+}
