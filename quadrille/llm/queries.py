@@ -7,15 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quadrille.llm import line_dedup, quality_rules
+from quadrille.llm.bpe import op4_bpe
 from quadrille.llm.decontaminate import op7_decontamination
 from quadrille.llm.line_dedup import op8_line_dedup
+from quadrille.llm.quality_model import op3_quality_model
 from quadrille.llm.quality_rules import op10_quality_rules
 from quadrille.llm.secrets import op2_secret_scan
+from quadrille.llm.sstable import op9_token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secret_scan": op2_secret_scan,
+    "op3_quality_model": op3_quality_model,
+    "op4_bpe": op4_bpe,
     "op7_decontamination": op7_decontamination,
     "op8_line_dedup": op8_line_dedup,
+    "op9_token_files": op9_token_files,
     "op10_quality_rules": op10_quality_rules,
 }
 
