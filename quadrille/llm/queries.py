@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quadrille.llm import line_dedup, quality_rules
+from quadrille.llm import line_dedup, minhash, quality_rules
 from quadrille.llm.bpe import op4_bpe
 from quadrille.llm.decontaminate import op7_decontamination
 from quadrille.llm.line_dedup import op8_line_dedup
+from quadrille.llm.minhash import op6_near_dedup
 from quadrille.llm.quality_model import op3_quality_model
 from quadrille.llm.quality_rules import op10_quality_rules
 from quadrille.llm.secrets import op2_secret_scan
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secret_scan": op2_secret_scan,
     "op3_quality_model": op3_quality_model,
     "op4_bpe": op4_bpe,
+    "op6_near_dedup": op6_near_dedup,
     "op7_decontamination": op7_decontamination,
     "op8_line_dedup": op8_line_dedup,
     "op9_token_files": op9_token_files,
@@ -26,6 +28,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op6_near_dedup": minhash.SQL,
     "op8_line_dedup": line_dedup.SQL,
     "op10_quality_rules": quality_rules.SQL,
 }
