@@ -179,9 +179,9 @@ def decode(tokens: DataFrame, path: str | None = None, ids_col: str = "ids", out
     return kept.mapInArrow(run, StructType([*kept.schema.fields]).add(out_col, "binary"))
 
 
-def digests(tokens: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of rows with doc_id, ids, decoded."""
-    return tokens.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+def digests(tokens: DataFrame, *more: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 (and more columns) of rows with doc_id, ids, decoded."""
+    return tokens.select("doc_id", *more, F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

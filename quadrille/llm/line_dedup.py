@@ -23,10 +23,11 @@ tie keep theirs.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -164,31 +165,32 @@ def cut(text: bytes, doc_id: int | None, drops: dict[bytes, int], keep_first: bo
     return len(lines), len(lines) - len(kept), b"\n".join(kept)
 
 
-def _cutter(drops, keep_first: bool) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            ids = batch.column("doc_id").to_pylist()
-            own = batch.column("drops").to_pylist() if drops is None else None
-            out = []
-            for i, (doc_id, text) in enumerate(zip(ids, blobs(batch, "text"))):
-                found = drops.value if own is None else {x["digest"]: x["first_id"] for x in own[i] or ()}
-                out.append(cut(text, doc_id, found, keep_first))
-            n, dropped, kept = zip(*out)
-            yield rows(KEPT, batch.column("doc_id"), n, dropped, pa.array(kept, pa.binary()))
+def _fresh(name: str, taken: list[str]) -> str:
+    """A column name that the input does not have."""
+    while name in taken:
+        name += "_"
+    return name
 
-    return run
 
-
-def dedup_lines(docs: DataFrame, min_docs: int = 2, keep: str = "first", id_col: str = "doc_id", text_col: str = "text", filter_bits: int = 1 << 26, broadcast_keys: int = 1 << 18) -> DataFrame:
-    """Per document row: doc_id, n_lines, n_dropped, kept (the text left). keep: "first" or "none"."""
-    docs = id_text(docs, id_col, text_col)
-    found = stored(repeated_keys(docs, min_docs, filter_bits), "lines")
-    keys = found.select("digest", "first_id")
+def _apply(docs: DataFrame, min_docs: int, keep: str, id_col: str, text_col: str, filter_bits: int, broadcast_keys: int, finish, schema) -> DataFrame:
+    """Cut every row's text by the repeated keys; ``finish(batch, cuts)`` makes the output rows."""
+    plain, first = id_text(docs, id_col, text_col), keep == "first"
+    keys = stored(repeated_keys(plain, min_docs, filter_bits), "lines").select("digest", "first_id")
     few = keys.limit(broadcast_keys + 1).count() <= broadcast_keys
-    ddl = "doc_id long, n_lines long, n_dropped long, kept string"
+    sent = docs.sparkSession.sparkContext.broadcast({bytes(r["digest"]): r["first_id"] for r in keys.collect()} if few else None)
+    lists_col = _fresh("drops", docs.columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, text_col):
+            own = None if few else batch.column(lists_col).to_pylist()
+            cuts = []
+            for i, (doc_id, text) in enumerate(zip(batch.column(id_col).to_pylist(), blobs(batch, text_col))):
+                drops = sent.value if own is None else {x["digest"]: x["first_id"] for x in own[i] or ()}
+                cuts.append(cut(text, doc_id, drops, first))
+            yield finish(batch if few else batch.drop_columns([lists_col]), cuts)
+
     if few:
-        drops = docs.sparkSession.sparkContext.broadcast({bytes(r["digest"]): r["first_id"] for r in keys.collect()})
-        return docs.mapInArrow(_cutter(drops, keep == "first"), ddl)
+        return docs.mapInArrow(run, schema)
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -197,10 +199,39 @@ def dedup_lines(docs: DataFrame, min_docs: int = 2, keep: str = "first", id_col:
                 yield rows(pa.schema([("sha", pa.binary()), ("digest", pa.binary())]), *zip(*out))
 
     # One row per distinct text and repeated key: copies of a text share their list.
-    lines = docs.mapInArrow(digests, "sha binary, digest binary").distinct().join(keys, "digest")
-    lists = lines.groupBy("sha").agg(F.collect_list(F.struct("digest", "first_id")).alias("drops"))
-    keyed = docs.withColumn("sha", F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)))
-    return keyed.join(lists, "sha", "left").select("doc_id", "text", "drops").mapInArrow(_cutter(None, keep == "first"), ddl)
+    sha = _fresh("sha", docs.columns)
+    lines = plain.mapInArrow(digests, "sha binary, digest binary").distinct().join(keys, "digest")
+    lists = lines.groupBy(F.col("sha").alias(sha)).agg(F.collect_list(F.struct("digest", "first_id")).alias(lists_col))
+    keyed = docs.withColumn(sha, F.unhex(F.sha2(F.coalesce(docs[text_col], F.lit("")).cast("binary"), 256)))
+    return keyed.join(lists, sha, "left").select(*docs.columns, lists_col).mapInArrow(run, schema)
+
+
+def dedup_lines(docs: DataFrame, min_docs: int = 2, keep: str = "first", id_col: str = "doc_id", text_col: str = "text", filter_bits: int = 1 << 26, broadcast_keys: int = 1 << 18) -> DataFrame:
+    """Per document row: doc_id, n_lines, n_dropped, kept (the text left). keep: "first" or "none"."""
+
+    def finish(batch: pa.RecordBatch, cuts: list) -> pa.RecordBatch:
+        n, dropped, kept = zip(*cuts)
+        return rows(KEPT, batch.column("doc_id"), n, dropped, pa.array(kept, pa.binary()))
+
+    return _apply(id_text(docs, id_col, text_col), min_docs, keep, "doc_id", "text", filter_bits, broadcast_keys, finish, "doc_id long, n_lines long, n_dropped long, kept string")
+
+
+def rewrite_lines(docs: DataFrame, min_docs: int = 2, keep: str = "first", id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = None, drop_emptied: bool = True, filter_bits: int = 1 << 26, broadcast_keys: int = 1 << 18) -> DataFrame:
+    """The rows with all their columns and the text that is left; ``chars_col`` gets its number of characters.
+    drop_emptied: rows that lose lines and have no words left go; rows that lose nothing stay as they are."""
+
+    def finish(batch: pa.RecordBatch, cuts: list) -> pa.RecordBatch:
+        texts = pa.array([None if not d and not t else t for _, d, t in cuts], pa.binary()).cast(pa.string())
+        texts = pc.if_else(pa.array([d > 0 for _, d, _ in cuts]), texts, batch.column(text_col).cast(pa.string()))
+        at = batch.schema.get_field_index(text_col)
+        out = batch.set_column(at, batch.schema.field(at), texts.cast(batch.schema.field(at).type))
+        if chars_col:
+            at = out.schema.get_field_index(chars_col)
+            changed = pc.if_else(pa.array([d > 0 for _, d, _ in cuts]), pc.utf8_length(texts).cast(out.schema.field(at).type), out.column(at))
+            out = out.set_column(at, out.schema.field(at), changed)
+        return out.filter(pa.array([not (drop_emptied and d and not t.strip()) for _, d, t in cuts]))
+
+    return _apply(docs, min_docs, keep, id_col, text_col, filter_bits, broadcast_keys, finish, docs.schema)
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

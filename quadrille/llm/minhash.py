@@ -27,10 +27,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quadrille.llm.components import components
-from quadrille.llm.line_dedup import places, put
+from quadrille.llm.line_dedup import present, put
 from quadrille.llm.text import blobs, id_text, read_table, rows, slices, stored
 
 MULTIPLY, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -149,19 +150,18 @@ def _filter_of(members: DataFrame) -> np.ndarray:
             put(bitmap, _bits(batch.column("short")), MEMBER_BITS)
         for i, part in enumerate(np.split(bitmap, 64)):
             if part.any():
-                yield rows(pa.schema([("chunk", pa.int32()), ("bitmap", pa.binary())]), [i], [part.tobytes()])
+                yield rows(pa.schema([("chunk", pa.int32()), ("bitmap", pa.binary())]), [i], [zstandard.compress(part.tobytes(), 1)])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
         for batch in batches:
             for i, bitmap in zip(batch.column("chunk").to_pylist(), batch.column("bitmap").to_pylist()):
-                held[i] = held.get(i, np.zeros(chunk, np.uint8)) | np.frombuffer(bitmap, np.uint8)
+                held[i] = held.get(i, np.zeros(chunk, np.uint8)) | np.frombuffer(zstandard.decompress(bitmap), np.uint8)
         for i, bitmap in held.items():
             yield rows(pa.schema([("chunk", pa.int32()), ("bitmap", pa.binary())]), [i], [bitmap.tobytes()])
 
     out = np.zeros((64, chunk), np.uint8)
-    few = members.select("short").coalesce(16)  # a bitmap for each of 16 tasks at most
-    for row in few.mapInArrow(build, "chunk int, bitmap binary").repartition(16, "chunk").mapInArrow(merge, "chunk int, bitmap binary").collect():
+    for row in members.select("short").mapInArrow(build, "chunk int, bitmap binary").repartition(16, "chunk").mapInArrow(merge, "chunk int, bitmap binary").collect():
         out[row["chunk"]] = np.frombuffer(row["bitmap"], np.uint8)
     return out.reshape(-1)
 
@@ -186,9 +186,7 @@ def _sets(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
             if out:
                 made = rows(SETS, *zip(*out))
                 hashes = _bits(made.column("short"))
-                mask = np.ones(len(hashes), bool)
-                for at in places(hashes, MEMBER_BITS):
-                    mask &= (bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+                mask = present(bitmap, hashes, MEMBER_BITS)
                 if mask.any():
                     yield made.filter(pa.array(mask))
 
@@ -342,6 +340,27 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
 
 
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
+    """The rows, all columns kept, whose id names its group; rows without an id stay.
+
+    Only rows that a fixed-size filter of the dropped ids suspects are shuffled for the exact test."""
+    dropped = near_duplicates(docs, id_col=id_col, **how).where("not kept and doc_id is not null").select(F.col("doc_id").alias("short")).distinct()
+    dropped = stored(dropped, "dropped")
+    sent = docs.sparkSession.sparkContext.broadcast(_filter_of(dropped))
+
+    def suspected(wanted: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                ids = batch.column(id_col)
+                mask = present(sent.value, _bits(ids.cast(pa.int64()).fill_null(0)), MEMBER_BITS) & ids.is_valid().to_numpy(zero_copy_only=False)
+                yield batch.filter(pa.array(mask == wanted))
+
+        return docs.mapInArrow(run, docs.schema)
+
+    doubtful = suspected(True)
+    return suspected(False).unionByName(doubtful.join(dropped, doubtful[id_col] == dropped["short"], "left_anti"))
+
+
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"), width=2, percent=80)
 
