@@ -184,49 +184,83 @@ class Table:
         return found
 
 
+class Numbers(dict):
+    """Word to number; a new word gets the next one and is noted."""
+
+    def __init__(self):
+        super().__init__({b"": 0})
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self.new.append(word)
+        found = self[word] = len(self)
+        return found
+
+
 class Encoder:
     """Texts to token bytes by the tokenizers library, each different pre-token once while the table holds it."""
 
-    def __init__(self, spec: str, width: int, most: int = 600_000):
+    def __init__(self, spec: str, width: int, most: int = 800_000):
         self.library = Tokenizer.from_str(spec)
         self.width, self.most = width, most
         self.special = "|".join(map(_quoted, (t.content for t in self.library.get_added_tokens_decoder().values()))) or None
         self.blank_first = np.zeros(self.library.get_vocab_size(), bool)
         for token, i in self.library.get_vocab().items():
             self.blank_first[i] = token.startswith("Ġ")
-        self.known: dict[bytes, bytes] = {b"": b""}
+        self.reset()
 
-    def coded(self, ids) -> bytes:
-        return np.asarray(ids, f"<u{self.width}").tobytes()
+    def reset(self) -> None:
+        """Forget all words. Word n has the ids flat[starts[n] : starts[n] + lengths[n]]."""
+        self.numbers = Numbers()
+        self.flat = np.zeros(0, f"<u{self.width}")
+        self.starts, self.lengths = np.zeros(1, np.int64), np.zeros(1, np.int64)
 
     def learn(self, words: list[bytes]) -> None:
-        """Encode words that the table lacks. Words of a blank and letters, put one after another, are split
-        again just there, and only their first token starts with the blank."""
-        joined = [w for w in words if w[:1] == b" " and w[1:].decode().isalpha()]
-        for i in range(0, len(joined), 4096):
-            part = joined[i : i + 4096]
-            ids = np.array(self.library.encode_batch_fast([b"".join(part).decode()], add_special_tokens=False)[0].ids)
-            starts = np.flatnonzero(self.blank_first[ids])
-            if len(starts) != len(part):
+        """Encode the words that got the next numbers. Words of a blank and letters, put one after another, are
+        split again just there, and only their first token starts with the blank."""
+        starts, lengths = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        pieces, at = [self.flat], len(self.flat)
+        alike = np.array([w[:1] == b" " and w[1:].decode().isalpha() for w in words], bool)
+        many = np.flatnonzero(alike)
+        for part in np.split(many, range(4096, len(many), 4096)) if len(many) else ():
+            joined = b"".join(words[i] for i in part.tolist()).decode()
+            ids = np.array(self.library.encode_batch_fast([joined], add_special_tokens=False)[0].ids, self.flat.dtype)
+            first = np.flatnonzero(self.blank_first[ids])
+            if len(first) != len(part):
                 raise AssertionError("words were not split where they were joined")
-            for word, own in zip(part, np.split(ids, starts[1:])):
-                self.known[word] = self.coded(own)
-        rest = [w for w in words if w not in self.known]
-        for word, found in zip(rest, self.library.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False)):
-            self.known[word] = self.coded(found.ids)
+            starts[part], lengths[part] = at + first, np.diff(first, append=len(ids))
+            pieces.append(ids)
+            at += len(ids)
+        rest = np.flatnonzero(~alike).tolist()
+        for i, found in zip(rest, self.library.encode_batch_fast([words[i].decode() for i in rest], add_special_tokens=False)):
+            pieces.append(np.array(found.ids, self.flat.dtype))
+            starts[i], lengths[i] = at, len(found.ids)
+            at += len(found.ids)
+        self.flat = np.concatenate(pieces)
+        self.starts, self.lengths = np.concatenate([self.starts, starts]), np.concatenate([self.lengths, lengths])
 
     def __call__(self, column: pa.Array, pattern: str) -> list[bytes]:
         column = pc.fill_null(column, "")
         split = pretokens(column, pattern)
-        if len(self.known) > self.most:
-            self.known = {b"": b""}
-        known = self.known
-        if missing := list({w for words in split for w in words if w not in known}):
-            self.learn(missing)
-        out = [b"".join(map(known.__getitem__, words)) for words in split]
+        if len(self.numbers) > self.most:
+            self.reset()
+        number = self.numbers.__getitem__
+        own = [np.array(list(map(number, words)), np.int32) for words in split]
+        if self.numbers.new:
+            self.learn(self.numbers.new)
+            self.numbers.new = []
+        words = np.concatenate(own)
+        n = self.lengths[words]
+        ends = np.concatenate(([0], np.cumsum(n)))
+        take = np.repeat(self.starts[words] - ends[:-1], n)
+        take += np.arange(len(take))
+        data = self.flat[take].tobytes()
+        cuts = (ends[np.concatenate(([0], np.cumsum(list(map(len, own)))))] * self.width).tolist()
+        out = [data[a:b] for a, b in zip(cuts, cuts[1:])]
         if self.special and (found := pc.match_substring_regex(column, self.special)).true_count:
             for i in np.flatnonzero(found.to_numpy(zero_copy_only=False)):
-                out[i] = self.coded(self.library.encode(column[i].as_py(), add_special_tokens=False).ids)
+                ids = self.library.encode(column[i].as_py(), add_special_tokens=False).ids
+                out[i] = np.array(ids, self.flat.dtype).tobytes()
         return out
 
 
