@@ -26,6 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import tiktoken
 import zstandard
 from pyspark import TaskContext
@@ -63,6 +64,51 @@ def unpacked(data: bytes) -> np.ndarray:
     return out.view("<u4").reshape(-1)
 
 
+#: Codes that one byte and two bytes hold in packed positions; a frequent word's code is one of these.
+ONE, TWO = 192, 192 + 62 * 256
+
+
+def pack_positions(numbers: np.ndarray) -> bytes:
+    """Word numbers of all positions. Words are numbered as they first occur, so a first occurrence is code 0;
+    the most frequent words have the next codes, any other word follows them by its number. Codes are written
+    in one, two or five bytes, place by place, compressed."""
+    numbers = numbers.astype(np.int64)
+    first = numbers > np.maximum.accumulate(np.concatenate(([0], numbers)))[:-1]
+    counts = np.bincount(numbers[~first], minlength=1)
+    top = np.argsort(-counts, kind="stable")[: TWO - 1]
+    top = top[counts[top] > 0]
+    code = np.arange(TWO, TWO + int(numbers.max(initial=0)) + 1)
+    code[top] = np.arange(1, len(top) + 1)
+    codes = np.where(first, 0, code[numbers])
+    long = codes[codes >= ONE] - ONE
+    high = long >> 8
+    longest = high[high >= 62] - 62
+    planes = [np.where(codes < ONE, codes, ONE + np.minimum((codes - ONE) >> 8, 62)), long & 255, longest & 255, longest >> 8 & 255, longest >> 16 & 255]
+    parts = [packed(top), *(zstandard.compress(x.astype(np.uint8).tobytes(), 3) for x in planes)]
+    return b"".join(len(x).to_bytes(4, "little") + x for x in parts)
+
+
+def unpack_positions(data: bytes) -> np.ndarray:
+    """What ``pack_positions`` was given."""
+    parts, at = [], 0
+    while at < len(data):
+        n = int.from_bytes(data[at : at + 4], "little")
+        parts.append(data[at + 4 : at + 4 + n])
+        at += 4 + n
+    top = unpacked(parts[0]).astype(np.int64)
+    one, two, *more = (np.frombuffer(zstandard.decompress(x), np.uint8).astype(np.int64) for x in parts[1:])
+    high = one[one >= ONE] - ONE
+    high[high == 62] += more[0] | more[1] << 8 | more[2] << 16
+    codes = one.copy()
+    codes[one >= ONE] = ONE + (high << 8 | two)
+    first = codes == 0
+    out = np.where(codes >= TWO, codes - TWO, 0)
+    frequent = (codes > 0) & (codes < TWO)
+    out[frequent] = top[codes[frequent] - 1]
+    out[first] = np.arange(1, first.sum() + 1)
+    return out
+
+
 class Block:
     """Documents of one block while they are gathered."""
 
@@ -83,7 +129,7 @@ class Block:
         for number, word in enumerate(words, 1):
             where[zlib.crc32(word) % self.buckets].append(number)
         counts = [len(x) for x in self.numbers]
-        out = [(zlib.crc32(self.name.encode()), self.name, self.ids, counts, None, None, packed(np.concatenate(self.numbers)))]
+        out = [(zlib.crc32(self.name.encode()), self.name, self.ids, counts, None, None, pack_positions(np.concatenate(self.numbers)))]
         for bucket, numbers in where.items():
             mine = [words[n - 1] for n in numbers]
             out.append((bucket, self.name, None, None, packed(np.diff(numbers, prepend=0)), packed(np.fromiter(map(len, mine), np.uint32, len(mine))), zstandard.compress(b"".join(mine), 3)))
@@ -142,11 +188,11 @@ def _assemble(parts: pa.Table) -> pa.Table:
         starts[local] = at + np.cumsum(n) - n
         at += len(ids)
     flat = np.concatenate([w[2] for w in words]).astype(np.int32) if words else np.zeros(0, np.int32)
-    positions = unpacked(own["payload"])
+    positions = unpack_positions(own["payload"])
     n = lengths[positions]
     ends = np.concatenate(([0], np.cumsum(n)))
-    take = np.repeat(starts[positions] - ends[:-1], n)
-    take += np.arange(len(take))
+    take = np.repeat((starts[positions] - ends[:-1]).astype(np.int32), n)  # a block has fewer than 2**31 ids
+    take += np.arange(len(take), dtype=np.int32)
     offsets = ends[np.concatenate(([0], np.cumsum(own["counts"])))]
     ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat[take], pa.int32()))
     return pa.table([pa.array(own["doc_ids"], pa.int64()), ids], schema=TOKENS)
@@ -173,7 +219,10 @@ def decode(tokens: DataFrame, path: str | None = None, ids_col: str = "ids", out
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
-                found = [b"".join(map(token, ids or ())) for ids in part.column(ids_col).to_pylist()]
+                column = part.column(ids_col)
+                ends = np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(column), 0))))
+                flat = column.flatten().to_numpy(zero_copy_only=False)
+                found = [b"".join(map(token, flat[a:b].tolist())) for a, b in zip(ends[:-1], ends[1:])]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.binary())], names=[*part.schema.names, out_col])
 
     return kept.mapInArrow(run, StructType([*kept.schema.fields]).add(out_col, "binary"))

@@ -166,8 +166,11 @@ def test_bpe(spark):
 
 
 def test_positions_round_trip():
-    numbers = np.array([1, 2, 1, 0, 3, 3, 2, 4], np.uint32)
-    assert bpe.unpacked(bpe.packed(numbers)).tolist() == numbers.tolist()
+    rng = np.random.default_rng(3)
+    for numbers in ([], [0], [1, 2, 1, 0, 3, 3, 2, 4], [1, 1, 1], rng.zipf(1.2, 200_000) % 90_000):
+        seen: dict[int, int] = {0: 0}
+        numbered = np.array([seen.setdefault(int(n), len(seen)) for n in numbers], np.uint32)
+        assert bpe.unpack_positions(bpe.pack_positions(numbered)).tolist() == numbered.tolist()
     assert bpe.unpacked(bpe.packed(np.zeros(0, np.uint32))).tolist() == []
     assert bpe.unpacked(bpe.packed(np.array([0, 1 << 31, 5]))).tolist() == [0, 1 << 31, 5]
 
