@@ -55,7 +55,7 @@ def shingles(text: bytes, width: int, known: Words) -> np.ndarray:
     words = text.lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    if len(known) > 400_000:
+    if len(known) > 200_000:
         known.clear()
     h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     k = min(width, len(h))
@@ -115,7 +115,7 @@ def _sign(docs: DataFrame, width: int, bands: int, rows_a_band: int) -> DataFram
                         else:
                             same.add(had)
                 out.append((node, len(found), short, new, list(same)))
-            if len(first) > 1_500_000:
+            if len(first) > 400_000:
                 first.clear()
                 nodes.clear()
             yield rows(SIGNED, batch.column("doc_id"), *zip(*out))
@@ -181,7 +181,7 @@ def _sets(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
                     if node not in nodes:
                         out.append((int.from_bytes(node[:8], "little", signed=True), node, found.tobytes()))
                         nodes.add(node)
-            if len(nodes) > 1_000_000:
+            if len(nodes) > 200_000:
                 nodes.clear()
             if out:
                 made = rows(SETS, *zip(*out))
@@ -334,7 +334,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     # The smallest id of every node, then of every group; both are pre-aggregated.
     nodes = signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"))
     placed = nodes.join(groups, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    names = placed.groupBy("comp").agg(F.min("first").alias("component_id"))
+    names = stored(placed.groupBy("comp").agg(F.min("first").alias("component_id")), "names")  # a join of its own can split a large group
     named = placed.join(names, "comp").select("node", "component_id")
     out = signed.select("doc_id", "node", "n").join(named, "node", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
