@@ -232,7 +232,7 @@ def plane_rectangular(spark, sf):
 
 
 @query("q_10_11_orientation_difference", WITH + """
-SELECT rect_id, abs(CASE WHEN w >= h THEN 0.0 ELSE 90.0 END - (rect_id % 180)) % 90 AS raw, least(abs(CASE WHEN w >= h THEN 0.0 ELSE 90.0 END - (rect_id % 180)) % 90, 90 - abs(CASE WHEN w >= h THEN 0.0 ELSE 90.0 END - (rect_id % 180)) % 90) AS turn FROM rects WHERE w <> h""")
+SELECT rect_id, abs(CASE WHEN w >= h THEN 0::DOUBLE ELSE 90::DOUBLE END - (rect_id % 180)) % 90 AS raw, least(abs(CASE WHEN w >= h THEN 0::DOUBLE ELSE 90::DOUBLE END - (rect_id % 180)) % 90, 90 - abs(CASE WHEN w >= h THEN 0::DOUBLE ELSE 90::DOUBLE END - (rect_id % 180)) % 90) AS turn FROM rects WHERE w <> h""")
 def orientation_difference(spark, sf):
     o = half_up(geo.orientation(F.col("ring")), 6)
     out = views.rects(spark, sf).where("w <> h").select("rect_id", o.alias("o"))

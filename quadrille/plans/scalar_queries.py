@@ -112,7 +112,7 @@ BUILT = {"building": (["house", "Apartments", "yes", "office", "roof", "stadium"
 SELECT id, CASE WHEN height IN ('12.5', '200') THEN least(60, CAST(height AS DOUBLE)) WHEN building__levels IN ('4', '30') THEN least(60, CAST(building__levels AS DOUBLE) * 3.2)
   ELSE CASE lower(building) WHEN 'house' THEN 8 WHEN 'apartments' THEN 12 WHEN 'office' THEN 14 WHEN 'stadium' THEN 20 WHEN 'cathedral' THEN 20 ELSE 6 END END AS height,
   CASE WHEN height IN ('12.5', '200') THEN 'height' WHEN building__levels IN ('4', '30') THEN 'levels' WHEN lower(building) IN ('house', 'apartments', 'office', 'stadium', 'cathedral') THEN 'class-default' ELSE 'generic-default' END AS source,
-  CASE WHEN height IN ('12.5', '200') THEN 0.92 WHEN building__levels IN ('4', '30') THEN 0.78 WHEN lower(building) IN ('house', 'apartments', 'office', 'stadium', 'cathedral') THEN 0.55 ELSE 0.4 END AS confidence FROM t""")
+  CASE WHEN height IN ('12.5', '200') THEN 0.92 WHEN building__levels IN ('4', '30') THEN 0.78 WHEN lower(building) IN ('house', 'apartments', 'office', 'stadium', 'cathedral') THEN 0.55 ELSE 0.4 END::DOUBLE AS confidence FROM t""")
 def building_height(spark, sf):
     return tagged(spark, sf, **BUILT).select("id", classify.building_height(F.col("tags")).alias("h")).select("id", "h.height", "h.source", "h.confidence")
 
@@ -487,7 +487,7 @@ def haversine(spark, sf):
     return read_table(spark, sf, "customer").select(k.alias("id"), half_up(geo.haversine(F.lit(34.6), F.lit(135.5), 34.6 + (k % 100) / 1000.0, 135.5 + (k % 77) / 1000.0), 2).alias("metres"))
 
 
-@query("q_10_05_ring_measures", WITH + "SELECT rect_id, area, 2 * (w + h) AS perimeter, x0 + w / 2 AS cx, z0 + h / 2 AS cz, CASE WHEN w >= h THEN 0.0 ELSE 90.0 END AS direction FROM rects WHERE w <> h")
+@query("q_10_05_ring_measures", WITH + "SELECT rect_id, area, 2 * (w + h) AS perimeter, x0 + w / 2 AS cx, z0 + h / 2 AS cz, CAST(CASE WHEN w >= h THEN 0 ELSE 90 END AS DOUBLE) AS direction FROM rects WHERE w <> h")
 def ring_measures(spark, sf):
     r, c = F.col("ring"), geo.centroid(F.col("ring"))
     out = views.rects(spark, sf).where("w <> h").select("rect_id", geo.area(r).alias("area"), geo.perimeter(r).alias("perimeter"), half_up(c["x"], 6).alias("cx"), half_up(c["z"], 6).alias("cz"), half_up(geo.orientation(r), 6).alias("direction"))

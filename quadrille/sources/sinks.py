@@ -11,7 +11,7 @@ from quadrille.functions import geo
 from quadrille.storage import scratch
 
 # Kinds of values in metadata, and the fields a durable record may have.
-VALUE_TYPES = ["official", "official-estimate", "livecity-calculated", "livecity-estimate"]
+VALUE_TYPES = ["official", "official-estimate", "calculated", "estimate"]
 
 
 def write_tiles(features: DataFrame, box: str, size: float, path: str | None = None) -> str:

@@ -129,3 +129,72 @@ def test_rules_with_nulls(spark):
     empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
     assert one(spark, classify.land_use(empty)) is None and one(spark, classify.water_class(empty)) == "water"
     assert one(spark, classify.building_height(empty))["source"] == "generic-default"
+
+
+def test_labels_against_a_loop(spark):
+    rng = np.random.default_rng(6)
+    rows = [(int(i % 2), int(i), int(rng.integers(5)), float(rng.random()), float(rng.uniform(-1, 1)), float(rng.uniform(-1, 1)), 0.1, 0.08, bool(i % 17 == 0)) for i in range(120)]
+    df = spark.createDataFrame(rows, "view int, id long, priority int, near double, sx double, sy double, hw double, hh double, pinned boolean")
+    found = {r["id"]: r["placed"] for r in sequential.place_labels(df, columns=4, rows=3, per_cell=3, cap=25).collect()}
+    for view in (0, 1):
+        kept = []
+        for r in sorted((r for r in rows if r[0] == view), key=lambda r: (-r[2], r[3], r[1])):
+            cell = lambda q: (min(3, int((q[4] + 1) / 2 * 4)), min(2, int((q[5] + 1) / 2 * 3)))
+            free = len(kept) < 25 and sum(cell(q) == cell(r) for q in kept) < 3 and not any(abs(q[4] - r[4]) < 0.2 and abs(q[5] - r[5]) < 0.16 for q in kept)
+            assert found[r[1]] == (r[8] or free)
+            if r[8] or free:
+                kept.append(r)
+
+
+def test_stations_against_a_loop(spark):
+    rng = np.random.default_rng(7)
+    rows = [(i, f"s{rng.integers(4)}", None if rng.random() < 0.8 else f"g{rng.integers(2)}", float(x), float(z)) for i, (x, z) in enumerate(rng.uniform(0, 3000, (60, 2)))]
+    found = {r["station_id"]: r["cluster"] for r in sequential.station_clusters(spark.createDataFrame(rows, "station_id long, name string, grp string, x double, z double"), 200, 900, 420).collect()}
+    comp = {r[0]: r[0] for r in rows}
+    for _ in rows:
+        for a in rows:
+            for b in rows:
+                if np.hypot(a[3] - b[3], a[4] - b[4]) < 200:
+                    comp[a[0]] = comp[b[0]] = min(comp[a[0]], comp[b[0]])
+    mean = lambda ids: tuple(np.mean([[rows[i][3], rows[i][4]] for i in ids], axis=0))
+    clusters = []
+    for c in sorted(set(comp.values())):
+        ids = [i for i in comp if comp[i] == c]
+        names_ = [rows[i][1] for i in ids]
+        common = min(set(names_), key=lambda n: (-names_.count(n), names_.index(n)))
+        grp = next((rows[i][2] for i in ids if rows[i][2]), None)
+        clusters.append({"base": c, "ids": ids, "grp": grp, "label": grp or common, "at": mean(ids)})
+    for g in {c["grp"] for c in clusters if c["grp"]}:
+        own = [c for c in clusters if c["grp"] == g]
+        for c in own[1:]:
+            if np.hypot(*np.subtract(c["at"], own[0]["at"])) <= 900:
+                own[0]["ids"] = own[0]["ids"] + c["ids"]
+                clusters.remove(c)
+        own[0]["at"] = mean(own[0]["ids"])
+    i = 0
+    while i < len(clusters):
+        for c in clusters[i + 1 :]:
+            if c["label"] == clusters[i]["label"] and np.hypot(*np.subtract(c["at"], clusters[i]["at"])) <= 420:
+                clusters[i]["ids"] = clusters[i]["ids"] + c["ids"]
+                clusters[i]["at"] = mean(clusters[i]["ids"])
+                clusters.remove(c)
+        i += 1
+    assert found == {i: c["base"] for c in clusters for i in c["ids"]}
+
+
+def test_networks():
+    from quadrille.operators.network import chained, spanning_gaps
+
+    ends = [(1, np.array([[0, 0], [10, 0]])), (2, np.array([[12, 0], [20, 0]])), (3, np.array([[50, 0], [60, 0]]))]
+    assert spanning_gaps(ends, 5) == [(2, 3, 30.0)]
+    parts = [(1, (0, 0), (10, 0)), (2, (20, 0), (11, 0)), (3, (-1, 0), (-9, 0)), (4, (500, 0), (510, 0))]
+    assert chained(parts, 5) == [[(3, True), (1, False), (2, True)], [(4, False)]]
+
+
+def test_plane_rectangular(spark):
+    from quadrille.operators.matching import plane_rectangular
+
+    at = one(spark, plane_rectangular(F.lit(36.0), F.lit(136.0), 36.0, 136.0))
+    assert at["n"] == pytest.approx(0, abs=1e-6) and at["e"] == pytest.approx(0, abs=1e-6)
+    north = one(spark, plane_rectangular(F.lit(37.0), F.lit(136.0), 36.0, 136.0))["n"]
+    assert north == pytest.approx(0.9999 * 110_967, rel=2e-4)
