@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from quadrille.llm.pretokens import pretokens
-from quadrille.llm.text import id_text, read_table, rows, slices
+from quadrille.llm.text import give_back, id_text, read_table, rows, slices
 
 #: key: where the first shuffle sends a row; block rows have doc_ids and counts, word rows local numbers and words.
 PARTS = pa.schema([("key", pa.int64()), ("block", pa.string()), ("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())), ("local", pa.binary()), ("lengths", pa.binary()), ("payload", pa.binary())])
@@ -72,18 +72,21 @@ def pack_positions(numbers: np.ndarray) -> bytes:
     """Word numbers of all positions. Words are numbered as they first occur, so a first occurrence is code 0;
     the most frequent words have the next codes, any other word follows them by its number. Codes are written
     in one, two or five bytes, place by place, compressed."""
-    numbers = numbers.astype(np.int64)
-    first = numbers > np.maximum.accumulate(np.concatenate(([0], numbers)))[:-1]
+    numbers = numbers.astype(np.int32)
+    first = np.ones(len(numbers), bool)
+    first[1:] = numbers[1:] > np.maximum.accumulate(numbers)[:-1]
+    first &= numbers > 0
     counts = np.bincount(numbers[~first], minlength=1)
     top = np.argsort(-counts, kind="stable")[: TWO - 1]
     top = top[counts[top] > 0]
-    code = np.arange(TWO, TWO + int(numbers.max(initial=0)) + 1)
+    code = np.arange(TWO, TWO + int(numbers.max(initial=0)) + 1, dtype=np.int32)
     code[top] = np.arange(1, len(top) + 1)
-    codes = np.where(first, 0, code[numbers])
+    codes = code[numbers]
+    codes[first] = 0
     long = codes[codes >= ONE] - ONE
     high = long >> 8
     longest = high[high >= 62] - 62
-    planes = [np.where(codes < ONE, codes, ONE + np.minimum((codes - ONE) >> 8, 62)), long & 255, longest & 255, longest >> 8 & 255, longest >> 16 & 255]
+    planes = (np.where(codes < ONE, codes, ONE + np.minimum((codes - ONE) >> 8, 62)), long & 255, longest & 255, longest >> 8 & 255, longest >> 16 & 255)
     parts = [packed(top), *(zstandard.compress(x.astype(np.uint8).tobytes(), 3) for x in planes)]
     return b"".join(len(x).to_bytes(4, "little") + x for x in parts)
 
@@ -95,15 +98,14 @@ def unpack_positions(data: bytes) -> np.ndarray:
         n = int.from_bytes(data[at : at + 4], "little")
         parts.append(data[at + 4 : at + 4 + n])
         at += 4 + n
-    top = unpacked(parts[0]).astype(np.int64)
-    one, two, *more = (np.frombuffer(zstandard.decompress(x), np.uint8).astype(np.int64) for x in parts[1:])
-    high = one[one >= ONE] - ONE
-    high[high == 62] += more[0] | more[1] << 8 | more[2] << 16
-    codes = one.copy()
+    top = unpacked(parts[0]).astype(np.int32)
+    one, two, *more = (np.frombuffer(zstandard.decompress(x), np.uint8) for x in parts[1:])
+    high = one[one >= ONE].astype(np.int32) - ONE
+    high[high == 62] += sum(x.astype(np.int32) << 8 * i for i, x in enumerate(more))
+    codes = one.astype(np.int32)
     codes[one >= ONE] = ONE + (high << 8 | two)
-    first = codes == 0
-    out = np.where(codes >= TWO, codes - TWO, 0)
-    frequent = (codes > 0) & (codes < TWO)
+    first, frequent = codes == 0, (codes > 0) & (codes < TWO)
+    out = codes - TWO
     out[frequent] = top[codes[frequent] - 1]
     out[first] = np.arange(1, first.sum() + 1)
     return out
@@ -145,6 +147,7 @@ def _split(batches: Iterator[pa.RecordBatch], pattern: str, buckets: int, block_
             yield block.rows()
             n += 1
             block = Block(f"{part}-{n}", buckets)
+            give_back()
         block.size += size
         for doc_id, words in zip(batch.column("doc_id").to_pylist(), pretokens(batch.column("text"), pattern)):
             block.add(doc_id, words)
@@ -182,7 +185,7 @@ def _assemble(parts: pa.Table) -> pa.Table:
         else:
             words.append((np.cumsum(unpacked(row["local"])), unpacked(row["lengths"]), unpacked(row["payload"])))
     size = 1 + max((int(w[0][-1]) for w in words), default=0)
-    starts, lengths, at = np.zeros(size, np.int64), np.zeros(size, np.int64), 0
+    starts, lengths, at = np.zeros(size, np.int32), np.zeros(size, np.int32), 0  # a block has fewer than 2**31 ids
     for local, n, ids in words:
         lengths[local] = n
         starts[local] = at + np.cumsum(n) - n
@@ -190,11 +193,16 @@ def _assemble(parts: pa.Table) -> pa.Table:
     flat = np.concatenate([w[2] for w in words]).astype(np.int32) if words else np.zeros(0, np.int32)
     positions = unpack_positions(own["payload"])
     n = lengths[positions]
-    ends = np.concatenate(([0], np.cumsum(n)))
-    take = np.repeat((starts[positions] - ends[:-1]).astype(np.int32), n)  # a block has fewer than 2**31 ids
+    ends = np.concatenate((np.zeros(1, np.int32), np.cumsum(n, dtype=np.int32)))
+    shift = starts[positions] - ends[:-1]
+    del positions
+    take = np.repeat(shift, n)
+    del shift, n
     take += np.arange(len(take), dtype=np.int32)
     offsets = ends[np.concatenate(([0], np.cumsum(own["counts"])))]
     ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat[take], pa.int32()))
+    del take
+    give_back()
     return pa.table([pa.array(own["doc_ids"], pa.int64()), ids], schema=TOKENS)
 
 

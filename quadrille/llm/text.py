@@ -6,6 +6,7 @@ Texts travel as UTF-8 bytes: ``bytes.split()`` splits at exactly ``[\\x20\\x09-\
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +14,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from quadrille.storage import read_table, scratch, shared_dir, stored  # noqa: F401
+
 #: Bytes that ``[\x20\x09-\x0D]`` names.
 BLANKS = b" \t\n\x0b\x0c\r"
 
@@ -27,6 +30,15 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20)
             stop = max(start + 1, int(np.searchsorted(ends, before + limit, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a Python worker outlives its task, and the next one shares its executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def blobs(batch: pa.RecordBatch, column: str) -> list[bytes]:
@@ -43,41 +55,20 @@ def rows(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) if not isinstance(c, (pa.Array, pa.ChunkedArray)) else c.cast(t) for c, t in zip(columns, schema.types)], schema=schema)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts are long: where the session still has Spark's default of 10,000 rows in an Arrow batch, take 1,000.
+    A batch is held by the JVM and by Python at once, for every task of an executor."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, "1000")
+
+
 def id_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The two columns an operator reads, under fixed names, so no extra column of the input can clash."""
+    small_batches(docs.sparkSession)
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a local one where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        import tempfile
-
-        found = "file://" + tempfile.mkdtemp(prefix="quadrille-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def scratch(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder."""
-    import uuid
-
-    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` in the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = scratch(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def is_held_out(doc_id: Column) -> Column:
     """crc32 of the id as text, modulo 5, is 0."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
@@ -92,4 +83,5 @@ def keep_rows(docs: DataFrame, text_col: str, verdicts) -> DataFrame:
         for batch in slices(batches, text_col):
             yield batch.filter(pa.array(judge(blobs(batch, text_col)), pa.bool_()))
 
+    small_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)
