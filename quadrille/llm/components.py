@@ -1,35 +1,3 @@
-"""Connected components by alternating large-star and small-star steps."""
+"""Connected components, as the library has them."""
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, functions as F
-
-from quadrille.llm.text import stored
-
-
-def _print_of(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-
-
-def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
-    """(node, comp) of every node with an edge to another one; comp is the component's smallest node.
-
-    Each round is written to the shared folder. Hubs are joined by a sort-merge join that can split
-    skewed keys, and minima are pre-aggregated, so a hub with many neighbours is no single task's work.
-    Defined results: loops and edges with a null end are ignored; repeated edges count once."""
-    pairs = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where(F.col("a") != F.col("b"))
-    now = stored(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    seen = _print_of(now)
-    for _ in range(rounds):
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        lowest = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(lowest, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = stored(small.unionByName(lowest.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        if (found := _print_of(now)) == seen:
-            break
-        seen = found
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
-    return now.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
+from quadrille.operators.graph import components  # noqa: F401
