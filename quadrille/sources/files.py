@@ -16,7 +16,7 @@ from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 
@@ -227,3 +227,62 @@ def element_query(box: tuple[float, float, float, float], selectors: list[str],
     """The query text for elements in a (south, west, north, east) box."""
     area = ",".join(f"{v:g}" for v in box)
     return f"[out:json][timeout:{timeout}];({''.join(f'{s}({area});' for s in selectors)});out tags geom;"
+
+
+def read_embedded(spark: SparkSession, path: str, name: str, schema: str) -> DataFrame:
+    """Rows of a JSON array that a page assigns to a constant (``const NAME = [...];``)."""
+    pages = spark.read.text(path, wholetext=True)
+    found = F.regexp_extract("value", rf"(?s)\b{name}\s*=\s*(\[.*?\])\s*;", 1)
+    return pages.select(F.explode(F.from_json(found, f"array<struct<{schema}>>")).alias("r")).select("r.*")
+
+
+def read_gml(spark: SparkSession, path: str, tag: str, schema: str) -> DataFrame:
+    """Elements of one kind of a GML document (roads, road edges, building outlines), one row each."""
+    return spark.read.format("xml").option("rowTag", tag).schema(schema).load(path)
+
+
+def positions(text: Column, width: int = 2) -> Column:
+    """A position list as ARRAY<STRUCT<a, b>>: the first two numbers of every ``width``."""
+    numbers = F.transform(F.split(F.trim(text), r"\s+"), lambda v: v.try_cast("double"))
+    n = (F.size(numbers) / width).cast("int")
+    indices = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(indices, lambda i: F.struct(F.element_at(numbers, i * width + 1).alias("a"), F.element_at(numbers, i * width + 2).alias("b")))
+
+
+def tiff_header(content: bytes) -> Iterator[tuple]:
+    """(width, height, pixel size x, y, origin x, y) of a GeoTIFF's first directory; missing values are null."""
+    order = {b"II": "<", b"MM": ">"}.get(content[:2])
+    if order is None or struct.unpack_from(f"{order}H", content, 2)[0] != 42:
+        return
+    at = struct.unpack_from(f"{order}I", content, 4)[0]
+    tags = {}
+    for i in range(struct.unpack_from(f"{order}H", content, at)[0]):
+        tag, kind, n = struct.unpack_from(f"{order}HHI", content, at + 2 + 12 * i)
+        letter, size = {3: ("H", 2), 4: ("I", 4), 12: ("d", 8)}.get(kind, ("B", 1))
+        place = at + 10 + 12 * i if n * size <= 4 else struct.unpack_from(f"{order}I", content, at + 10 + 12 * i)[0]
+        tags[tag] = struct.unpack_from(f"{order}{n}{letter}", content, place)
+    scale, tie = tags.get(33550, (None, None)), tags.get(33922, (None,) * 6)
+    yield int(tags[256][0]), int(tags[257][0]), scale[0], scale[1], tie[3], tie[4]
+
+
+def read_tiff_headers(spark: SparkSession, path: str) -> DataFrame:
+    return _files(spark, path, lambda _, content: tiff_header(content), "width long, height long, size_x double, size_y double, origin_x double, origin_y double")
+
+
+def heading_columns(cells: DataFrame, wanted: dict[str, list[str]], row_no: str = "row_no") -> dict[str, int]:
+    """Column numbers of headings in the first 20 rows of a sheet: names in ``wanted`` to the first column whose
+    one- or two-row heading holds an alias that no digit runs into. Twenty rows are read, whatever the sheet has."""
+    rows = [r["cells"] for r in cells.orderBy(row_no).limit(20).collect()]
+    clean = lambda s: re.sub(r"[\s　（）()〔〕\[\]【】\-－―~〜・]|[*※]\d*|注\d*", "", (s or "").translate(str.maketrans("０１２３４５６７８９", "0123456789")))
+    holds = lambda text, alias: re.search((r"(?<!\d)" if alias[:1].isdigit() else "") + re.escape(alias) + (r"(?!\d)" if alias[-1:].isdigit() else ""), text)
+    found: dict[str, int] = {}
+    for upper, lower in zip([[]] + rows, rows):
+        last, spread = "", []
+        for i in range(len(lower)):  # a merged heading stands in its first cell only
+            last = clean(upper[i]) if i < len(upper) and upper[i] else last
+            spread.append(last)
+        for name, aliases in wanted.items():
+            for i, cell in enumerate(lower):
+                if name not in found and any(holds(clean(cell), a) or holds(spread[i] + clean(cell), a) for a in aliases):
+                    found[name] = i
+    return found

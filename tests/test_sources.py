@@ -133,3 +133,18 @@ def test_areas(spark):
     assert {r["ward_id"]: len(r["polygons"]) for r in areas.collect()} == {1: 2}
     assert bad.count() == 1 and {r["ward_id"] for r in missing.collect()} == {2, 3}
     assert files.element_query((34.5, 135, 34.7, 135.5), [files.selector("highway"), files.selector("name", 'a"b')]) == '[out:json][timeout:60];(way["highway"](34.5,135,34.7,135.5);way["name"="a\\"b"](34.5,135,34.7,135.5););out tags geom;'
+
+
+def test_more_readers(spark, tmp_path):
+    (tmp_path / "p.html").write_text('<script>\nconst TOWNS = [{"n":"a","v":1},\n{"n":"b","v":2}];\n</script>')
+    assert [(r["n"], r["v"]) for r in files.read_embedded(spark, str(tmp_path / "p.html"), "TOWNS", "n string, v int").collect()] == [("a", 1), ("b", 2)]
+    (tmp_path / "r.gml").write_text("<D><RdEdg><pos>34.5 135.1 34.6 135.2</pos></RdEdg><RdEdg><pos></pos></RdEdg></D>")
+    rows = files.read_gml(spark, str(tmp_path / "r.gml"), "RdEdg", "pos string").select(files.positions(F.col("pos")).alias("p")).collect()
+    assert [[tuple(p) for p in r["p"] or []] for r in rows] == [[(34.5, 135.1), (34.6, 135.2)], []]
+    entry = lambda tag, kind, n, value: struct.pack("<HHI", tag, kind, n) + value
+    head = struct.pack("<2sHIH", b"II", 42, 8, 4) + entry(256, 3, 1, struct.pack("<HH", 640, 0)) + entry(257, 3, 1, struct.pack("<HH", 480, 0)) + entry(33550, 12, 3, struct.pack("<I", 100)) + entry(33922, 12, 6, struct.pack("<I", 124))
+    (tmp_path / "t.tif").write_bytes(head.ljust(100, b"\x00") + struct.pack("<3d", 0.5, 0.5, 0) + struct.pack("<6d", 0, 0, 0, 100.0, 200.0, 0))
+    row = files.read_tiff_headers(spark, str(tmp_path / "t.tif")).first()
+    assert (row["width"], row["height"], row["size_x"], row["origin_y"]) == (640, 480, 0.5, 200.0)
+    sheet = spark.createDataFrame([(1, ["注記"]), (2, ["", "人口", "", "世帯"]), (3, ["町丁字コード", "総数", "15人", "５人"])], "row_no int, cells array<string>")
+    assert files.heading_columns(sheet, {"code": ["町丁字コード"], "population": ["人口総数"], "five": ["5人"]}) == {"code": 0, "population": 1, "five": 3}
