@@ -119,3 +119,38 @@ def nfkc(names: pd.Series) -> pd.Series:
 def stable_id(prefix: str, *columns: Column, digits: int = 12) -> Column:
     """An id from the row's own content: the prefix and the start of a SHA-1."""
     return F.concat(F.lit(prefix), F.substring(F.sha1(F.to_json(F.struct(*columns))), 1, digits))
+
+
+def same_in_both(ja: Column, en: Column, places: dict[str, str], kinds: dict[str, list[str]], prefixes: list[str] = ()) -> Column:
+    """Whether a Japanese and an English name say the same by a lexicon: every part of the Japanese one is a known
+    prefix, kind or place; there is a place; every place's romanisation and one word of every kind stand in the
+    English one as whole words. Longer entries are taken first."""
+    rest = F.regexp_replace(F.coalesce(ja, F.lit("")), "[\\s　・()（）]", "")
+    words = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(F.coalesce(en, F.lit(""))), "[^a-z0-9]+", " ")), F.lit(" "))
+    says = lambda w: words.contains(f" {w} ")
+    good, some = F.lit(True), F.lit(False)
+    for p in sorted(prefixes, key=len, reverse=True):
+        rest = F.replace(rest, F.lit(p), F.lit("|"))
+    for table, is_place in ((kinds, False), (places, True)):
+        for key in sorted(table, key=len, reverse=True):
+            there = rest.contains(key)
+            spoken = says(table[key]) if is_place else F.lit(False)
+            if not is_place:
+                for w in table[key]:
+                    spoken = spoken | says(w)
+            good = good & (~there | spoken)
+            some = some | (there & F.lit(is_place))
+            rest = F.replace(rest, F.lit(key), F.lit("|"))
+    left = F.regexp_replace(F.regexp_replace(rest, "\\|", ""), "店$", "")
+    return good & some & (left == "")
+
+
+def variant_evidence(a: Column, b: Column, alike: list[str], stem: int = 4, aliases: dict[str, str] = {}) -> Column:
+    """How two variant keys agree: "exact"; "rename" (one stem of ``stem`` characters or more with two of the
+    ``alike`` endings); "alias" (a stated short form and a name that starts with the long one); null for not."""
+    ending = f"^(.*?)({'|'.join(alike)})$"
+    sa, sb = F.regexp_extract(a, ending, 1), F.regexp_extract(b, ending, 1)
+    alias = F.lit(False)
+    for short, long in aliases.items():
+        alias = alias | ((a == short) & b.startswith(long)) | ((b == short) & a.startswith(long))
+    return F.when((a == "") | (b == ""), F.lit(None)).when(a == b, "exact").when((F.length(sa) >= stem) & (sa == sb), "rename").when(alias, "alias")

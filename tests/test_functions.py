@@ -198,3 +198,20 @@ def test_plane_rectangular(spark):
     assert at["n"] == pytest.approx(0, abs=1e-6) and at["e"] == pytest.approx(0, abs=1e-6)
     north = one(spark, plane_rectangular(F.lit(37.0), F.lit(136.0), 36.0, 136.0))["n"]
     assert north == pytest.approx(0.9999 * 110_967, rel=2e-4)
+
+
+def test_ribbons():
+    bend = np.array([[0, 0], [10, 0], [10, 10]], float)
+    assert np.allclose(kernels.sideways(bend, 1, 2.5), [[0, 1], [9, 1], [9, 10]])
+    assert len(kernels.denser(bend, 3.0)) == 9 and abs(kernels.shoelace(kernels.ribbon(bend, 2, 100.0, 2.5))) == pytest.approx(40)
+
+
+def test_conflicts_against_a_loop(spark):
+    from quadrille.operators import water
+
+    rivers = [(1, [(float(i * 10), 0.0) for i in range(10)], 4.0), (2, [(float(i * 10), 500.0) for i in range(10)], 4.0), (3, [(float(i * 10), 1000.0) for i in range(10)], 4.0)]
+    rects = [(1, 25.0, 3.0, 65.0, 9.0), (2, -5.0, 490.0, 66.0, 510.0)]
+    r = spark.createDataFrame(rivers, "river long, points array<struct<x:double,z:double>>, half double")
+    b = spark.createDataFrame([(i, [(x0, z0), (x1, z0), (x1, z1), (x0, z1)]) for i, x0, z0, x1, z1 in rects], "building_id long, ring array<struct<x:double,z:double>>")
+    found = {x["river"]: (x["action"], x["scale"]) for x in water.building_conflicts(r, b, "river").collect()}
+    assert found == {1: ("shrink", 0.7), 2: ("suppress", 0.0), 3: ("keep", 1.0)}
