@@ -35,8 +35,7 @@ def contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document left, with the digests of ids and of the decoded bytes."""
-    coded = bpe.decode(bpe.encode(docs))
-    return bpe.digests(coded, "ids")
+    return bpe.digests(bpe.encode(docs, decoded=True), "ids")
 
 
 STAGES = [

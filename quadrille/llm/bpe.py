@@ -41,6 +41,7 @@ PARTS = pa.schema([("key", pa.int64()), ("block", pa.string()), ("doc_ids", pa.l
 PARTS_DDL = "key long, block string, doc_ids array<long>, counts array<int>, local binary, lengths binary, payload binary"
 TOKENS = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
 TOKENS_DDL = "doc_id long, ids array<int>"
+DECODED = TOKENS.append(pa.field("decoded", pa.binary()))
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -176,8 +177,14 @@ def _encode_words(batches: Iterator[pa.RecordBatch], ranks: dict[bytes, int], pa
             yield rows(PARTS, [None], row.column("block"), [None], [None], row.column("local"), [packed(np.array(lengths))], [packed(np.array(ids))])
 
 
-def _assemble(parts: pa.Table) -> pa.Table:
-    """One block: its position row and its word rows give the ids of its documents."""
+def joined_bytes(ids: np.ndarray, ends: np.ndarray, table: dict[int, bytes]) -> list[bytes]:
+    """The join with the token-byte table: bytes of ids[ends[i]:ends[i + 1]] for every i."""
+    token = table.__getitem__
+    return [b"".join(map(token, ids[a:b].tolist())) for a, b in zip(ends[:-1], ends[1:])]
+
+
+def _assemble(parts: pa.Table, table: dict[int, bytes] | None) -> pa.Table:
+    """One block: its position row and its word rows give the ids of its documents, and the bytes of those ids."""
     own, words = None, []
     for row in parts.select(["doc_ids", "counts", "local", "lengths", "payload"]).to_pylist():
         if row["doc_ids"] is not None:
@@ -200,20 +207,27 @@ def _assemble(parts: pa.Table) -> pa.Table:
     del shift, n
     take += np.arange(len(take), dtype=np.int32)
     offsets = ends[np.concatenate(([0], np.cumsum(own["counts"])))]
-    ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat[take], pa.int32()))
+    ids = flat[take]
     del take
+    columns = [pa.array(own["doc_ids"], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))]
+    if table is not None:
+        columns.append(pa.array(joined_bytes(ids, offsets, table), pa.binary()))
+    del ids
     give_back()
-    return pa.table([pa.array(own["doc_ids"], pa.int64()), ids], schema=TOKENS)
+    return pa.table(columns, schema=TOKENS if table is None else DECODED)
 
 
-def encode(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None, block_bytes: int = 16 << 20) -> DataFrame:
-    """Per document row: doc_id, ids. path: the rank file; buckets: default by the session's shuffle partitions."""
+def encode(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None, block_bytes: int = 16 << 20, decoded: bool = False) -> DataFrame:
+    """Per document row: doc_id, ids. path: the rank file; buckets: default by the session's shuffle partitions;
+    decoded: add the bytes the ids decode to, as ``decode`` does, by the task that has the ids at hand."""
     spark = docs.sparkSession
-    ranks = spark.sparkContext.broadcast(read_ranks(path or public_tokenizers.path("byte_bpe_50k.tiktoken")))
+    vocabulary = read_ranks(path or public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    ranks = spark.sparkContext.broadcast(vocabulary)
+    table = spark.sparkContext.broadcast({rank: token for token, rank in vocabulary.items()} if decoded else None)
     buckets = buckets or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     parts = id_text(docs, id_col, text_col).mapInArrow(lambda batches: _split(batches, pattern, buckets, block_bytes), PARTS_DDL)
     coded = parts.repartition("key").mapInArrow(lambda batches: _encode_words(batches, ranks.value, pattern), PARTS_DDL)
-    return coded.groupBy("block").applyInArrow(_assemble, TOKENS_DDL)
+    return coded.groupBy("block").applyInArrow(lambda parts: _assemble(parts, table.value), TOKENS_DDL + (", decoded binary" if decoded else ""))
 
 
 def decode(tokens: DataFrame, path: str | None = None, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -223,14 +237,12 @@ def decode(tokens: DataFrame, path: str | None = None, ids_col: str = "ids", out
     kept = tokens.drop(out_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = sent.value.__getitem__
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
                 column = part.column(ids_col)
                 ends = np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(column), 0))))
-                flat = column.flatten().to_numpy(zero_copy_only=False)
-                found = [b"".join(map(token, flat[a:b].tolist())) for a, b in zip(ends[:-1], ends[1:])]
+                found = joined_bytes(column.flatten().to_numpy(zero_copy_only=False), ends, sent.value)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.binary())], names=[*part.schema.names, out_col])
 
     return kept.mapInArrow(run, StructType([*kept.schema.fields]).add(out_col, "binary"))
@@ -242,4 +254,4 @@ def digests(tokens: DataFrame, *more: str) -> DataFrame:
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(decode(encode(read_table(spark, sf_dir, "documents"))))
+    return digests(encode(read_table(spark, sf_dir, "documents"), decoded=True))

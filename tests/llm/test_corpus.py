@@ -160,6 +160,8 @@ def test_bpe(spark):
     for i, text in enumerate(texts):
         assert list(found[i]["ids"]) == enc.encode_ordinary(text or ""), repr(text)
         assert bytes(found[i]["decoded"]) == (text or "").encode()
+    both = bpe.encode(table(spark, texts), block_bytes=20_000, decoded=True)
+    assert by_id(both, "doc_id", "ids", "decoded") == by_id(bpe.decode(tokens), "doc_id", "ids", "decoded")
     assert bpe.encode(table(spark, ["x"]).limit(0)).count() == 0
     twice = bpe.encode(table(spark, ["b c", "b c", "d"], [7, 7, None]))
     assert by_id(twice, "doc_id") == [(7,), (7,), (None,)]
