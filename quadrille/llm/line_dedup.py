@@ -23,7 +23,7 @@ tie keep theirs.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -81,15 +81,19 @@ def fold(once: np.ndarray, twice: np.ndarray, digests: list[bytes], bits: int) -
     put(once, hashes, bits)
 
 
-def twice_filter(docs: DataFrame, bits: int) -> np.ndarray:
-    """The filter of lines that two documents or more may have."""
+def line_keys(text: bytes) -> set[bytes]:
+    return {k for k in keys_of(text.split(b"\n")) if k}
+
+
+def twice_filter(docs: DataFrame, bits: int, keys: Callable[[bytes], Iterable[bytes]] = line_keys) -> np.ndarray:
+    """The filter of keys that may occur twice or more; ``keys(text)``: by default a text's lines, each once."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         once, twice = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
         for batch in slices(batches, "text"):
             digests: list[bytes] = []
             for text in blobs(batch, "text"):
-                digests.extend({k for k in keys_of(text.split(b"\n")) if k})
+                digests.extend(keys(text))
             fold(once, twice, digests, bits)
         pack = zstandard.ZstdCompressor(1).compress
         for i, (a, b) in enumerate(zip(np.split(once, CHUNKS), np.split(twice, CHUNKS))):

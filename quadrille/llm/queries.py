@@ -15,8 +15,10 @@ from quadrille.llm.quality_model import op3_quality_model
 from quadrille.llm.quality_rules import op10_quality_rules
 from quadrille.llm.secrets import op2_secret_scan
 from quadrille.llm.sstable import op9_token_files
+from quadrille.llm.substring_dedup import op1_substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_secret_scan": op2_secret_scan,
     "op3_quality_model": op3_quality_model,
     "op4_bpe": op4_bpe,

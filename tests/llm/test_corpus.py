@@ -377,3 +377,60 @@ def test_pipeline_stages(spark):
         assert 0 < docs.count() <= 200
     last = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
     assert last.count() == docs.count()
+
+
+# ---- repeated passages ---------------------------------------------------------------------------
+
+
+def brute_spans(docs, least):
+    """Removed spans by a plain dictionary over all units."""
+    units, first = [], {}
+    for i, text in docs:
+        pos = -1
+        for m in re.finditer(r"[^.!?\n]+[.!?]*", text or ""):
+            pos += 1
+            own = [w.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")) for w in re.split(r"[\x20\x09-\x0D]+", m.group()) if w]
+            if own:
+                body = m.group()
+                strip = " \t\n\x0b\x0c\r"
+                a = m.start() + len(body) - len(body.lstrip(strip))
+                units.append((i, a, a + len(body.strip(strip)), len(own), " ".join(own)))
+    for i, a, _, _, key in sorted(units, key=lambda u: (u[0], u[1])):
+        first.setdefault(key, (i, a))
+    out, run = [], []
+    for u in [*units, (None, 0, 0, 0, "")]:
+        again = u[0] is not None and first[u[4]] != (u[0], u[1])
+        if run and (not again or u[0] != run[-1][0]):
+            if sum(r[3] for r in run) >= least:
+                out.append((run[0][0], run[0][1], run[-1][2], len(run), sum(r[3] for r in run), first[run[0][4]][0]))
+            run = []
+        if again:
+            run.append(u)
+    return sorted(out)
+
+
+def test_substrings(spark):
+    from quadrille.llm import substring_dedup
+
+    rng = random.Random(11)
+    say = lambda n: words(rng, n, 4000).capitalize() + rng.choice(".!?")
+    passages = [" ".join(say(12) for _ in range(5)) for _ in range(3)]
+    texts = [t for t in ODD if t is None or len(t) < 5000]
+    for i in range(40):
+        parts = [say(rng.randrange(1, 14)) for _ in range(6)] + (["É of. the. of."] if i % 3 == 0 else [])
+        if i % 4 == 1:
+            parts.insert(rng.randrange(7), rng.choice(passages).upper() if i % 8 == 1 else rng.choice(passages))
+        texts.append(rng.choice([" ", "\n", "  "]).join(parts))
+    texts += [texts[-1], texts[-2]]
+    docs = list(enumerate(texts))
+    found = substring_dedup.repeated_spans(table(spark, texts), min_words=20)
+    assert by_id(found, "doc_id", "start", "end", "n_units", "n_words", "first_doc_id") == brute_spans(docs, 20)
+    assert by_id(substring_dedup.repeated_spans(table(spark, texts), min_words=20, filter_bits=1 << 10), "doc_id", "start") == by_id(found, "doc_id", "start")
+    cut = dict(by_id(substring_dedup.remove_spans(table(spark, texts), found), "doc_id", "text"))
+    for i, text in docs:
+        rest, at = "", 0
+        for _, a, b, *_ in [s for s in brute_spans(docs, 20) if s[0] == i]:
+            rest, at = rest + text[at:a], b
+        assert cut[i] == (None if text is None else rest + text[at:])
+    assert substring_dedup.repeated_spans(table(spark, texts).limit(0)).count() == 0
+    assert substring_dedup.repeated_spans(table(spark, [passages[0], passages[0], None], [None, 4, None])).first()["doc_id"] is None
