@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quadrille.llm import line_dedup, minhash, quality_rules
 from quadrille.llm.bpe import op4_bpe
 from quadrille.llm.decontaminate import op7_decontamination
+from quadrille.llm.licenses import op5_license_scan
 from quadrille.llm.line_dedup import op8_line_dedup
 from quadrille.llm.minhash import op6_near_dedup
 from quadrille.llm.quality_model import op3_quality_model
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secret_scan": op2_secret_scan,
     "op3_quality_model": op3_quality_model,
     "op4_bpe": op4_bpe,
+    "op5_license_scan": op5_license_scan,
     "op6_near_dedup": op6_near_dedup,
     "op7_decontamination": op7_decontamination,
     "op8_line_dedup": op8_line_dedup,

@@ -434,3 +434,41 @@ def test_substrings(spark):
         assert cut[i] == (None if text is None else rest + text[at:])
     assert substring_dedup.repeated_spans(table(spark, texts).limit(0)).count() == 0
     assert substring_dedup.repeated_spans(table(spark, [passages[0], passages[0], None], [None, 4, None])).first()["doc_id"] is None
+
+
+# ---- licenses ------------------------------------------------------------------------------------
+
+
+def test_patience():
+    from quadrille.llm.licenses import aligned, rising
+
+    assert rising([(0, 3), (1, 1), (2, 2), (3, 0), (4, 4)]) == [(1, 1), (2, 2), (4, 4)]
+    rng = random.Random(12)
+    for _ in range(200):
+        a, b = ([rng.choice("abcdefgh") for _ in range(rng.randrange(12))] for _ in range(2))
+        pairs = aligned(a, b)
+        assert all(a[i] == b[j] for i, j in pairs) and all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:]))
+    assert len(aligned(list("xaybzc"), list("abc"))) == 3
+
+
+def test_licenses(spark):
+    from quadrille.llm.licenses import TEMPLATES, find_licenses
+
+    rng = random.Random(13)
+    texts, expected = [*ODD, *(words(rng, 60, 3000) for _ in range(5))], {}
+    for name, text in TEMPLATES.items():
+        changed = text.split()
+        if len(changed) > 30:
+            changed[7], changed[20] = "other", "words"
+        for body in (text.upper().replace(" ", "  \n"), " ".join(changed), text + " " + text):
+            before = "É " + words(rng, rng.randrange(80), 3000) + "\n"
+            expected[len(texts)] = (name, len(before))
+            texts.append(before + body + " " + words(rng, 30, 3000))
+    found = {r["doc_id"]: r["found"] for r in find_licenses(table(spark, texts)).collect()}
+    for i in range(len(texts)):
+        if i in expected:
+            assert [x["license"] for x in found[i]] == [expected[i][0]], (expected[i], texts[i])
+            assert found[i][0]["coverage"] >= 0.9 and found[i][0]["start"] == expected[i][1]
+        else:
+            assert found[i] == []
+    assert find_licenses(table(spark, texts).limit(0)).count() == 0
