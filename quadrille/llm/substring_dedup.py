@@ -1,6 +1,6 @@
 """Substring dedup by hashed units: sentences within lines, grouped globally by digest.
 
-Units are stretches up to a line end or sentence mark, normalised to lower-case words. Two filters of fixed
+Units are stretches up to a line end or a sentence mark (of four words or more), normalised to lower-case words. Two filters of fixed
 size (seen once, seen twice) leave the units that may occur again; those are written with their offsets,
 their digests are counted exactly, and every occurrence but the earliest, by (doc_id, position), is a
 repeat. Consecutive repeats of a document make a run; a run of ``min_words`` words or more is removed, so a
@@ -31,15 +31,29 @@ UNITS = pa.schema([("doc_id", pa.int64()), ("rank", pa.int64()), ("text_key", pa
 UNITS_DDL = "doc_id long, rank long, text_key long, pos int, words int, start long, end long, digest binary"
 
 
-def units(text: bytes) -> list[tuple[int, int, int, bytes]]:
-    """(start byte, end byte, words, digest) of the units that have words; ends leave out blanks."""
-    out = []
-    for m in UNIT.finditer(text):
-        words = m.group().lower().split()
+def units(text: bytes, least: int = 4) -> list[tuple[int, int, int, bytes]]:
+    """(start byte, end byte, words, digest) of the units of a text. Sentences of a line are put together until a
+    unit has ``least`` words, as shorter ones repeat by chance; ends leave out blanks."""
+    out, words, a, b, last = [], [], 0, 0, 0
+
+    def flush() -> None:
         if words:
-            a, b = m.span()
-            body = m.group()
-            out.append((a + len(body) - len(body.lstrip()), b - len(body) + len(body.rstrip()), len(words), xxhash.xxh3_128_digest(b" ".join(words))))
+            out.append((a, b, len(words), xxhash.xxh3_128_digest(b" ".join(words))))
+            words.clear()
+
+    for m in UNIT.finditer(text):
+        if m.start() != last and b"\n" in text[last : m.start()]:
+            flush()
+        last, body = m.end(), m.group()
+        own = body.lower().split()
+        if own:
+            if not words:
+                a = last - len(body.lstrip())
+            words += own
+            b = m.start() + len(body.rstrip())
+            if len(words) >= least:
+                flush()
+    flush()
     return out
 
 

@@ -385,16 +385,21 @@ def test_pipeline_stages(spark):
 def brute_spans(docs, least):
     """Removed spans by a plain dictionary over all units."""
     units, first = [], {}
+    low, strip = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), " \t\n\x0b\x0c\r"
     for i, text in docs:
-        pos = -1
-        for m in re.finditer(r"[^.!?\n]+[.!?]*", text or ""):
-            pos += 1
-            own = [w.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")) for w in re.split(r"[\x20\x09-\x0D]+", m.group()) if w]
-            if own:
-                body = m.group()
-                strip = " \t\n\x0b\x0c\r"
-                a = m.start() + len(body) - len(body.lstrip(strip))
-                units.append((i, a, a + len(body.strip(strip)), len(own), " ".join(own)))
+        at = 0
+        for line in (text or "").split("\n"):
+            held = []
+            for m in [*re.finditer(r"[^.!?]+[.!?]*", line), None]:
+                if m is not None:
+                    own = [w.translate(low) for w in re.split(r"[\x20\x09-\x0D]+", m.group()) if w]
+                    if own:
+                        held.append((at + m.start() + len(m.group()) - len(m.group().lstrip(strip)), at + m.start() + len(m.group().rstrip(strip)), own))
+                if held and (m is None or sum(len(h[2]) for h in held) >= 4):
+                    own = [w for h in held for w in h[2]]
+                    units.append((i, held[0][0], held[-1][1], len(own), " ".join(own)))
+                    held = []
+            at += len(line) + 1
     for i, a, _, _, key in sorted(units, key=lambda u: (u[0], u[1])):
         first.setdefault(key, (i, a))
     out, run = [], []
