@@ -81,7 +81,7 @@ def repeated_units(docs: DataFrame, bits: int) -> DataFrame:
     return docs.mapInArrow(run, UNITS_DDL)
 
 
-def repeated_spans(docs: DataFrame, min_words: int = 20, filter_bits: int = 1 << 27, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_spans(docs: DataFrame, min_words: int = 30, filter_bits: int = 1 << 27, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Runs of repeats to remove: doc_id, text_key, start, end, n_units, n_words, first_doc_id (of the run's first unit)."""
     docs = id_text(docs, id_col, text_col)
     found = stored(repeated_units(docs, filter_bits), "units")
