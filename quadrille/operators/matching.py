@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quadrille.functions import geo
 from quadrille.operators.resolve import mutual_best
 from quadrille.operators.spatial import near_pairs
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from quadrille.functions import classify, geo, names
-from quadrille.functions.num import cell_value, half_up, leading_number, nearest_rank, per, percent, suppressed_sum
+from quadrille.functions.num import cell_value, half_up, percent, suppressed_sum
 from quadrille.plans import views
 from quadrille.plans.registry import query
 from quadrille.plans.views import WITH
