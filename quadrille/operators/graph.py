@@ -14,9 +14,8 @@ def _print_of(edges: DataFrame) -> tuple:
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
     """(node, comp) of every node with an edge to another one; comp is the component's smallest node.
 
-    Each round is written to the shared folder. Hubs are joined by a sort-merge join that can split
-    skewed keys, and minima are pre-aggregated, so a hub with many neighbours is no single task's work.
-    Loops and edges with a null end are ignored; repeated edges count once."""
+    Each round is written to the shared folder. Minima are pre-aggregated; a hub's edges then meet its minimum
+    in one task, as pairs of ids. Loops and edges with a null end are ignored; repeated edges count once."""
     pairs = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where(F.col("a") != F.col("b"))
     now = stored(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     seen = _print_of(now)
