@@ -87,6 +87,7 @@ def repeated_spans(docs: DataFrame, min_words: int = 30, filter_bits: int = 1 <<
     found = stored(repeated_units(docs, filter_bits), "units")
     place = F.struct("rank", "text_key", "pos")
     first = found.groupBy("digest").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").select("digest", "first")
+    first = stored(first, "first")  # a join of its own can split a very common unit
     again = found.join(first, "digest").where(place != F.col("first"))
     again = again.select("doc_id", "rank", "text_key", "pos", "words", "start", "end", F.col("first.rank").alias("first_rank")).dropDuplicates(["rank", "text_key", "pos"])
     own = Window.partitionBy("rank", "text_key").orderBy("pos")
