@@ -441,6 +441,32 @@ def test_substrings(spark):
     assert substring_dedup.repeated_spans(table(spark, [passages[0], passages[0], None], [None, 4, None])).first()["doc_id"] is None
 
 
+def test_passages_cut_anywhere(spark):
+    from quadrille.llm import substring_dedup
+
+    rng = random.Random(14)
+    say = lambda n: words(rng, n, 90_000).capitalize() + "."
+    passage = " ".join(say(13) for _ in range(8)).split()[5:60]  # begins and ends in mid-sentence
+    edited = passage[:21] + ["otherword"] + passage[22:]
+    bare = words(rng, 55, 90_000).split()  # no sentence mark
+    texts = [t for t in ODD if t is None or len(t) < 5000] + [say(200) + " " + " ".join(passage) + " " + say(30)]
+    texts.append("É " + words(rng, 40, 90_000) + " " + " ".join(bare) + " " + words(rng, 9, 90_000))
+    expected = []
+    for body, n in ((passage, 55), (edited, 54), ([w.upper() for w in bare], 55), (passage, 55), (bare[:30], 30), (bare[:29], 0)):
+        before = "É " + words(rng, rng.randrange(1, 40), 90_000) + " "
+        body = " \n".join(body)
+        if n:
+            expected.append((len(texts), len(before), len(before) + len(body), n))
+        texts.append(before + body + " " + words(rng, 25, 90_000) + ". " + say(4))
+    texts += [None, ""]
+    for bits in (1 << 20, 1 << 10):
+        found = substring_dedup.passage_spans(table(spark, texts), filter_bits=bits)
+        assert by_id(found, "doc_id", "start", "end", "n_words") == expected
+    assert substring_dedup.passage_spans(table(spark, texts).limit(0)).count() == 0
+    rows = substring_dedup.passage_spans(table(spark, [texts[-8], texts[-8], texts[-8]], [None, 4, 4])).collect()
+    assert [(r["doc_id"], r["first_doc_id"]) for r in rows] == [(None, 4)]
+
+
 # ---- licenses ------------------------------------------------------------------------------------
 
 
