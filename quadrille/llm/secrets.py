@@ -1,8 +1,8 @@
 """Secret scans with a recursive decoding worklist.
 
 A text is scanned as it stands. Then every layer put on the worklist is unwrapped: lines with URL or
-Unicode escapes are decoded in place, base64 runs and the compressed streams they carry become layers
-of their own. Each new layer is scanned again and unwrapped again until nothing new appears. A layer
+Unicode escapes are decoded in place, base64 runs become layers of their own, and so do compressed
+streams that they or escaped bytes carry: streams in streams, all members, and what stands behind them. Each new layer is scanned again and unwrapped again until nothing new appears. A layer
 already seen at the same place is not taken up again, so cycles end. Every character of a layer knows
 the span of the original it came from; findings are reported as spans of the original, in code points.
 
@@ -46,6 +46,12 @@ PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|(?:\\x[0-9A-Fa-f]{2})+|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};")
 #: Base64 in one run, or over full lines of equal length as mail and key files have it.
 BASE64 = re.compile(r"(?:[A-Za-z0-9+/]{76}\r?\n|[A-Za-z0-9+/]{64}\r?\n)+[A-Za-z0-9+/]{0,76}={0,2}|[A-Za-z0-9+/_-]{16,}={0,2}")
+#: Compressed bytes spelled with escapes: how the streams begin, and what stands for one byte.
+PERCENT_MAGIC = re.compile(r"%1[fF]%8[bB]|(?:B|%42)(?:Z|%5[aA])(?:h|%68)|(?:x|%78)(?:%01|\^|%5[eE]|%9[cC]|%[dD][aA])|%[fF][dD](?:7|%37)|(?:\(|%28)%[bB]5")
+PERCENT_TOKEN = re.compile(r"%[0-9A-Fa-f]{2}|[!-$&-~]")
+HEX_MAGIC = re.compile(r"\\x1[fF]\\x8[bB]|(?:B|\\x42)(?:Z|\\x5[aA])(?:h|\\x68)|(?:x|\\x78)(?:\\x01|\^|\\x5[eE]|\\x9[cC]|\\x[dD][aA])|\\x[fF][dD](?:7|\\x37)|(?:\(|\\x28)\\x[bB]5")
+HEX_TOKEN = re.compile(r"\\x[0-9A-Fa-f]{2}|\\[!-~]|[\x20-\x5b\x5d-\x7e]")
+PLAIN_ESCAPES = {"n": 10, "r": 13, "t": 9, "0": 0, "a": 7, "b": 8, "f": 12, "v": 11}
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex", pa.int64()), ("base_sha256", pa.string()), ("spans", pa.string()), ("n_layers", pa.int64()), ("n_unopened", pa.int64())])
 DDL = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_layers long, n_unopened long"
 Span = tuple[int, int, str]
@@ -77,33 +83,75 @@ def unescape(found: str) -> str | None:
         return None
 
 
-def unpack(data: bytes, limit: int) -> bytes | None:
-    """The content of a compressed stream, data itself if it is none; None beyond the limit."""
-    opener = {b"\x1f\x8b": lambda: zlib.decompressobj(31), b"BZ": bz2.BZ2Decompressor, b"\xfd7": lzma.LZMADecompressor, b"\x28\xb5": lambda: zstandard.ZstdDecompressor().decompressobj()}.get(data[:2])
+def opener_of(data: bytes):
+    """What opens the compressed stream that data starts with; None if it starts with none."""
     if data[:1] == b"\x78" and len(data) > 2 and (data[0] * 256 + data[1]) % 31 == 0:
-        opener = zlib.decompressobj
-    if opener is None:
-        return data
-    out, stream = [], opener()
-    try:
-        size = 0
-        for i in range(0, len(data), 1024):  # small steps bound what one step can unpack to
-            out.append(stream.decompress(data[i : i + 1024]))
-            size += len(out[-1])
-            if size > limit:
-                return None
-    except (zlib.error, OSError, EOFError, lzma.LZMAError, zstandard.ZstdError, ValueError):
-        return data if not out else b"".join(out)
-    return b"".join(out)
-
-
-def printable(data: bytes) -> str | None:
-    """data as text if it reads like text."""
+        return zlib.decompressobj
+    return {b"\x1f\x8b": lambda: zlib.decompressobj(31), b"BZ": bz2.BZ2Decompressor, b"\xfd7": lzma.LZMADecompressor, b"\x28\xb5": lambda: zstandard.ZstdDecompressor().decompressobj()}.get(data[:2])
+
+
+def bytewise(stream, data: bytes, had: int) -> Iterator[bytes]:
+    """What a damaged stream gives before the damage, without the first ``had`` bytes."""
+    for i in range(len(data)):
+        try:
+            got = stream.decompress(data[i : i + 1])
+        except (zlib.error, OSError, EOFError, lzma.LZMAError, zstandard.ZstdError, ValueError):
+            return
+        yield got[had:]
+        had = max(0, had - len(got))
+
+
+def unpack(data: bytes, limit: int) -> tuple[list[bytes] | None, bytes]:
+    """The contents of the members of the stream that data starts with, and the bytes behind them; None beyond the limit."""
+    members: list[bytes] = []
+    size = 0
+    while (opener := opener_of(data)) is not None:
+        out, stream, rest = [], opener(), b""
+        try:
+            for i in range(0, len(data), 1024):  # small steps bound what one step can unpack to
+                out.append(stream.decompress(data[i : i + 1024]))
+                size += len(out[-1])
+                if size > limit:
+                    return None, b""
+                if stream.eof:
+                    rest = stream.unused_data + data[i + 1024 :]
+                    break
+        except (zlib.error, OSError, EOFError, lzma.LZMAError, zstandard.ZstdError, ValueError):
+            out += bytewise(opener(), data, sum(map(len, out)))
+            if not any(out):
+                break  # no stream after all
+        members.append(b"".join(out))
+        data = rest
+    return members, data
+
+
+def decoded(data: bytes) -> str:
+    """data as text, without a character that its end cuts; empty if it is none."""
     try:
-        text = data.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    return text if text and all(c.isprintable() or c in "\t\n\r" for c in text) else None
+        return data.decode("utf-8")
+    except UnicodeDecodeError as e:
+        return data[: e.start].decode("utf-8") if e.reason == "unexpected end of data" else ""
+
+
+def contents(data: bytes, limit: int) -> Iterator[str | None]:
+    """The texts that data holds, through any number of compressed streams; None for a stream that is not opened.
+    What comes out of a stream and is no UTF-8 is read byte by byte, so text among binary data is found."""
+    seen, work = {data}, [(data, False)]
+    while work:
+        data, packed = work.pop()
+        members, rest = unpack(data, limit)
+        if members is None:
+            yield None
+            continue
+        if not members:
+            if text := decoded(data) or (data.decode("latin-1") if packed else ""):
+                yield text
+            continue
+        # Members of one stream are one content; each is also taken alone, as one may be binary or packed again.
+        for part in [b"".join(members), *(members if len(members) > 1 else []), rest]:
+            if part and part not in seen:
+                seen.add(part)
+                work.append((part, True))
 
 
 class Layer:
@@ -158,8 +206,50 @@ def lines_with(text: str, pattern: re.Pattern) -> Iterator[tuple[int, int]]:
             yield start, done
 
 
+def spelled(text: str, start: int, token: re.Pattern, plus: int) -> tuple[bytes, list[int]]:
+    """The bytes that the escapes and characters from ``start`` on stand for, and where each one ends."""
+    out, ends, at = bytearray(), [], start
+    while m := token.match(text, at):
+        at, found = m.end(), m.group()
+        if len(found) == 1:
+            out.append(plus if found == "+" else ord(found))
+        elif found[0] == "%":
+            out.append(int(found[1:], 16))
+        elif len(found) == 4:
+            out.append(int(found[2:], 16))
+        else:
+            out.append(PLAIN_ESCAPES.get(found[1], ord(found[1])))
+        ends.append(at)
+    return bytes(out), ends
+
+
+def spelled_streams(layer: Layer, limit: int) -> Iterator[Layer | None]:
+    """The contents of compressed streams whose bytes are spelled with URL or \\x escapes and plain characters."""
+    for sign, magic, token, pluses in (("%", PERCENT_MAGIC, PERCENT_TOKEN, b"+ "), ("\\x", HEX_MAGIC, HEX_TOKEN, b"+")):  # forms write a blank as +
+        done = 0
+        for m in magic.finditer(layer.text) if sign in layer.text else ():
+            if m.start() < done:
+                continue
+            for plus in pluses:
+                form, ends = spelled(layer.text, m.start(), token, plus)
+                members, rest = unpack(form, limit)
+                if members is None:
+                    yield None
+                    break
+                if any(members):
+                    done = ends[len(form) - len(rest) - 1]
+                    a, b = layer.origin(m.start(), done)
+                    yield from whole_at(contents(form[: len(form) - len(rest)], limit), a, b)
+
+
+def whole_at(texts: Iterator[str | None], a: int, b: int) -> Iterator[Layer | None]:
+    for text in texts:
+        yield text if text is None else Layer(text, np.full(len(text), a), np.full(len(text), b), np.ones(len(text), bool))
+
+
 def inner_layers(layer: Layer, limit: int) -> Iterator[Layer | None]:
     """The layers one step further in; None for one that is not opened."""
+    yield from spelled_streams(layer, limit)
     for pattern, decode in ((PERCENT, percent), (ESCAPE, unescape)):
         for start, end in lines_with(layer.text, pattern):
             if (new := replaced(layer.part(start, end), pattern, decode)) is not None:
@@ -172,12 +262,7 @@ def inner_layers(layer: Layer, limit: int) -> Iterator[Layer | None]:
             data = base64.b64decode(run + "=" * (-len(run) % 4), validate=True)
         except (binascii.Error, ValueError):
             continue
-        content = unpack(data, limit)
-        if content is None:
-            yield None
-        elif (text := printable(content)) is not None:
-            a, b = layer.origin(*m.span())
-            yield Layer(text, np.full(len(text), a), np.full(len(text), b), np.ones(len(text), bool))
+        yield from whole_at(contents(data, limit), *layer.origin(*m.span()))
 
 
 def unwrap(text: str, limit: int) -> tuple[set[Span], int, int]:

@@ -77,6 +77,30 @@ def test_secrets_bound_and_cycles(spark):
     assert secrets.unwrap("%25%32%35%2541", 1 << 20)[1] >= 2  # nested, and it ends
 
 
+def test_secrets_to_the_fixpoint(spark):
+    import bz2
+    import lzma
+    from urllib.parse import quote, quote_plus
+
+    plain = "secret='zzzzzzzzz'".encode()
+    b64 = lambda data: base64.b64encode(data).decode()
+    noise = random.Random(15).randbytes(300)
+    packed = gzip.compress(plain + noise)
+    texts = [
+        b64(gzip.compress(gzip.compress(plain))), b64(bz2.compress(zlib.compress(lzma.compress(plain)))),
+        b64(gzip.compress(b"first ") + gzip.compress(plain)), b64(bz2.compress(b"first ") + bz2.compress(plain)), b64(gzip.compress(plain[:12]) + gzip.compress(plain[12:])),
+        b64(gzip.compress(noise) + bz2.compress(gzip.compress(plain))), b64(gzip.compress(b"first ") + plain), b64(packed), b64(packed[:200]), b64(packed[:200] + bytes(200)), b64(gzip.compress(plain)[:-8] + bytes(8)),
+        *(b64(c.encode() + b" " + plain) for c in "\u00a0\u3000\u200b\ufeff\x0c\x00"),
+        quote(packed), quote_plus(packed), "".join(f"%{c:02x}" for c in packed), repr(packed)[2:-1], "".join(f"\\x{c:02X}" for c in packed), quote(zlib.compress(plain)), repr(bz2.compress(plain))[2:-1],
+    ]
+    before = "É see "
+    found = dict(by_id(secrets.find_secrets(table(spark, [before + t + " end" for t in texts])), "doc_id", "spans"))
+    for i, text in enumerate(texts):
+        assert found[i], (i, text)
+        a, b = map(int, found[i].split(",")[0].split(":")[1:])
+        assert a == len(before) and len(before) + len(text) - 3 <= b <= len(before) + len(text), (i, text, found[i])
+
+
 # ---- quality model and rules ---------------------------------------------------------------------
 
 
