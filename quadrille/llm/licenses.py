@@ -30,7 +30,7 @@ TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0-header": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
     "MIT": "Released under the MIT License.",
-    "MIT-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.",
+    "MIT-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
     "BSD-conditions": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
@@ -38,11 +38,29 @@ TEMPLATES = {
     "CC-BY-4.0": "Licensed under CC BY 4.0.",
     "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
+    "BSD-disclaimer": "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    "GPL-2.0": "This work is licensed under the GNU General Public License, version 2.",
+    "LGPL-2.1": "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+    "LGPL-3.0": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "AGPL-3.0": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "GPL-2.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+    "LGPL-2.1-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 2.1 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+    "LGPL-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+    "AGPL-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "CC0-1.0": "Licensed under CC0 1.0.",
+    "CC-BY-ND-4.0": "Licensed under CC BY-ND 4.0.",
+    "CC-BY-NC-SA-4.0": "Licensed under CC BY-NC-SA 4.0.",
+    "CC-BY-NC-ND-4.0": "Licensed under CC BY-NC-ND 4.0.",
     "reserved": "All rights reserved.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
 #: Keeps ASCII letters, digits and all bytes above ASCII, in lower case.
 FOLD = bytes((b + 32 if 65 <= b <= 90 else b) if 48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
+#: Words that tell licenses of one family apart: those of a template must align, and none but those may stand there.
+VERSION = re.compile(rb"[0-9]+")
+GNU = {b"lesser", b"affero", b"library"}
+CC = {b"nc", b"nd", b"sa"}
 WORD = re.compile(rb"[^ ]+")
 FOUND = pa.list_(pa.struct([("license", pa.string()), ("coverage", pa.float64()), ("start", pa.int64()), ("end", pa.int64())]))
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("found", FOUND)])
@@ -103,41 +121,68 @@ def densest(pairs: list[tuple[int, int]], need: int, room: int) -> list[tuple[in
     return pairs[low : low + n] if n >= need else None
 
 
-def find_in(text: bytes, templates: list[tuple[str, list[bytes], Counter, set[bytes]]], least: float, slack: float) -> list[dict]:
-    """Licenses of one text. An occurrence is looked for around every place of the template's rarest words, so a
-    common word elsewhere in the text does not hide it."""
+def named(words: list[bytes], pairs: list[tuple[int, int]], template: list[bytes]) -> bool:
+    """Whether the aligned words hold every naming word of the template, and the stretch no other one."""
+    held, at = {template[j] for _, j in pairs}, {i for i, _ in pairs}
+    if any((VERSION.fullmatch(w) or w in GNU and b"gnu" in template or w in CC and b"cc" in template) and w not in held for w in template):
+        return False
+    last = pairs[-1][0] + 1
+    inner = [i for i in range(pairs[0][0], last) if i not in at]
+    return not any(words[i] in GNU and words[i - 1] == b"gnu" or b"cc" in template and words[i] in CC for i in inner)
+
+
+def best_in(words: list[bytes], template: list[bytes], own: set[bytes], least: float, slack: float, all_places: bool) -> list[tuple[int, int]] | None:
+    """The best occurrence of a template: its aligned pairs. It is looked for around every place of the template's
+    rarest words, so a common word elsewhere in the text does not hide it."""
+    need = int(np.ceil(least * len(template)))
+    shared = own.intersection(words)
+    if sum(template.count(w) for w in shared) < need:
+        return None
+    room = int(len(template) * slack) + 1
+    # An occurrence has at least `distinct` different words, so one of these rarest ones is among them.
+    distinct = need - (len(template) - len(own))
+    counts = Counter(w for w in words if w in shared)
+    rarest = set(sorted(shared, key=lambda w: (counts[w], w))[: max(1, len(shared) - distinct + 1)])
+    best, rank = None, (0, 0)
+    for place, word in enumerate(words):
+        if word not in rarest:
+            continue
+        for j in (j for j, w in enumerate(template) if w == word):
+            low, high = max(0, place - int(j * slack) - 1), place + int((len(template) - j) * slack) + 1
+            pairs = densest(aligned(words[low:high], template), need, room)
+            if pairs and named(words[low:high], pairs, template):
+                here = len(pairs), -(pairs[-1][0] - pairs[0][0]) if all_places else 0
+                if best is None or here > rank:
+                    best, rank = [(low + i, j) for i, j in pairs], here
+        if best and len(best) == len(template) and not all_places:
+            break
+    return best
+
+
+def find_in(text: bytes, templates: list[tuple[str, list[bytes], Counter, set[bytes]]], least: float, slack: float, every: bool = False) -> list[dict]:
+    """Licenses of one text. every: all occurrences of a license that do not overlap, else its best one."""
     words = text.translate(FOLD).split()
     have, found, spans = set(words), [], None
     for name, template, _, own in templates:
-        need = int(np.ceil(least * len(template)))
-        shared = own & have
-        if sum(template.count(w) for w in shared) < need:
+        if sum(template.count(w) for w in own & have) < int(np.ceil(least * len(template))):
             continue
-        room = int(len(template) * slack) + 1
-        # An occurrence has at least `distinct` different words, so one of these rarest ones is among them.
-        distinct = need - (len(template) - len(own))
-        counts = Counter(w for w in words if w in shared)
-        rarest = set(sorted(shared, key=lambda w: (counts[w], w))[: max(1, len(shared) - distinct + 1)])
-        best = None
-        for place, word in enumerate(words):
-            if word not in rarest:
+        stretches = [(0, len(words))]
+        while stretches:
+            low, high = stretches.pop()
+            pairs = best_in(words[low:high], template, own, least, slack, every)
+            if not pairs:
                 continue
-            for j in (j for j, w in enumerate(template) if w == word):
-                low, high = max(0, place - int(j * slack) - 1), place + int((len(template) - j) * slack) + 1
-                pairs = densest(aligned(words[low:high], template), need, room)
-                if pairs and (best is None or len(pairs) > len(best[1])):
-                    best = low, pairs
-            if best and len(best[1]) == len(template):
-                break
-        if best:
             if spans is None:
                 spans = [m.span() for m in WORD.finditer(text.translate(FOLD))]
                 points = np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)
-            first, last = spans[best[0] + best[1][0][0]], spans[best[0] + best[1][-1][0]]
-            found.append({"license": name, "n": len(best[1]), "coverage": round(len(best[1]) / len(template), 6), "start": int(points[first[0] - 1]) if first[0] else 0, "end": int(points[last[1] - 1])})
+            a, b = low + pairs[0][0], low + pairs[-1][0]
+            if every:
+                stretches += [(low, a), (b + 1, high)]
+            first, last = spans[a], spans[b]
+            found.append({"license": name, "n": len(pairs), "coverage": round(len(pairs) / len(template), 6), "start": int(points[first[0] - 1]) if first[0] else 0, "end": int(points[last[1] - 1])})
     inside = lambda x, y: y["start"] <= x["start"] and x["end"] <= y["end"] and y["n"] > x["n"]
     kept = [x for x in found if not any(inside(x, y) for y in found)]  # a longer notice holds the words of a shorter one
-    return [{k: x[k] for k in ("license", "coverage", "start", "end")} for x in sorted(kept, key=lambda x: (-x["coverage"], x["license"]))]
+    return [{k: x[k] for k in ("license", "coverage", "start", "end")} for x in sorted(kept, key=lambda x: (-x["coverage"], x["license"], x["start"]))]
 
 
 def prepared(templates: dict[str, str]) -> list[tuple[str, list[bytes], Counter, set[bytes]]]:
@@ -145,21 +190,22 @@ def prepared(templates: dict[str, str]) -> list[tuple[str, list[bytes], Counter,
     return [(name, words, Counter(words), set(words)) for name, words in split.items() if words]
 
 
-def find_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least: float = 0.9, slack: float = 1.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least: float = 0.9, slack: float = 1.5, every: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document row: doc_id, found (license, coverage, code-point span of the best occurrence), best first.
 
-    least: share of a template's words; slack: how many text words, by the template's, they may lie in."""
+    least: share of a template's words; slack: how many text words, by the template's, they may lie in;
+    every: all occurrences of each license that do not overlap, not only its best."""
     sent = docs.sparkSession.sparkContext.broadcast(dict(templates))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ready = prepared(sent.value)
         for batch in slices(batches, "text"):
-            yield rows(SCHEMA, batch.column("doc_id"), [find_in(text, ready, least, slack) for text in blobs(batch, "text")])
+            yield rows(SCHEMA, batch.column("doc_id"), [find_in(text, ready, least, slack, every) for text in blobs(batch, "text")])
 
     return id_text(docs, id_col, text_col).mapInArrow(run, DDL)
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = find_licenses(read_table(spark, sf_dir, "documents"))
+    found = find_licenses(read_table(spark, sf_dir, "documents"), every=True)
     best = F.get("found", F.lit(0))
-    return found.select("doc_id", best["license"].alias("license"), best["coverage"].alias("coverage"), best["start"].alias("start"), best["end"].alias("end"), F.array_join(F.transform("found", lambda x: x["license"]), ",").alias("licenses"))
+    return found.select("doc_id", best["license"].alias("license"), best["coverage"].alias("coverage"), best["start"].alias("start"), best["end"].alias("end"), F.array_join(F.array_distinct(F.transform("found", lambda x: x["license"])), ",").alias("licenses"), F.array_join(F.transform("found", lambda x: F.concat_ws(":", x["license"], x["start"], x["end"])), ",").alias("spans"))

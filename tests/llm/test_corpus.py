@@ -527,3 +527,20 @@ def test_licenses(spark):
         else:
             assert found[i] == []
     assert find_licenses(table(spark, texts).limit(0)).count() == 0
+
+
+def test_licenses_by_their_names(spark):
+    from quadrille.llm.licenses import TEMPLATES, find_licenses
+
+    gnu = "This work is licensed under the GNU {}General Public License, version {}."
+    rest = "This work is licensed under the GNU General Public License, version 4."
+    cases = {gnu.format("Lesser ", "3"): ["LGPL-3.0"], gnu.format("Affero ", "3"): ["AGPL-3.0"], gnu.format("", "2"): ["GPL-2.0"], gnu.format("", "3"): ["GPL-3.0"], gnu.format("Library ", "3"): [], rest: []}
+    cases |= {"Licensed under CC BY-NC-ND 4.0.": ["CC-BY-NC-ND-4.0"], "Licensed under CC BY 4.0.": ["CC-BY-4.0"], TEMPLATES["MIT-text"]: ["MIT-text"]}
+    assert [[x["license"] for x in found] for _, found in by_id(find_licenses(table(spark, list(cases))), "doc_id", "found")] == list(cases.values())
+    rng = random.Random(16)
+    for name in ("MIT", "GPL-3.0", "MIT-text"):
+        gaps = [words(rng, n, 3000) for n in (0, 4, 60, 2)]
+        text = " ".join(f"{g} {TEMPLATES[name]}".strip() for g in gaps)
+        starts = [m.start() for m in re.finditer(re.escape(TEMPLATES[name]), text)]
+        found = find_licenses(table(spark, [text]), every=True).first()["found"]
+        assert [(x["license"], x["start"]) for x in found] == [(name, a) for a in starts]
