@@ -7,9 +7,12 @@ the cell of the lower corner of what the boxes have in common, so no distinct is
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quadrille.functions import geo
+from quadrille.storage import stored
 
 
 def box_pairs(a: DataFrame, b: DataFrame, a_box: str, b_box: str, size: float, pad: float = 0.0) -> DataFrame:
@@ -85,20 +88,28 @@ def knn(points: DataFrame, targets: DataFrame, point_id: str, target_id: str, k:
     """The ``k`` nearest targets of every point: point_id, target_id, dist, rank.
 
     Points whose k-th neighbour is not within the radius are searched again with twice the radius, so
-    sparse places cost more rounds and dense ones none. Points with fewer than k targets within the last
-    radius keep those they have."""
+    sparse places cost more rounds and dense ones none. The last round's radius spans the box of both sides, so it
+    meets every target; only where fewer than k targets exist do points keep those they have."""
     from pyspark.sql import Window
 
-    left, out = points, None
+    left, out, widest = points, None, None
     for i in range(rounds):
+        if i == min(1, rounds - 1):
+            box = points.select("x", "z").unionByName(targets.select(F.col("tx").alias("x"), F.col("tz").alias("z"))).agg(*(f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("x", "z"))).first()
+            widest = 0.0 if None in box else 1.001 * math.hypot(box["max_x"] - box["min_x"], box["max_z"] - box["min_z"])
+        if i == rounds - 1 and widest is not None:
+            radius = max(radius, widest)
+        last = i == rounds - 1 or widest is not None and radius >= widest
         pairs = near_pairs(left, targets, "x", "z", "tx", "tz", radius)
         w = Window.partitionBy(point_id).orderBy("dist", target_id)
         found = pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(point_id, target_id, "dist", "rank")
         full = found.where(F.col("rank") == k).select(point_id)
-        done = found.join(full, point_id, "left_semi") if i < rounds - 1 else found
+        done = found.join(full, point_id, "left_semi") if not last else found
         out = done if out is None else out.unionByName(done)
-        left = left.join(full, point_id, "left_anti")
-        if i < rounds - 1 and left.isEmpty():
+        if last:
+            break
+        left = stored(left.join(full, point_id, "left_anti"), "left")  # a round's plan does not hold those before it
+        if left.isEmpty():
             break
         radius *= 2
     return out
