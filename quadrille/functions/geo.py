@@ -139,6 +139,46 @@ def in_polygon(x: Column, z: Column, outer: Column, holes: Column) -> Column:
     return in_ring(x, z, outer) & ~F.exists(F.coalesce(holes, F.array()), lambda h: in_ring(x, z, h))
 
 
+def to_segment(x: Column, z: Column, e: Column) -> Column:
+    """Distance from a point to the segment from e.p to e.q."""
+    dx, dz = e["q"]["x"] - e["p"]["x"], e["q"]["z"] - e["p"]["z"]
+    t = F.coalesce(F.try_divide((x - e["p"]["x"]) * dx + (z - e["p"]["z"]) * dz, dx * dx + dz * dz), F.lit(0.0))
+    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), t))
+    return F.hypot(x - (e["p"]["x"] + t * dx), z - (e["p"]["z"] + t * dz))
+
+
+def to_ring(x: Column, z: Column, ring: Column) -> Column:
+    """Distance from a point to a ring's edge, from within and from without."""
+    return F.array_min(F.transform(edges(ring), lambda e: to_segment(x, z, e)))
+
+
+def to_polygon_edge(x: Column, z: Column, outer: Column, holes: Column) -> Column:
+    """Distance from a point to the nearest edge of an outline or of its holes."""
+    return F.array_min(F.transform(F.concat(F.array(outer), F.coalesce(holes, F.array())), lambda r: to_ring(x, z, r)))
+
+
+def to_polygon(x: Column, z: Column, outer: Column, holes: Column) -> Column:
+    """Distance from a point to a polygon; 0 inside, and within a hole the distance to its edge."""
+    return F.when(in_polygon(x, z, outer, holes), 0.0).otherwise(to_polygon_edge(x, z, outer, holes))
+
+
+def rings_apart(a: Column, b: Column) -> Column:
+    """Least distance of two rings; 0 where they overlap. Corners against edges, both ways, which is exact for rings
+    whose edges do not cross; crossing edges give 0."""
+    one = lambda p, q: F.array_min(F.transform(p, lambda c: to_ring(c["x"], c["z"], q)))
+    side = lambda o, p, q: (p["x"] - o["x"]) * (q["z"] - o["z"]) - (p["z"] - o["z"]) * (q["x"] - o["x"])
+    meet = lambda e, f: (side(e["p"], e["q"], f["p"]) * side(e["p"], e["q"], f["q"]) < 0) & (side(f["p"], f["q"], e["p"]) * side(f["p"], f["q"], e["q"]) < 0)
+    inside = in_ring(a[0]["x"], a[0]["z"], b) | in_ring(b[0]["x"], b[0]["z"], a)
+    crossing = F.exists(edges(a), lambda e: F.exists(edges(b), lambda f: meet(e, f)))
+    return F.when(inside | crossing, 0.0).otherwise(F.least(one(a, b), one(b, a)))
+
+
+def hausdorff(a: Column, b: Column) -> Column:
+    """The farthest that a corner of one ring is from the other ring's edge, both ways."""
+    one = lambda p, q: F.array_max(F.transform(p, lambda c: to_ring(c["x"], c["z"], q)))
+    return F.greatest(one(a, b), one(b, a))
+
+
 def orientation(ring: Column) -> Column:
     """Direction of the principal axis of the points, in degrees from 0 to 180."""
     c, n = centroid(ring), F.size(ring)

@@ -21,11 +21,12 @@ def line_cells(lines: DataFrame, size: float, points: str = "points") -> DataFra
     return samples.groupBy(geo.cell(at("x"), size).alias("cx"), geo.cell(at("z"), size).alias("cz")).agg(F.sum(F.col("d") / F.col("steps")).alias("length"))
 
 
-def ring_cells(shapes: DataFrame, size: float, ring: str = "ring") -> DataFrame:
-    """(cx, cz) of the cells whose centre lies in a ring."""
-    cells = shapes.select(F.col(ring).alias("_r"), F.explode(geo.cells_of_box(geo.bbox(F.col(ring)), size)).alias("_c"))
+def ring_cells(shapes: DataFrame, size: float, ring: str = "ring", keep: list[str] | None = None) -> DataFrame:
+    """(cx, cz, kept columns) of the cells whose centre lies in a ring."""
+    keep = keep or []
+    cells = shapes.select(*keep, F.col(ring).alias("_r"), F.explode(geo.cells_of_box(geo.bbox(F.col(ring)), size)).alias("_c"))
     centre = lambda k: (F.col(f"_c.{k}") + 0.5) * size
-    return cells.where(geo.in_ring(centre("cx"), centre("cz"), F.col("_r"))).select("_c.cx", "_c.cz").distinct()
+    return cells.where(geo.in_ring(centre("cx"), centre("cz"), F.col("_r"))).select("_c.cx", "_c.cz", *keep).distinct()
 
 
 def box_cells(boxes: DataFrame, size: float, box: str = "box") -> DataFrame:

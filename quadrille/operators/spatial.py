@@ -63,7 +63,7 @@ def classify_points(points: DataFrame, areas: DataFrame, size: float, point_id:
     parts = polygons(areas, key)
     base = points.select(point_id, "x", "z")
     direct = hits(base, parts, size, key).select(point_id, key).distinct().groupBy(point_id).agg(F.count("*").alias("n_hits"), F.min(key).alias("_one"))
-    first = base.join(direct, point_id, "left").withColumn("n_hits", F.coalesce("n_hits", F.lit(0)))
+    first = stored(base.join(direct, point_id, "left").withColumn("n_hits", F.coalesce("n_hits", F.lit(0))), "hits")  # used by the votes and by the result
     open_ = first.where("n_hits <> 1").select(point_id, "x", "z")
     moves = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(dx).alias("dx"), F.lit(dz).alias("dz")) for i, (dx, dz) in enumerate(((nudge, 0.0), (-nudge, 0.0), (0.0, nudge), (0.0, -nudge)))))
     asked = open_.withColumn("_m", F.explode(moves)).select(point_id, F.col("_m.i").alias("_i"), (F.col("x") + F.col("_m.dx")).alias("x"), (F.col("z") + F.col("_m.dz")).alias("z"))
@@ -84,6 +84,24 @@ def nearest(points: DataFrame, targets: DataFrame, point_id: str, target_id: str
     return best.select(point_id, f"_b.{target_id}", "_b.dist")
 
 
+def nearest_edge(points: DataFrame, parts: DataFrame, radius: float, point_id: str, key: str = "ward_id") -> DataFrame:
+    """The area whose edge (outline or hole) is nearest to each point within ``radius``, smaller key on a tie: point_id,
+    key, dist. A polygon meets the points of its grown box's cells; a point farther from the box than ``radius`` is
+    left out before the edges are looked at."""
+    at = points.select(point_id, "x", "z", F.struct(F.col("x").alias("x0"), F.col("z").alias("z0"), F.col("x").alias("x1"), F.col("z").alias("z1")).alias("_at"))
+    pairs = box_pairs(parts.select(key, "outer", "holes", "box"), at, "box", "_at", radius, pad=radius)
+    near = pairs.select(point_id, key, geo.to_polygon_edge(F.col("x"), F.col("z"), F.col("outer"), F.col("holes")).alias("dist")).where(F.col("dist") <= radius)
+    best = near.groupBy(point_id).agg(F.min_by(F.struct(key, "dist"), F.struct("dist", key)).alias("_b"))
+    return best.select(point_id, f"_b.{key}", "_b.dist")
+
+
+def areas_near(points: DataFrame, parts: DataFrame, radius: float, point_id: str, size: float, key: str = "ward_id") -> DataFrame:
+    """Pairs of points and the areas they are in or within ``radius`` of."""
+    at = points.select(point_id, "x", "z", F.struct(F.col("x").alias("x0"), F.col("z").alias("z0"), F.col("x").alias("x1"), F.col("z").alias("z1")).alias("_at"))
+    pairs = box_pairs(parts.select(key, "outer", "holes", "box"), at, "box", "_at", size, pad=radius)
+    return pairs.where(geo.to_polygon(F.col("x"), F.col("z"), F.col("outer"), F.col("holes")) <= radius).select(point_id, key).distinct()
+
+
 def knn(points: DataFrame, targets: DataFrame, point_id: str, target_id: str, k: int, radius: float, rounds: int = 12) -> DataFrame:
     """The ``k`` nearest targets of every point: point_id, target_id, dist, rank.
 

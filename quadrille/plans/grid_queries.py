@@ -10,20 +10,31 @@ from quadrille.operators import grid, spatial
 from quadrille.plans import views
 from quadrille.plans.registry import query
 from quadrille.plans.views import WITH, in_ward
+from quadrille.storage import read_table
 
 SIZE = 500.0
 
+
+def to_edge(x0: str, z0: str, x1: str, z1: str) -> str:
+    """SQL of the distance from p to the edge of a rectangle, from within and from without."""
+    within = f"p.x >= {x0} AND p.x <= {x1} AND p.z >= {z0} AND p.z <= {z1}"
+    return f"CASE WHEN {within} THEN least(p.x - ({x0}), {x1} - p.x, p.z - ({z0}), {z1} - p.z) ELSE sqrt(greatest(0, {x0} - p.x, p.x - ({x1})) ^ 2 + greatest(0, {z0} - p.z, p.z - ({z1})) ^ 2) END"
+
+
+
 #: Segments and samples of the lines; land cells with their first ward; large rectangles as parks.
 GRID = WITH + f""", seg AS (SELECT * FROM (SELECT line_id, x AS bx, z AS bz, lag(x) OVER w AS ax, lag(z) OVER w AS az FROM line_points WINDOW w AS (PARTITION BY line_id ORDER BY pos)) WHERE ax IS NOT NULL),
 step AS (SELECT *, sqrt((bx - ax) ^ 2 + (bz - az) ^ 2) AS d, CAST(greatest(1, ceil(sqrt((bx - ax) ^ 2 + (bz - az) ^ 2) / 250)) AS BIGINT) AS steps FROM seg),
 sample AS (SELECT line_id, d / steps AS part, ax + (bx - ax) * (i / steps) AS x, az + (bz - az) * (i / steps) AS z FROM (SELECT *, unnest(range(0, steps + 1)) AS i FROM step)),
 linecell AS (SELECT line_id, CAST(floor(x / 500) AS BIGINT) AS cx, CAST(floor(z / 500) AS BIGINT) AS cz, sum(part) AS length FROM sample GROUP BY 1, 2, 3),
 landcell AS (SELECT cx, cz, min(w.ward_id) AS ward_id FROM (SELECT unnest(range(-26, 25)) AS cx), (SELECT unnest(range(-21, 21)) AS cz), ward_parts w WHERE {in_ward("(cx + 0.5) * 500", "(cz + 0.5) * 500")} GROUP BY 1, 2),
-park AS (SELECT rect_id, x0, z0, x0 + w * 60 AS x1, z0 + h * 60 AS z1 FROM rects WHERE rect_id % 60 = 0),
+park AS (SELECT s_suppkey AS park_id, s_nationkey AS kind, x0, z0, x0 + (5 + s_suppkey % 20) * 60 AS x1, z0 + (5 + (s_suppkey * 7) % 20) * 60 AS z1 FROM (
+  SELECT *, CAST((s_suppkey * 7919) % 24001 - 12000 AS DOUBLE) AS x0, CAST((s_suppkey * 104729) % 20001 - 10000 AS DOUBLE) AS z0 FROM supplier)),
 parkcell AS (SELECT DISTINCT cx, cz FROM landcell, park p WHERE (cx + 0.5) * 500 >= p.x0 AND (cx + 0.5) * 500 < p.x1 AND (cz + 0.5) * 500 >= p.z0 AND (cz + 0.5) * 500 < p.z1),
-built AS (SELECT CAST(floor((x0 + w / 2) / 500) AS BIGINT) AS cx, CAST(floor((z0 + h / 2) / 500) AS BIGINT) AS cz, count(*) AS n, sum(area) AS area FROM rects WHERE rect_id % 3 = 0 GROUP BY 1, 2),
-touched AS (SELECT DISTINCT CAST(floor(x0 / 500) + i AS BIGINT) AS cx, CAST(floor(z0 / 500) + j AS BIGINT) AS cz FROM rects, (VALUES (0), (1)) a(i), (VALUES (0), (1)) b(j) WHERE rect_id % 3 = 0 AND floor(x0 / 500) + i <= floor(x1 / 500) AND floor(z0 / 500) + j <= floor(z1 / 500)),
-road AS (SELECT cx, cz, sum(length) AS length FROM linecell GROUP BY 1, 2), rail AS (SELECT cx, cz, sum(length) AS length FROM linecell WHERE line_id % 10 = 0 GROUP BY 1, 2),
+built AS (SELECT CAST(floor((x0 + w / 2) / 500) AS BIGINT) AS cx, CAST(floor((z0 + h / 2) / 500) AS BIGINT) AS cz, count(*) AS n, sum(area) AS area FROM rects GROUP BY 1, 2),
+touched AS (SELECT DISTINCT CAST(floor(x0 / 500) + i AS BIGINT) AS cx, CAST(floor(z0 / 500) + j AS BIGINT) AS cz FROM rects, (VALUES (0), (1)) a(i), (VALUES (0), (1)) b(j) WHERE floor(x0 / 500) + i <= floor(x1 / 500) AND floor(z0 / 500) + j <= floor(z1 / 500)),
+road AS (SELECT cx, cz, sum(length) AS length FROM linecell GROUP BY 1, 2), railstep AS (SELECT x0 AS ax, z0 AS az, sqrt(1500 ^ 2 + 900 ^ 2) AS d, CAST(ceil(sqrt(1500 ^ 2 + 900 ^ 2) / 250) AS BIGINT) AS steps FROM park),
+rail AS (SELECT CAST(floor((ax + 1500 * (i / steps)) / 500) AS BIGINT) AS cx, CAST(floor((az + 900 * (i / steps)) / 500) AS BIGINT) AS cz, sum(d / steps) AS length FROM (SELECT *, unnest(range(0, steps + 1)) AS i FROM railstep) GROUP BY 1, 2),
 cov AS (
   SELECT l.cx, l.cz, l.ward_id, coalesce(b.n, 0) AS n, coalesce(b.area, 0) AS area, b.n IS NOT NULL OR t.cx IS NOT NULL AS covered, coalesce(r.length, 0) AS road, coalesce(ra.length, 0) AS rail, p.cx IS NOT NULL AS in_park
   FROM landcell l LEFT JOIN built b ON l.cx = b.cx AND l.cz = b.cz LEFT JOIN touched t ON l.cx = t.cx AND l.cz = t.cz LEFT JOIN road r ON l.cx = r.cx AND l.cz = r.cz LEFT JOIN rail ra ON l.cx = ra.cx AND l.cz = ra.cz LEFT JOIN parkcell p ON l.cx = p.cx AND l.cz = p.cz),
@@ -36,14 +47,21 @@ def _parts(spark, sf):
 
 
 def _buildings(spark, sf):
-    r = views.rects(spark, sf).where("rect_id % 3 = 0")
+    r = views.rects(spark, sf)
     return r.select((F.col("x0") + F.col("w") / 2).alias("x"), (F.col("z0") + F.col("h") / 2).alias("z"), "area", "box")
 
 
+def _parks(spark, sf) -> DataFrame:
+    """One large rectangle, and one railway line from its corner, a supplier."""
+    k, s = F.col("s_suppkey"), read_table(spark, sf, "supplier")
+    x, z = views.ix(k), views.iz(k)
+    ring = geo.rectangle(x, z, x + (5 + k % 20) * 60, z + (5 + (k * 7) % 20) * 60)
+    return s.select(k.alias("park_id"), F.col("s_nationkey").cast("long").alias("kind"), ring.alias("ring"), F.array(geo.point(x, z), geo.point(x + 1500, z + 900)).alias("points"))
+
+
 def _coverage(spark, sf) -> DataFrame:
-    lines, r = views.lines(spark, sf), views.rects(spark, sf).where("rect_id % 60 = 0")
-    parks = r.select(geo.rectangle(F.col("x0"), F.col("z0"), F.col("x0") + F.col("w") * 60, F.col("z0") + F.col("h") * 60).alias("ring"))
-    return grid.coverage(_parts(spark, sf), _buildings(spark, sf), lines, lines.where("line_id % 10 = 0"), lines.limit(0), parks, size=SIZE)
+    lines, parks = views.lines(spark, sf), _parks(spark, sf)
+    return grid.coverage(_parts(spark, sf), _buildings(spark, sf), lines, parks.select("points"), parks.select("points").limit(0), parks.select("ring"), size=SIZE)
 
 
 @query("q_5_08_line_cells", GRID + "SELECT cx, cz, floor(length * 1000 + 0.5) / 1000 AS length FROM road")
@@ -52,16 +70,10 @@ def line_cells(spark, sf):
 
 
 @query("q_5_09_area_cells", GRID + """
-SELECT DISTINCT p.rect_id % 7 AS kind, CAST(c.cx AS BIGINT) AS cx, CAST(c.cz AS BIGINT) AS cz FROM park p, (SELECT unnest(range(-60, 60)) AS cx) cc, (SELECT unnest(range(-60, 60)) AS cz) dd, LATERAL (SELECT cc.cx AS cx, dd.cz AS cz) c
-WHERE (c.cx + 0.5) * 500 >= p.x0 AND (c.cx + 0.5) * 500 < p.x1 AND (c.cz + 0.5) * 500 >= p.z0 AND (c.cz + 0.5) * 500 < p.z1""")
+SELECT DISTINCT CAST(p.kind AS BIGINT) AS kind, CAST(cx AS BIGINT) AS cx, CAST(cz AS BIGINT) AS cz FROM park p, (SELECT unnest(range(-60, 60)) AS cx), (SELECT unnest(range(-60, 60)) AS cz)
+WHERE (cx + 0.5) * 500 >= p.x0 AND (cx + 0.5) * 500 < p.x1 AND (cz + 0.5) * 500 >= p.z0 AND (cz + 0.5) * 500 < p.z1""")
 def area_cells(spark, sf):
-    r = views.rects(spark, sf).where("rect_id % 60 = 0")
-    out = None
-    for kind in range(7):
-        shapes = r.where(F.col("rect_id") % 7 == kind).select(geo.rectangle(F.col("x0"), F.col("z0"), F.col("x0") + F.col("w") * 60, F.col("z0") + F.col("h") * 60).alias("ring"))
-        cells = grid.ring_cells(shapes, SIZE).select(F.lit(kind).cast("long").alias("kind"), "cx", "cz")
-        out = cells if out is None else out.unionByName(cells)
-    return out
+    return grid.ring_cells(_parks(spark, sf), SIZE, keep=["kind"]).select("kind", "cx", "cz")
 
 
 @query("q_5_10_coverage_cells", GRID + "SELECT cx, cz, ward_id, n, area, covered, in_park, gap FROM gaps")
@@ -85,15 +97,13 @@ def anomaly_cells(spark, sf):
     return c.withColumn("kind", kind).where("kind is not null").select("cx", "cz", "ward_id", "kind")
 
 
-@query("q_5_12_road_density", GRID + """, raw AS (SELECT DISTINCT floor(x / 800 + 0.5) AS gx, floor(z / 800 + 0.5) AS gz FROM line_points WHERE line_id % 4 = 0),
-nb AS (SELECT l.cx, l.cz, l.ward_id, coalesce(b.n, 0) AS n, EXISTS (SELECT 1 FROM linecell r WHERE r.line_id % 4 = 0 AND abs(r.cx - l.cx) <= 1 AND abs(r.cz - l.cz) <= 1) AS near,
-  EXISTS (SELECT 1 FROM raw WHERE abs(raw.gx - floor((l.cx + 0.5) * 500 / 800 + 0.5)) <= 1 AND abs(raw.gz - floor((l.cz + 0.5) * 500 / 800 + 0.5)) <= 1) AS raw FROM landcell l LEFT JOIN built b ON l.cx = b.cx AND l.cz = b.cz),
+@query("q_5_12_road_density", GRID + """, raw AS (SELECT DISTINCT floor(x / 200 + 0.5) AS gx, floor(z / 200 + 0.5) AS gz FROM pts),
+nb AS (SELECT l.cx, l.cz, l.ward_id, coalesce(b.n, 0) AS n, EXISTS (SELECT 1 FROM linecell r WHERE abs(r.cx - l.cx) <= 1 AND abs(r.cz - l.cz) <= 1) AS near,
+  EXISTS (SELECT 1 FROM raw WHERE abs(raw.gx - floor((l.cx + 0.5) * 500 / 200 + 0.5)) <= 1 AND abs(raw.gz - floor((l.cz + 0.5) * 500 / 200 + 0.5)) <= 1) AS raw FROM landcell l LEFT JOIN built b ON l.cx = b.cx AND l.cz = b.cz),
 sp AS (SELECT ward_id, count(*) FILTER (WHERE NOT near AND NOT raw) / count(*) >= 0.08 AS sparse FROM nb GROUP BY 1)
-SELECT cx, cz, nb.ward_id, n, CASE WHEN NOT raw THEN 'source-missing' WHEN sparse THEN 'sparse-ward' WHEN (cx + 0.5) * 500 BETWEEN -3000 AND 3000 AND (cz + 0.5) * 500 BETWEEN -3000 AND 3000 THEN 'facility-block' ELSE 'unexplained' END AS cause FROM nb JOIN sp ON nb.ward_id = sp.ward_id WHERE NOT near AND n >= 1""")
+SELECT cx, cz, nb.ward_id, n, CASE WHEN NOT near AND NOT raw THEN 'source-missing' WHEN sparse THEN 'sparse-ward' WHEN (cx + 0.5) * 500 BETWEEN -3000 AND 3000 AND (cz + 0.5) * 500 BETWEEN -3000 AND 3000 THEN 'facility-block' ELSE 'unexplained' END AS cause FROM nb JOIN sp ON nb.ward_id = sp.ward_id WHERE NOT near AND n >= 1""")
 def road_density(spark, sf):
-    lines = views.lines(spark, sf).where("line_id % 4 = 0")
-    raw = lines.select(F.explode("points").alias("p")).select("p.x", "p.z")
-    return grid.density(_parts(spark, sf), _buildings(spark, sf), lines, raw, [(-3000, -3000, 3000, 3000)], SIZE, 1, 800.0)
+    return grid.density(_parts(spark, sf), _buildings(spark, sf), views.lines(spark, sf), views.pts(spark, sf), [(-3000, -3000, 3000, 3000)], SIZE, 1, 200.0)
 
 
 @query("q_5_15_gap_clusters")
@@ -117,7 +127,6 @@ SELECT id, CASE WHEN explained THEN CASE WHEN km2 >= 0.3 THEN 'LOW' ELSE 'INFO'
   WHEN kind = 'G' THEN 'MEDIUM' WHEN major THEN 'CRITICAL' ELSE 'HIGH' END AS severity FROM t""")
 def severity(spark, sf):
     from quadrille.plans.scalar_queries import pick
-    from quadrille.storage import read_table
 
     k = F.col("p_partkey")
     return read_table(spark, sf, "part").select(k.alias("id"), grid.severity(pick(list("ABCDFGH"), k), (k % 40) / 20.0, k % 37, k % 9 == 0, k % 4 == 0).alias("severity"))
@@ -134,33 +143,27 @@ def eroded(spark, sf):
     return grid.eroded(grid.land_cells(_parts(spark, sf), SIZE))
 
 
-@query("q_4_13_sampled_share", WITH + f""", big AS (SELECT rect_id, x0, z0, x0 + w * 30 AS x1, z0 + h * 30 AS z1 FROM rects WHERE rect_id % 10 = 0),
+@query("q_4_13_sampled_share", WITH + f""", big AS (SELECT rect_id, x0, z0, x0 + w * 30 AS x1, z0 + h * 30 AS z1 FROM rects),
 s AS (SELECT rect_id, x0 + (i + 0.5) / 12 * (x1 - x0) AS x, z0 + (j + 0.5) / 12 * (z1 - z0) AS z FROM big, (SELECT unnest(range(0, 12)) AS i), (SELECT unnest(range(0, 12)) AS j))
 SELECT rect_id, w.ward_id, count(*) AS n, floor(count(*) / 144 * 1e6 + 0.5) / 1e6 AS share FROM s JOIN ward_parts w ON {in_ward("s.x", "s.z")} GROUP BY 1, 2""")
 def sampled_share(spark, sf):
-    r = views.rects(spark, sf).where("rect_id % 10 = 0")
+    r = views.rects(spark, sf)
     shapes = r.select("rect_id", geo.rectangle(F.col("x0"), F.col("z0"), F.col("x0") + F.col("w") * 30, F.col("z0") + F.col("h") * 30).alias("ring"))
     return spatial.sampled_share(shapes, views.wards(spark, sf), 2000.0, "rect_id").withColumn("share", half_up(F.col("share"), 6))
 
 
-@query("q_4_12_nearest_ward", WITH + """, d AS (SELECT p.point_id, w.ward_id, sqrt(greatest(0, w.x0 - p.x, p.x - w.x1) ^ 2 + greatest(0, w.z0 - p.z, p.z - w.z1) ^ 2) AS dist FROM pts p, ward_parts w WHERE NOT w.holed AND w.ward_id < 5)
+@query("q_4_12_nearest_ward", WITH + f""", d AS (SELECT p.point_id, w.ward_id, least({to_edge("w.x0", "w.z0", "w.x1", "w.z1")}, CASE WHEN w.holed THEN {to_edge("w.hx0", "w.hz0", "w.hx0 + 1000", "w.hz0 + 800")} ELSE 1e9 END) AS dist FROM pts p, ward_parts w)
 SELECT point_id, ward_id, floor(dist * 1000 + 0.5) / 1000 AS dist FROM d WHERE dist <= 3000 QUALIFY row_number() OVER (PARTITION BY point_id ORDER BY dist, ward_id) = 1""")
 def nearest_ward(spark, sf):
-    """Nearest ward by its boxes: points meet the cells of the grown boxes, then the least distance stays."""
-    parts = _parts(spark, sf).where("ward_id < 5").select("ward_id", F.col("box").alias("wbox"))
-    p = views.pts(spark, sf).select("point_id", F.struct(F.col("x").alias("x0"), F.col("z").alias("z0"), F.col("x").alias("x1"), F.col("z").alias("z1")).alias("pbox"))
-    pairs = spatial.box_pairs(parts, p, "wbox", "pbox", 3000.0, pad=3000.0)
-    gap = lambda k: F.greatest(F.lit(0.0), F.col(f"wbox.{k}0") - F.col(f"pbox.{k}0"), F.col(f"pbox.{k}0") - F.col(f"wbox.{k}1"))
-    d = pairs.withColumn("dist", F.hypot(gap("x"), gap("z"))).where("dist <= 3000")
-    best = d.groupBy("point_id").agg(F.min_by(F.struct("ward_id", "dist"), F.struct("dist", "ward_id")).alias("b"))
-    return best.select("point_id", "b.ward_id", half_up(F.col("b.dist"), 3).alias("dist"))
+    """The ward whose outline or hole's edge is nearest to a point, within 3 km."""
+    return spatial.nearest_edge(views.pts(spark, sf), _parts(spark, sf), 3000.0, "point_id").withColumn("dist", half_up(F.col("dist"), 3))
 
 
 @query("q_4_24_conflicts", WITH + """
-SELECT substr(sha1(least('a' || a.rect_id, 'b' || b.rect_id) || '|' || greatest('a' || a.rect_id, 'b' || b.rect_id)), 1, 12) AS conflict, a.rect_id AS a_id, b.rect_id AS b_id FROM rects a JOIN rects_b b ON a.rect_id % 2 = 0 AND b.rect_id % 3 = 0 AND a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.z0 <= b.z1 AND b.z0 <= a.z1""")
+SELECT substr(sha1(least('a' || a.rect_id, 'b' || b.rect_id) || '|' || greatest('a' || a.rect_id, 'b' || b.rect_id)), 1, 12) AS conflict, a.rect_id AS a_id, b.rect_id AS b_id FROM rects a JOIN rects_b b ON a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.z0 <= b.z1 AND b.z0 <= a.z1""")
 def conflicts(spark, sf):
-    a = views.rects(spark, sf).where("rect_id % 2 = 0").select(F.col("rect_id").alias("a_id"), F.col("box").alias("a_box"))
-    b = views.rects_b(spark, sf).where("rect_id % 3 = 0").select(F.col("rect_id").alias("b_id"), F.col("box").alias("b_box"))
+    a = views.rects(spark, sf).select(F.col("rect_id").alias("a_id"), F.col("box").alias("a_box"))
+    b = views.rects_b(spark, sf).select(F.col("rect_id").alias("b_id"), F.col("box").alias("b_box"))
     ids = F.array_sort(F.array(F.concat(F.lit("a"), "a_id"), F.concat(F.lit("b"), "b_id")))
     return spatial.box_pairs(a, b, "a_box", "b_box", 100.0).select(F.substring(F.sha1(F.array_join(ids, "|")), 1, 12).alias("conflict"), "a_id", "b_id")
 
@@ -209,8 +212,6 @@ def replicated_tiles(spark, sf):
 
 @query("q_2_09_metadata", "SELECT n_regionkey AS k, count(*) AS n, sha256(string_agg(n_name, ',' ORDER BY n_name)) AS checksum, 'official' AS value_type FROM nation GROUP BY 1")
 def metadata(spark, sf):
-    from quadrille.storage import read_table
-
     n = read_table(spark, sf, "nation")
     out = n.groupBy(F.col("n_regionkey").alias("k")).agg(F.count("*").alias("n"), F.sha2(F.array_join(F.sort_array(F.collect_list("n_name")), ","), 256).alias("checksum"))
     return out.withColumn("value_type", F.lit("official"))

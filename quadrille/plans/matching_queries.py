@@ -66,7 +66,7 @@ def place_class(spark, sf):
 
 
 @query("q_4_02_boundary_master", """
-WITH o AS (SELECT s_suppkey AS key, CASE WHEN s_suppkey % 4 = 0 THEN 'o' || s_suppkey END AS geometry FROM supplier), l AS (SELECT c_custkey % 150 AS key, 'l' || c_custkey AS geometry, c_custkey AS ord FROM customer WHERE c_custkey % 3 = 0),
+WITH o AS (SELECT s_suppkey AS key, CASE WHEN s_suppkey % 4 = 0 THEN 'o' || s_suppkey END AS geometry FROM supplier), l AS (SELECT c_custkey % 150 AS key, 'l' || c_custkey AS geometry, c_custkey AS ord FROM customer),
 m AS (SELECT key, max_by(geometry, ord) AS old FROM l GROUP BY 1)
 SELECT o.key, coalesce(o.geometry, m.old) AS geometry, CASE WHEN o.geometry IS NOT NULL THEN 'official' WHEN m.old IS NOT NULL THEN 'official-attributes-with-legacy-geometry' ELSE 'official-attributes-only' END AS status FROM o LEFT JOIN m USING (key)
 UNION ALL SELECT key, geometry, 'legacy-unverified' FROM l WHERE key NOT IN (SELECT key FROM o)""")
@@ -74,19 +74,17 @@ def boundary_master(spark, sf):
     k = F.col("s_suppkey")
     official = read_table(spark, sf, "supplier").select(k.alias("key"), F.when(k % 4 == 0, F.concat(F.lit("o"), k)).alias("geometry"))
     c = F.col("c_custkey")
-    legacy = read_table(spark, sf, "customer").where(c % 3 == 0).select((c % 150).alias("key"), F.concat(F.lit("l"), c).alias("geometry"), c.alias("ord"))
+    legacy = read_table(spark, sf, "customer").select((c % 150).alias("key"), F.concat(F.lit("l"), c).alias("geometry"), c.alias("ord"))
     return matching.boundary_master(official, legacy)
 
 
-@query("q_4_10_near_wards", WITH + """, d AS (SELECT p.point_id, w.ward_id FROM pts p JOIN ward_parts w ON sqrt(greatest(0, w.x0 - p.x, p.x - w.x1) ^ 2 + greatest(0, w.z0 - p.z, p.z - w.z1) ^ 2) <= 400 WHERE NOT w.holed AND w.ward_id % 2 = 0)
+@query("q_4_10_near_wards", WITH + """, d AS (SELECT p.point_id, w.ward_id FROM pts p JOIN ward_parts w ON sqrt(greatest(0, w.x0 - p.x, p.x - w.x1) ^ 2 + greatest(0, w.z0 - p.z, p.z - w.z1) ^ 2) <= 400
+  AND NOT (w.holed AND p.x > w.hx0 + 400 AND p.x < w.hx0 + 600 AND p.z > w.hz0 + 400 AND p.z < w.hz0 + 400))
 SELECT point_id, count(DISTINCT ward_id) AS n, min(ward_id) AS ward_id FROM d GROUP BY 1""")
 def near_wards(spark, sf):
-    """Wards a point is in or within 400 m of, for wards without holes (a box is its own distance)."""
-    parts = spatial.polygons(views.wards(spark, sf)).where("ward_id % 2 = 0 and size(holes) = 0").select("ward_id", F.col("box").alias("wbox"))
-    p = views.pts(spark, sf).select("point_id", F.struct(F.col("x").alias("x0"), F.col("z").alias("z0"), F.col("x").alias("x1"), F.col("z").alias("z1")).alias("pbox"))
-    gap = lambda k: F.greatest(F.lit(0.0), F.col(f"wbox.{k}0") - F.col(f"pbox.{k}0"), F.col(f"pbox.{k}0") - F.col(f"wbox.{k}1"))
-    pairs = spatial.box_pairs(parts, p, "wbox", "pbox", 2000.0, pad=400.0).where(F.hypot(gap("x"), gap("z")) <= 400)
-    return pairs.groupBy("point_id").agg(F.countDistinct("ward_id").alias("n"), F.min("ward_id").alias("ward_id"))
+    """Wards a point is in or within 400 m of; no place in a hole of 800 m is farther from its edge."""
+    found = spatial.areas_near(views.pts(spark, sf), spatial.polygons(views.wards(spark, sf)), 400.0, "point_id", 2000.0)
+    return found.groupBy("point_id").agg(F.count("*").alias("n"), F.min("ward_id").alias("ward_id"))
 
 
 @query("q_4_26_landmark_duplicates", NEAR + """
@@ -200,11 +198,11 @@ def accumulated(spark, sf):
     return c.unionByName(s, allowMissingColumns=True)
 
 
-@query("q_8_05_covered_tiles", WITH + """, c AS (SELECT DISTINCT floor(x0 / 1000) AS tx, floor(z0 / 1000) AS tz FROM rects WHERE rect_id % 2 = 0)
+@query("q_8_05_covered_tiles", WITH + """, c AS (SELECT DISTINCT floor(x0 / 1000) AS tx, floor(z0 / 1000) AS tz FROM rects)
 SELECT b.rect_id, count(c.tx) = 4 AS covered FROM (SELECT rect_id, x0, z0, x0 + w * 20 AS x1, z0 + h * 20 AS z1 FROM rects_b) b, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) k(i, j) LEFT JOIN c ON c.tx = floor((CASE WHEN k.i = 0 THEN b.x0 ELSE b.x1 END) / 1000) AND c.tz = floor((CASE WHEN k.j = 0 THEN b.z0 ELSE b.z1 END) / 1000) GROUP BY 1""")
 def covered_tiles(spark, sf):
     """Whether all four corners of a box lie in tiles that are there."""
-    c = views.rects(spark, sf).where("rect_id % 2 = 0").select(geo.cell(F.col("x0"), 1000.0).alias("tx"), geo.cell(F.col("z0"), 1000.0).alias("tz")).distinct().withColumn("there", F.lit(1))
+    c = views.rects(spark, sf).select(geo.cell(F.col("x0"), 1000.0).alias("tx"), geo.cell(F.col("z0"), 1000.0).alias("tz")).distinct().withColumn("there", F.lit(1))
     x1, z1 = F.col("x0") + F.col("w") * 20, F.col("z0") + F.col("h") * 20
     corners = F.array(*(F.struct(geo.cell(x, 1000.0).alias("tx"), geo.cell(z, 1000.0).alias("tz")) for x in (F.col("x0"), x1) for z in (F.col("z0"), z1)))
     b = views.rects_b(spark, sf).select("rect_id", F.explode(corners).alias("k")).select("rect_id", "k.tx", "k.tz")

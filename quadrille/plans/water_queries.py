@@ -15,19 +15,21 @@ from quadrille.plans.views import WITH
 from quadrille.storage import read_table
 
 
-def _middles(spark, sf):
-    """The middle line of every rectangle, left to right."""
+def _middles(spark, sf, apart: bool = False):
+    """The middle line of every rectangle, left to right; apart: the rectangles stand on a lattice, where none touch."""
+    r, k = views.rects(spark, sf), F.col("rect_id")
+    if apart:
+        r = r.withColumns({"x0": (k % 1000 * 40).cast("double"), "z0": (F.floor(k / 1000) * 40).cast("double")})
+        r = r.withColumn("ring", geo.rectangle(F.col("x0"), F.col("z0"), F.col("x0") + F.col("w"), F.col("z0") + F.col("h")))
     mid = F.col("z0") + F.col("h") / 2
-    return views.rects(spark, sf).select("rect_id", F.array(geo.point(F.col("x0"), mid), geo.point(F.col("x0") + F.col("w"), mid)).alias("points"), (F.col("h") / 2).alias("half"), "ring")
+    return r.select("rect_id", F.array(geo.point(F.col("x0"), mid), geo.point(F.col("x0") + F.col("w"), mid)).alias("points"), (F.col("h") / 2).alias("half"), "ring")
 
 
-@query("q_4_38_river_widths", WITH + "SELECT rect_id, h AS width, CAST(9 AS BIGINT) AS n FROM rects WHERE rect_id % 6 = 0")
+@query("q_4_38_river_widths", WITH + "SELECT rect_id, h AS width, CAST(9 AS BIGINT) AS n FROM rects")
 def river_widths(spark, sf):
-    """Every sixth rectangle is a river's bank, so its width is the rectangle's height."""
-    m = _middles(spark, sf).where("rect_id % 6 = 0")
-    lines = m.select("rect_id", "points")
-    banks = m.select(F.col("rect_id").alias("bank_id"), "ring")
-    out = water.river_widths(lines, banks, "rect_id")
+    """Every rectangle is a river's bank, so its width is the rectangle's height."""
+    m = _middles(spark, sf, apart=True)
+    out = water.river_widths(m.select("rect_id", "points"), m.select(F.col("rect_id").alias("bank_id"), "ring"), "rect_id")
     return out.select("rect_id", half_up(F.col("width"), 6).alias("width"), "n")
 
 
@@ -71,13 +73,13 @@ def variant_evidence(spark, sf):
     return read_table(spark, sf, "customer").select(k.alias("id"), names.variant_evidence(blank(a), blank(b), ["保育園", "こども園", "幼稚園"], 4, {"ふぁみま": "ふぁみりーまーと"}).alias("evidence"))
 
 
-@query("q_4_22_envelopes", WITH + """, big AS (SELECT rect_id, x0 - w * 20 AS x0, z0 - h * 20 AS z0, x1 + w * 20 AS x1, z1 + h * 20 AS z1 FROM rects WHERE rect_id % 10 = 0),
+@query("q_4_22_envelopes", WITH + """, big AS (SELECT rect_id, x0 - w * 20 AS x0, z0 - h * 20 AS z0, x1 + w * 20 AS x1, z1 + h * 20 AS z1 FROM rects),
 o AS (SELECT b.rect_id, count(*) AS partners, sum(greatest(0, least(b.x1, r.x1) - greatest(b.x0, r.x0)) * greatest(0, least(b.z1, r.z1) - greatest(b.z0, r.z0))) / any_value((b.x1 - b.x0) * (b.z1 - b.z0)) AS covered FROM big b JOIN rects r ON b.x0 < r.x1 AND r.x0 < b.x1 AND b.z0 < r.z1 AND r.z0 < b.z1 GROUP BY 1)
 SELECT rect_id, partners FROM o WHERE partners >= 2 AND covered >= 0.0005""")
 def envelopes(spark, sf):
     """Outlines that cover two or more others whose areas make up enough of theirs."""
     r = views.rects(spark, sf)
-    a = r.where("rect_id % 10 = 0").select("rect_id", F.struct((F.col("x0") - F.col("w") * 20).alias("x0"), (F.col("z0") - F.col("h") * 20).alias("z0"), (F.col("x1") + F.col("w") * 20).alias("x1"), (F.col("z1") + F.col("h") * 20).alias("z1")).alias("ab"))
+    a = r.select("rect_id", F.struct((F.col("x0") - F.col("w") * 20).alias("x0"), (F.col("z0") - F.col("h") * 20).alias("z0"), (F.col("x1") + F.col("w") * 20).alias("x1"), (F.col("z1") + F.col("h") * 20).alias("z1")).alias("ab"))
     p = spatial.box_pairs(a, r.select(F.col("box").alias("bb")), "ab", "bb", 500.0).withColumn("s", geo.overlap_area(F.col("ab"), F.col("bb"))).where("s > 0")
     o = p.groupBy("rect_id").agg(F.count("*").alias("partners"), (F.sum("s") / F.first(geo.box_area(F.col("ab")))).alias("covered"))
     return o.where("partners >= 2 and covered >= 0.0005").select("rect_id", "partners")
