@@ -3,26 +3,27 @@
 Three passes over the documents, each streaming in Arrow batches:
 
 1. every task folds its lines' hashes into two filters (seen once, seen twice); the filters are cut in
-   chunks, merged chunk by chunk after one small shuffle (a line once here and once there is seen twice),
-   and the twice-filter of fixed size is broadcast;
+   chunks of a fixed size, merged chunk by chunk after one small shuffle (a line once here and once there is
+   seen twice), and the twice-filter is broadcast;
 2. only lines that the twice-filter suspects are counted: pre-aggregated in the task, shuffled as 16-byte
    digests, and confirmed by exact document counts, with their first document;
-3. documents are rewritten by the confirmed digests: broadcast while there are at most ``broadcast_keys``,
-   otherwise by a join on the digest.
+3. documents are rewritten by the confirmed digests: broadcast while there are at most ``broadcast_keys``;
+   beyond, the ``broadcast_keys`` commonest are broadcast, and suspected lines meet the others by a join.
 
-The filter's size is a parameter and never grows with the data. When it fills up, more lines are
-suspected and counted exactly; results do not change. Lines are told apart by 128-bit xxh3 digests of
-their keys.
+The filter has 16 bits a line of the input, counted first, but 2**30 (128 MB) at most: what is broadcast is
+bounded. A fuller filter only sends more lines to the exact count; results do not change. Lines are told
+apart by 128-bit xxh3 digests of their keys.
 
-Defined results: null or empty text is one empty line; a line without a key (blank) always stays; two
-rows with the same id count as two documents; an empty table gives an empty result. With keep="first"
-the first occurrence of a repeated key stays, by (doc_id, position); null ids come last, and rows that
-tie keep theirs.
+Defined results: null or empty text is one empty line; a line without a key (blank) always stays; rows with
+the same id count as one document, and each row without an id as one; an empty table gives an empty result.
+With keep="first" the first occurrence of a repeated key stays, by (doc_id, position); null ids come last,
+and rows that tie keep theirs.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import ChainMap
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -34,12 +35,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quadrille.llm.text import BLANKS, blobs, id_text, read_table, rows, slices, stored
 
-CHUNKS = 64
+#: Bytes of a filter that one merge takes.
+CHUNK = 1 << 17
+MOST_BITS = 1 << 30
 PROBES = 3
 #: Stands for a null doc_id where the first document of a line is chosen.
 LAST = (1 << 63) - 1
 FILTERS = pa.schema([("chunk", pa.int32()), ("once", pa.binary()), ("twice", pa.binary())])
-SUSPECTS = pa.schema([("digest", pa.binary()), ("n_docs", pa.int64()), ("first_id", pa.int64())])
+SUSPECTS = pa.schema([("digest", pa.binary()), ("again_id", pa.int64()), ("n_docs", pa.int64()), ("first_id", pa.int64())])
 KEPT = pa.schema([("doc_id", pa.int64()), ("n_lines", pa.int64()), ("n_dropped", pa.int64()), ("kept", pa.string())])
 
 
@@ -49,6 +52,11 @@ def keys_of(lines: list[bytes]) -> list[bytes | None]:
     return [digest(key) if (key := line.strip(BLANKS)) else None for line in map(bytes.lower, lines)]
 
 
+def bits_for(keys: int, each: int = 16, least: int = 1 << 20, most: int = MOST_BITS) -> int:
+    """A power of two with ``each`` bits a key, within bounds."""
+    return max(least, min(most, 1 << (max(1, keys) * each - 1).bit_length()))
+
+
 def words64(digests: list[bytes]) -> np.ndarray:
     """Digests as an array of two 64-bit numbers each."""
     return np.frombuffer(b"".join(digests), np.uint64).reshape(-1, 2)
@@ -85,6 +93,10 @@ def line_keys(text: bytes) -> set[bytes]:
     return {k for k in keys_of(text.split(b"\n")) if k}
 
 
+def _chunks(bitmap: np.ndarray) -> list[np.ndarray]:
+    return [bitmap[i : i + CHUNK] for i in range(0, len(bitmap), CHUNK)]
+
+
 def twice_filter(docs: DataFrame, bits: int, keys: Callable[[bytes], Iterable[bytes]] = line_keys) -> np.ndarray:
     """The filter of keys that may occur twice or more; ``keys(text)``: by default a text's lines, each once."""
 
@@ -96,7 +108,7 @@ def twice_filter(docs: DataFrame, bits: int, keys: Callable[[bytes], Iterable[by
                 digests.extend(keys(text))
             fold(once, twice, digests, bits)
         pack = zstandard.ZstdCompressor(1).compress
-        for i, (a, b) in enumerate(zip(np.split(once, CHUNKS), np.split(twice, CHUNKS))):
+        for i, (a, b) in enumerate(zip(_chunks(once), _chunks(twice))):
             if a.any():
                 yield rows(FILTERS, [i], [pack(a.tobytes())], [pack(b.tobytes())])
 
@@ -114,45 +126,106 @@ def twice_filter(docs: DataFrame, bits: int, keys: Callable[[bytes], Iterable[by
             yield rows(FILTERS, [chunk], [b""], [zstandard.compress(twice.tobytes(), 1)])
 
     ddl = "chunk int, once binary, twice binary"
-    out = np.zeros((CHUNKS, bits // 8 // CHUNKS), np.uint8)
-    merged = docs.mapInArrow(build, ddl).repartition(CHUNKS, "chunk").mapInArrow(merge, ddl)
-    for row in merged.select("chunk", "twice").collect():  # at most `bits` bits, whatever the input
-        out[row["chunk"]] = np.frombuffer(zstandard.decompress(row["twice"]), np.uint8)
-    return out.reshape(-1)
+    out = np.zeros(bits // 8, np.uint8)
+    merged = docs.mapInArrow(build, ddl).repartition(max(1, bits // 8 // CHUNK), "chunk").mapInArrow(merge, ddl)
+    for row in merged.select("chunk", "twice").collect():  # at most MOST_BITS bits, whatever the input
+        part = np.frombuffer(zstandard.decompress(row["twice"]), np.uint8)
+        out[row["chunk"] * CHUNK : row["chunk"] * CHUNK + len(part)] = part
+    return out
+
+
+def sent_filter(docs: DataFrame, filter_bits: int | None):
+    """The broadcast filter of lines that may repeat, sized by the number of lines where no size is given."""
+    if filter_bits is None:
+        breaks = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
+        filter_bits = bits_for(docs.agg(F.sum(F.coalesce(breaks, F.lit(0)) + 1)).first()[0] or 0)
+    return docs.sparkSession.sparkContext.broadcast(twice_filter(docs, filter_bits))
 
 
-def repeated_keys(docs: DataFrame, min_docs: int = 2, bits: int = 1 << 26) -> DataFrame:
-    """Digests of the keys that at least ``min_docs`` (2 or more) document rows have: digest, n_docs, first_id."""
-    sent = docs.sparkSession.sparkContext.broadcast(twice_filter(docs, bits))
+def suspected(bitmap: np.ndarray, digests: list[bytes]) -> list[int]:
+    """Numbers of the digests that the filter knows."""
+    return np.flatnonzero(present(bitmap, words64(digests), 8 * len(bitmap))).tolist() if digests else []
+
+
+def repeated_keys(docs: DataFrame, min_docs: int, sent) -> DataFrame:
+    """Digests of the keys that at least ``min_docs`` (2 or more) documents have: digest, n_docs, first_id.
+
+    Ids that stand in several rows travel with their digests and count once; they are known by a filter, so one
+    that only looks repeated counts once too. All others are summed up in the task."""
+    ids = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("short"))
+    again = docs.sparkSession.sparkContext.broadcast(filter_of(stored(ids, "ids")))
 
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = sent.value
-        held: dict[bytes, list[int]] = {}
+        held: dict[tuple[bytes, int | None], list[int]] = {}
 
         def flushed() -> pa.RecordBatch:
-            out = rows(SUSPECTS, list(held), [v[0] for v in held.values()], [v[1] for v in held.values()])
+            out = rows(SUSPECTS, *zip(*held), *zip(*held.values()))
             held.clear()
             return out
 
         for batch in slices(batches, "text"):
-            ids = batch.column("doc_id").to_pylist()
+            twice = known(again.value, batch.column("doc_id")) if again.value is not None else np.zeros(batch.num_rows, bool)
             digests, owners = [], []
-            for doc_id, text in zip(ids, blobs(batch, "text")):
-                own = {k for k in keys_of(text.split(b"\n")) if k}
+            for doc_id, many, text in zip(batch.column("doc_id").to_pylist(), twice.tolist(), blobs(batch, "text")):
+                own = line_keys(text)
                 digests.extend(own)
-                owners.extend([LAST if doc_id is None else doc_id] * len(own))
-            if digests:
-                for i in np.flatnonzero(present(bitmap, words64(digests), bits)):
-                    seen = held.setdefault(digests[i], [0, LAST])
-                    seen[0] += 1
-                    seen[1] = min(seen[1], owners[i])
+                owners.extend([(LAST if doc_id is None else doc_id, doc_id if many else None)] * len(own))
+            for i in suspected(sent.value, digests):
+                doc_id, own_id = owners[i]
+                seen = held.setdefault((digests[i], own_id), [0, LAST])
+                seen[0] += 1
+                seen[1] = min(seen[1], doc_id)
             if len(held) > 100_000:
                 yield flushed()
         if held:
             yield flushed()
 
-    counted = docs.mapInArrow(suspects, "digest binary, n_docs long, first_id long").groupBy("digest").agg(F.sum("n_docs").alias("n_docs"), F.min("first_id").alias("first_id"))
-    return counted.where(F.col("n_docs") >= min_docs)
+    found = docs.mapInArrow(suspects, "digest binary, again_id long, n_docs long, first_id long")
+    n_docs = F.when(F.col("again_id").isNull(), F.sum("n_docs")).otherwise(1)
+    each = found.groupBy("digest", "again_id").agg(n_docs.alias("n_docs"), F.min("first_id").alias("first_id"))
+    return each.groupBy("digest").agg(F.sum("n_docs").alias("n_docs"), F.min("first_id").alias("first_id")).where(F.col("n_docs") >= min_docs)
+
+
+def _numbers(column: pa.Array) -> np.ndarray:
+    """Numbers as the filters take them: two 64-bit hashes each."""
+    x = pc.fill_null(column.cast(pa.int64()), 0).to_numpy(zero_copy_only=False).view(np.uint64)
+    return np.stack([x * np.uint64(0x9E3779B97F4A7C15), (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)], axis=1)
+
+
+def known(bitmap: np.ndarray, column: pa.Array) -> np.ndarray:
+    """Which numbers a filter knows; null is never known."""
+    return present(bitmap, _numbers(column), 8 * len(bitmap)) & column.is_valid().to_numpy(zero_copy_only=False)
+
+
+def filter_of(members: DataFrame) -> np.ndarray | None:
+    """A filter that knows every number of the column ``short``, sized by their count (128 MB at most); None if there is none."""
+    count = members.count()
+    if not count:
+        return None
+    bits, schema = bits_for(count), pa.schema([("chunk", pa.int32()), ("bitmap", pa.binary())])
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap = np.zeros(bits // 8, np.uint8)
+        for batch in batches:
+            put(bitmap, _numbers(batch.column("short")), bits)
+        for i, part in enumerate(_chunks(bitmap)):
+            if part.any():
+                yield rows(schema, [i], [zstandard.compress(part.tobytes(), 1)])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, part in zip(batch.column("chunk").to_pylist(), batch.column("bitmap").to_pylist()):
+                part = np.frombuffer(zstandard.decompress(part), np.uint8)
+                held[i] = held[i] | part if i in held else part
+        for i, part in held.items():
+            yield rows(schema, [i], [part.tobytes()])
+
+    out, ddl = np.zeros(bits // 8, np.uint8), "chunk int, bitmap binary"
+    for row in members.select("short").mapInArrow(build, ddl).repartition(max(1, bits // 8 // CHUNK), "chunk").mapInArrow(merge, ddl).collect():
+        part = np.frombuffer(row["bitmap"], np.uint8)
+        out[row["chunk"] * CHUNK : row["chunk"] * CHUNK + len(part)] = part
+    return out
 
 
 def cut(text: bytes, doc_id: int | None, drops: dict[bytes, int], keep_first: bool) -> tuple[int, int, bytes]:
@@ -176,12 +249,14 @@ def _fresh(name: str, taken: list[str]) -> str:
     return name
 
 
-def _apply(docs: DataFrame, min_docs: int, keep: str, id_col: str, text_col: str, filter_bits: int, broadcast_keys: int, finish, schema) -> DataFrame:
+def _apply(docs: DataFrame, min_docs: int, keep: str, id_col: str, text_col: str, filter_bits: int | None, broadcast_keys: int, finish, schema) -> DataFrame:
     """Cut every row's text by the repeated keys; ``finish(batch, cuts)`` makes the output rows."""
     plain, first = id_text(docs, id_col, text_col), keep == "first"
-    keys = stored(repeated_keys(plain, min_docs, filter_bits), "lines").select("digest", "first_id")
+    suspects = sent_filter(plain, filter_bits)
+    keys = stored(repeated_keys(plain, min_docs, suspects), "lines")
     few = keys.limit(broadcast_keys + 1).count() <= broadcast_keys
-    sent = docs.sparkSession.sparkContext.broadcast({bytes(r["digest"]): r["first_id"] for r in keys.collect()} if few else None)
+    common = keys if few else keys.orderBy(F.desc("n_docs"), "digest").limit(broadcast_keys)
+    sent = docs.sparkSession.sparkContext.broadcast({bytes(r["digest"]): r["first_id"] for r in common.select("digest", "first_id").collect()})
     lists_col = _fresh("drops", docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,8 +264,8 @@ def _apply(docs: DataFrame, min_docs: int, keep: str, id_col: str, text_col: str
             own = None if few else batch.column(lists_col).to_pylist()
             cuts = []
             for i, (doc_id, text) in enumerate(zip(batch.column(id_col).to_pylist(), blobs(batch, text_col))):
-                drops = sent.value if own is None else {x["digest"]: x["first_id"] for x in own[i] or ()}
-                cuts.append(cut(text, doc_id, drops, first))
+                rare = {x["digest"]: x["first_id"] for x in own[i]} if own and own[i] else {}
+                cuts.append(cut(text, doc_id, ChainMap(rare, sent.value) if rare else sent.value, first))
             yield finish(batch if few else batch.drop_columns([lists_col]), cuts)
 
     if few:
@@ -198,11 +273,17 @@ def _apply(docs: DataFrame, min_docs: int, keep: str, id_col: str, text_col: str
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            out = [(sha, k) for text in blobs(batch, "text") for sha in [hashlib.sha256(text).digest()] for k in {k for k in keys_of(text.split(b"\n")) if k}]
+            out = []
+            for text in blobs(batch, "text"):
+                own = [k for k in line_keys(text) if k not in sent.value]
+                at = suspected(suspects.value, own)
+                if at:
+                    sha = hashlib.sha256(text).digest()
+                    out += [(sha, own[i]) for i in at]
             if out:
                 yield rows(pa.schema([("sha", pa.binary()), ("digest", pa.binary())]), *zip(*out))
 
-    # One row per distinct text and repeated key: copies of a text share their list.
+    # One row per distinct text and suspected key: copies of a text share their list.
     sha = _fresh("sha", docs.columns)
     lines = plain.mapInArrow(digests, "sha binary, digest binary").distinct().join(keys, "digest")
     lists = lines.groupBy(F.col("sha").alias(sha)).agg(F.collect_list(F.struct("digest", "first_id")).alias(lists_col))
@@ -210,7 +291,7 @@ def _apply(docs: DataFrame, min_docs: int, keep: str, id_col: str, text_col: str
     return keyed.join(lists, sha, "left").select(*docs.columns, lists_col).mapInArrow(run, schema)
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = 2, keep: str = "first", id_col: str = "doc_id", text_col: str = "text", filter_bits: int = 1 << 26, broadcast_keys: int = 1 << 18) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_docs: int = 2, keep: str = "first", id_col: str = "doc_id", text_col: str = "text", filter_bits: int | None = None, broadcast_keys: int = 1 << 18) -> DataFrame:
     """Per document row: doc_id, n_lines, n_dropped, kept (the text left). keep: "first" or "none"."""
 
     def finish(batch: pa.RecordBatch, cuts: list) -> pa.RecordBatch:
@@ -220,7 +301,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 2, keep: str = "first", id_col:
     return _apply(id_text(docs, id_col, text_col), min_docs, keep, "doc_id", "text", filter_bits, broadcast_keys, finish, "doc_id long, n_lines long, n_dropped long, kept string")
 
 
-def rewrite_lines(docs: DataFrame, min_docs: int = 2, keep: str = "first", id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = None, drop_emptied: bool = True, filter_bits: int = 1 << 26, broadcast_keys: int = 1 << 18) -> DataFrame:
+def rewrite_lines(docs: DataFrame, min_docs: int = 2, keep: str = "first", id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = None, drop_emptied: bool = True, filter_bits: int | None = None, broadcast_keys: int = 1 << 18) -> DataFrame:
     """The rows with all their columns and the text that is left; ``chars_col`` gets its number of characters.
     drop_emptied: rows that lose lines and have no words left go; rows that lose nothing stay as they are."""
 
