@@ -8,9 +8,11 @@
    one, so a bucket with a large share of all rows reaches a task as one row for each other task.
 3. Families are confirmed on full sets. A family of bounded size goes to one task, which compares all its
    sets. In a larger family, pivots are compared with all members, and then every member outside the
-   family's largest confirmed component is a query against all members: queries travel in blocks of
-   bounded bytes, members stay dealt over all tasks, and a task returns only the links that join
-   something new. By the components so found no link between different sets is lost.
+   family's largest confirmed component is a query against all members. Queries of up to ``block_bytes``
+   together are broadcast, and members stay where they are; beyond, queries and members are cut into blocks
+   and slices of that size, and every block meets every slice of its family in a task of its own. A task
+   returns only the links that join something new. By the components so found no link between different
+   sets is lost.
 
 A pair of similarity 0.8 shares no bucket with a probability of (1 - 0.8**rows)**bands, 4e-8 by default,
 and less for more similar pairs.
@@ -27,19 +29,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quadrille.llm.components import components
-from quadrille.llm.line_dedup import present, put
+from quadrille.llm.line_dedup import filter_of, known
 from quadrille.llm.text import blobs, id_text, read_table, rows, slices, stored
 
 MULTIPLY, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 SIGNED = pa.schema([("doc_id", pa.int64()), ("node", pa.binary()), ("n", pa.int64()), ("short", pa.int64()), ("keys", pa.list_(pa.int64())), ("same", pa.list_(pa.int64()))])
 SETS = pa.schema([("short", pa.int64()), ("node", pa.binary()), ("shingles", pa.binary())])
 LINKS = pa.schema([("a", pa.binary()), ("b", pa.binary())])
-#: Bits of the filter of members' numbers; a full one only lets more rows through to the exact join.
-MEMBER_BITS = 1 << 25
 
 
 class Words(dict):
@@ -50,14 +49,14 @@ class Words(dict):
         return found
 
 
-def shingles(text: bytes, width: int, known: Words) -> np.ndarray:
+def shingles(text: bytes, width: int, hashes: Words) -> np.ndarray:
     """The sorted distinct shingle hashes of a text."""
     words = text.lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    if len(known) > 200_000:
-        known.clear()
-    h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    if len(hashes) > 200_000:
+        hashes.clear()
+    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
     k = min(width, len(h))
     out = np.full(len(h) - k + 1, k, np.uint64)
     for i in range(k):
@@ -96,11 +95,11 @@ class Hasher:
 
 def _sign(docs: DataFrame, width: int, bands: int, rows_a_band: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, known, nodes, first = Hasher(bands, rows_a_band), Words(), set(), {}
+        hasher, hashes, nodes, first = Hasher(bands, rows_a_band), Words(), set(), {}
         for batch in slices(batches, "text"):
             out = []
             for text in blobs(batch, "text"):
-                found = shingles(text, width, known)
+                found = shingles(text, width, hashes)
                 if not len(found):
                     out.append((None, 0, None, [], []))
                     continue
@@ -134,48 +133,16 @@ def _families(signed: DataFrame) -> DataFrame:
     return components(edges.unionByName(local).distinct()).select(F.col("node").alias("short"), F.col("comp").alias("family"))
 
 
-def _bits(column: pa.Array) -> np.ndarray:
-    """Numbers as the filters take them: two 64-bit hashes each."""
-    x = column.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-    return np.stack([x * MULTIPLY, (x ^ (x >> np.uint64(31))) * MIX], axis=1)
-
-
-def _filter_of(members: DataFrame) -> np.ndarray:
-    """A filter of fixed size that knows every member."""
-    chunk = MEMBER_BITS // 8 // 64
-
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = np.zeros(MEMBER_BITS // 8, np.uint8)
-        for batch in batches:
-            put(bitmap, _bits(batch.column("short")), MEMBER_BITS)
-        for i, part in enumerate(np.split(bitmap, 64)):
-            if part.any():
-                yield rows(pa.schema([("chunk", pa.int32()), ("bitmap", pa.binary())]), [i], [zstandard.compress(part.tobytes(), 1)])
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for i, bitmap in zip(batch.column("chunk").to_pylist(), batch.column("bitmap").to_pylist()):
-                held[i] = held.get(i, np.zeros(chunk, np.uint8)) | np.frombuffer(zstandard.decompress(bitmap), np.uint8)
-        for i, bitmap in held.items():
-            yield rows(pa.schema([("chunk", pa.int32()), ("bitmap", pa.binary())]), [i], [bitmap.tobytes()])
-
-    out = np.zeros((64, chunk), np.uint8)
-    for row in members.select("short").mapInArrow(build, "chunk int, bitmap binary").repartition(16, "chunk").mapInArrow(merge, "chunk int, bitmap binary").collect():
-        out[row["chunk"]] = np.frombuffer(row["bitmap"], np.uint8)
-    return out.reshape(-1)
-
-
 def _sets(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
     """(family, node, shingles) of every member node, once."""
-    sent = docs.sparkSession.sparkContext.broadcast(_filter_of(members))
+    sent = docs.sparkSession.sparkContext.broadcast(filter_of(members))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, nodes, bitmap = Words(), set(), sent.value
+        hashes, nodes = Words(), set()
         for batch in slices(batches, "text"):
             out = []
             for text in blobs(batch, "text"):
-                found = shingles(text, width, known)
+                found = shingles(text, width, hashes)
                 if len(found):
                     node = xxhash.xxh3_128_digest(found.tobytes())
                     if node not in nodes:
@@ -183,10 +150,9 @@ def _sets(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
                         nodes.add(node)
             if len(nodes) > 200_000:
                 nodes.clear()
-            if out:
+            if out and sent.value is not None:
                 made = rows(SETS, *zip(*out))
-                hashes = _bits(made.column("short"))
-                mask = present(bitmap, hashes, MEMBER_BITS)
+                mask = known(sent.value, made.column("short"))
                 if mask.any():
                     yield made.filter(pa.array(mask))
 
@@ -258,47 +224,61 @@ class Queries:
 
 def _links(members: DataFrame, queries: DataFrame, percent: int, block_bytes: int) -> DataFrame:
     """Links between queries and members of their families, as many as join something new in a task."""
-    spark, parts = members.sparkSession, []
+    size = queries.agg(F.sum(F.length("shingles"))).first()[0] or 0
+    links = _links_by_broadcast if size <= block_bytes else _links_by_blocks
+    return stored(links(members, queries, percent, block_bytes), "links")
 
-    def scan(block: list[tuple[int, bytes, bytes]]) -> DataFrame:
-        sent = spark.sparkContext.broadcast(block)
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            by: dict[int, tuple[list[bytes], list[np.ndarray]]] = {}
-            for family, node, found in sent.value:
-                own = by.setdefault(family, ([], []))
-                own[0].append(node)
-                own[1].append(np.frombuffer(found, np.uint64))
-            index = {family: Queries(*own) for family, own in by.items()}
-            groups = {family: Union(len(q.nodes)) for family, q in index.items()}
-            for batch in batches:
-                out = []
-                for family, node, found in zip(*(batch.column(c).to_pylist() for c in ("family", "node", "shingles"))):
-                    if family in index:
-                        nodes, last = index[family].nodes, None
-                        for j in index[family].linked(np.frombuffer(found, np.uint64), percent).tolist():
-                            if nodes[j] != node and (last is None or groups[family].join(last, j)):
-                                out.append((node, nodes[j]))
-                            last = j
-                if out:
-                    yield rows(LINKS, *zip(*out))
-
-        return members.mapInArrow(run, "a binary, b binary")
-
-    block, size = [], 0
-    for row in queries.select("family", "node", "shingles").toLocalIterator():
-        block.append((row["family"], bytes(row["node"]), bytes(row["shingles"])))
-        size += len(row["shingles"])
-        if size > block_bytes:
-            parts.append(stored(scan(block), "links"))
-            block, size = [], 0
-    if block:
-        parts.append(stored(scan(block), "links"))
-    if not parts:
-        return spark.createDataFrame([], "a binary, b binary")
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
+def _links_by_broadcast(members: DataFrame, queries: DataFrame, percent: int, block_bytes: int) -> DataFrame:
+    """Queries of ``block_bytes`` at most: every task has them all, and its own members."""
+    sent = members.sparkSession.sparkContext.broadcast([(r["family"], bytes(r["node"]), bytes(r["shingles"])) for r in queries.select("family", "node", "shingles").collect()])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by: dict[int, tuple[list[bytes], list[np.ndarray]]] = {}
+        for family, node, found in sent.value:
+            own = by.setdefault(family, ([], []))
+            own[0].append(node)
+            own[1].append(np.frombuffer(found, np.uint64))
+        index = {family: (Queries(*own), Union(len(own[0]))) for family, own in by.items()}
+        for batch in batches:
+            out = []
+            for family, node, found in zip(*(batch.column(c).to_pylist() for c in ("family", "node", "shingles"))):
+                if family in index:
+                    out += new_links(*index[family], node, found, percent)
+            if out:
+                yield rows(LINKS, *zip(*out))
+
+    return members.mapInArrow(run, "a binary, b binary")
+
+
+def _links_by_blocks(members: DataFrame, queries: DataFrame, percent: int, block_bytes: int) -> DataFrame:
+    """Any number of queries: a family's queries in blocks, its members in slices, each pair of them in a task."""
+    parts = lambda df, name: df.groupBy("family").agg(F.ceil(F.sum(F.length("shingles")) / block_bytes).alias(name))
+    plan = stored(parts(members, "slices").join(parts(queries, "blocks"), "family"), "plan")  # a row a family
+    dealt = lambda n: F.pmod(F.xxhash64("node", F.lit(7)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n).cast("int") - 1))
+    left = members.join(plan, "family").select("family", "node", "shingles", dealt("slices").alias("slice"), every("blocks").alias("block"))
+    right = queries.join(plan, "family").select(F.col("family").alias("q_family"), F.col("node").alias("q_node"), F.col("shingles").alias("q_shingles"), dealt("blocks").alias("q_block"), every("slices").alias("q_slice"))
+
+    def run(own: pa.Table, asked: pa.Table) -> pa.Table:
+        out = []
+        if own.num_rows and asked.num_rows:
+            nodes = asked.column("q_node").to_pylist()
+            index, groups = Queries(nodes, [np.frombuffer(x, np.uint64) for x in asked.column("q_shingles").to_pylist()]), Union(len(nodes))
+            for node, found in zip(own.column("node").to_pylist(), own.column("shingles").to_pylist()):
+                out += new_links(index, groups, node, found, percent)
+        return pa.table({"a": pa.array([x[0] for x in out], pa.binary()), "b": pa.array([x[1] for x in out], pa.binary())})
+
+    return left.groupBy("family", "slice", "block").cogroup(right.groupBy("q_family", "q_slice", "q_block")).applyInArrow(run, "a binary, b binary")
+
+
+def new_links(queries: Queries, groups: Union, node: bytes, found: bytes, percent: int) -> list[tuple[bytes, bytes]]:
+    """The member's links with queries, without those between queries that it has joined before."""
+    out, last = [], None
+    for j in queries.linked(np.frombuffer(found, np.uint64), percent).tolist():
+        if queries.nodes[j] != node and (last is None or groups.join(last, j)):
+            out.append((node, queries.nodes[j]))
+        last = j
     return out
 
 
@@ -308,11 +288,11 @@ def _large(sets: DataFrame, percent: int, pivots: int, block_bytes: int) -> Data
     if members.isEmpty():
         return members.select("node", F.col("node").alias("comp"))
     first = _links(members, members.where(F.pmod(F.xxhash64("node"), F.col("size")) < pivots), percent, block_bytes)
-    known = components(first)
-    placed = members.select("family", "node").join(known, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    placed = members.select("family", "node").join(components(first), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     main = placed.groupBy("family", "comp").agg(F.count("*").alias("n")).groupBy("family").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"))
     rest = stored(placed.join(main, "family").where("comp <> main").select("node"), "rest")
-    return components(first.unionByName(_links(members, members.join(rest, "node", "left_semi"), percent, block_bytes)))
+    queries = stored(members.join(rest, "node", "left_semi"), "queries")
+    return components(first.unionByName(_links(members, queries, percent, block_bytes)))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = 56, rows_a_band: int = 6, id_col: str = "doc_id", text_col: str = "text", family_size: int = 256, family_shingles: int = 1_000_000, pivots: int = 24, block_bytes: int = 24 << 20) -> DataFrame:
@@ -343,17 +323,18 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
     """The rows, all columns kept, whose id names its group; rows without an id stay.
 
-    Only rows that a fixed-size filter of the dropped ids suspects are shuffled for the exact test."""
+    Only rows that a filter of the dropped ids suspects are shuffled for the exact test."""
     dropped = near_duplicates(docs, id_col=id_col, **how).where("not kept and doc_id is not null").select(F.col("doc_id").alias("short")).distinct()
     dropped = stored(dropped, "dropped")
-    sent = docs.sparkSession.sparkContext.broadcast(_filter_of(dropped))
+    bitmap = filter_of(dropped)
+    if bitmap is None:
+        return docs
+    sent = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def suspected(wanted: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                ids = batch.column(id_col)
-                mask = present(sent.value, _bits(ids.cast(pa.int64()).fill_null(0)), MEMBER_BITS) & ids.is_valid().to_numpy(zero_copy_only=False)
-                yield batch.filter(pa.array(mask == wanted))
+                yield batch.filter(pa.array(known(sent.value, batch.column(id_col)) == wanted))
 
         return docs.mapInArrow(run, docs.schema)
 

@@ -135,9 +135,11 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_ro
 
     # The labels are bounded by max_rows, and so is what comes back.
     found = id_text(docs, id_col, text_col).join(F.broadcast(marked), "doc_id").select("doc_id", "mark", "text").mapInArrow(run, "doc_id long, mark int, x array<double>")
-    table = found.toArrow().sort_by("doc_id")
+    table = found.toArrow()
     x = np.asarray(table.column("x").combine_chunks().flatten()).reshape(table.num_rows, len(STATISTICS))
-    return fit(x, table.column("mark").to_numpy().astype(np.float64))
+    mark = table.column("mark").to_numpy().astype(np.float64)
+    order = np.lexsort((*x.T, mark, table.column("doc_id").to_numpy()))  # repeated ids too come in one order, so sums do not vary
+    return fit(x[order], mark[order])
 
 
 def score(docs: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
