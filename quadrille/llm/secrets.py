@@ -6,9 +6,12 @@ streams that they or escaped bytes carry: streams in streams, all members, and w
 already seen at the same place is not taken up again, so cycles end. Every character of a layer knows
 the span of the original it came from; findings are reported as spans of the original, in code points.
 
-Bounds: a compressed stream that unpacks to more than ``max_layer`` bytes is not opened but counted in
-``n_unopened``. Nothing else is limited. Defined results: null and empty texts have no findings; repeated
-rows each get their row.
+Nothing is left out: a stream that unpacks to more than ``PIECE`` bytes is read piece by piece, each a layer of
+its own, and the next piece is unpacked when the one before is done with. Pieces end where neither a secret nor a
+coded run can cross: at the end of a line that no base64 block goes on from, or, where lines do not end, at a
+punctuation mark, with the 64 KB before it read twice. A caller may set ``max_layer``: streams beyond it are then
+counted in ``n_unopened`` instead. Defined results: null and empty texts have no findings; repeated rows each get
+their row.
 """
 
 from __future__ import annotations
@@ -20,8 +23,8 @@ import hashlib
 import lzma
 import re
 import zlib
-from collections import deque
 from collections.abc import Iterator
+from itertools import chain
 from urllib.parse import unquote_to_bytes
 
 import numpy as np
@@ -90,12 +93,15 @@ def opener_of(data: bytes):
     return {b"\x1f\x8b": lambda: zlib.decompressobj(31), b"BZ": bz2.BZ2Decompressor, b"\xfd7": lzma.LZMADecompressor, b"\x28\xb5": lambda: zstandard.ZstdDecompressor().decompressobj()}.get(data[:2])
 
 
+ERRORS = (zlib.error, OSError, EOFError, lzma.LZMAError, zstandard.ZstdError, ValueError)
+
+
 def bytewise(stream, data: bytes, had: int) -> Iterator[bytes]:
     """What a damaged stream gives before the damage, without the first ``had`` bytes."""
     for i in range(len(data)):
         try:
             got = stream.decompress(data[i : i + 1])
-        except (zlib.error, OSError, EOFError, lzma.LZMAError, zstandard.ZstdError, ValueError):
+        except ERRORS:
             return
         yield got[had:]
         had = max(0, had - len(got))
@@ -116,7 +122,7 @@ def unpack(data: bytes, limit: int) -> tuple[list[bytes] | None, bytes]:
                 if stream.eof:
                     rest = stream.unused_data + data[i + 1024 :]
                     break
-        except (zlib.error, OSError, EOFError, lzma.LZMAError, zstandard.ZstdError, ValueError):
+        except ERRORS:
             out += bytewise(opener(), data, sum(map(len, out)))
             if not any(out):
                 break  # no stream after all
@@ -125,6 +131,102 @@ def unpack(data: bytes, limit: int) -> tuple[list[bytes] | None, bytes]:
     return members, data
 
 
+#: Bytes of a large stream that are held as one layer, and bytes read twice where a piece ends within a line.
+PIECE, OVERLAP = 4 << 20, 64 << 10
+#: The end of a line that a base64 block of several lines can have; marks that no secret has.
+BLOCK_LINE = re.compile(rb"[A-Za-z0-9+/=_-]{64}\r?\Z")
+MARKS = re.compile(rb"[,;{}()<>]")
+
+
+class Feed:
+    """Bytes that are taken step by step, and may be given back."""
+
+    def __init__(self, chunks: Iterator[bytes]):
+        self.chunks, self.held, self.whole = chunks, b"", False
+
+    def take(self, n: int) -> bytes:
+        while len(self.held) < n and (more := next(self.chunks, None)) is not None:
+            self.held += more
+        out, self.held = self.held[:n], self.held[n:]
+        return out
+
+    def peek(self, n: int) -> bytes:
+        out = self.take(n)
+        self.held = out + self.held
+        return out
+
+
+def member(feed: Feed, opener) -> Iterator[bytes]:
+    """What one member gives. Then the feed stands behind it (``whole``), at its end where the member is damaged, or
+    where it was if nothing came out."""
+    stream, taken = opener(), []
+    while not stream.eof and (data := feed.take(256)):
+        before = stream.copy() if hasattr(stream, "copy") else None
+        try:
+            got = stream.decompress(data)
+        except ERRORS:
+            got = b"".join(bytewise(before, data, 0)) if before else b""
+            if taken is not None and not got:
+                feed.held = b"".join(taken) + data + feed.held
+                return
+            yield got
+            while feed.take(1 << 16):
+                pass
+            return
+        if got:
+            taken = None
+            yield got
+        elif taken is not None:
+            taken.append(data)
+    feed.whole = stream.eof
+    feed.held = stream.unused_data + feed.held if stream.eof else b"".join(taken or []) + feed.held
+
+
+def opened(chunks: Iterator[bytes]) -> Iterator[bytes]:
+    """Bytes with the streams at their start opened, members and streams in them too; what stands behind comes last,
+    after a line end."""
+    feed, found = Feed(chunks), False
+    while (opener := opener_of(feed.peek(6))) is not None:
+        feed.whole, inner = False, member(feed, opener)
+        if (first := next(inner, None)) is None and not feed.whole:
+            break
+        found = True
+        if first is not None:
+            yield from opened(chain([first], inner))
+    if found and feed.peek(1):
+        yield b"\n"
+    yield from iter(lambda: feed.take(1 << 16), b"")
+
+
+def cut_of(held: bytes) -> tuple[int, int]:
+    """(end of the piece, start of the next one): after the last line that no base64 block goes on from; in one long
+    line at its last mark; 0 for no such place yet."""
+    end = held.rfind(b"\n")
+    while end >= 0:
+        if not BLOCK_LINE.search(held[max(0, end - 65) : end]):
+            return end + 1, end + 1
+        end = held.rfind(b"\n", 0, end)
+    if len(held) < 4 * PIECE:
+        return 0, 0
+    marks = [m.end() for m in MARKS.finditer(held, len(held) - PIECE)]
+    return (marks[-1], max(0, marks[-1] - OVERLAP)) if marks else (0, 0)
+
+
+def pieces(chunks: Iterator[bytes]) -> Iterator[bytes]:
+    """Bytes in pieces of about PIECE, or as long as the longest run that cannot be cut."""
+    held, look = bytearray(), PIECE
+    for chunk in chunks:
+        held += chunk
+        if len(held) >= look:
+            end, start = cut_of(bytes(held))
+            if end:
+                yield bytes(held[:end])
+                del held[:start]
+            look = max(PIECE, 2 * len(held))
+    if held:
+        yield bytes(held)
+
+
 def decoded(data: bytes) -> str:
     """data as text, without a character that its end cuts; empty if it is none."""
     try:
@@ -133,15 +235,18 @@ def decoded(data: bytes) -> str:
         return data[: e.start].decode("utf-8") if e.reason == "unexpected end of data" else ""
 
 
-def contents(data: bytes, limit: int) -> Iterator[str | None]:
-    """The texts that data holds, through any number of compressed streams; None for a stream that is not opened.
+def contents(data: bytes, limit: int | None) -> Iterator[str | None]:
+    """The texts that data holds, through any number of compressed streams; None for a stream beyond a stated limit.
     What comes out of a stream and is no UTF-8 is read byte by byte, so text among binary data is found."""
     seen, work = {data}, [(data, False)]
     while work:
         data, packed = work.pop()
-        members, rest = unpack(data, limit)
+        members, rest = unpack(data, PIECE if limit is None else limit)
         if members is None:
-            yield None
+            if limit is None:
+                yield from (decoded(piece) or piece.decode("latin-1") for piece in pieces(opened(iter([data]))))
+            else:
+                yield None
             continue
         if not members:
             if text := decoded(data) or (data.decode("latin-1") if packed else ""):
@@ -223,7 +328,7 @@ def spelled(text: str, start: int, token: re.Pattern, plus: int) -> tuple[bytes,
     return bytes(out), ends
 
 
-def spelled_streams(layer: Layer, limit: int) -> Iterator[Layer | None]:
+def spelled_streams(layer: Layer, limit: int | None) -> Iterator[Layer | None]:
     """The contents of compressed streams whose bytes are spelled with URL or \\x escapes and plain characters."""
     for sign, magic, token, pluses in (("%", PERCENT_MAGIC, PERCENT_TOKEN, b"+ "), ("\\x", HEX_MAGIC, HEX_TOKEN, b"+")):  # forms write a blank as +
         done = 0
@@ -232,11 +337,11 @@ def spelled_streams(layer: Layer, limit: int) -> Iterator[Layer | None]:
                 continue
             for plus in pluses:
                 form, ends = spelled(layer.text, m.start(), token, plus)
-                members, rest = unpack(form, limit)
-                if members is None:
+                members, rest = unpack(form, PIECE if limit is None else limit)
+                if members is None and limit is not None:
                     yield None
                     break
-                if any(members):
+                if members is None or any(members):
                     done = ends[len(form) - len(rest) - 1]
                     a, b = layer.origin(m.start(), done)
                     yield from whole_at(contents(form[: len(form) - len(rest)], limit), a, b)
@@ -247,7 +352,7 @@ def whole_at(texts: Iterator[str | None], a: int, b: int) -> Iterator[Layer | No
         yield text if text is None else Layer(text, np.full(len(text), a), np.full(len(text), b), np.ones(len(text), bool))
 
 
-def inner_layers(layer: Layer, limit: int) -> Iterator[Layer | None]:
+def inner_layers(layer: Layer, limit: int | None) -> Iterator[Layer | None]:
     """The layers one step further in; None for one that is not opened."""
     yield from spelled_streams(layer, limit)
     for pattern, decode in ((PERCENT, percent), (ESCAPE, unescape)):
@@ -265,28 +370,30 @@ def inner_layers(layer: Layer, limit: int) -> Iterator[Layer | None]:
         yield from whole_at(contents(data, limit), *layer.origin(*m.span()))
 
 
-def unwrap(text: str, limit: int) -> tuple[set[Span], int, int]:
-    """Findings in the layers below the text itself, number of layers, number not opened."""
+def unwrap(text: str, limit: int | None) -> tuple[set[Span], int, int]:
+    """Findings in the layers below the text itself, number of layers, number not opened. The worklist is a stack of
+    layers that are being unwrapped, so of a large stream one piece at a time is held."""
     found: set[Span] = set()
     seen: set[tuple[int, int, bytes]] = set()
     layers = unopened = 0
-    worklist = deque([whole(text)])
+    worklist = [inner_layers(whole(text), limit)]
     while worklist:
-        for new in inner_layers(worklist.popleft(), limit):
-            if new is None:
-                unopened += 1
-                continue
+        new = next(worklist[-1], False)
+        if new is False:
+            worklist.pop()
+        elif new is None:
+            unopened += 1
+        else:
             key = (*new.origin(0, len(new.text)), hashlib.sha256(new.text.encode("utf-8", "surrogatepass")).digest())
-            if key in seen:
-                continue
-            seen.add(key)
-            layers += 1
-            worklist.append(new)
-            found.update((*new.origin(start, end), kind) for start, end, kind in scan(new.text) if new.fresh[start:end].any())
+            if key not in seen:
+                seen.add(key)
+                layers += 1
+                found.update((*new.origin(start, end), kind) for start, end, kind in scan(new.text) if new.fresh[start:end].any())
+                worklist.append(inner_layers(new, limit))
     return found, layers, unopened
 
 
-def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_layer: int = 64 << 20) -> DataFrame:
+def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_layer: int | None = None) -> DataFrame:
     """Per document row: doc_id, counts and digest of the findings in the text itself, and ``spans`` of all findings."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

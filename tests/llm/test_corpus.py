@@ -101,6 +101,35 @@ def test_secrets_to_the_fixpoint(spark):
         assert a == len(before) and len(before) + len(text) - 3 <= b <= len(before) + len(text), (i, text, found[i])
 
 
+def test_secrets_in_large_streams(monkeypatch):
+    """Streams are read piece by piece: what small ones give is found in the midst of large ones too."""
+    import bz2
+    import lzma
+
+    rng = random.Random(17)
+    b64 = lambda data: base64.b64encode(data).decode()
+    filler = ("plain words and nothing else, line %d\n" * 400) % tuple(range(400))
+    wide = "a,b;" * 9000
+    secret = "secret='zzzzzzzzz'"
+    nested = b64(gzip.compress(secret.encode() + b" " + rng.randbytes(40)))
+    coded = b64(zlib.compress((filler[:900] + secret + words(rng, 200)).encode()))
+    mail = "\n".join(coded[i : i + 76] for i in range(0, len(coded), 76)) + "\n"
+    bodies = {"plain": secret, "nested": nested, "escaped": "p%61ssword%3Dhunter2abc", "mail": mail, "none": "nothing"}
+    pack = [gzip.compress, bz2.compress, lambda d: gzip.compress(bz2.compress(d)), lambda d: lzma.compress(d), lambda d: gzip.compress(d[:7000]) + gzip.compress(d[7000:]), lambda d: zlib.compress(d) + d]
+    monkeypatch.setattr(secrets, "PIECE", 1 << 12)
+    monkeypatch.setattr(secrets, "OVERLAP", 1 << 8)
+    for name, body in bodies.items():
+        for around in (filler, wide):
+            for p in pack:
+                text = "see " + b64(p((around + body + "\n" + around).encode())) + " end"
+                found, layers, unopened = secrets.unwrap(text, None)
+                assert not unopened and {(a, b, k) for a, b, k in found} == (set() if name == "none" else {(4, len(text) - 4, "assign")}), (name, around[:5], layers)
+    big = (filler + secret + "\n").encode() * 3
+    for damaged in (gzip.compress(big)[:-200], gzip.compress(big)[:-8] + bytes(8), b"x^" + filler.encode()):
+        assert not secrets.unwrap(b64(damaged), None)[2]
+    assert b"".join(secrets.opened(iter([gzip.compress(b"") + gzip.compress(b"abc") + b"rest"]))) == b"abc\nrest"
+
+
 # ---- quality model and rules ---------------------------------------------------------------------
 
 
