@@ -8,7 +8,8 @@
 
 What is shuffled is a few bytes a position and one entry a block and word, never a row a pre-token, so
 a very common word costs no more than a rare one, whatever its share of the rows. Blocks are bounded by
-``block_bytes`` of text (a longer document is a block of its own), buckets by their number.
+``block_bytes`` of text (a longer document is a block of its own). Buckets and the tasks of both shuffles grow
+with the bytes of the texts; a bucket is streamed, and the words a task remembers are bounded.
 
 Decoding is a map-side join with the token-byte table, whose size is the vocabulary's.
 
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from quadrille.llm.pretokens import pretokens
-from quadrille.llm.text import give_back, id_text, read_table, rows, slices
+from quadrille.llm.text import give_back, id_text, read_table, rows, slices, text_bytes
 
 #: key: where the first shuffle sends a row; block rows have doc_ids and counts, word rows local numbers and words.
 PARTS = pa.schema([("key", pa.int64()), ("block", pa.string()), ("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())), ("local", pa.binary()), ("lengths", pa.binary()), ("payload", pa.binary())])
@@ -65,6 +66,8 @@ def unpacked(data: bytes) -> np.ndarray:
     return out.view("<u4").reshape(-1)
 
 
+#: Text bytes a bucket of words has, and a task of a shuffle; most buckets there are; words a task remembers.
+BUCKET_BYTES, TASK_BYTES, MOST_BUCKETS, KNOWN_WORDS = 256 << 20, 64 << 20, 1 << 14, 1_000_000
 #: Codes that one byte and two bytes hold in packed positions; a frequent word's code is one of these.
 ONE, TWO = 192, 192 + 62 * 256
 
@@ -161,6 +164,8 @@ def _encode_words(batches: Iterator[pa.RecordBatch], ranks: dict[bytes, int], pa
     encode = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
     known: dict[bytes, list[int]] = {}
     for batch in batches:
+        if len(known) > KNOWN_WORDS:
+            known.clear()
         for i in range(batch.num_rows):
             row = batch.slice(i, 1)
             if row.column("doc_ids")[0].is_valid:
@@ -218,15 +223,21 @@ def _assemble(parts: pa.Table, table: dict[int, bytes] | None) -> pa.Table:
 
 
 def encode(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None, block_bytes: int = 16 << 20, decoded: bool = False) -> DataFrame:
-    """Per document row: doc_id, ids. path: the rank file; buckets: default by the session's shuffle partitions;
+    """Per document row: doc_id, ids. path: the rank file; buckets: by default from the bytes of the texts;
     decoded: add the bytes the ids decode to, as ``decode`` does, by the task that has the ids at hand."""
     spark = docs.sparkSession
     vocabulary = read_ranks(path or public_tokenizers.path("byte_bpe_50k.tiktoken"))
     ranks = spark.sparkContext.broadcast(vocabulary)
     table = spark.sparkContext.broadcast({rank: token for token, rank in vocabulary.items()} if decoded else None)
-    buckets = buckets or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = id_text(docs, id_col, text_col).mapInArrow(lambda batches: _split(batches, pattern, buckets, block_bytes), PARTS_DDL)
-    coded = parts.repartition("key").mapInArrow(lambda batches: _encode_words(batches, ranks.value, pattern), PARTS_DDL)
+    plain, usual = id_text(docs, id_col, text_col), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = text_bytes(plain)
+    buckets = buckets or max(2 * usual, min(MOST_BUCKETS, size // BUCKET_BYTES))
+    tasks = size // TASK_BYTES
+    dealt = lambda df, key: df.repartition(tasks, key) if tasks > usual else df.repartition(key)
+    parts = plain.mapInArrow(lambda batches: _split(batches, pattern, buckets, block_bytes), PARTS_DDL)
+    coded = dealt(parts, "key").mapInArrow(lambda batches: _encode_words(batches, ranks.value, pattern), PARTS_DDL)
+    if tasks > usual:
+        coded = coded.repartition(tasks, "block")
     return coded.groupBy("block").applyInArrow(lambda parts: _assemble(parts, table.value), TOKENS_DDL + (", decoded binary" if decoded else ""))
 
 

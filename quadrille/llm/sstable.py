@@ -11,7 +11,8 @@ Keys are ids as nine sortable bytes (null sorts first), prefix-compressed agains
 lookup asks the filter, finds the block by binary search in the sparse index, and scans one block.
 
 Documents go to shards by id ranges. Bounds come from approximate quantiles of the ids alone; an id that
-fills several ranges by itself is dealt over all of them, so no shard grows with a repeated id. Every
+fills several ranges by itself is dealt over all of them, so no shard grows with a repeated id. The number of
+shards grows with the bytes of the texts. Every
 task writes whole files under a temporary name and renames them, so a task that runs again replaces its
 own files. Files are written and read with pyarrow's file systems, in the shared folder.
 
@@ -43,15 +44,17 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tokenizers import Tokenizer
 
 from quadrille.llm.pretokens import pretokens
-from quadrille.llm.text import id_text, read_table, rows, scratch, slices, stored
+from quadrille.llm.text import id_text, read_table, rows, scratch, slices, stored, text_bytes
 
 MAGIC = b"QSST0001"
 FOOTER = struct.Struct("<QQQQQQB8s")
 BLOCK_BYTES = 64 << 10
+#: Text bytes that one shard holds about, once there is more than the session's partitions have.
+SHARD_BYTES = 512 << 20
 BLOOM_BITS_A_KEY, BLOOM_PROBES = 10, 7
 CODED = pa.schema([("doc_id", pa.int64()), ("tokens", pa.binary())])
 MANIFEST = pa.schema([("shard", pa.int64()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())])
-READ = pa.schema([("shard", pa.int64()), ("doc_id", pa.int64()), ("before", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
+READ = pa.schema([("doc_id", pa.int64()), ("before", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -222,16 +225,18 @@ class Encoder:
         pieces, at = [self.flat], len(self.flat)
         alike = np.array([w[:1] == b" " and w[1:].decode().isalpha() for w in words], bool)
         many = np.flatnonzero(alike)
+        odd = []
         for part in np.split(many, range(4096, len(many), 4096)) if len(many) else ():
             joined = b"".join(words[i] for i in part.tolist()).decode()
             ids = np.array(self.library.encode_batch_fast([joined], add_special_tokens=False)[0].ids, self.flat.dtype)
             first = np.flatnonzero(self.blank_first[ids])
-            if len(first) != len(part):
-                raise AssertionError("words were not split where they were joined")
+            if len(first) != len(part):  # not split where they were joined: encoded one by one
+                odd += part.tolist()
+                continue
             starts[part], lengths[part] = at + first, np.diff(first, append=len(ids))
             pieces.append(ids)
             at += len(ids)
-        rest = np.flatnonzero(~alike).tolist()
+        rest = np.flatnonzero(~alike).tolist() + odd
         for i, found in zip(rest, self.library.encode_batch_fast([words[i].decode() for i in rest], add_special_tokens=False)):
             pieces.append(np.array(found.ids, self.flat.dtype))
             starts[i], lengths[i] = at, len(found.ids)
@@ -296,8 +301,8 @@ def write_tokens(docs: DataFrame, folder: str, path: str | None = None, pattern:
     width = 2 if max(end_id, Tokenizer.from_str(spec).get_vocab_size()) < 1 << 16 else 4
     sent = spark.sparkContext.broadcast(spec)
     docs = id_text(docs, id_col, text_col)
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    quantiles = docs.select(F.percentile_approx("doc_id", [i / shards for i in range(1, shards)], 10_000)).first()[0] if shards > 1 else []
+    shards = shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), text_bytes(docs) // SHARD_BYTES)
+    quantiles = docs.select(F.percentile_approx("doc_id", [i / shards for i in range(1, shards)], max(10_000, 10 * shards))).first()[0] if shards > 1 else []
     bounds = np.array(quantiles or [], np.int64)
     schema, end = pa.schema([("shard", pa.int64()), *CODED]), np.array([end_id], f"<u{width}").tobytes()
 
@@ -352,8 +357,11 @@ def read_tokens(manifest: DataFrame, folder: str) -> DataFrame:
                     for doc_id, ids in Table(source):
                         out.append((doc_id, at, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
                         at += len(ids)
+                        if len(out) == 10_000:
+                            yield rows(READ, *zip(*out))
+                            out = []
                 if out:
-                    yield rows(pa.schema([*READ][1:]), *zip(*out))
+                    yield rows(READ, *zip(*out))
 
     files = manifest.repartition(max(1, len(totals)), "shard")
     return files.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")

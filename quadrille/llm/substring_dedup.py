@@ -30,8 +30,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from quadrille.llm.line_dedup import LAST, present, twice_filter, words64
-from quadrille.llm.text import BLANKS, blobs, id_text, read_table, rows, slices, stored
+from quadrille.llm.line_dedup import LAST, bits_for, present, twice_filter, words64
+from quadrille.llm.text import BLANKS, blobs, id_text, read_table, rows, slices, stored, text_bytes
 
 UNIT = re.compile(rb"[^.!?\n]+[.!?]*")
 UNITS = pa.schema([("doc_id", pa.int64()), ("rank", pa.int64()), ("text_key", pa.int64()), ("pos", pa.int32()), ("words", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("digest", pa.binary())])
@@ -119,10 +119,12 @@ def remove_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text
 
 
 WINDOW = 10
+#: Bytes of text for every chosen window, about: 6 a word, and 2 windows in WINDOW + 1 are chosen.
+SEED_BYTES = 33
 SEEDS = pa.schema([("rank", pa.int64()), ("text_key", pa.int64()), ("pos", pa.int32()), ("digest", pa.int64()), ("left", pa.binary()), ("right", pa.binary())])
 SEEDS_DDL = "rank long, text_key long, pos int, digest long, left binary, right binary"
-PASSAGES = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("n_units", pa.int64()), ("n_words", pa.int64()), ("first_doc_id", pa.int64())])
-PASSAGES_DDL = "doc_id long, text_key long, start long, end long, n_units long, n_words long, first_doc_id long"
+CUT = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("spans", pa.list_(pa.struct([(k, pa.int64()) for k in ("start", "end", "n_units", "n_words", "first_doc_id")]))), ("kept", pa.string())])
+CUT_DDL = "doc_id long, text_key long, spans array<struct<start:long,end:long,n_units:long,n_words:long,first_doc_id:long>>, kept string"
 #: Lower-case ASCII letters, and one kind of blank.
 PLAIN = bytes(32 if b in BLANKS else b + 32 if 65 <= b <= 90 else b for b in range(256))
 BASE = 0x9E3779B97F4A7C15
@@ -223,9 +225,11 @@ def passages(words: np.ndarray, parts: list[dict], gap: int, min_words: int) ->
     return [tuple(x) for x in out if x[3] >= min_words]
 
 
-def passage_spans(docs: DataFrame, min_words: int = 30, gap: int = 3, filter_bits: int = 1 << 27, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Passages to remove: doc_id, text_key, start, end, n_units, n_words (repeated ones), first_doc_id (of its first unit)."""
+def cut_passages(docs: DataFrame, min_words: int = 30, gap: int = 3, filter_bits: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Documents that lose passages: doc_id, text_key, spans (start, end, n_units, n_words that repeat, first_doc_id of
+    the first unit), and the text that is kept. Rows of the same id and text are one; other documents do not appear."""
     docs = id_text(docs, id_col, text_col)
+    filter_bits = filter_bits or bits_for(text_bytes(docs) // SEED_BYTES, each=8)
     found = stored(repeated_seeds(docs, filter_bits), "seeds")
     place = F.struct("rank", "text_key", "pos")
     first = found.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("rank", "text_key", "pos", "left", "right")).alias("first")).where("n > 1")
@@ -257,16 +261,30 @@ def passage_spans(docs: DataFrame, min_words: int = 30, gap: int = 3, filter_bit
                 spans = passages(words, own_parts, gap, min_words)
                 if spans:
                     points = np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)
+                    gone, kept, at = [], [], 0
                     for a, b, n, n_words, rank in spans:
-                        out.append((doc_id, key, int(points[starts[a] - 1]) if starts[a] else 0, int(points[ends[b - 1] - 1]), n, n_words, None if rank == LAST else rank))
+                        low, high = int(starts[a]), int(ends[b - 1])
+                        gone.append({"start": int(points[low - 1]) if low else 0, "end": int(points[high - 1]), "n_units": n, "n_words": n_words, "first_doc_id": None if rank == LAST else rank})
+                        kept.append(text[at:low])
+                        at = high
+                    out.append((doc_id, key, gone, (b"".join(kept) + text[at:]).decode()))
             if out:
-                yield rows(PASSAGES, *zip(*out))
+                yield rows(CUT, *zip(*out))
 
     texts = docs.mapInArrow(keyed, "doc_id long, text string, text_key long").withColumn("rank", F.coalesce("doc_id", F.lit(LAST)))
-    spans = texts.join(lists, ["rank", "text_key"]).select("doc_id", "text_key", "text", "parts").mapInArrow(run, PASSAGES_DDL)
-    return spans.dropDuplicates(["doc_id", "text_key", "start"])
+    once = texts.join(lists, ["rank", "text_key"]).dropDuplicates(["rank", "text_key"])
+    return once.select("doc_id", "text_key", "text", "parts").mapInArrow(run, CUT_DDL)
+
+
+def passage_spans(docs: DataFrame, **how) -> DataFrame:
+    """Passages to remove, one row each: doc_id, text_key, start, end, n_units, n_words (repeated ones), first_doc_id."""
+    return cut_passages(docs, **how).select("doc_id", "text_key", F.explode("spans").alias("s")).select("doc_id", "text_key", "s.*")
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The spans to remove, one row each; documents without any do not appear."""
-    return passage_spans(read_table(spark, sf_dir, "documents")).drop("text_key")
+    """The documents that lose passages: how many and how many repeated words, where (start:end:first document), and
+    the digest of what is kept. Other documents do not appear."""
+    cut = cut_passages(read_table(spark, sf_dir, "documents"))
+    places = F.transform("spans", lambda s: F.concat_ws(":", s["start"], s["end"], s["first_doc_id"]))
+    words = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s["n_words"])
+    return cut.select("doc_id", F.size("spans").cast("long").alias("n_spans"), words.alias("n_words"), F.array_join(places, ",").alias("spans"), F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))

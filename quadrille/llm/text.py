@@ -69,6 +69,11 @@ def id_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
 
 
+def text_bytes(docs: DataFrame, text_col: str = "text") -> int:
+    """Bytes of all texts, by which shuffles are sized: one pass that sums up lengths."""
+    return docs.agg(F.sum(F.octet_length(docs[text_col]))).first()[0] or 0
+
+
 def is_held_out(doc_id: Column) -> Column:
     """crc32 of the id as text, modulo 5, is 0."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
