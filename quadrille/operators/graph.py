@@ -11,21 +11,32 @@ def _print_of(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
+#: A hub's edges meet its minimum in so many parts.
+SALTS = 256
+
+
+def _with_least(edges: DataFrame) -> DataFrame:
+    """(u, v, m): every edge with the least v of its u. The minimum is pre-aggregated and goes to every salt that u's
+    edges have, so a hub's edges are dealt over SALTS keys; any other u has few edges."""
+    salted = edges.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
+    least = salted.groupBy("u").agg(F.min("v").alias("m"), F.collect_set("salt").alias("salts"))
+    return salted.join(least.select("u", "m", F.explode("salts").alias("salt")), ["u", "salt"]).select("u", "v", "m")
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
     """(node, comp) of every node with an edge to another one; comp is the component's smallest node.
 
-    Each round is written to the shared folder. Minima are pre-aggregated; a hub's edges then meet its minimum
-    in one task, as pairs of ids. Loops and edges with a null end are ignored; repeated edges count once."""
+    Each round is written to the shared folder. Minima are pre-aggregated, and a hub's edges do not meet in one
+    task. Loops and edges with a null end are ignored; repeated edges count once."""
     pairs = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where(F.col("a") != F.col("b"))
     now = stored(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     seen = _print_of(now)
     for _ in range(rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        lowest = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(lowest, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = stored(small.unionByName(lowest.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        large = _with_least(both).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+        # Every (u, v) goes on as (v, m), and u itself as (u, m).
+        small = _with_least(large).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        now = stored(small.distinct(), "edges")
         if (found := _print_of(now)) == seen:
             break
         seen = found
