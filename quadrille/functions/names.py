@@ -82,6 +82,11 @@ def building_key(name: Column) -> Column:
     return F.lower(F.regexp_replace(half_width(F.coalesce(name, F.lit(""))), "[\\s　・･]", ""))
 
 
+def place_key(name: Column) -> Column:
+    """Key of a photo's or a listed place's name: a building's key without brackets."""
+    return F.regexp_replace(building_key(name), "[（）()「」【】]", "")
+
+
 def names_agree(a: Column, b: Column, least: int = 3) -> Column:
     """Equal keys, or one within the other where both have ``least`` characters; empty keys never agree."""
     both = (F.length(a) >= least) & (F.length(b) >= least)

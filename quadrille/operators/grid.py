@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from quadrille.functions import geo
 from quadrille.operators.graph import labelled
 from quadrille.operators.spatial import first_hit
+from quadrille.storage import stored
 
 
 def line_cells(lines: DataFrame, size: float, points: str = "points") -> DataFrame:
@@ -86,7 +87,7 @@ def coverage_by_ward(cells: DataFrame) -> DataFrame:
 def clusters(cells: DataFrame, size: float, least: int = 3, weight: str | None = None) -> DataFrame:
     """Clusters of cells that touch by side or corner, of at least ``least`` cells: cluster, n, ward_id (the
     commonest, smaller on a tie), box of the cell centres, km2, total of ``weight``."""
-    named = cells.withColumn("node", F.format_string("%+09d%+09d", F.col("cx").cast("long"), F.col("cz").cast("long")))
+    named = stored(cells.withColumn("node", F.format_string("%+09d%+09d", F.col("cx").cast("long"), F.col("cz").cast("long"))), "cells")  # used three times
     near = around(named.select("cx", "cz", F.col("node").alias("a")), ["a"], centre=False)
     edges = near.join(named.select("cx", "cz", F.col("node").alias("b")), ["cx", "cz"]).select("a", "b")
     parts = labelled(named, edges)

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from quadrille.functions import geo
+from quadrille.functions.num import half_up
+from quadrille.operators.graph import components
 from quadrille.operators.resolve import mutual_best
-from quadrille.operators.spatial import near_pairs
+from quadrille.operators.spatial import box_pairs, near_pairs
+from quadrille.storage import stored
 
 
 def boundary_master(official: DataFrame, legacy: DataFrame, key: str = "key") -> DataFrame:
@@ -89,6 +94,110 @@ def pair_edges(segments: DataFrame) -> DataFrame:
     return best.select("a", "b", "score", "mutual", confidence.alias("confidence"))
 
 
+# Fixed values of road edges: segments' lengths in metres and points, the snapping of ends, crossroads.
+SEGMENT, SHORT, SHORT_POINTS, SNAP, CROSSROAD, CROSSROAD_RADIUS = 30.0, 66.0, 8, 0.75, 3, 10.0
+
+
+def edge_segments(lines: DataFrame, line_id: str = "line_id") -> DataFrame:
+    """(seg, parent, n, coords): lines of over eight points or 66 m cut at the points where 30 m are full; a rest
+    shorter than that is a segment too. Points stay as they are."""
+    at = lambda i: F.element_at(F.col("points"), i)
+    n = F.size("points")
+    start = F.struct(F.lit(0.0).alias("acc"), F.lit(1).alias("first"), F.array().cast("array<struct<a:int,b:int>>").alias("cuts"))
+
+    def walk(s: Column, i: Column) -> Column:
+        acc = s["acc"] + F.hypot(at(i)["x"] - at(i - 1)["x"], at(i)["z"] - at(i - 1)["z"])
+        full = (acc >= SEGMENT) | (i == n)
+        cut = F.array(F.struct(s["first"].alias("a"), i.alias("b")))
+        return F.struct(F.when(full, 0.0).otherwise(acc).alias("acc"), F.when(full, i).otherwise(s["first"]).alias("first"), F.when(full, F.concat(s["cuts"], cut)).otherwise(s["cuts"]).alias("cuts"))
+
+    short = (n <= SHORT_POINTS) & (geo.path_length(F.col("points")) <= SHORT)
+    cuts = F.when(short, F.array(F.struct(F.lit(1).alias("a"), n.alias("b")))).otherwise(F.aggregate(F.sequence(F.lit(2), n), start, walk)["cuts"])
+    cut = lines.where(n >= 2).select(F.col(line_id).alias("parent"), "points", F.posexplode(cuts).alias("n", "c"))
+    return cut.select(F.struct("parent", "n").alias("seg"), "parent", "n", F.slice("points", F.col("c.a"), F.col("c.b") - F.col("c.a") + 1).alias("coords"))
+
+
+def crossroads(lines: DataFrame) -> DataFrame:
+    """(x, z) of the places where the ends of three lines or more meet, to three quarters of a metre."""
+    ends = lines.where(F.size("points") >= 2).select(F.explode(F.array(F.element_at("points", 1), F.element_at("points", -1))).alias("p"))
+    snapped = ends.select(F.floor(F.col("p.x") / SNAP + 0.5).alias("gx"), F.floor(F.col("p.z") / SNAP + 0.5).alias("gz"))
+    return snapped.groupBy("gx", "gz").count().where(F.col("count") >= CROSSROAD).select((F.col("gx") * SNAP).alias("x"), (F.col("gz") * SNAP).alias("z"))
+
+
+def crossed_links(links: DataFrame, segments: DataFrame) -> DataFrame:
+    """Keys of links (key, a, b, x0, z0, x1, z1) that meet a piece of a third segment away from the ends of both."""
+    box = lambda x0, z0, x1, z1: F.struct(F.least(x0, x1).alias("x0"), F.least(z0, z1).alias("z0"), F.greatest(x0, x1).alias("x1"), F.greatest(z0, z1).alias("z1"))
+    pairs = F.zip_with(F.slice("coords", 1, F.size("coords") - 1), F.slice("coords", 2, F.size("coords")), lambda p, q: F.struct(p.alias("p"), q.alias("q")))
+    pieces = segments.select(F.col("seg").alias("third"), F.explode(pairs).alias("e")).select("third", "e", box(F.col("e.p.x"), F.col("e.p.z"), F.col("e.q.x"), F.col("e.q.z")).alias("e_box"))
+    both = box_pairs(links.withColumn("l_box", box(F.col("x0"), F.col("z0"), F.col("x1"), F.col("z1"))), pieces, "l_box", "e_box", 60.0).where((F.col("third") != F.col("a")) & (F.col("third") != F.col("b")))
+    lx, lz = F.col("x1") - F.col("x0"), F.col("z1") - F.col("z0")
+    ex, ez = F.col("e.q.x") - F.col("e.p.x"), F.col("e.q.z") - F.col("e.p.z")
+    det = lx * ez - lz * ex
+    t = F.try_divide((F.col("e.p.x") - F.col("x0")) * ez - (F.col("e.p.z") - F.col("z0")) * ex, det)
+    u = F.try_divide((F.col("e.p.x") - F.col("x0")) * lz - (F.col("e.p.z") - F.col("z0")) * lx, det)
+    inner = lambda v: (v > 0.05) & (v < 0.95)
+    return both.where((F.abs(det) >= 1e-9) & inner(t) & inner(u)).select("key").distinct()
+
+
+def edge_verdicts(lines: DataFrame, line_id: str = "line_id") -> DataFrame:
+    """Each segment's best partner across the road (smaller id on a tie), and what speaks for it: a, b, dist, parallel,
+    overlap, score, mutual, crossed (the link meets a third segment), near_crossroad, confidence."""
+    segments = stored(edge_segments(lines, line_id), "segments")
+    p, q = F.element_at("coords", 1), F.element_at("coords", -1)
+    span = F.hypot(q["x"] - p["x"], q["z"] - p["z"])
+    whole = F.when(span > 0, span).otherwise(1.0)
+    s = segments.select("seg", "parent", p.alias("p"), q.alias("q"), ((p["x"] + q["x"]) / 2).alias("mx"), ((p["z"] + q["z"]) / 2).alias("mz"), ((q["x"] - p["x"]) / whole).alias("ux"), ((q["z"] - p["z"]) / whole).alias("uz"))
+    a, b = (s.select(*(F.col(c).alias(f"{k}_{c}") for c in s.columns)) for k in "ab")
+    pairs = near_pairs(a, b, "a_mx", "a_mz", "b_mx", "b_mz", 45.0).where("a_parent <> b_parent and dist >= 3")
+    along = lambda k, e: F.col(f"{k}_{e}.x") * F.col("a_ux") + F.col(f"{k}_{e}.z") * F.col("a_uz")
+    low, high = (lambda k: F.least(along(k, "p"), along(k, "q"))), (lambda k: F.greatest(along(k, "p"), along(k, "q")))
+    shared = F.greatest(F.lit(0.0), F.least(high("a"), high("b")) - F.greatest(low("a"), low("b")))
+    shorter = F.least(high("a") - low("a"), high("b") - low("b"))
+    pairs = pairs.withColumns({"parallel": F.abs(F.col("a_ux") * F.col("b_ux") + F.col("a_uz") * F.col("b_uz")), "overlap": F.least(F.lit(1.0), shared / F.when(shorter != 0, shorter).otherwise(1.0))})
+    pairs = pairs.where("parallel >= 0.75 and overlap >= 0.35")
+    # The weights; 0.6 stands for support that is not known.
+    width = F.when(F.col("dist").between(4, 35), 1.0).otherwise(0.65)
+    score = half_up(0.32 * F.col("parallel") + 0.28 * F.col("overlap") + 0.20 * width + 0.20 * 0.6, 3)
+    facts = pairs.select(F.col("a_seg").alias("a"), F.col("b_seg").alias("b"), score.alias("score"), half_up(F.col("parallel"), 3).alias("parallel"), half_up(F.col("overlap"), 3).alias("overlap"), half_up(F.col("dist"), 2).alias("dist"), F.col("a_mx").alias("x0"), F.col("a_mz").alias("z0"), F.col("b_mx").alias("x1"), F.col("b_mz").alias("z1"))
+    best = stored(mutual_best(facts, "a", "b", "score"), "best")
+    crossed = crossed_links(best.select(F.col("a").alias("key"), "a", "b", "x0", "z0", "x1", "z1"), segments).select(F.col("key").alias("a"), F.lit(True).alias("crossed"))
+    ends = best.select("a", F.explode(F.array(F.struct(F.col("x0").alias("x"), F.col("z0").alias("z")), F.struct(F.col("x1").alias("x"), F.col("z1").alias("z")))).alias("m")).select("a", "m.x", "m.z")
+    close = near_pairs(ends, crossroads(lines).select(F.col("x").alias("cx"), F.col("z").alias("cz")), "x", "z", "cx", "cz", CROSSROAD_RADIUS).select("a").distinct().withColumn("near_crossroad", F.lit(True))
+    out = best.join(crossed, "a", "left").join(close, "a", "left").withColumns({c: F.coalesce(c, F.lit(False)) for c in ("crossed", "near_crossroad")})
+    strong = (F.col("score") >= 0.78) & (F.col("parallel") >= 0.88) & (F.col("overlap") >= 0.55)
+    confidence = (
+        F.when(F.col("crossed"), "reject")
+        .when(~F.col("mutual"), "low")
+        .when(F.col("near_crossroad"), "medium")
+        .when(strong, "high")
+        .when(F.col("score") >= 0.55, "medium")
+        .otherwise("low")
+    )
+    return out.select("a", "b", "dist", "parallel", "overlap", "score", "mutual", "crossed", "near_crossroad", confidence.alias("confidence"))
+
+
+def claim_edges(verdicts: DataFrame) -> DataFrame:
+    """(a, b, confidence) of the verdicts that stand: taken by segment, a segment that is used or rejected takes no
+    part any more. Only segments that best partners chain together are decided in one task."""
+    key = lambda c: F.format_string("%020d/%010d", F.col(c)["parent"].cast("long"), F.col(c)["n"].cast("int"))
+    v = verdicts.select(key("a").alias("ka"), key("b").alias("kb"), "a", "b", "confidence")
+    groups = components(v.select(F.col("ka").alias("a"), F.col("kb").alias("b"))).withColumnRenamed("node", "ka")
+
+    def decide(pdf: pd.DataFrame) -> pd.DataFrame:
+        gone, kept = set(), []
+        for r in pdf.sort_values("ka").itertuples(index=False):
+            if r.ka in gone or r.kb in gone:
+                continue
+            gone.add(r.ka)
+            if r.confidence != "reject":
+                gone.add(r.kb)
+            kept.append(r.ka)
+        return pd.DataFrame({"ka": kept}, dtype=object)
+
+    kept = v.select("ka", "kb", "confidence").join(groups, "ka").groupBy("comp").applyInPandas(decide, "ka string")
+    return v.join(kept, "ka", "left_semi").select("a", "b", "confidence")
+
+
 def transfers(stations: DataFrame, radius: float = 260) -> DataFrame:
     """(station_id, operators, importance): other operators' stations within reach."""
     b = stations.select(F.col("station_id").alias("b"), F.col("operator").alias("op"), F.col("x").alias("bx"), F.col("z").alias("bz"))

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from quadrille.operators.graph import components, labelled
 from quadrille.operators.spatial import near_pairs
+from quadrille.storage import stored
 
 
 def greedy_dedupe(items: DataFrame, pairs: DataFrame, id_col: str = "id", order: str = "ord", rank: str = "rank") -> DataFrame:
@@ -108,7 +109,12 @@ def smooth_widths(series: DataFrame, key: str, order: str, width: str) -> DataFr
 
 
 def anchors(items: DataFrame, key: str, radius: float) -> DataFrame:
-    """Of same-key items, taken by ``ord``, those that are farther than ``radius`` from all kept before."""
+    """Of same-key items, taken by ``ord``, those that are farther than ``radius`` from all kept before. Only items
+    that near ones of their key chain together are decided in one task; an item alone stays."""
+    own = items.select(key, "id", "ord", "x", "z")
+    other = own.select(F.col(key).alias("_key"), F.col("id").alias("b"), F.col("x").alias("bx"), F.col("z").alias("bz"))
+    near = near_pairs(own, other, "x", "z", "bx", "bz", radius).where(F.col(key).eqNullSafe(F.col("_key")) & (F.col("id") < F.col("b"))).select(F.col("id").alias("a"), "b")
+    groups = stored(components(near).withColumnRenamed("node", "id"), "groups")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         kept: list = []
@@ -117,7 +123,8 @@ def anchors(items: DataFrame, key: str, radius: float) -> DataFrame:
                 kept.append(r)
         return pd.DataFrame({"id": [k.id for k in kept]})
 
-    return items.select(key, "id", "ord", "x", "z").groupBy(key).applyInPandas(run, "id long")
+    crowded = own.join(groups, "id").groupBy("comp").applyInPandas(run, "id long")
+    return own.join(groups, "id", "left_anti").select("id").unionByName(crowded)
 
 
 def place_labels(candidates: DataFrame, view: str = "view", columns: int = 8, rows: int = 6, per_cell: int = 4, cap: int = 120) -> DataFrame:

@@ -41,6 +41,14 @@ cov AS (
 gaps AS (SELECT *, NOT covered AND road > 30 AND NOT (in_park OR rail > 40) AS gap FROM cov)
 """
 
+#: Components of uncovered cells: every cell's least reachable cell.
+CLUSTERS = GRID.replace("WITH ", "WITH RECURSIVE ", 1) + """, open AS (SELECT cx, cz, row_number() OVER (ORDER BY cx, cz) AS i FROM cov WHERE NOT covered),
+hop AS (SELECT a.i AS a, b.i AS b FROM open a JOIN open b ON abs(a.cx - b.cx) <= 1 AND abs(a.cz - b.cz) <= 1),
+reach(i, root) AS (SELECT i, i FROM open UNION SELECT hop.b, r.root FROM reach r JOIN hop ON r.i = hop.a AND hop.b > r.root),
+comp AS (SELECT i, min(root) AS root FROM reach GROUP BY 1),
+clusters AS (SELECT count(*) AS n, CAST(min((cx + 0.5) * 500) AS DOUBLE) AS x0, CAST(max((cx + 0.5) * 500) AS DOUBLE) AS x1, CAST(min((cz + 0.5) * 500) AS DOUBLE) AS z0, CAST(max((cz + 0.5) * 500) AS DOUBLE) AS z1, floor(count(*) * 500 * 500 / 1e6 * 1000 + 0.5) / 1000 AS km2 FROM open JOIN comp USING (i) GROUP BY root HAVING count(*) >= 3)
+"""
+
 
 def _parts(spark, sf):
     return spatial.polygons(views.wards(spark, sf))
@@ -106,7 +114,7 @@ def road_density(spark, sf):
     return grid.density(_parts(spark, sf), _buildings(spark, sf), views.lines(spark, sf), views.pts(spark, sf), [(-3000, -3000, 3000, 3000)], SIZE, 1, 200.0)
 
 
-@query("q_5_15_gap_clusters")
+@query("q_5_15_gap_clusters", CLUSTERS + "SELECT n, x0, x1, z0, z1, km2 FROM clusters")
 def gap_clusters(spark, sf):
     cells = _coverage(spark, sf).where("not covered").select("cx", "cz", "x", "z", "ward_id")
     return grid.clusters(cells, SIZE, 3).select("n", "x0", "x1", "z0", "z1", "km2")

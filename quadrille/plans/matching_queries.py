@@ -154,7 +154,9 @@ def place_scores(spark, sf):
     return matching.place_scores(p, _targets(spark, sf).select("target_id", "tx", "tz")).select("base", "n", "near", "score")
 
 
-@query("q_5_16_parallel_merge")
+@query("q_5_16_parallel_merge", WITH.replace("WITH ", "WITH RECURSIVE ", 1) + """, edge AS (SELECT a.rect_id AS a, b.rect_id AS b FROM rects a JOIN rects_b b ON a.rect_id <> b.rect_id AND a.type = b.type AND a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.z0 <= b.z1 AND b.z0 <= a.z1),
+both_ways AS (SELECT a, b FROM edge UNION ALL SELECT b, a FROM edge), reach(node, root) AS (SELECT rect_id, rect_id FROM rects UNION SELECT e.b, r.root FROM reach r JOIN both_ways e ON r.node = e.a), comp AS (SELECT node, min(root) AS comp FROM reach GROUP BY 1)
+SELECT comp, count(*) AS n, arg_max(node, area * 1e9 - node) AS kept FROM comp JOIN rects ON node = rect_id GROUP BY 1""")
 def parallel_merge(spark, sf):
     """Rectangles of one type that nearly coincide are one; the largest of each group stays."""
     a = views.rects(spark, sf).select(F.col("rect_id").alias("a"), F.col("box").alias("ab"), F.col("type").alias("ta"))
@@ -221,14 +223,6 @@ def base_towns(spark, sf):
     return read_table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), names.base_town(pick(["本町一丁目", "北12丁目", "中之島２丁目", "plain"], F.col("c_custkey"))).alias("base"))
 
 
-@query("q_10_02_plane_rectangular")
-def plane_rectangular(spark, sf):
-    """Zone 6; a test holds it against published values."""
-    k = F.col("c_custkey")
-    p = matching.plane_rectangular(34.6 + (k % 100) / 1000.0, 135.5 + (k % 77) / 1000.0, 36.0, 136.0)
-    return read_table(spark, sf, "customer").select(k.alias("id"), p.alias("p")).select("id", half_up(F.col("p.n"), 3).alias("n"), half_up(F.col("p.e"), 3).alias("e"))
-
-
 @query("q_10_11_orientation_difference", WITH + """
 SELECT rect_id, abs(CASE WHEN w >= h THEN 0::DOUBLE ELSE 90::DOUBLE END - (rect_id % 180)) % 90 AS raw, least(abs(CASE WHEN w >= h THEN 0::DOUBLE ELSE 90::DOUBLE END - (rect_id % 180)) % 90, 90 - abs(CASE WHEN w >= h THEN 0::DOUBLE ELSE 90::DOUBLE END - (rect_id % 180)) % 90) AS turn FROM rects WHERE w <> h""")
 def orientation_difference(spark, sf):

@@ -260,7 +260,10 @@ def mutual(spark, sf):
     return best.select("a_id", "b_id", "score", "mutual", confidence.alias("confidence"))
 
 
-@query("q_4_15_overlap_components")
+@query("q_4_15_overlap_components", PAIRS.replace("WITH ", "WITH RECURSIVE ", 1) + """, edge AS (SELECT 'a' || a_id AS a, 'b' || b_id AS b FROM pair WHERE shared > 0 AND dist <= 20), both_ways AS (SELECT a, b FROM edge UNION ALL SELECT b, a FROM edge),
+reach(node, root) AS (SELECT a, a FROM both_ways UNION SELECT e.b, r.root FROM reach r JOIN both_ways e ON r.node = e.a), comp AS (SELECT node, min(root) AS component FROM reach GROUP BY 1),
+side AS (SELECT component, count(*) FILTER (WHERE node LIKE 'a%') AS n_a, count(*) FILTER (WHERE node LIKE 'b%') AS n_b FROM comp GROUP BY 1)
+SELECT component, n_a, n_b, CASE WHEN n_a = 1 AND n_b = 1 THEN 'ONE_TO_ONE' WHEN n_a = 1 THEN 'ONE_TO_MANY' WHEN n_b = 1 THEN 'MANY_TO_ONE' ELSE 'COMPLEX' END AS kind FROM side""")
 def overlap_components(spark, sf):
     """Groups of rectangles that touch, with how many of either side: one-to-one, one-to-many and so on."""
     pairs = _pairs(spark, sf).where("shared > 0 and dist <= 20")

@@ -1,8 +1,9 @@
 """Readers for the file kinds of the job, as DataFrames.
 
 Text kinds use Spark's own readers. Binary kinds that Spark does not know are read with ``binaryFile`` and
-small parsers in tasks, one file a row, so they suit files that a task can hold; large OSM extracts have a
-source of their own (``osm``).
+small parsers in tasks, one file a row, so they suit files that a task can hold (Spark's own limit is 2 GB);
+rows leave a task in pieces, whatever a file holds. Large OSM extracts have a source of their own (``osm``).
+Parsers take (path, content) rows, so they also work on files that come out of archives or tables.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import re
 import struct
 import zipfile
 from collections.abc import Callable, Iterator
+from itertools import islice
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -20,21 +22,30 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 
-def _files(spark: SparkSession, path: str, parse: Callable[[str, bytes], Iterator[tuple]], schema: str, pattern: str | None = None) -> DataFrame:
-    """Rows that ``parse(path, content)`` gives for every file."""
+#: Rows that leave a parser at once.
+PIECE = 10_000
+
+
+def contents(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
+    """(path, content) of every file."""
     reader = spark.read.format("binaryFile")
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
+    return reader.load(path).select("path", "content")
+
+
+def parsed(files: DataFrame, parse: Callable[[str, bytes], Iterator[tuple]], schema: str) -> DataFrame:
+    """(file, ...) rows that ``parse(path, content)`` gives for every (path, content) row."""
     names = [f.split()[0] for f in re.split(r",\s*(?![^<]*>)", schema)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for file, content in zip(batch["path"], batch["content"]):
-                rows = [(file, *row) for row in parse(file, content)]
-                if rows:
-                    yield pd.DataFrame(rows, columns=["file", *names])
+                rows = ((file, *row) for row in parse(file, content))
+                while piece := list(islice(rows, PIECE)):
+                    yield pd.DataFrame(piece, columns=["file", *names])
 
-    return reader.load(path).select("path", "content").mapInPandas(run, f"file string, {schema}")
+    return files.select("path", "content").mapInPandas(run, f"file string, {schema}")
 
 
 def read_optional_json(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
@@ -71,15 +82,22 @@ def read_feature_lines(spark: SparkSession, path: str, schema: str) -> DataFrame
 
 def read_json_lines(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """(good rows, broken lines): broken lines are counted, not fatal."""
-    df = spark.read.schema(f"{schema}, _bad string").option("columnNameOfCorruptRecord", "_bad").json(path).cache()
-    return df.where("_bad is null").drop("_bad"), df.where("_bad is not null").select("_bad")
+    lines = spark.read.text(path).where("trim(value) <> ''")
+    rows = lines.select(F.from_json("value", f"{schema}, _bad string", {"columnNameOfCorruptRecord": "_bad"}).alias("r")).select("r.*")
+    return rows.where("_bad is null").drop("_bad"), rows.where("_bad is not null").select("_bad")
 
 
 def read_tiles(spark: SparkSession, path: str, schema: str, id_col: str = "id") -> DataFrame:
     """Features of all tile files, each once: the first by file."""
-    tiles = spark.read.schema(f"features array<struct<{schema}>>").option("pathGlobFilter", "tile_*.json").json(path, multiLine=True).withColumn("_file", F.input_file_name())
-    rows = tiles.where(F.regexp_extract("_file", r"/tile_(-?\d+)_(-?\d+)\.json$", 0) != "").select("_file", F.explode("features").alias("f"))
-    return rows.groupBy(F.col(f"f.{id_col}")).agg(F.min_by("f", "_file").alias("f")).select("f.*")
+    text = spark.read.option("pathGlobFilter", "tile_*.json").text(path, wholetext=True)
+    return tile_features(text.select(F.input_file_name().alias("path"), "value"), schema, id_col)
+
+
+def tile_features(tiles: DataFrame, schema: str, id_col: str = "id") -> DataFrame:
+    """Features of (path, value) tile documents, each once: the first by path. Files with another name are passed over."""
+    named = tiles.where(F.regexp_extract("path", r"(^|/)tile_(-?\d+)_(-?\d+)\.json$", 0) != "")
+    rows = named.select("path", F.explode(F.from_json("value", f"struct<features:array<struct<{schema}>>>")["features"]).alias("f"))
+    return rows.groupBy(F.col(f"f.{id_col}")).agg(F.min_by("f", "path").alias("f")).select("f.*")
 
 
 def decode_strictly(content: bytes, tokens: list[str], charset: str | None = None) -> tuple[str, str] | None:
@@ -97,12 +115,15 @@ def decode_strictly(content: bytes, tokens: list[str], charset: str | None = Non
 
 def read_text_strictly(spark: SparkSession, path: str, tokens: list[str]) -> DataFrame:
     """(file, charset, text, ok): never a lossy replacement; ok is false where no charset fits."""
+    return texts_strictly(contents(spark, path), tokens)
+
 
+def texts_strictly(files: DataFrame, tokens: list[str]) -> DataFrame:
     def parse(_: str, content: bytes) -> Iterator[tuple]:
         found = decode_strictly(content, tokens)
         yield (*found, True) if found else (None, None, False)
 
-    return _files(spark, path, parse, "charset string, text string, ok boolean")
+    return parsed(files, parse, "charset string, text string, ok boolean")
 
 
 def sheet_rows(content: bytes, sheet: str | int = 0) -> Iterator[tuple[str, int, list[str]]]:
@@ -131,10 +152,19 @@ def sheet_rows(content: bytes, sheet: str | int = 0) -> Iterator[tuple[str, int,
 
 
 def read_workbook(spark: SparkSession, path: str, sheet: str | int = 0) -> DataFrame:
-    return _files(spark, path, lambda _, content: sheet_rows(content, sheet), "sheet string, row_no long, cells array<string>")
+    return workbook_rows(contents(spark, path), sheet)
+
+
+def workbook_rows(files: DataFrame, sheet: str | int = 0) -> DataFrame:
+    """(file, sheet, row_no, cells) of a sheet of every workbook."""
+    return parsed(files, lambda _, content: sheet_rows(content, sheet), "sheet string, row_no long, cells array<string>")
 
 
 def read_archive(spark: SparkSession, path: str, with_content: bool = False) -> DataFrame:
+    return archive_entries(contents(spark, path), with_content)
+
+
+def archive_entries(files: DataFrame, with_content: bool = False) -> DataFrame:
     """Entries of ZIP files: name, size, and the content on demand."""
 
     def parse(_: str, content: bytes) -> Iterator[tuple]:
@@ -142,7 +172,7 @@ def read_archive(spark: SparkSession, path: str, with_content: bool = False) ->
             for e in z.infolist():
                 yield e.filename, e.file_size, z.read(e) if with_content else None
 
-    return _files(spark, path, parse, "entry string, size long, content binary")
+    return parsed(files, parse, "entry string, size long, content binary")
 
 
 def shape_rows(shp: bytes) -> Iterator[tuple[int, list[list[float]]]]:
@@ -177,9 +207,13 @@ def dbf_rows(dbf: bytes, charset: str = "cp932") -> Iterator[tuple[int, dict[str
 
 def read_shapefile(spark: SparkSession, path: str, charset: str = "cp932") -> DataFrame:
     """(record, parts, attributes): polygons joined with their table by file stem and record number."""
+    return shapes_with_facts(contents(spark, path, "*.shp"), contents(spark, path, "*.dbf"), charset)
+
+
+def shapes_with_facts(shp: DataFrame, dbf: DataFrame, charset: str = "cp932") -> DataFrame:
     stem = F.regexp_replace("file", r"\.[^.]*$", "")
-    shapes = _files(spark, path, lambda _, c: shape_rows(c), "record long, parts array<array<double>>", "*.shp").withColumn("stem", stem)
-    facts = _files(spark, path, lambda _, c: dbf_rows(c, charset), "record long, attributes map<string,string>", "*.dbf").withColumn("stem", stem)
+    shapes = parsed(shp, lambda _, c: shape_rows(c), "record long, parts array<array<double>>").withColumn("stem", stem)
+    facts = parsed(dbf, lambda _, c: dbf_rows(c, charset), "record long, attributes map<string,string>").withColumn("stem", stem)
     return shapes.join(facts, ["stem", "record"]).select("stem", "record", "parts", "attributes")
 
 
@@ -231,7 +265,10 @@ def element_query(box: tuple[float, float, float, float], selectors: list[str],
 
 def read_embedded(spark: SparkSession, path: str, name: str, schema: str) -> DataFrame:
     """Rows of a JSON array that a page assigns to a constant (``const NAME = [...];``)."""
-    pages = spark.read.text(path, wholetext=True)
+    return embedded_rows(spark.read.text(path, wholetext=True), name, schema)
+
+
+def embedded_rows(pages: DataFrame, name: str, schema: str) -> DataFrame:
     found = F.regexp_extract("value", rf"(?s)\b{name}\s*=\s*(\[.*?\])\s*;", 1)
     return pages.select(F.explode(F.from_json(found, f"array<struct<{schema}>>")).alias("r")).select("r.*")
 
@@ -266,7 +303,11 @@ def tiff_header(content: bytes) -> Iterator[tuple]:
 
 
 def read_tiff_headers(spark: SparkSession, path: str) -> DataFrame:
-    return _files(spark, path, lambda _, content: tiff_header(content), "width long, height long, size_x double, size_y double, origin_x double, origin_y double")
+    return tiff_rows(contents(spark, path))
+
+
+def tiff_rows(files: DataFrame) -> DataFrame:
+    return parsed(files, lambda _, content: tiff_header(content), "width long, height long, size_x double, size_y double, origin_x double, origin_y double")
 
 
 def heading_columns(cells: DataFrame, wanted: dict[str, list[str]], row_no: str = "row_no") -> dict[str, int]:
@@ -286,3 +327,142 @@ def heading_columns(cells: DataFrame, wanted: dict[str, list[str]], row_no: str
                 if name not in found and any(holds(clean(cell), a) or holds(spread[i] + clean(cell), a) for a in aliases):
                     found[name] = i
     return found
+
+
+def polygons_of(parts: Column) -> Column:
+    """Rings (flat coordinates) of one shape as ARRAY<STRUCT<outer, holes>>: a ring within an even number of larger
+    ones is an outline, one within an odd number is a hole of the smallest outline around it. Rings of no area go.
+    A ring's place is that of its first point, and what touches an edge from within counts as inside."""
+    from quadrille.functions import geo
+
+    ring = lambda flat: F.transform(F.sequence(F.lit(1), (F.size(flat) / 2).cast("int")), lambda i: geo.point(F.element_at(flat, i * 2 - 1), F.element_at(flat, i * 2)))
+    open_ = lambda r: F.when((F.size(r) > 1) & (F.element_at(r, 1) == F.element_at(r, -1)), F.slice(r, 1, F.size(r) - 1)).otherwise(r)
+    rows = F.transform(parts, lambda f: F.struct(geo.area(open_(ring(f))).alias("area"), open_(ring(f)).alias("ring")))
+    rows = F.filter(rows, lambda r: (F.size(r["ring"]) >= 3) & (r["area"] > 0))
+    around = lambda r: F.filter(rows, lambda o: (o["area"] > r["area"]) & geo.in_ring(r["ring"][0]["x"], r["ring"][0]["z"], o["ring"]))
+    deep = F.transform(rows, lambda r: F.struct(r["ring"].alias("ring"), F.size(around(r)).alias("depth"), F.array_min(F.transform(around(r), lambda o: o["area"])).alias("parent"), r["area"].alias("area")))
+    holes = lambda o: F.transform(F.filter(deep, lambda r: (r["depth"] == o["depth"] + 1) & (r["parent"] == o["area"]) & geo.in_ring(r["ring"][0]["x"], r["ring"][0]["z"], o["ring"])), lambda r: r["ring"])
+    return F.transform(F.filter(deep, lambda r: r["depth"] % 2 == 0), lambda o: F.struct(o["ring"].alias("outer"), holes(o).alias("holes")))
+
+
+# ---- GeoJSON ---------------------------------------------------------------------------------------
+
+
+def geometry_of(text: Column) -> Column:
+    """A geometry's text as struct<type, point, polygons>; the coordinates of a polygon are one polygon."""
+    rings = "array<array<array<double>>>"
+    kind = F.get_json_object(text, "$.type")
+    at = F.get_json_object(text, "$.coordinates")
+    polygons = F.when(kind == "Polygon", F.array(F.from_json(at, rings))).when(kind == "MultiPolygon", F.from_json(at, f"array<{rings}>"))
+    return F.struct(kind.alias("type"), F.when(kind == "Point", F.from_json(at, "array<double>")).alias("point"), polygons.alias("polygons"), F.coalesce(at.startswith("["), F.lit(False)).alias("listed"))
+
+
+def geometry_problem(text: Column, points: bool = False) -> Column:
+    """What is wrong with a geometry's structure; null for nothing. points: whether a single point will do."""
+    g = geometry_of(text)
+    bad_point = lambda p: p.isNull() | (F.size(p) < 2) | F.exists(F.slice(p, 1, 2), lambda v: v.isNull() | F.isnan(v))
+    bad_ring = lambda r: r.isNull() | (F.size(r) == 0) | F.exists(r, bad_point)
+    empty = F.exists(g["polygons"], lambda p: p.isNull())
+    return (
+        F.when(g["type"].isNull() & ~g["listed"], "no-geometry")
+        .when(~g["listed"], "no-coordinates")
+        .when((g["type"] == "Point") & F.lit(not points), "point-not-allowed")
+        .when((g["type"] == "Point") & bad_point(g["point"]), "bad-point")
+        .when(g["type"] == "Point", None)
+        .when(~F.coalesce(g["type"].isin("Polygon", "MultiPolygon"), F.lit(False)), "unknown-type")
+        .when(g["polygons"].isNull() | empty, "no-coordinates")
+        .when(F.exists(g["polygons"], lambda p: F.exists(p, bad_ring)), "bad-ring")
+    )
+
+
+def geometry_rings(text: Column, lat0: float, lon0: float) -> Column:
+    """All rings of a sound geometry in metres, outlines and holes in one list; a point is a ring of one."""
+    from quadrille.functions import geo
+
+    g = geometry_of(text)
+    local = lambda p: geo.to_local(p[1], p[0], lat0, lon0)
+    return F.when(g["type"] == "Point", F.array(F.array(local(g["point"])))).otherwise(F.transform(F.flatten(g["polygons"]), lambda r: F.transform(r, local)))
+
+
+def merged_geometry(text: Column) -> Column:
+    """An aggregate: the polygons of a group's sound geometries as one MultiPolygon. A group is one area's features."""
+    return F.to_json(F.struct(F.lit("MultiPolygon").alias("type"), F.flatten(F.collect_list(geometry_of(text)["polygons"])).alias("coordinates")))
+
+
+# ---- road areas, building levels, knowledge base -----------------------------------------------------
+
+# Codes of the published lists.
+ROAD_CLASSES = {
+    "1": "expressway", "2": "national", "3": "prefectural", "4": "municipal", "10": "buildingStandardAct", "11": "buildingStandardAct", "12": "buildingStandardAct",
+    "13": "buildingStandardAct", "14": "buildingStandardAct", "15": "buildingStandardAct", "9000": "unsurveyed", "9010": "outOfScope", "9020": "unknown",
+}
+ROAD_STRUCTURES = {"1": "ground", "2": "elevated", "3": "bridge", "4": "intersection", "5": "underpass", "6": "tunnel", "7": "elevated", "9": "unknown"}
+LEAST_ROAD, MOST_ROAD = 1.0, 600_000.0
+
+
+def read_road_areas(spark: SparkSession, path: str, lat0: float, lon0: float) -> DataFrame:
+    """Roads of a CityGML document: id, admin_class, structure, subsurface, rings (outlines of the level-1 surface,
+    metres), area, problem (null: usable). Three numbers a position: latitude, longitude, height."""
+    from quadrille.functions import geo
+    from quadrille.functions.classify import lookup
+
+    ring = "struct<`gml:LinearRing`:struct<`gml:posList`:string>>"
+    member = f"struct<`gml:Polygon`:struct<`gml:exterior`:{ring}>>"
+    schema = f"`_gml:id` string, `tran:function` string, `uro:sectionType` string, `tran:lod1MultiSurface` struct<`gml:MultiSurface`:struct<`gml:surfaceMember`:array<{member}>>>"
+    df = read_gml(spark, path, "tran:Road", schema)
+    lists = F.transform(F.col("`tran:lod1MultiSurface`.`gml:MultiSurface`.`gml:surfaceMember`"), lambda m: m["gml:Polygon"]["gml:exterior"]["gml:LinearRing"]["gml:posList"])
+    df = df.select(
+        F.col("`_gml:id`").alias("id"), F.trim("`tran:function`").alias("f"), F.trim("`uro:sectionType`").alias("s"),
+        F.filter(F.transform(lists, lambda t: F.transform(positions(t, 3), lambda p: geo.to_local(p["a"], p["b"], lat0, lon0, south=True))), lambda r: F.size(r) >= 3).alias("rings"),
+    )
+    areas = F.transform("rings", geo.area)
+    structure = F.when(F.col("s").isNull(), "unknown").otherwise(lookup(F.col("s"), ROAD_STRUCTURES, "unknown"))
+    odd = F.exists("rings", lambda r: F.exists(r, lambda p: p["x"].isNull() | p["z"].isNull()))
+    problem = (
+        F.when(F.coalesce(F.size("rings"), F.lit(-1)) <= 0, "no-exterior-ring")
+        .when(odd, "non-finite")
+        .when(F.exists(areas, lambda a: a < LEAST_ROAD), "zero-area")
+        .when(F.exists(areas, lambda a: a > MOST_ROAD), "giant-polygon")
+    )
+    return df.select(
+        "id", F.when(F.col("f").isNull(), "unknown").otherwise(lookup(F.col("f"), ROAD_CLASSES, "unknown")).alias("admin_class"), structure.alias("structure"), (structure == "tunnel").alias("subsurface"),
+        "rings", F.aggregate(areas, F.lit(0.0), lambda acc, a: acc + a).alias("area"), problem.alias("problem"),
+    )
+
+
+def read_building_levels(spark: SparkSession, path: str) -> DataFrame:
+    """Buildings of a CityGML document with the levels of detail they have: id, lod1, lod2, n_roof, n_wall, n_ground."""
+    any_ = "struct<`gml:name`:string,`_x`:string,`_VALUE`:string>"
+    bounded = f"array<struct<`bldg:RoofSurface`:{any_},`bldg:WallSurface`:{any_},`bldg:GroundSurface`:{any_}>>"
+    df = read_gml(spark, path, "bldg:Building", f"`_gml:id` string, `bldg:lod1Solid` {any_}, `bldg:lod2Solid` {any_}, `bldg:lod2MultiSurface` {any_}, `bldg:boundedBy` {bounded}")
+    there = lambda c: F.col(f"`bldg:{c}`").isNotNull()
+    count = lambda kind: F.size(F.filter(F.coalesce(F.col("`bldg:boundedBy`"), F.array().cast(bounded)), lambda s: s[f"bldg:{kind}Surface"].isNotNull()))
+    return df.select(F.col("`_gml:id`").alias("id"), there("lod1Solid").alias("lod1"), (there("lod2Solid") | there("lod2MultiSurface")).alias("lod2"), *(count(k).alias(f"n_{k.lower()}") for k in ("Roof", "Wall", "Ground")))
+
+
+def level_audit(levels: DataFrame) -> DataFrame:
+    """One row: buildings, those of each level, surfaces by kind, and buildings without an id."""
+    return levels.agg(F.count("*").alias("buildings"), *(F.count_if(c).alias(c) for c in ("lod1", "lod2")), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_roof", "n_wall", "n_ground")), F.count_if(F.col("id").isNull()).alias("no_id"))
+
+
+def query_bindings(texts: DataFrame, column: str = "value") -> DataFrame:
+    """(item, name, lon, lat) of a knowledge base's query results; rows without an item or a point go."""
+    field = lambda f: f"{f}:struct<value:string>"
+    schema = f"struct<results:struct<bindings:array<struct<{','.join(map(field, ('item', 'coord', 'itemLabel')))}>>>>"
+    b = texts.select(F.explode(F.from_json(column, schema)["results"]["bindings"]).alias("b"))
+    number = lambda i: F.regexp_extract("b.coord.value", r"Point\(([-\d.]+) ([-\d.]+)\)", i).try_cast("double")
+    out = b.select(F.element_at(F.split("b.item.value", "/"), -1).alias("item"), F.col("b.itemLabel.value").alias("name"), number(1).alias("lon"), number(2).alias("lat"))
+    return out.where("item <> '' and lon is not null and lat is not null")
+
+
+def quarters(box: Column) -> Column:
+    """A (west, south, east, north) box as its four quarters, to be asked for one by one."""
+    x, z = (box["west"] + box["east"]) / 2, (box["south"] + box["north"]) / 2
+    one = lambda w, s, e, n: F.struct(w.alias("west"), s.alias("south"), e.alias("east"), n.alias("north"))
+    return F.array(one(box["west"], box["south"], x, z), one(x, box["south"], box["east"], z), one(box["west"], z, x, box["north"]), one(x, z, box["east"], box["north"]))
+
+
+def selector_text(key: Column, value: Column, kind: str = "way") -> Column:
+    """One selector of an element query from columns; a null value asks for the key only."""
+    quoted = lambda c: F.concat(F.lit('"'), F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
+    return F.concat(F.lit(f"{kind}["), quoted(key), F.coalesce(F.concat(F.lit("="), quoted(value)), F.lit("")), F.lit("]"))

@@ -9,11 +9,14 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
-from pyspark.sql import SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 SCHEMA = "type string, id long, lat double, lon double, refs array<long>, members array<struct<type:string,ref:long,role:string>>, tags map<string,string>"
+NAMES = ("type", "id", "lat", "lon", "refs", "members", "tags")
 KINDS = ("node", "way", "relation")
 
 
@@ -95,6 +98,20 @@ def primitives(block: bytes) -> Iterator[tuple]:
                 yield "relation", own[1], None, None, None, members, tags_of(numbers(own.get(2, b"")), numbers(own.get(3, b"")), words)
 
 
+def decoded_blobs(blobs: DataFrame) -> DataFrame:
+    """Primitives of (path, content) rows that each hold one blob of an extract."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for content in batch["content"]:
+                own = dict(fields(content))
+                rows = primitives(zlib.decompress(own[3]) if 3 in own else own[1])
+                while piece := list(islice(rows, 10_000)):
+                    yield pd.DataFrame({name: pd.Series(values, dtype=object) for name, values in zip(NAMES, zip(*piece))})
+
+    return blobs.select("path", "content").mapInPandas(run, SCHEMA)
+
+
 class Blob(InputPartition):
     def __init__(self, offset: int, size: int):
         super().__init__((offset, size))

@@ -8,17 +8,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quadrille.functions import geo
-from quadrille.storage import scratch
+from quadrille.storage import scratch, stored
 
 # Kinds of values in metadata, and the fields a durable record may have.
 VALUE_TYPES = ["official", "official-estimate", "calculated", "estimate"]
 
 
 def write_tiles(features: DataFrame, box: str, size: float, path: str | None = None) -> str:
-    """Write features to every tile their box touches, partitioned by tile; rows of a tile meet in few files."""
+    """Write features to every tile their box touches, partitioned by tile; rows of a tile meet in few files, and a
+    dense tile is written by several tasks."""
     path = path or scratch(features.sparkSession, "tiles")
     tiles = features.withColumn("_t", F.explode(geo.tiles_of_box(F.col(box), size))).select(*features.columns, F.col("_t.tx").alias("tx"), F.col("_t.tz").alias("tz"))
-    tiles.repartition("tx", "tz").write.partitionBy("tx", "tz").parquet(path)
+    tiles.hint("rebalance", F.col("tx"), F.col("tz")).write.partitionBy("tx", "tz").parquet(path)
     return path
 
 
@@ -53,13 +54,44 @@ def write_checked(df: DataFrame, path: str, format: str = "json") -> int:
     return wrote["n"]
 
 
+def sync_partitions(df: DataFrame, path: str, key: str) -> DataFrame:
+    """Bring a folder of parquet partitions in line with ``df``: a partition of the same content is left alone, others
+    are written anew, and those that ``df`` does not have are removed. What was written is read back and must agree.
+    Returns (key, action): same, written, removed."""
+    spark = df.sparkSession
+    columns = sorted(df.columns)
+    schema = df.schema
+    look = lambda d: d.groupBy(key).agg(F.count("*").alias("n"), F.sum(F.xxhash64(*columns).cast("decimal(38,0)")).alias("h"))
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    there = spark.read.schema(schema).parquet(path) if fs.exists(at) else spark.createDataFrame([], schema)
+    new, old = look(df), look(there).select(F.col(key).alias("_k"), F.col("n").alias("_n"), F.col("h").alias("_h"))
+    both = new.join(old, F.col(key).eqNullSafe(F.col("_k")), "full")
+    same = F.coalesce((F.col("n") == F.col("_n")) & (F.col("h") == F.col("_h")), F.lit(False))
+    action = F.when(F.col("n").isNull(), "removed").when(same, "same").otherwise("written")
+    plan = stored(both.select(F.coalesce(key, "_k").alias(key), action.alias("action")), "sync")
+    changed = df.join(plan.where("action = 'written'").select(F.col(key).alias("_k")), F.col(key).eqNullSafe(F.col("_k")), "left_semi")
+    changed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
+    for row in plan.where("action = 'removed'").toLocalIterator():  # folder names, one a partition
+        fs.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{key}={row[key]}"), True)
+    back = look(spark.read.schema(schema).parquet(path))
+    if new.exceptAll(back).unionByName(back.exceptAll(new)).take(1):
+        raise RuntimeError(f"{path} does not hold what was written")
+    return plan
+
+
+def is_date(text: Column) -> Column:
+    """Whether a text is an ISO date that exists; null is none."""
+    return F.coalesce(text.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$") & text.try_cast("date").isNotNull(), F.lit(False))
+
+
 def write_shards(df: DataFrame, key: str, required: int, path: str) -> DataFrame:
     """Write one folder a key; raises unless there are ``required`` keys. Returns (key, n), whose sum is checked."""
     counts = df.groupBy(key).agg(F.count("*").alias("n"))
     checked = counts.agg(F.count("*").alias("k"), F.sum("n").alias("n")).first()
     if checked["k"] != required:
         raise ValueError(f"{checked['k']} shards, {required} are required")
-    df.repartition(key).write.mode("overwrite").partitionBy(key).parquet(path)
+    df.hint("rebalance", F.col(key)).write.mode("overwrite").partitionBy(key).parquet(path)
     if df.sparkSession.read.parquet(path).count() != checked["n"]:
         raise RuntimeError("the shards do not add up")
     return counts
