@@ -5,8 +5,9 @@ subsequence of them is taken, and the gaps between anchors are aligned again the
 no anchor, equal words at its ends are taken. Coverage is the aligned share of a template's words; a license
 is found where coverage is at least ``least`` and the aligned words are dense enough in the text.
 
-Templates are a parameter; the default ones are short notices and the main texts in wide use. A text is
-aligned only with templates of which it has enough words, which leaves coverage as it is.
+Templates are a parameter; the default ones are the notices below and the whole public texts in ``license_texts``.
+A text is aligned only with templates of which it has enough words, which leaves coverage as it is. A long template
+is aligned with stretches of the text by where it would begin, each wide enough for every occurrence that begins there.
 
 Defined results: null and empty texts have no license; templates that tie are both found, and the first by
 name is the best; repeated rows each get their row.
@@ -18,6 +19,7 @@ import bisect
 import re
 from collections import Counter
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -55,6 +57,16 @@ TEMPLATES = {
     "reserved": "All rights reserved.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
+#: Templates of more words than this are long; their naming words stand among the first so many.
+LONG, TITLE = 300, 30
+
+
+def whole_texts() -> dict[str, str]:
+    """The public licenses' whole texts, by file name."""
+    folder = Path(__file__).with_name("license_texts")
+    return {f"{p.stem}-text": p.read_text(encoding="utf-8") for p in sorted(folder.glob("*.txt"))}
+
+
 #: Keeps ASCII letters, digits and all bytes above ASCII, in lower case.
 FOLD = bytes((b + 32 if 65 <= b <= 90 else b) if 48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 #: Words that tell licenses of one family apart: those of a template must align, and none but those may stand there.
@@ -124,38 +136,53 @@ def densest(pairs: list[tuple[int, int]], need: int, room: int) -> list[tuple[in
 def named(words: list[bytes], pairs: list[tuple[int, int]], template: list[bytes]) -> bool:
     """Whether the aligned words hold every naming word of the template, and the stretch no other one."""
     held, at = {template[j] for _, j in pairs}, {i for i, _ in pairs}
-    if any((VERSION.fullmatch(w) or w in GNU and b"gnu" in template or w in CC and b"cc" in template) and w not in held for w in template):
+    title = template[:TITLE] if len(template) > LONG else template
+    if any((VERSION.fullmatch(w) or w in GNU and b"gnu" in template or w in CC and b"cc" in template) and w not in held for w in title):
         return False
     last = pairs[-1][0] + 1
     inner = [i for i in range(pairs[0][0], last) if i not in at]
     return not any(words[i] in GNU and words[i - 1] == b"gnu" or b"cc" in template and words[i] in CC for i in inner)
 
 
-def best_in(words: list[bytes], template: list[bytes], own: set[bytes], least: float, slack: float, all_places: bool) -> list[tuple[int, int]] | None:
+def windows(places: list[tuple[int, int]], n: int, slack: float) -> Iterator[tuple[int, int]]:
+    """Stretches of the text in which a template of n words may lie, given places (text word, template word)."""
+    if n <= LONG:
+        yield from ((i - int(j * slack) - 1, i + int((n - j) * slack) + 1) for i, j in places)
+        return
+    step, wide = n // 10, int(n * (slack - 1)) + 1
+    for start in dict.fromkeys((i - j) // step * step for i, j in places):  # one begin for a tenth of the template
+        yield start - step, start + n + 2 * step
+        yield start - wide, start + step + n + wide
+
+
+def best_in(words: list[bytes], template: list[bytes], counted: Counter, least: float, slack: float, all_places: bool) -> list[tuple[int, int]] | None:
     """The best occurrence of a template: its aligned pairs. It is looked for around every place of the template's
     rarest words, so a common word elsewhere in the text does not hide it."""
     need = int(np.ceil(least * len(template)))
-    shared = own.intersection(words)
-    if sum(template.count(w) for w in shared) < need:
+    shared = counted.keys() & set(words)
+    if sum(counted[w] for w in shared) < need:
         return None
     room = int(len(template) * slack) + 1
     # An occurrence has at least `distinct` different words, so one of these rarest ones is among them.
-    distinct = need - (len(template) - len(own))
+    distinct = need - (len(template) - len(counted))
     counts = Counter(w for w in words if w in shared)
     rarest = set(sorted(shared, key=lambda w: (counts[w], w))[: max(1, len(shared) - distinct + 1)])
+    where: dict[bytes, list[int]] = {}
+    for j, w in enumerate(template):
+        if w in rarest:
+            where.setdefault(w, []).append(j)
     best, rank = None, (0, 0)
-    for place, word in enumerate(words):
-        if word not in rarest:
+    for low, high in windows([(i, j) for i, w in enumerate(words) for j in where.get(w, ())], len(template), slack):
+        low, high = max(0, low), max(0, high)
+        if len(template) > LONG and high - low < need:
             continue
-        for j in (j for j, w in enumerate(template) if w == word):
-            low, high = max(0, place - int(j * slack) - 1), place + int((len(template) - j) * slack) + 1
-            pairs = densest(aligned(words[low:high], template), need, room)
-            if pairs and named(words[low:high], pairs, template):
-                here = len(pairs), -(pairs[-1][0] - pairs[0][0]) if all_places else 0
-                if best is None or here > rank:
-                    best, rank = [(low + i, j) for i, j in pairs], here
-        if best and len(best) == len(template) and not all_places:
-            break
+        pairs = densest(aligned(words[low:high], template), need, room)
+        if pairs and named(words[low:high], pairs, template):
+            here = len(pairs), -(pairs[-1][0] - pairs[0][0]) if all_places else 0
+            if best is None or here > rank:
+                best, rank = [(low + i, j) for i, j in pairs], here
+            if len(pairs) == len(template) and not all_places:
+                break
     return best
 
 
@@ -163,13 +190,13 @@ def find_in(text: bytes, templates: list[tuple[str, list[bytes], Counter, set[by
     """Licenses of one text. every: all occurrences of a license that do not overlap, else its best one."""
     words = text.translate(FOLD).split()
     have, found, spans = set(words), [], None
-    for name, template, _, own in templates:
-        if sum(template.count(w) for w in own & have) < int(np.ceil(least * len(template))):
+    for name, template, counted, own in templates:
+        if sum(counted[w] for w in own & have) < int(np.ceil(least * len(template))):
             continue
         stretches = [(0, len(words))]
         while stretches:
             low, high = stretches.pop()
-            pairs = best_in(words[low:high], template, own, least, slack, every)
+            pairs = best_in(words[low:high], template, counted, least, slack, every)
             if not pairs:
                 continue
             if spans is None:
@@ -190,12 +217,12 @@ def prepared(templates: dict[str, str]) -> list[tuple[str, list[bytes], Counter,
     return [(name, words, Counter(words), set(words)) for name, words in split.items() if words]
 
 
-def find_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least: float = 0.9, slack: float = 1.5, every: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find_licenses(docs: DataFrame, templates: dict[str, str] | None = None, least: float = 0.9, slack: float = 1.5, every: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document row: doc_id, found (license, coverage, code-point span of the best occurrence), best first.
 
-    least: share of a template's words; slack: how many text words, by the template's, they may lie in;
+    templates: by name, by default the notices and the whole texts; least: share of a template's words; slack: how many text words, by the template's, they may lie in;
     every: all occurrences of each license that do not overlap, not only its best."""
-    sent = docs.sparkSession.sparkContext.broadcast(dict(templates))
+    sent = docs.sparkSession.sparkContext.broadcast(dict(templates) if templates is not None else TEMPLATES | whole_texts())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ready = prepared(sent.value)

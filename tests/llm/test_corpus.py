@@ -573,3 +573,24 @@ def test_licenses_by_their_names(spark):
         starts = [m.start() for m in re.finditer(re.escape(TEMPLATES[name]), text)]
         found = find_licenses(table(spark, [text]), every=True).first()["found"]
         assert [(x["license"], x["start"]) for x in found] == [(name, a) for a in starts]
+
+
+def test_whole_license_texts():
+    """Whole texts are found with words changed, twice in a text, and where a shorter notice stands within."""
+    from quadrille.llm import licenses
+
+    ready, rng = licenses.prepared(licenses.TEMPLATES | licenses.whole_texts()), random.Random(18)
+    texts = licenses.whole_texts()
+    assert len(texts) >= 9
+    for name, body in texts.items():
+        changed = body.split()
+        for _ in range(len(changed) // 40):
+            changed[rng.randrange(40, len(changed))] = "other"
+        before = "É " + words(rng, 50, 3000) + "\n"
+        text = before + " ".join(changed) + "\n" + words(rng, 30, 3000) + "\n" + body + " end"
+        found = [x for x in licenses.find_in(text.encode(), ready, 0.9, 1.5, every=True) if x["license"].endswith("-text") and x["license"] in texts]
+        assert [x["license"] for x in found] == [name, name], (name, found)
+        low, high = sorted((x["start"], x["end"]) for x in found)
+        assert low[0] >= len(before) - 1 and low[1] <= high[0] and all(x["coverage"] >= 0.9 for x in found)
+        half = " ".join(body.split()[: len(body.split()) // 2])
+        assert not [x for x in licenses.find_in(half.encode(), ready, 0.9, 1.5, every=True) if x["license"] == name]
