@@ -20,7 +20,12 @@ def inner_point(spark, sf):
     return views.rects(spark, sf).select("rect_id", kernels.inner_point_of(F.col("ring")).alias("p")).select("rect_id", "p.x", "p.z", "p.method")
 
 
-@query("q_10_09_sampled_overlap")
+@query("q_10_09_sampled_overlap", WITH + """, o AS (SELECT rect_id, a.x0 AS ax0, a.z0 AS az0, a.x1 AS ax1, a.z1 AS az1, b.x0 AS bx0, b.z0 AS bz0, b.x1 AS bx1, b.z1 AS bz1, least(a.x0, b.x0) AS lx, least(a.z0, b.z0) AS lz,
+  greatest(a.x1, b.x1) - least(a.x0, b.x0) AS wide, greatest(a.z1, b.z1) - least(a.z0, b.z0) AS high, greatest(0.25::DOUBLE, greatest(1.0::DOUBLE, least(a.w, a.h, b.w, b.h)) / 12) AS cell FROM rects a JOIN rects_b b USING (rect_id)),
+gx AS (SELECT *, lx + cell * (unnest(range(0, CAST(ceil(wide / cell) AS BIGINT))) + 0.5::DOUBLE) AS x FROM o), g AS (SELECT *, lz + cell * (unnest(range(0, CAST(ceil(high / cell) AS BIGINT))) + 0.5::DOUBLE) AS z FROM gx),
+i AS (SELECT rect_id, x >= ax0 AND x < ax1 AND z >= az0 AND z < az1 AS in_a, x >= bx0 AND x < bx1 AND z >= bz0 AND z < bz1 AS in_b FROM g),
+n AS (SELECT rect_id, count(*) FILTER (WHERE in_a) AS a, count(*) FILTER (WHERE in_b) AS b, count(*) FILTER (WHERE in_a AND in_b) AS both_ FROM i GROUP BY 1)
+SELECT rect_id, floor(both_ / (a + b - both_) * 10000 + 0.5) / 10000 AS iou, floor(both_ / a * 10000 + 0.5) / 10000 AS covered_a, floor(both_ / b * 10000 + 0.5) / 10000 AS covered_b FROM n""")
 def sampled_overlap(spark, sf):
     a = views.rects(spark, sf).select("rect_id", F.col("ring").alias("a"))
     b = views.rects_b(spark, sf).select("rect_id", F.col("ring").alias("b"))

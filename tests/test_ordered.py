@@ -86,6 +86,97 @@ def test_star_of_a_million_edges(spark, monkeypatch):
     assert found.count() == n + 1 and found.where("comp <> 0").isEmpty()
 
 
+def points_of(spark):
+    return sorted((r["point_id"], r["x"], r["z"], r["segment"]) for r in views.pts(spark, SF).collect())
+
+
+def test_greedy_dedupe_of_the_query(spark):
+    pts, lost = points_of(spark), set()
+    for i, (a, x, z, s) in enumerate(pts):
+        for b, bx, bz, bs in pts[i + 1 :]:
+            if a not in lost and b not in lost and s == bs and ((x - bx) ** 2 + (z - bz) ** 2) ** 0.5 <= 900:
+                lost.add(b if a % 7 >= b % 7 else a)
+    found = {r["id"] for r in catalogue.QUERIES["q_4_44_greedy_dedupe"](spark, SF).collect()}
+    assert found == {a for a, *_ in pts} - lost and lost
+
+
+def test_anchors_of_the_query(spark):
+    kept = {}
+    for i, x, z, s in points_of(spark):
+        own = kept.setdefault((s, i % 20), [])
+        if all(((x - a) ** 2 + (z - b) ** 2) ** 0.5 > 4500 for _, a, b in own):
+            own.append((i, x, z))
+    found = sorted(r["id"] for r in catalogue.QUERIES["q_6_09_anchors"](spark, SF).collect())
+    assert found == sorted(i for own in kept.values() for i, *_ in own)
+
+
+def test_smoothed_widths_of_the_query(spark):
+    import statistics
+
+    raw = {}
+    for r in spark.read.parquet(f"{SF}/orders.parquet").select("o_custkey", "o_orderkey", (F.floor(F.col("o_totalprice") / 1000) + 5).cast("double").alias("w")).collect():
+        raw.setdefault(r["o_custkey"], []).append((r["o_orderkey"], r["w"]))
+    expected = {}
+    for key, rows in raw.items():
+        rows.sort()
+        w = [v for _, v in rows]
+        middle, n = statistics.median(w), len(w)
+        off = lambda v, by, most: v / by > most or v / by < 1 / most
+        for i in range(n if n >= 3 else 0):
+            if i in (0, n - 1):
+                other = w[1] if i == 0 else w[i - 1]
+                w[i] = (w[i] + other) / 2 if off(w[i], other, 2.1) else w[i]
+                w[i] = (w[i] + middle) / 2 if off(w[i], middle, 2.6) else w[i]
+            else:
+                pair = sorted((w[i - 1], w[i + 1]))
+                if pair[1] / pair[0] < 1.8 and off(w[i], sum(pair) / 2, 1.8):
+                    w[i] = sum(pair) / 2
+        expected.update({(key, k): v for (k, _), v in zip(rows, w)})
+    found = {(r["river"], r["pos"]): r["width"] for r in catalogue.QUERIES["q_6_03_smoothed_widths"](spark, SF).collect()}
+    assert found == pytest.approx(expected)
+
+
+def lines_of(spark):
+    return {r["line_id"]: [(p["x"], p["z"]) for p in r["points"]] for r in views.lines(spark, SF).collect()}
+
+
+def test_thinned_lines_of_the_query(spark):
+    def keep(p):
+        if len(p) < 3:
+            return p
+        (ax, az), (bx, bz) = p[0], p[-1]
+        n = max((bx - ax) ** 2 + (bz - az) ** 2, 1e-9)
+        far = []
+        for x, z in p[1:-1]:
+            t = min(1, max(0, ((x - ax) * (bx - ax) + (z - az) * (bz - az)) / n))
+            far.append((x - ax - t * (bx - ax)) ** 2 + (z - az - t * (bz - az)) ** 2)
+        i = far.index(max(far))
+        return keep(p[: i + 2])[:-1] + keep(p[i + 1 :]) if far[i] > 3600 else [p[0], p[-1]]
+
+    found = {r["line_id"]: (r["before"], r["after"]) for r in catalogue.QUERIES["q_10_12_thinned_lines"](spark, SF).collect()}
+    assert found == {k: (len(p), len(keep(p))) for k, p in lines_of(spark).items()}
+
+
+def test_river_gaps_of_the_query(spark):
+    """The gaps of a least spanning tree, grown from one line instead of sorted by length."""
+    rivers = {}
+    for k, p in lines_of(spark).items():
+        if len(p) >= 2:
+            rivers.setdefault(f"r{k % 120}", []).append((p[0], p[-1]))
+    expected = []
+    for river, ends in rivers.items():
+        dist = lambda a, b: min(((x - u) ** 2 + (z - v) ** 2) ** 0.5 for x, z in a for u, v in b)
+        best = {i: dist(ends[0], e) for i, e in enumerate(ends) if i}
+        while best:
+            i = min(best, key=best.get)
+            if (d := best.pop(i)) > 3000:
+                expected.append((river, d))
+            for j in best:
+                best[j] = min(best[j], dist(ends[i], ends[j]))
+    found = sorted((r["river"], r["gap"]) for r in catalogue.QUERIES["q_5_17_river_gaps"](spark, SF).collect())
+    assert [r for r, _ in found] == [r for r, _ in sorted(expected)] and [g for _, g in found] == pytest.approx([g for _, g in sorted(expected)], abs=1e-3)
+
+
 def test_river_gaps_and_chains(spark):
     """Gaps are the edges of a least spanning tree between the pieces; chains visit every line of a river once."""
     rivers = spark.createDataFrame([(1, "r", [(0.0, 0.0), (10.0, 0.0)]), (2, "r", [(15.0, 0.0), (30.0, 0.0)]), (3, "r", [(130.0, 0.0), (150.0, 0.0)]), (4, "s", [(0.0, 5.0), (9.0, 5.0)])], "line_id long, river string, points array<struct<x:double,z:double>>")
