@@ -33,41 +33,52 @@ def sql_tagged(**tags: tuple[list[str | None], int]) -> str:
     return f"WITH t AS (SELECT p_partkey AS id, {columns}, CAST(p_size AS DOUBLE) AS size, p_retailprice AS price FROM part) "
 
 
+def sql_list(values) -> str:
+    return ", ".join(f"'{v}'" for v in values)
+
+
+def sql_case(key: str, table: dict) -> str:
+    """CASE arms of a table; the caller closes them."""
+    return f"CASE {key} " + " ".join(f"WHEN '{k}' THEN {v if isinstance(v, (int, float)) else repr(v)}" for k, v in table.items())
+
+
+#: Every road class, service and access there is a rule for, some others, and none.
 ROADS = {
-    "highway": (["motorway", "trunk_link", "primary", "secondary", "tertiary", "residential", "living_street", "service", "pedestrian", "track", "footway", "road", None], 1),
-    "service": (["alley", "driveway", "parking_aisle", None, None], 2),
-    "access": ([None, "private", "no", "forestry", None, "yes"], 3),
+    "highway": ([*classify.MAJOR_ROADS, *classify.MIDDLE_ROADS, *classify.OTHER_ROADS, "footway", None], 1),
+    "service": (["alley", *classify.SERVICES_LEFT_OUT, None, None], 2),
+    "access": ([None, *classify.TRACK_ACCESS_LEFT_OUT, None, "yes"], 3),
     "motor_vehicle": ([None, None, "no"], 5),
     "width": ([None, "6.5 m", "40", "1", "abc", None], 7),
     "lanes": ([None, "2", "3", "0", None], 11),
 }
-ALLOWED = "'motorway','motorway_link','trunk','trunk_link','primary','primary_link','secondary','secondary_link','tertiary','tertiary_link','residential','living_street','unclassified','service','pedestrian','road','track'"
+MAJOR, MIDDLE = sql_list(classify.MAJOR_ROADS), sql_list(classify.MIDDLE_ROADS)
+ALLOWED = f"{MAJOR}, {MIDDLE}, {sql_list(classify.OTHER_ROADS)}"
+SERVICES, ACCESSES = sql_list(classify.SERVICES_LEFT_OUT), sql_list(classify.TRACK_ACCESS_LEFT_OUT)
 
 
 @query("q_3_11_road_eligibility", sql_tagged(**ROADS) + f"""
 SELECT id, CASE WHEN coalesce(highway, '') NOT IN ({ALLOWED}) THEN 'highway-not-eligible:' || coalesce(highway, '?')
-  WHEN service IN ('driveway', 'parking_aisle', 'drive-through', 'emergency_access', 'bus', 'pipestem') THEN 'service:' || service
-  WHEN highway = 'track' AND access IN ('private', 'no', 'forestry') THEN 'track-access:' || access WHEN access IN ('private', 'no') THEN 'access:' || access
+  WHEN service IN ({SERVICES}) THEN 'service:' || service WHEN highway = 'track' AND access IN ({ACCESSES}) THEN 'track-access:' || access WHEN access IN ('private', 'no') THEN 'access:' || access
   WHEN motor_vehicle = 'no' AND highway NOT IN ('pedestrian', 'living_street') THEN 'motor_vehicle:no' END AS skip_reason,
-  CASE WHEN highway IN ('motorway', 'trunk_link', 'primary') THEN 'major' WHEN highway IN ('secondary', 'tertiary') THEN 'mid' ELSE 'local' END AS tier,
-  CASE WHEN highway IN ('motorway', 'trunk_link', 'primary') THEN 'MAJOR' WHEN highway IN ('secondary', 'tertiary') THEN 'MID' WHEN highway = 'service' AND service = 'alley' THEN 'LOCAL_ALLEY' WHEN highway = 'service' THEN 'LOCAL_SERVICE'
-    WHEN highway = 'residential' THEN 'LOCAL_RESIDENTIAL' WHEN highway = 'living_street' THEN 'LOCAL_LIVING' WHEN highway = 'track' THEN 'LOCAL_TRACK' WHEN highway = 'pedestrian' THEN 'PEDESTRIAN' ELSE 'LOCAL_ROAD' END AS detail FROM t""")
+  CASE WHEN highway IN ({MAJOR}) THEN 'major' WHEN highway IN ({MIDDLE}) THEN 'mid' ELSE 'local' END AS tier,
+  CASE WHEN highway IN ({MAJOR}) THEN 'MAJOR' WHEN highway IN ({MIDDLE}) THEN 'MID' WHEN highway = 'service' AND service = 'alley' THEN 'LOCAL_ALLEY' WHEN highway = 'service' THEN 'LOCAL_SERVICE'
+    WHEN highway = 'residential' THEN 'LOCAL_RESIDENTIAL' WHEN highway = 'living_street' THEN 'LOCAL_LIVING' WHEN highway = 'unclassified' THEN 'LOCAL_UNCLASSIFIED' WHEN highway = 'track' THEN 'LOCAL_TRACK' WHEN highway = 'pedestrian' THEN 'PEDESTRIAN' ELSE 'LOCAL_ROAD' END AS detail FROM t""")
 def road_eligibility(spark, sf):
     t = F.col("tags")
     return tagged(spark, sf, **ROADS).select("id", classify.road_skip_reason(t).alias("skip_reason"), classify.road_tier(t["highway"]).alias("tier"), classify.road_detail(t).alias("detail"))
 
 
 @query("q_3_12_road_report", sql_tagged(**ROADS) + f"""
-SELECT coalesce(CASE WHEN coalesce(highway, '') NOT IN ({ALLOWED}) THEN 'highway' WHEN service IN ('driveway', 'parking_aisle') THEN 'service' WHEN highway = 'track' AND access IN ('private', 'no', 'forestry') THEN 'track-access'
+SELECT coalesce(CASE WHEN coalesce(highway, '') NOT IN ({ALLOWED}) THEN 'highway' WHEN service IN ({SERVICES}) THEN 'service' WHEN highway = 'track' AND access IN ({ACCESSES}) THEN 'track-access'
   WHEN access IN ('private', 'no') THEN 'access' WHEN motor_vehicle = 'no' AND highway NOT IN ('pedestrian', 'living_street') THEN 'motor_vehicle' END, 'kept') AS reason, count(*) AS n FROM t GROUP BY 1""")
 def road_report(spark, sf):
     reason = F.regexp_replace(F.split_part(classify.road_skip_reason(F.col("tags")), F.lit(":"), F.lit(1)), "^highway-not-eligible$", "highway")
     return tagged(spark, sf, **ROADS).groupBy(F.coalesce(reason, F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
 
 
-@query("q_3_25_road_width", sql_tagged(**ROADS) + """
+@query("q_3_25_road_width", sql_tagged(**ROADS) + f"""
 SELECT id, greatest(2.5, least(28, CASE WHEN width IN ('6.5 m') THEN 6.5 WHEN width = '40' THEN 40 WHEN width = '1' THEN 1 WHEN lanes IN ('2', '3') THEN CAST(lanes AS INT) * 3.25 WHEN highway = 'service' AND service = 'alley' THEN 3
-  ELSE CASE highway WHEN 'motorway' THEN 17 WHEN 'trunk_link' THEN 8 WHEN 'primary' THEN 12 WHEN 'secondary' THEN 9.5 WHEN 'tertiary' THEN 7.5 WHEN 'living_street' THEN 4.5 WHEN 'service' THEN 3.5 WHEN 'pedestrian' THEN 4 WHEN 'road' THEN 4 WHEN 'track' THEN 3 ELSE 5.5 END END))::DOUBLE AS width,
+  ELSE {sql_case('highway', classify.ROAD_WIDTHS)} ELSE 5.5 END END))::DOUBLE AS width,
   CASE WHEN width IN ('6.5 m', '40', '1') THEN 'width' WHEN lanes IN ('2', '3') THEN 'lanes' ELSE 'class-default' END AS source FROM t""")
 def road_width(spark, sf):
     return tagged(spark, sf, **ROADS).select("id", classify.road_width(F.col("tags")).alias("w")).select("id", "w.width", "w.source")
@@ -105,21 +116,21 @@ def park_class(spark, sf):
     return tagged(spark, sf, **LAND).select("id", classify.park_class(F.col("tags")).alias("p")).select("id", "p.park_class", "p.rankable")
 
 
-BUILT = {"building": (["house", "Apartments", "yes", "office", "roof", "stadium", "cathedral", None, "unheard", "construction"], 1), "height": ([None, "12.5", "200", "x", "0"], 3), "building__levels": ([None, "4", "0", "30"], 7)}
+#: Every building word of the tables, some in capitals, those that are left out, unknown ones, and none.
+BUILDINGS = [*dict.fromkeys([*classify.CATEGORIES, *classify.CLASS_HEIGHTS, *classify.BUILDINGS_LEFT_OUT]), "Apartments", "OFFICE", "yes", "true", "unheard", None]
+BUILT = {"building": (BUILDINGS, 1), "height": ([None, "12.5", "200", "x", "0"], 3), "building__levels": ([None, "4", "0", "30"], 7)}
 
 
-@query("q_3_21_building_height", sql_tagged(**BUILT) + """
-SELECT id, CASE WHEN height IN ('12.5', '200') THEN least(60, CAST(height AS DOUBLE)) WHEN building__levels IN ('4', '30') THEN least(60, CAST(building__levels AS DOUBLE) * 3.2)
-  ELSE CASE lower(building) WHEN 'house' THEN 8 WHEN 'apartments' THEN 12 WHEN 'office' THEN 14 WHEN 'stadium' THEN 20 WHEN 'cathedral' THEN 20 ELSE 6 END END AS height,
-  CASE WHEN height IN ('12.5', '200') THEN 'height' WHEN building__levels IN ('4', '30') THEN 'levels' WHEN lower(building) IN ('house', 'apartments', 'office', 'stadium', 'cathedral') THEN 'class-default' ELSE 'generic-default' END AS source,
-  CASE WHEN height IN ('12.5', '200') THEN 0.92 WHEN building__levels IN ('4', '30') THEN 0.78 WHEN lower(building) IN ('house', 'apartments', 'office', 'stadium', 'cathedral') THEN 0.55 ELSE 0.4 END::DOUBLE AS confidence FROM t""")
+@query("q_3_21_building_height", sql_tagged(**BUILT) + f""", b AS (SELECT *, {sql_case('lower(building)', classify.CLASS_HEIGHTS)} END AS usual FROM t)
+SELECT id, CASE WHEN height IN ('12.5', '200') THEN least(60, CAST(height AS DOUBLE)) WHEN building__levels IN ('4', '30') THEN least(60, CAST(building__levels AS DOUBLE) * 3.2) ELSE coalesce(usual, 6) END::DOUBLE AS height,
+  CASE WHEN height IN ('12.5', '200') THEN 'height' WHEN building__levels IN ('4', '30') THEN 'levels' WHEN usual IS NOT NULL THEN 'class-default' ELSE 'generic-default' END AS source,
+  CASE WHEN height IN ('12.5', '200') THEN 0.92 WHEN building__levels IN ('4', '30') THEN 0.78 WHEN usual IS NOT NULL THEN 0.55 ELSE 0.4 END::DOUBLE AS confidence FROM b""")
 def building_height(spark, sf):
     return tagged(spark, sf, **BUILT).select("id", classify.building_height(F.col("tags")).alias("h")).select("id", "h.height", "h.source", "h.confidence")
 
 
-@query("q_3_19_building_category", sql_tagged(**BUILT) + """
-SELECT id, CASE lower(building) WHEN 'house' THEN 'residential_low' WHEN 'apartments' THEN 'residential_mid' WHEN 'office' THEN 'office' WHEN 'stadium' THEN 'public' WHEN 'cathedral' THEN 'public' ELSE 'other' END AS category,
-  coalesce(lower(building) NOT IN ('roof', 'construction'), false) AS eligible FROM t""")
+@query("q_3_19_building_category", sql_tagged(**BUILT) + f"""
+SELECT id, {sql_case('lower(building)', classify.CATEGORIES)} ELSE 'other' END AS category, coalesce(lower(building) NOT IN ({sql_list(classify.BUILDINGS_LEFT_OUT)}), false) AS eligible FROM t""")
 def building_category(spark, sf):
     b = F.col("tags")["building"]
     return tagged(spark, sf, **BUILT).select("id", classify.building_category(b).alias("category"), classify.building_eligible(b).alias("eligible"))

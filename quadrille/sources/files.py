@@ -244,7 +244,7 @@ def ingest_areas(features: DataFrame, registry: DataFrame) -> tuple[DataFrame, D
     features of a ward become its polygons. ``features``: code, name, outer; ``registry``: ward_id, name, code."""
     by_code = registry.select("code", F.col("ward_id").alias("id_by_code"))
     by_name = registry.select("name", F.col("ward_id").alias("id_by_name"))
-    found = features.join(F.broadcast(by_code), "code", "left").join(F.broadcast(by_name), "name", "left")  # a registry has one row a ward
+    found = features.join(by_code, "code", "left").join(by_name, "name", "left")  # Spark broadcasts a side by its size
     good = F.col("id_by_code").eqNullSafe(F.col("id_by_name")) & F.col("id_by_code").isNotNull()
     none = F.array().cast("array<array<struct<x:double,z:double>>>")
     areas = found.where(good).groupBy(F.col("id_by_code").alias("ward_id")).agg(F.collect_list(F.struct("outer", none.alias("holes"))).alias("polygons"))
