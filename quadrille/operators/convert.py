@@ -6,6 +6,8 @@ are left out by a condition, or carry the reason where the layer reports it.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quadrille.functions import geo, names
@@ -108,6 +110,13 @@ def land_uses(elements: DataFrame) -> DataFrame:
 CONVERTERS = {"parks": parks, "waterways": waterways, "facilities": facilities, "rail_lines": lambda e, o: railways(e, o)[0], "stations": lambda e, o: railways(e, o)[1]}
 
 
+def derived(features: DataFrame, levels: list[str], visible: Callable[[Column, DataFrame], Column], pick: Callable[[DataFrame], list[Column]]) -> DataFrame:
+    """A layer's features at each level they show at: (level, picked columns). ``visible(level, features)`` says where a
+    feature shows, ``pick(features)`` what of it a level's tiles keep; both give columns."""
+    rows = features.withColumn("level", F.explode(F.array(*map(F.lit, levels))))
+    return rows.where(visible(F.col("level"), rows)).select("level", *pick(rows))
+
+
 # ---- census tables ---------------------------------------------------------------------------------
 
 

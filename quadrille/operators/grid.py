@@ -30,6 +30,11 @@ def ring_cells(shapes: DataFrame, size: float, ring: str = "ring", keep: list[st
     return cells.where(geo.in_ring(centre("cx"), centre("cz"), F.col("_r"))).select("_c.cx", "_c.cz", *keep).distinct()
 
 
+def cell_masks(shapes: DataFrame, size: float, bit: str = "bit", ring: str = "ring") -> DataFrame:
+    """(cx, cz, mask): for every cell whose centre a shape holds, the bits of all such shapes together."""
+    return ring_cells(shapes, size, ring, keep=[bit]).groupBy("cx", "cz").agg(F.bit_or(bit).alias("mask"))
+
+
 def box_cells(boxes: DataFrame, size: float, box: str = "box") -> DataFrame:
     """(cx, cz) of all cells that a box touches."""
     return boxes.select(F.explode(geo.cells_of_box(F.col(box), size)).alias("_c")).select("_c.cx", "_c.cz").distinct()

@@ -93,6 +93,13 @@ def converters(spark, sf):
     return out
 
 
+@query("q_12_03_derived_layers", WITH + """
+SELECT l.level, rect_id, type FROM rects, (VALUES ('far'), ('mid'), ('near')) l(level) WHERE l.level = 'near' OR (l.level = 'far' AND area >= 400) OR (l.level = 'mid' AND area >= 200)""")
+def derived_layers(spark, sf):
+    shows = lambda level, f: (level == "near") | ((level == "far") & (f["area"] >= 400)) | ((level == "mid") & (f["area"] >= 200))
+    return convert.derived(views.rects(spark, sf), ["far", "mid", "near"], shows, lambda f: [f["rect_id"], f["type"]])
+
+
 # ---- census ----------------------------------------------------------------------------------------
 
 CENSUS = {

@@ -84,6 +84,15 @@ def area_cells(spark, sf):
     return grid.ring_cells(_parks(spark, sf), SIZE, keep=["kind"]).select("kind", "cx", "cz")
 
 
+@query("q_10_15_cell_masks", GRID + """
+SELECT CAST(cx AS BIGINT) AS cx, CAST(cz AS BIGINT) AS cz, bit_or(CAST(1 << CAST(p.kind % 8 AS INT) AS BIGINT)) AS mask FROM park p, (SELECT unnest(range(-60, 60)) AS cx), (SELECT unnest(range(-60, 60)) AS cz)
+WHERE (cx + 0.5) * 500 >= p.x0 AND (cx + 0.5) * 500 < p.x1 AND (cz + 0.5) * 500 >= p.z0 AND (cz + 0.5) * 500 < p.z1 GROUP BY 1, 2""")
+def cell_masks(spark, sf):
+    """Which kinds of parks a cell's centre lies in, a bit each."""
+    parks = _parks(spark, sf).withColumn("bit", F.expr("shiftleft(1L, cast(kind % 8 as int))"))
+    return grid.cell_masks(parks, SIZE)
+
+
 @query("q_5_10_coverage_cells", GRID + "SELECT cx, cz, ward_id, n, area, covered, in_park, gap FROM gaps")
 def coverage_cells(spark, sf):
     return _coverage(spark, sf).select("cx", "cz", "ward_id", "n", "area", "covered", "in_park", "gap")
