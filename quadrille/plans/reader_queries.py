@@ -196,6 +196,24 @@ def tiles(spark, sf):
     return files.tile_features(made.unionByName(odd), "id bigint, tile string")
 
 
+@query("q_1_01_areas", "SELECT r_name AS id, CAST(34 + r_regionkey AS DOUBLE) AS south, (SELECT count(*) FROM nation WHERE n_regionkey = r_regionkey) AS n_wards, true AS has_roads FROM region")
+def areas(spark, sf):
+    """An area definition a region, whose nations are its wards."""
+    k = F.col("r_regionkey")
+    wards = read_table(spark, sf, "nation").groupBy(F.col("n_regionkey").alias("r_regionkey")).agg(F.collect_list("n_name").alias("targetWards"))
+    box = F.struct((k + 34.0).alias("south"), F.lit(135.0).alias("west"), (k + 35.0).alias("north"), F.lit(136.0).alias("east"))
+    docs = read_table(spark, sf, "region").join(wards, "r_regionkey").select("r_regionkey", F.to_json(F.struct(F.col("r_name").alias("id"), box.alias("bbox"), F.array(F.lit("roads"), F.lit("parks")).alias("layers"), "targetWards")).alias("value"))
+    path = scratch(spark, "areas")
+    docs.write.partitionBy("r_regionkey").text(path)
+    return files.read_areas(spark, path).select("id", "bbox.south", F.size("targetWards").cast("long").alias("n_wards"), F.array_contains("layers", "roads").alias("has_roads"))
+
+
+@query("q_1_25_digests", "SELECT s_nationkey || '.txt' AS file, CAST(length(string_agg(s_name, ',' ORDER BY s_suppkey)) AS BIGINT) AS size, sha256(string_agg(s_name, ',' ORDER BY s_suppkey)) AS sha256 FROM supplier GROUP BY s_nationkey")
+def file_digests(spark, sf):
+    made = _packed(_supplier(spark, sf), "file", lambda pdf: ",".join(pdf.sort_values("k")["name"]).encode(), ".txt")
+    return files.digests(made).select(F.regexp_replace("path", "^/", "").alias("file"), "size", "sha256")
+
+
 @query("q_1_02_catalogue", "SELECT n_name AS id, 'https://data.example/' || n_nationkey AS url, n_regionkey AS n_layers FROM nation")
 def catalogue_scan(spark, sf):
     """Data set definitions, one document each, read as one table."""

@@ -48,6 +48,19 @@ def parsed(files: DataFrame, parse: Callable[[str, bytes], Iterator[tuple]], sch
     return files.select("path", "content").mapInPandas(run, f"file string, {schema}")
 
 
+def digests(files: DataFrame) -> DataFrame:
+    """(path, size, sha256) of files, to hold downloads against what their provider states."""
+    return files.select("path", F.length("content").cast("long").alias("size"), F.sha2("content", 256).alias("sha256"))
+
+
+AREA = "id string, name string, bbox struct<south:double,west:double,north:double,east:double>, projection struct<lat0:double,lon0:double>, layers array<string>, targetWards array<string>"
+
+
+def read_areas(spark: SparkSession, path: str) -> DataFrame:
+    """Area definitions, one document each: id, name, bbox, projection, layers, target wards. A job picks its own by id."""
+    return spark.read.schema(AREA).json(path, multiLine=True)
+
+
 def read_optional_json(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """A JSON document, or no rows where there is no file."""
     try:
