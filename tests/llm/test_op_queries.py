@@ -205,3 +205,28 @@ def test_repeated_ids(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     dropped = lambda n: sorted(r["n_dropped"] for r in line_dedup.dedup_lines(docs, min_docs=n, keep="none").collect())
     assert dropped(3) == [0, 1, 1, 1, 1] and dropped(4) == [0, 0, 0, 0, 0]
+
+
+def test_very_long_texts(spark, tmp_path):
+    """Three million characters in one text, and a near copy: whole texts count, in one task each."""
+    rng = random.Random(24)
+    body = words(rng, 400_000, 90_000)
+    lines = body.replace(" w", "\nw", 3000)
+    texts = {1: lines + " token = abcdefgh", 2: lines.replace("\n", "\nx", 1), 3: "small"}
+    folder = str(tmp_path)
+    rows = [(i, t, "en", "s", len(t)) for i, t in texts.items()]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+    run = lambda name: {r["doc_id"]: r for r in queries.QUERIES[name](spark, folder).collect()}
+    assert len(texts[1]) > 2_500_000
+    found, enc = run("op4_bpe"), encoding()
+    assert {i: found[i]["n_tokens"] for i in texts} == {i: len(enc.encode_ordinary(t)) for i, t in texts.items()}
+    assert all(found[i]["decoded_sha256"] == sha(t) for i, t in texts.items())
+    found = run("op8_line_dedup")
+    assert {i: (r["n_lines"], r["n_dropped"], r["kept_sha256"]) for i, r in found.items()} == {i: (t.count("\n") + 1, 0, sha(t)) for i, t in texts.items()}
+    assert {i: r["component_id"] for i, r in run("op6_near_dedup").items()} == {1: 1, 2: 1, 3: 3}
+    found = run("op2_secret_scan")
+    assert found[1]["base_sha256"] == sha(",".join(brute_base(texts[1]))) and found[1]["n_assign"] == 1
+    found = run("op1_substring_dedup")
+    assert set(found) == {2} and found[2]["n_words"] > 390_000
+    found = run("op10_quality_rules")
+    assert {i: r["n_words"] for i, r in found.items()} == {i: len(t.split()) for i, t in texts.items()}
