@@ -258,7 +258,7 @@ def clusters_by_size(spark, sf):
 
 #: Segments of the lines, each with its best partner and what speaks for or against it.
 EDGES = WITH.replace("WITH ", "WITH RECURSIVE ", 1) + """, lp AS (SELECT *, count(*) OVER (PARTITION BY line_id) AS n, sum(step) OVER (PARTITION BY line_id) AS len FROM (
-  SELECT line_id, pos, x, z, coalesce(sqrt((x - lag(x) OVER w) ^ 2 + (z - lag(z) OVER w) ^ 2), 0) AS step FROM line_points WINDOW w AS (PARTITION BY line_id ORDER BY pos))),
+  SELECT line_id, pos, x, z, coalesce(sqrt((x - lag(x) OVER w) ^ 2 + (z - lag(z) OVER w) ^ 2), 0) AS step FROM (SELECT line_id, pos, x, z FROM line_points UNION ALL SELECT line_id + 1000000000, pos, x + 6, z + 9 FROM line_points) WINDOW w AS (PARTITION BY line_id ORDER BY pos))),
 walk AS (SELECT line_id, pos, 0.0::DOUBLE AS acc, 0 AS chunk, false AS cut FROM lp WHERE pos = 1 AND n >= 2
   UNION ALL SELECT p.line_id, p.pos, CASE WHEN w.acc + p.step >= 30 OR p.pos = p.n THEN 0.0 ELSE w.acc + p.step END, CASE WHEN w.acc + p.step >= 30 OR p.pos = p.n THEN w.chunk + 1 ELSE w.chunk END, w.acc + p.step >= 30 OR p.pos = p.n FROM walk w JOIN lp p ON p.line_id = w.line_id AND p.pos = w.pos + 1),
 whole AS (SELECT DISTINCT line_id FROM lp WHERE n >= 2 AND n <= 8 AND len <= 66),
@@ -284,8 +284,10 @@ verdict AS (SELECT ba.*, coalesce(bb.ap = ba.ap AND bb.an = ba.an, false) AS mut
 
 
 def _paths(spark, sf) -> DataFrame:
-    """The lines, each with the next customer's line beside it as the road's other edge."""
-    return views.lines(spark, sf)
+    """The lines, and each of them again some metres beside as the road's other edge."""
+    lines = views.lines(spark, sf)
+    beside = F.transform("points", lambda p: F.struct((p["x"] + 6).alias("x"), (p["z"] + 9).alias("z")))
+    return lines.unionByName(lines.select((F.col("line_id") + 1_000_000_000).alias("line_id"), beside.alias("points")))
 
 
 @query("q_4_37_edge_verdicts", EDGES + """
