@@ -348,7 +348,8 @@ def polygons_of(parts: Column) -> Column:
     A ring's place is that of its first point, and what touches an edge from within counts as inside."""
     from quadrille.functions import geo
 
-    ring = lambda flat: F.transform(F.sequence(F.lit(1), (F.size(flat) / 2).cast("int")), lambda i: geo.point(F.element_at(flat, i * 2 - 1), F.element_at(flat, i * 2)))
+    numbers = lambda flat: F.when(F.size(flat) >= 2, F.sequence(F.lit(1), (F.size(flat) / 2).cast("int"))).otherwise(F.array().cast("array<int>"))
+    ring = lambda flat: F.transform(numbers(flat), lambda i: geo.point(F.element_at(flat, i * 2 - 1), F.element_at(flat, i * 2)))
     open_ = lambda r: F.when((F.size(r) > 1) & (F.element_at(r, 1) == F.element_at(r, -1)), F.slice(r, 1, F.size(r) - 1)).otherwise(r)
     rows = F.transform(parts, lambda f: F.struct(geo.area(open_(ring(f))).alias("area"), open_(ring(f)).alias("ring")))
     rows = F.filter(rows, lambda r: (F.size(r["ring"]) >= 3) & (r["area"] > 0))

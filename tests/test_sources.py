@@ -148,3 +148,23 @@ def test_more_readers(spark, tmp_path):
     assert (row["width"], row["height"], row["size_x"], row["origin_y"]) == (640, 480, 0.5, 200.0)
     sheet = spark.createDataFrame([(1, ["注記"]), (2, ["", "人口", "", "世帯"]), (3, ["町丁字コード", "総数", "15人", "５人"])], "row_no int, cells array<string>")
     assert files.heading_columns(sheet, {"code": ["町丁字コード"], "population": ["人口総数"], "five": ["5人"]}) == {"code": 0, "population": 1, "five": 3}
+
+
+def test_polygons_of_odd_shapes(spark):
+    square = lambda a, b: [a, a, a, b, b, b, b, a, a, a]
+    rows = [(0, [square(0.0, 9.0), square(1.0, 8.0), square(2.0, 7.0), square(20.0, 21.0)]), (1, [[]]), (2, []), (3, [[1.0, 1.0, 2.0, 2.0]]), (4, None)]
+    found = spark.createDataFrame(rows, "k int, parts array<array<double>>").select("k", files.polygons_of(F.col("parts")).alias("p")).collect()
+    assert {r["k"]: None if r["p"] is None else sorted(len(p["holes"]) for p in r["p"]) for r in found} == {0: [0, 0, 1], 1: [], 2: [], 3: [], 4: None}
+
+
+def test_synced_folder(spark, tmp_path):
+    """Untouched partitions keep their files; an empty table leaves an empty folder."""
+    import os
+
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
+    path = f"{tmp_path}/synced"
+    assert {r["action"] for r in sinks.sync_partitions(df, path, "k").collect()} == {"written"}
+    before = sorted(os.listdir(f"{path}/k=1"))
+    assert {(r["k"], r["action"]) for r in sinks.sync_partitions(df.where("k = 1").unionByName(spark.createDataFrame([(3, "c")], df.schema)), path, "k").collect()} == {(1, "same"), (2, "removed"), (3, "written")}
+    assert sorted(os.listdir(f"{path}/k=1")) == before and not os.path.exists(f"{path}/k=2")
+    assert {(r["k"], r["v"]) for r in spark.read.schema(df.schema).parquet(path).collect()} == {(1, "a"), (3, "c")}
