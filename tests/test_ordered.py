@@ -202,3 +202,62 @@ def test_anchors(spark):
 def test_rings_apart(spark, box, expected):
     a, b = geo.rectangle(*map(F.lit, (0, 0, 1, 1))), geo.rectangle(*map(F.lit, box))
     assert spark.range(1).select(geo.rings_apart(a, b).alias("d")).first()["d"] == expected
+
+
+def test_request_windows_of_the_query(spark):
+    """Per user: a window of an hour opens with the first request after the last one's end and admits two; forty in all."""
+    rows = {}
+    for r in spark.read.parquet(f"{SF}/events.parquet").select("user_id", "event_id", F.col("ts").cast("timestamp").cast("long").alias("t"), "ts").collect():
+        rows.setdefault(r["user_id"], []).append((r["ts"], r["event_id"], r["t"]))
+    expected = {}
+    for user, events in rows.items():
+        opened, here, done = None, 0, 0
+        for _, i, t in sorted(events):
+            if opened is None or t >= opened + 3600:
+                opened, here = t, 0
+            verdict = "session-limit" if done == 40 else "rate-limit" if here == 2 else "executed"
+            here, done = here + (verdict == "executed"), done + (verdict == "executed")
+            expected[user, i] = verdict
+    found = {(r["user_id"], r["event_id"]): r["verdict"] for r in catalogue.QUERIES["q_11_01_request_windows"](spark, SF).collect()}
+    assert found == expected
+
+
+def test_best_path_against_all_paths():
+    from itertools import product
+
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for _ in range(60):
+        steps, states = rng.integers(1, 6), rng.integers(1, 4)
+        scores = np.where(rng.random((steps, states + 1)) < 0.3, np.nan, rng.random((steps, states + 1)))
+
+        def worth(path):
+            if any(s and np.isnan(scores[i, s]) for i, s in enumerate(path)):
+                return -np.inf
+            local = sum(scores[i, s] if s else -0.15 for i, s in enumerate(path))
+            return local - sum(0.55 for a, b in zip(path, path[1:]) if a and b and a != b)
+
+        found = sequential.best_path(scores.copy())
+        assert worth(found) == pytest.approx(max(map(worth, product(range(states + 1), repeat=steps))))
+
+
+def test_corridors_of_the_query(spark):
+    """Each track's path is worth as much as the best one found state by state."""
+    rows = spark.read.parquet(f"{SF}/lineitem.parquet").selectExpr("l_orderkey % 997 AS track", "l_orderkey div 997 AS pos", "CASE WHEN l_linenumber <> 4 THEN l_suppkey % 5 END AS partner", "floor(l_discount * 100) / 10 AS score").collect()
+    best = {}
+    for r in rows:
+        steps = best.setdefault(r["track"], {}).setdefault(r["pos"], {})
+        if r["partner"] is not None:
+            steps[r["partner"]] = max(steps.get(r["partner"], 0.0), float(r["score"]))
+    worth = lambda steps, path: sum(steps[p][s] if s is not None else -0.15 for p, s in path) - sum(0.55 for (_, a), (_, b) in zip(path, path[1:]) if None not in (a, b) and a != b)
+    paths = {}
+    for r in catalogue.QUERIES["q_6_06_corridors"](spark, SF).collect():
+        paths.setdefault(r["track"], []).append((r["pos"], r["partner"]))
+    assert set(paths) == set(best)
+    for track, steps in best.items():
+        total = {None: 0.0}
+        for i, p in enumerate(sorted(steps)):
+            now = {None: -0.15, **steps[p]}
+            total = {s: v + (max(t - (0.55 if None not in (s, o) and s != o else 0) for o, t in total.items()) if i else 0) for s, v in now.items()}
+        assert worth(steps, sorted(paths[track])) == pytest.approx(max(total.values()))
