@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quadrille.functions import geo
 from quadrille.functions.num import half_up
-from quadrille.operators.graph import components
+from quadrille.operators import rounds
 from quadrille.operators.resolve import mutual_best
 from quadrille.operators.spatial import box_pairs, near_pairs
 from quadrille.storage import stored
@@ -178,24 +177,11 @@ def edge_verdicts(lines: DataFrame, line_id: str = "line_id") -> DataFrame:
 
 def claim_edges(verdicts: DataFrame) -> DataFrame:
     """(a, b, confidence) of the verdicts that stand: taken by segment, a segment that is used or rejected takes no
-    part any more. Only segments that best partners chain together are decided in one task."""
+    part any more. A rejected pair uses up its first segment only."""
     key = lambda c: F.format_string("%020d/%010d", F.col(c)["parent"].cast("long"), F.col(c)["n"].cast("int"))
-    v = verdicts.select(key("a").alias("ka"), key("b").alias("kb"), "a", "b", "confidence")
-    groups = components(v.select(F.col("ka").alias("a"), F.col("kb").alias("b"))).withColumnRenamed("node", "ka")
-
-    def decide(pdf: pd.DataFrame) -> pd.DataFrame:
-        gone, kept = set(), []
-        for r in pdf.sort_values("ka").itertuples(index=False):
-            if r.ka in gone or r.kb in gone:
-                continue
-            gone.add(r.ka)
-            if r.confidence != "reject":
-                gone.add(r.kb)
-            kept.append(r.ka)
-        return pd.DataFrame({"ka": kept}, dtype=object)
-
-    kept = v.select("ka", "kb", "confidence").join(groups, "ka").groupBy("comp").applyInPandas(decide, "ka string")
-    return v.join(kept, "ka", "left_semi").select("a", "b", "confidence")
+    v = stored(verdicts.select(key("a").alias("ka"), key("b").alias("kb"), "a", "b", "confidence"), "verdicts")
+    kept = rounds.claims(v.select(F.col("ka").alias("a"), F.col("kb").alias("b"), (F.col("confidence") != "reject").alias("takes")))
+    return v.join(kept.select(F.col("a").alias("ka")), "ka", "left_semi").select("a", "b", "confidence")
 
 
 def transfers(stations: DataFrame, radius: float = 260) -> DataFrame:

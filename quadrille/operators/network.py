@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-import numpy as np
+import math
+
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from quadrille.operators.spatial import box_pairs
+from quadrille.functions import geo
+from quadrille.functions.num import half_up
+from quadrille.operators.forest import spanning_forest, touching
+from quadrille.operators.graph import components
+from quadrille.operators.spatial import box_pairs, near_pairs
+from quadrille.storage import stored
 
 
 def to_segment(x: Column, z: Column, ax: Column, az: Column, bx: Column, bz: Column) -> Column:
@@ -41,79 +47,91 @@ def hanging_ends(lines: DataFrame, line_id: str, touch: float = 6.0, reach: floa
     return alone.join(d, [line_id, "side"], "left").select(line_id, "side", "x", "z", kind.alias("kind"))
 
 
-def spanning_gaps(ends: list[tuple[int, np.ndarray]], joined: float) -> list[tuple[int, int, float]]:
-    """Parts closer than ``joined`` are one; the least gaps (a, b, distance) that would join the rest."""
-    n = len(ends)
-    up = list(range(n))
-
-    def root(i: int) -> int:
-        while up[i] != i:
-            up[i] = i = up[up[i]]
-        return i
-
-    near = sorted((float(np.hypot(*(a[:, None] - b[None]).transpose(2, 0, 1)).min()), i, j) for i, (_, a) in enumerate(ends) for j, (_, b) in enumerate(ends[:i]))
-    gaps = []
-    for d, i, j in near:
-        a, b = root(i), root(j)
-        if a != b:
-            up[a] = b
-            if d > joined:
-                gaps.append((*sorted((ends[i][0], ends[j][0])), d))
-    return gaps
+def _named_ends(lines: DataFrame, river: str, line_id: str) -> DataFrame:
+    """(grp, part, x, z): both ends of every line that has points."""
+    sides = F.array(F.element_at("points", 1), F.element_at("points", -1))
+    return lines.where(F.size("points") > 0).select(F.col(river).alias("grp"), F.col(line_id).alias("part"), F.explode(sides).alias("p")).select("grp", "part", "p.x", "p.z")
 
 
 def river_gaps(lines: DataFrame, river: str = "river", line_id: str = "line_id", joined: float = 60.0) -> DataFrame:
-    """(river, a, b, gap): what keeps the lines of a river apart, as the least tree of gaps between their ends."""
-    kind = dict(lines.dtypes)
-    ends = lines.select(river, line_id, *(F.element_at("points", i)[k].alias(f"{k}{j}") for j, i in enumerate((1, -1)) for k in ("x", "z")))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = [(r[1], np.array([[r[2], r[3]], [r[4], r[5]]])) for r in pdf.sort_values(line_id).itertuples(index=False)]
-        rows = spanning_gaps(parts, joined)
-        return pd.DataFrame([(pdf[river].iloc[0], *r) for r in rows], columns=[river, "a", "b", "gap"])
-
-    return ends.groupBy(river).applyInPandas(run, f"{river} {kind[river]}, a {kind[line_id]}, b {kind[line_id]}, gap double")
-
-
-def chained(ends: list[tuple[int, tuple, tuple]], joined: float) -> list[list[tuple[int, bool]]]:
-    """Parts put end to end while the next end is within ``joined``: chains of (part, turned round)."""
-    left, chains = list(ends), []
-    while left:
-        first = left.pop(0)
-        chain, head, tail = [(first[0], False)], first[1], first[2]
-        grown = True
-        while grown:
-            grown = False
-            for at_tail, turned, end in ((True, False, 1), (True, True, 2), (False, False, 2), (False, True, 1)):
-                here = tail if at_tail else head
-                near = [(np.hypot(p[end][0] - here[0], p[end][1] - here[1]), p) for p in left]
-                if near and (best := min(near, key=lambda v: (v[0], v[1][0])))[0] <= joined:
-                    part = best[1]
-                    left.remove(part)
-                    other = part[2] if end == 1 else part[1]
-                    if at_tail:
-                        chain.append((part[0], turned))
-                        tail = other
-                    else:
-                        chain.insert(0, (part[0], turned))
-                        head = other
-                    grown = True
-                    break
-        chains.append(chain)
+    """(river, a, b, gap): what keeps the lines of a river apart, as the least tree of gaps between their ends. Lines
+    whose ends are within ``joined`` are one part. Lines without a river's name are no river; ``line_id`` names a line."""
+    ends = stored(_named_ends(lines, river, line_id).where("grp is not null"), "ends")
+    gaps = spanning_forest(ends, touching(ends, joined), joined)
+    return gaps.select(F.col("grp").alias(river), "a", "b", F.sqrt("d2").alias("gap"))
+
+
+def river_continuity(lines: DataFrame, gaps: DataFrame, river: str = "river", line_id: str = "line_id") -> DataFrame:
+    """(river, segments, components, gaps, max_gap, total_length) of every river; ``gaps`` are its river_gaps. A line
+    without a name is a river of its own."""
+    alone = F.when(F.col(river).isNull(), F.col(line_id))
+    whole = lines.where(F.size("points") > 0).groupBy(river, alone.alias("alone")).agg(F.count("*").alias("segments"), F.sum(geo.path_length(F.col("points"))).alias("length"))
+    most = gaps.groupBy(river).agg(F.count("*").alias("gaps"), F.max("gap").alias("widest"))
+    n = F.coalesce("gaps", F.lit(0))
+    return whole.join(most, river, "left").select(river, "segments", (n + 1).alias("components"), n.alias("gaps"), half_up(F.coalesce("widest", F.lit(0.0)), 1).alias("max_gap"), half_up(F.col("length"), 0).cast("long").alias("total_length"))
+
+
+def gap_cause(gap: Column, near_city_edge: Column, ward_edge: Column) -> Column:
+    """What a gap is put down to: A an end's tolerance, D the city's edge, C a ward's edge within 120 m (null: not
+    known), B a part that is missing, E the middle range."""
+    return F.when(gap <= 80, "A").when(near_city_edge, "D").when(ward_edge < 120, "C").when(gap > 400, "B").otherwise("E")
+
+
+def walked(parts: list[tuple], joined: float) -> list[list[tuple]]:
+    """Chains of (part, turned round) over one component. ``parts``: (id, first end, last end, neighbours), by id.
+
+    Walks start at parts of few neighbours, then of low id, and go one way: from a part's free end to its first
+    neighbour by id that is not taken and has an end within ``joined`` of it."""
+    at = {p[0]: p for p in parts}
+    near = lambda p, q: math.hypot(p[0] - q[0], p[1] - q[1]) <= joined
+    taken: set = set()
+    chains = []
+    for start in sorted(parts, key=lambda p: (len(p[3]), p[0])):
+        chain, part, came = [], start[0] if start[0] not in taken else None, None
+        while part is not None:
+            taken.add(part)
+            _, first, last, beside = at[part]
+            free = [at[n] for n in beside if n not in taken]
+            if came is not None:
+                turned = math.dist(last, came) < math.dist(first, came)
+            else:  # the way out is the end that goes on
+                goes_on = [any(near(end, e) for n in free for e in n[1:3]) for end in (first, last)]
+                turned = goes_on[0] and not goes_on[1]
+            chain.append((part, turned))
+            came = first if turned else last
+            part = next((n[0] for n in free if near(n[1], came) or near(n[2], came)), None)
+        if chain:
+            chains.append(chain)
     return chains
 
 
 def river_chains(lines: DataFrame, river: str = "river", line_id: str = "line_id", joined: float = 60.0) -> DataFrame:
-    """(river, chain, pos, line_id, turned): the lines of a river in order along their chains."""
+    """(river, chain, pos, line_id, turned): the lines of a river in order along their chains, numbered from 0. A line
+    without a neighbour is in no chain: its chain and pos are null.
+
+    A walk stays within the lines that near ends chain together, so these are what one task walks; where a chain
+    stands among the river's chains follows from its first line."""
     kind = dict(lines.dtypes)
-    ends = lines.select(river, line_id, *(F.element_at("points", i)[k].alias(f"{k}{j}") for j, i in enumerate((1, -1)) for k in ("x", "z")))
+    own = stored(lines.where(F.size("points") > 0).select(river, line_id, *(F.struct(*(F.element_at("points", i)[k].cast("double").alias(k) for k in ("x", "z"))).alias(name) for name, i in (("first", 1), ("last", -1)))), "lines")
+    ends = own.select(river, line_id, F.explode(F.array("first", "last")).alias("p")).select(river, line_id, "p.*")
+    other = ends.select(F.col(river).alias("_river"), F.col(line_id).alias("b"), F.col("x").alias("bx"), F.col("z").alias("bz"))
+    near = stored(near_pairs(ends, other, "x", "z", "bx", "bz", joined).where((F.col(river) == F.col("_river")) & (F.col(line_id) != F.col("b"))).select(line_id, "b").distinct(), "near")
+    beside = near.groupBy(line_id).agg(F.sort_array(F.collect_list("b")).alias("beside"))
+    groups = components(near.select(F.col(line_id).alias("a"), "b")).withColumnRenamed("node", line_id)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = [(r[1], (r[2], r[3]), (r[4], r[5])) for r in pdf.sort_values(line_id).itertuples(index=False)]
-        out = [(pdf[river].iloc[0], c, i, part, turned) for c, chain in enumerate(chained(parts, joined)) for i, (part, turned) in enumerate(chain)]
-        return pd.DataFrame(out, columns=[river, "chain", "pos", line_id, "turned"])
+        ends_ = lambda p: (p["x"], p["z"])
+        parts = [(r[0], ends_(r[1]), ends_(r[2]), list(r[3])) for r in pdf[[line_id, "first", "last", "beside"]].itertuples(index=False)]
+        degree = {p[0]: len(p[3]) for p in parts}
+        out = [(pdf[river].iloc[0], degree[chain[0][0]], chain[0][0], i, part, turned) for chain in walked(parts, joined) for i, (part, turned) in enumerate(chain)]
+        return pd.DataFrame(out, columns=[river, "degree", "start", "pos", line_id, "turned"])
 
-    return ends.groupBy(river).applyInPandas(run, f"{river} {kind[river]}, chain long, pos long, {line_id} {kind[line_id]}, turned boolean")
+    rows = own.join(beside, line_id).join(groups, line_id)
+    walks = stored(rows.groupBy("comp").applyInPandas(run, f"{river} {kind[river]}, degree long, start {kind[line_id]}, pos long, {line_id} {kind[line_id]}, turned boolean"), "walks")
+    order = walks.where("pos = 0").select(river, "start", (F.row_number().over(Window.partitionBy(river).orderBy("degree", "start")) - 1).cast("long").alias("chain"))
+    chains = walks.join(order.drop(river), "start").select(river, "chain", "pos", line_id, "turned")
+    none = F.lit(None).cast("long")
+    return chains.unionByName(own.join(near.select(line_id), line_id, "left_anti").select(river, none.alias("chain"), none.alias("pos"), line_id, F.lit(False).alias("turned")))
 
 
 def estimate_origin(refs: DataFrame, inlier: float = 50.0) -> DataFrame:
@@ -130,8 +148,6 @@ def estimate_origin(refs: DataFrame, inlier: float = 50.0) -> DataFrame:
 def nested_rings(rings: DataFrame, area_id: str = "area_id") -> DataFrame:
     """(area_id, ring_id, depth, outer_id): rings of an area by how many others hold their first point; an odd
     depth is a hole of the smallest ring that holds it. ``rings``: area_id, ring_id, ring."""
-    from quadrille.functions import geo
-
     inner = rings.select(area_id, F.col("ring_id").alias("i"), F.element_at("ring", 1).alias("p"), geo.area(F.col("ring")).alias("ai"))
     outer = rings.select(area_id, F.col("ring_id").alias("o"), F.col("ring").alias("r"), geo.area(F.col("ring")).alias("ao"))
     held = inner.join(outer, area_id).where((F.col("i") != F.col("o")) & (F.col("ao") > F.col("ai")) & geo.in_ring(F.col("p.x"), F.col("p.z"), F.col("r")))

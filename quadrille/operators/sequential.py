@@ -1,7 +1,5 @@
-"""Order-dependent operators: Spark finds the small groups, a short loop decides inside each.
-
-The groups are components of near pairs, one river, one track or one view; never a whole table. What can
-be said with joins and aggregates is, and only the decision that needs an order runs in Python.
+"""Order-dependent operators. Greedy decisions over near pairs are taken in parallel rounds (``rounds``); the others
+run a short loop inside a group, which is one river, one track, one label or one view, never a whole table.
 """
 
 from __future__ import annotations
@@ -10,34 +8,18 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from quadrille.operators.graph import components, labelled
+from quadrille.operators.graph import labelled
+from quadrille.operators.rounds import drop_contained, first_apart, greedy_dedupe  # noqa: F401
 from quadrille.operators.spatial import near_pairs
-from quadrille.storage import stored
-
-
-def greedy_dedupe(items: DataFrame, pairs: DataFrame, id_col: str = "id", order: str = "ord", rank: str = "rank") -> DataFrame:
-    """Items without those that lose a pair (a, b): taken by order, the higher rank wins and a tie keeps the
-    earlier; an item that has lost takes no part any more. Groups are the components of the pairs."""
-    groups = components(pairs).withColumnRenamed("node", id_col)
-    facts = items.select(id_col, order, rank)
-    a, b = facts.select(*(F.col(c).alias(f"a_{c}") for c in facts.columns)), facts.select(*(F.col(c).alias(f"b_{c}") for c in facts.columns))
-    rows = pairs.join(groups.withColumnRenamed(id_col, "a"), "a").join(a, F.col("a") == F.col(f"a_{id_col}")).join(b, F.col("b") == F.col(f"b_{id_col}"))
-
-    def decide(pdf: pd.DataFrame) -> pd.DataFrame:
-        lost: set = set()
-        rows_ = []
-        for r in pdf.itertuples(index=False):
-            one = (getattr(r, f"a_{order}"), r.a, getattr(r, f"a_{rank}"))
-            two = (getattr(r, f"b_{order}"), r.b, getattr(r, f"b_{rank}"))
-            rows_.append((min(one, two), max(one, two)))
-        for first, second in sorted(rows_):
-            if first[1] not in lost and second[1] not in lost:
-                lost.add(second[1] if first[2] >= second[2] else first[1])
-        return pd.DataFrame({id_col: sorted(lost)})
-
-    kind = dict(items.dtypes)[id_col]
-    lost = rows.groupBy("comp").applyInPandas(decide, f"{id_col} {kind}")
-    return items.join(lost, id_col, "left_anti")
+
+
+def contained_names(items: DataFrame, radius: float = 100.0) -> DataFrame:
+    """Facilities (id, ord, name, category, x, z) without those whose name is part of a nearby one's of their category:
+    see ``rounds.drop_contained``. Nearby is below ``radius``. A null name or category has no partner."""
+    other = items.select(F.col("id").alias("b"), *(F.col(c).alias(f"b_{c}") for c in ("name", "category", "x", "z")))
+    part_of = F.contains("name", "b_name") | F.contains("b_name", "name")
+    pairs = near_pairs(items, other, "x", "z", "b_x", "b_z", radius).where((F.col("id") != F.col("b")) & (F.col("dist") < radius) & (F.col("category") == F.col("b_category")) & part_of)
+    return drop_contained(items.withColumn("size", F.length("name")), pairs.select(F.col("id").alias("a"), "b")).drop("size")
 
 
 def station_clusters(stations: DataFrame, radius: float = 130, group_radius: float = 900, name_radius: float = 420) -> DataFrame:
@@ -109,22 +91,11 @@ def smooth_widths(series: DataFrame, key: str, order: str, width: str) -> DataFr
 
 
 def anchors(items: DataFrame, key: str, radius: float) -> DataFrame:
-    """Of same-key items, taken by ``ord``, those that are farther than ``radius`` from all kept before. Only items
-    that near ones of their key chain together are decided in one task; an item alone stays."""
+    """Of same-key items, taken by ``ord``, the ids of those that are farther than ``radius`` from all kept before."""
     own = items.select(key, "id", "ord", "x", "z")
     other = own.select(F.col(key).alias("_key"), F.col("id").alias("b"), F.col("x").alias("bx"), F.col("z").alias("bz"))
     near = near_pairs(own, other, "x", "z", "bx", "bz", radius).where(F.col(key).eqNullSafe(F.col("_key")) & (F.col("id") < F.col("b"))).select(F.col("id").alias("a"), "b")
-    groups = stored(components(near).withColumnRenamed("node", "id"), "groups")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: list = []
-        for r in pdf.sort_values("ord").itertuples(index=False):
-            if all(np.hypot(r.x - k.x, r.z - k.z) > radius for k in kept):
-                kept.append(r)
-        return pd.DataFrame({"id": [k.id for k in kept]})
-
-    crowded = own.join(groups, "id").groupBy("comp").applyInPandas(run, "id long")
-    return own.join(groups, "id", "left_anti").select("id").unionByName(crowded)
+    return first_apart(own.select("id", "ord"), near).select("id")
 
 
 def place_labels(candidates: DataFrame, view: str = "view", columns: int = 8, rows: int = 6, per_cell: int = 4, cap: int = 120) -> DataFrame:

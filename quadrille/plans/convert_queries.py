@@ -13,6 +13,7 @@ from quadrille.plans import views
 from quadrille.plans.grid_queries import CLUSTERS, SIZE, _coverage, to_edge
 from quadrille.plans.registry import query
 from quadrille.plans.resolve_queries import PAIRS, _pairs
+from quadrille.plans.sequence_queries import LOOP, RECURSIVE
 from quadrille.plans.scalar_queries import pick, sql_pick, sql_tagged, tagged
 from quadrille.plans.views import WITH
 from quadrille.storage import read_table, stored
@@ -226,10 +227,16 @@ def place_keys(spark, sf):
 # ---- matching and order ----------------------------------------------------------------------------
 
 
-@query("q_4_21_recovered_duplicates")
+@query("q_4_21_recovered_duplicates", RECURSIVE + """, both_ AS (SELECT rect_id * 2 AS id, area, x0, z0, x1, z1 FROM rects UNION ALL SELECT rect_id * 2 + 1, area, x0, z0, x1, z1 FROM rects_b),
+f AS (SELECT id, row_number() OVER (ORDER BY id) AS n, CASE WHEN id % 3 = 0 THEN 4.0::DOUBLE ELSE 0.0 END + CASE WHEN id % 5 = 0 THEN 2.0::DOUBLE ELSE 0.0 END + area / 1e6::DOUBLE AS rank, x0, z0, x1, z1 FROM both_),
+pr AS (SELECT a.n AS i, b.n AS j, a.rank >= b.rank AS beats FROM f a JOIN f b ON a.n < b.n AND a.x0 < b.x1 AND b.x0 < a.x1 AND a.z0 < b.z1 AND b.z0 < a.z1),
+m AS (SELECT i, coalesce(list(j) FILTER (beats), []) AS wins, coalesce(list(j) FILTER (NOT beats), []) AS loses FROM pr GROUP BY i)"""
+       + LOOP.format(step="list_concat(list_concat(w.gone, list_filter(m.wins, lambda j: j < coalesce(list_min(list_filter(m.loses, lambda k: NOT list_contains(w.gone, k))), 9223372036854775807))), CASE WHEN len(list_filter(m.loses, lambda j: NOT list_contains(w.gone, j))) > 0 THEN [g.n] ELSE []::BIGINT[] END)")
+       + "SELECT id FROM f WHERE n NOT IN (SELECT n FROM lost)")
 def recovered_duplicates(spark, sf):
     """Candidates of both views without those that overlap a better one: a name counts most, then storeys, then the
-    area. Taken by id; a test holds it against a plain loop."""
+    area. Taken by id. Each candidate is measured against all of them, itself among them, so it is always wholly
+    covered: any partner that it overlaps makes it a clear duplicate."""
     both = None
     for i, df in enumerate((views.rects(spark, sf), views.rects_b(spark, sf))):
         k = F.col("rect_id") * 2 + i

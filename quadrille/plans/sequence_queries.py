@@ -10,6 +10,7 @@ from quadrille.operators import sequential
 from quadrille.operators.spatial import near_pairs
 from quadrille.plans import views
 from quadrille.plans.registry import query
+from quadrille.plans.scalar_queries import pick, sql_pick
 from quadrille.plans.views import WITH
 from quadrille.storage import read_table
 from quadrille.streaming import events
@@ -65,14 +66,30 @@ def self_crossing(spark, sf):
     return views.rects(spark, sf).select("rect_id", kernels.crosses_itself(F.when(F.col("rect_id") % 5 == 0, bow).otherwise(r)).alias("crosses"))
 
 
-@query("q_4_44_greedy_dedupe")
+#: A plain loop for SQL, in each component of the pairs ``pr`` (i, j) on its own: items come by number n, ``gone`` holds
+#: the numbers of those that went.
+LOOP = """,
+edge AS (SELECT i, j FROM pr UNION ALL SELECT j, i FROM pr),
+chained(n, root) AS (SELECT i, i FROM edge UNION SELECT e.j, c.root FROM chained c JOIN edge e ON e.i = c.n),
+g AS (SELECT *, row_number() OVER (PARTITION BY comp ORDER BY n) AS k FROM (SELECT n, min(root) AS comp FROM chained GROUP BY n)),
+walk(comp, k, gone) AS (SELECT DISTINCT comp, CAST(0 AS BIGINT), []::BIGINT[] FROM g
+  UNION ALL SELECT w.comp, g.k, CASE WHEN m.i IS NULL OR list_contains(w.gone, g.n) THEN w.gone ELSE {step} END FROM walk w JOIN g ON g.comp = w.comp AND g.k = w.k + 1 LEFT JOIN m ON m.i = g.n),
+lost AS (SELECT unnest(arg_max(gone, k)) AS n FROM walk GROUP BY comp)
+"""
+RECURSIVE = WITH.replace("WITH ", "WITH RECURSIVE ", 1)
+FACILITY_NAMES = ["中央小学校前広場", "みなと図書館分館北", "Kita Park Hall"]
+
+
+@query("q_4_44_greedy_dedupe", RECURSIVE + f""", f AS (SELECT point_id AS id, row_number() OVER (ORDER BY point_id) AS n, x, z, segment, substring({sql_pick(FACILITY_NAMES, "point_id")}, 1, 2 + CAST(point_id % 7 AS INTEGER)) AS name FROM pts),
+pr AS (SELECT a.n AS i, b.n AS j, length(a.name) >= length(b.name) AS beats FROM f a JOIN f b ON a.n < b.n AND a.segment = b.segment AND (a.x - b.x) ^ 2 + (a.z - b.z) ^ 2 < 810000 AND (contains(a.name, b.name) OR contains(b.name, a.name))),
+m AS (SELECT i, coalesce(list(j) FILTER (beats), []) AS wins, coalesce(list(j) FILTER (NOT beats), []) AS loses FROM pr GROUP BY i)"""
+       + LOOP.format(step="list_concat(list_concat(w.gone, m.wins), CASE WHEN len(list_filter(m.loses, lambda j: NOT list_contains(w.gone, j))) > 0 THEN [g.n] ELSE []::BIGINT[] END)")
+       + "SELECT id, name FROM f WHERE n NOT IN (SELECT n FROM lost)")
 def greedy_dedupe(spark, sf):
-    """Near points of one segment: the longer name stays, the earlier on a tie."""
-    p = views.pts(spark, sf)
-    b = p.select(F.col("point_id").alias("b"), F.col("x").alias("bx"), F.col("z").alias("bz"), F.col("segment").alias("bs"))
-    pairs = near_pairs(p, b, "x", "z", "bx", "bz", 900.0).where("point_id < b and segment = bs").select(F.col("point_id").alias("a"), "b")
-    items = p.select(F.col("point_id").alias("id"), F.col("point_id").alias("ord"), (F.col("point_id") % 7).alias("rank"))
-    return sequential.greedy_dedupe(items, pairs)
+    """Near facilities of one segment whose names are part of one another: the longer name stays, the earlier on a tie."""
+    name = F.substr(pick(FACILITY_NAMES, F.col("point_id")), F.lit(1), (2 + F.col("point_id") % 7).cast("int"))
+    items = views.pts(spark, sf).select(F.col("point_id").alias("id"), F.col("point_id").alias("ord"), name.alias("name"), F.col("segment").alias("category"), "x", "z")
+    return sequential.contained_names(items, 900.0).select("id", "name")
 
 
 @query("q_5_18_station_clusters")
@@ -95,7 +112,9 @@ def corridors(spark, sf):
     return sequential.track_corridors(c)
 
 
-@query("q_6_09_anchors")
+@query("q_6_09_anchors", RECURSIVE + """, f AS (SELECT point_id AS id, row_number() OVER (ORDER BY point_id) AS n, x, z, segment || '-' || point_id % 20 AS name FROM pts),
+pr AS (SELECT a.n AS i, b.n AS j FROM f a JOIN f b ON a.n < b.n AND a.name = b.name AND (a.x - b.x) ^ 2 + (a.z - b.z) ^ 2 <= 20250000),
+m AS (SELECT i, list(j) AS near FROM pr GROUP BY 1)""" + LOOP.format(step="list_concat(w.gone, m.near)") + "SELECT id FROM f WHERE n NOT IN (SELECT n FROM lost)")
 def anchors(spark, sf):
     p = views.pts(spark, sf).select(F.concat_ws("-", "segment", (F.col("point_id") % 20).cast("string")).alias("name"), F.col("point_id").alias("id"), F.col("point_id").alias("ord"), "x", "z")
     return sequential.anchors(p, "name", 4500.0)

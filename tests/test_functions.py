@@ -182,13 +182,15 @@ def test_stations_against_a_loop(spark):
     assert found == {i: c["base"] for c in clusters for i in c["ids"]}
 
 
-def test_networks():
-    from quadrille.operators.network import chained, spanning_gaps
-
-    ends = [(1, np.array([[0, 0], [10, 0]])), (2, np.array([[12, 0], [20, 0]])), (3, np.array([[50, 0], [60, 0]]))]
-    assert spanning_gaps(ends, 5) == [(2, 3, 30.0)]
-    parts = [(1, (0, 0), (10, 0)), (2, (20, 0), (11, 0)), (3, (-1, 0), (-9, 0)), (4, (500, 0), (510, 0))]
-    assert chained(parts, 5) == [[(3, True), (1, False), (2, True)], [(4, False)]]
+def test_walks_along_a_river():
+    """Where three lines meet, the walk that starts at the line of fewest neighbours takes the first one by number."""
+    from quadrille.operators.network import walked
+
+    ends = {1: ((0, 0), (10, 0)), 2: ((20, 0), (11, 0)), 3: ((-1, 0), (-9, 0))}
+    parts = [(1, *ends[1], [2, 3]), (2, *ends[2], [1]), (3, *ends[3], [1])]
+    assert walked(parts, 5) == [[(2, False), (1, True), (3, False)]]
+    fork = [(1, (0, 0), (1000, 0), [2, 3]), (2, (1050, 0), (2000, 0), [1, 3]), (3, (1005, 0), (1005, 900), [1, 2])]
+    assert walked(fork, 60) == [[(1, False), (2, False)], [(3, False)]]
 
 
 def test_plane_rectangular(spark):

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import random
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from quadrille.functions import geo
-from quadrille.operators import matching, network, sequential
+from quadrille.operators import forest, matching, network, rounds, sequential
 from quadrille.operators.graph import components
 from quadrille.plans import catalogue, views
 
@@ -90,14 +91,86 @@ def points_of(spark):
     return sorted((r["point_id"], r["x"], r["z"], r["segment"]) for r in views.pts(spark, SF).collect())
 
 
+def without_contained(items, radius):
+    """The rule as a plain loop: (id, name, category, x, z) in order."""
+    gone = set()
+    for i, (a, name, kind, x, z) in enumerate(items):
+        if a in gone:
+            continue
+        for b, name2, kind2, x2, z2 in items[i + 1 :]:
+            if b in gone or kind != kind2 or not (name in name2 or name2 in name) or ((x - x2) ** 2 + (z - z2) ** 2) ** 0.5 >= radius:
+                continue
+            gone.add(b if len(name) >= len(name2) else a)  # an item that goes meets its later partners all the same
+    return {a for a, *_ in items} - gone
+
+
 def test_greedy_dedupe_of_the_query(spark):
-    pts, lost = points_of(spark), set()
-    for i, (a, x, z, s) in enumerate(pts):
-        for b, bx, bz, bs in pts[i + 1 :]:
-            if a not in lost and b not in lost and s == bs and ((x - bx) ** 2 + (z - bz) ** 2) ** 0.5 <= 900:
-                lost.add(b if a % 7 >= b % 7 else a)
+    stems = ["中央小学校前広場", "みなと図書館分館北", "Kita Park Hall"]
+    items = [(a, stems[a % 3][: 2 + a % 7], s, x, z) for a, x, z, s in points_of(spark)]
     found = {r["id"] for r in catalogue.QUERIES["q_4_44_greedy_dedupe"](spark, SF).collect()}
-    assert found == {a for a, *_ in pts} - lost and lost
+    assert found == without_contained(items, 900) and len(found) < len(items)
+
+
+def facilities(spark, rows):
+    return spark.createDataFrame([(a, a, *r) for a, *r in rows], "id long, ord long, name string, category string, x double, z double")
+
+
+def test_contained_names(spark):
+    """One that goes still takes a later, shorter neighbour with it; what one lost to counts only while it is there."""
+    near_it = [(1, "town hall", "c", 0.0, 0.0), (2, "old town hall", "c", 80.0, 0.0), (3, "hall", "c", -80.0, 0.0)]
+    assert without_contained(near_it, 100) == {2}
+    rng = random.Random(7)
+    cases = [near_it, [*near_it, (4, None, "c", 0.0, 0.0), (5, "hall", None, 0.0, 0.0), (6, "hall", "d", 0.0, 0.0)]]
+    cases += [[(i, "abcdefgh"[: rng.randrange(1, 9)], rng.choice("cd"), float(rng.randrange(300)), float(rng.randrange(300))) for i in range(60)] for _ in range(2)]
+    for rows in cases:
+        plain = without_contained([r for r in rows if None not in r], 100) | {r[0] for r in rows if None in r}
+        assert {r["id"] for r in sequential.contained_names(facilities(spark, rows)).collect()} == plain
+
+
+def test_settle(spark):
+    """Random formulas over earlier variables, with literals that can never hold."""
+    rng = random.Random(8)
+    literals = [(i, rng.randrange(i) if rng.random() < 0.97 else None, rng.random() < 0.5) for i in range(1, 120) for _ in range(rng.choice([0, 1, 1, 1, 2, 3]))]
+    value = {}
+    for i in range(120):
+        value[i] = all(on is not None and value[on] == want for k, on, want in literals if k == i)
+    found = rounds.settle(spark.range(120), spark.createDataFrame(literals, "id long, on long, want boolean"))
+    assert {r["id"]: r["value"] for r in found.collect()} == value and len(set(value.values())) == 2
+    with pytest.raises(RuntimeError):
+        rounds.settle(spark.range(2), spark.createDataFrame([(0, 1, True), (0, 0, True), (1, 0, True), (1, 1, False)], "id long, on long, want boolean"), rounds=4)
+
+
+def test_claims_with_a_crowded_segment(spark):
+    """Many segments whose best partner is one and the same."""
+    rng = random.Random(9)
+    for _ in range(2):
+        wishes = [(a, b, rng.random() < 0.7) for a in range(80) if (b := rng.choice([5, 5, 40, *range(80)])) != a]
+        gone, kept = set(), []
+        for a, b, takes in wishes:
+            if a not in gone and b not in gone:
+                gone |= {a, b} if takes else {a}
+                kept.append(a)
+        assert sorted(r["a"] for r in rounds.claims(spark.createDataFrame(wishes, "a long, b long, takes boolean")).collect()) == kept
+
+
+def test_a_chain_of_a_hundred_thousand(spark):
+    """Each item hangs on the one before: rounds grow with the logarithm of the chain, and no group is one task's."""
+    n = 100_000
+    items = spark.range(n).select("id", F.col("id").alias("ord"))
+    kept = rounds.first_apart(items, spark.range(n - 1).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")))
+    row = kept.agg(F.count("*").alias("n"), F.max(F.col("id") % 2).alias("odd")).first()
+    assert (row["n"], row["odd"]) == (n // 2, 0)
+    plan = kept._jdf.queryExecution().toString()
+    assert "Pandas" not in plan and "Python" not in plan
+
+
+def test_greedy_chain(spark):
+    """The same for pairs: the earlier one wins, then the later."""
+    n = 3_000
+    for sign, expected in ((-1, set(range(0, n, 2))), (1, {n - 1})):
+        items = spark.range(n).select("id", F.col("id").alias("ord"), (sign * F.col("id")).alias("rank"))
+        kept = rounds.greedy_dedupe(items, spark.range(n - 1).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")))
+        assert {r["id"] for r in kept.collect()} == expected
 
 
 def test_anchors_of_the_query(spark):
@@ -177,13 +250,101 @@ def test_river_gaps_of_the_query(spark):
     assert [r for r, _ in found] == [r for r, _ in sorted(expected)] and [g for _, g in found] == pytest.approx([g for _, g in sorted(expected)], abs=1e-3)
 
 
+def chains_by_the_rule(parts, tol):
+    """Chains and single parts of one river: parts (id, first end, last end) by id."""
+    gap = lambda p, q: ((p[0] - q[0]) ** 2 + (p[1] - q[1]) ** 2) ** 0.5
+    n = len(parts)
+    links = [[] for _ in range(n)]
+    for i in range(n):
+        for j in range(i + 1, n):
+            for e in (0, 1):
+                for f in (0, 1):
+                    if gap(parts[i][1 + e], parts[j][1 + f]) <= tol:
+                        links[i].append((j, e))
+                        links[j].append((i, f))
+    used, chains, single = set(), [], []
+    for start in sorted(range(n), key=lambda i: len({j for j, _ in links[i]})):
+        if start in used:
+            continue
+        if not links[start]:
+            used.add(start)
+            single.append(parts[start][0])
+            continue
+        chain, now, out = [], start, None
+        while now is not None and now not in used:
+            used.add(now)
+            _, first, last = parts[now]
+            if out is not None:
+                flip = gap(last, out) < gap(first, out)
+            else:
+                flip = any(j not in used and e == 0 for j, e in links[now]) and not any(j not in used and e == 1 for j, e in links[now])
+            chain.append((parts[now][0], flip))
+            out = first if flip else last
+            now = next((j for j, _ in links[now] if j not in used and min(gap(parts[j][1], out), gap(parts[j][2], out)) <= tol), None)
+        chains.append(chain)
+    return chains, single
+
+
+def as_chains(rows):
+    chains, single = {}, []
+    for r in sorted(rows, key=lambda r: (r["chain"] is not None, r["chain"], r["pos"], r["line_id"])):
+        if r["chain"] is None:
+            single.append(r["line_id"])
+        else:
+            chains.setdefault(r["chain"], []).append((r["line_id"], r["turned"]))
+    return [chains[k] for k in sorted(chains)], sorted(single)
+
+
+def test_river_chains_of_the_query(spark):
+    rivers, found = {}, {}
+    for k, p in sorted(lines_of(spark).items()):
+        if len(p) >= 2:
+            rivers.setdefault(f"r{k % 120}", []).append((k, p[0], p[-1]))
+    for r in catalogue.QUERIES["q_6_07_river_chains"](spark, SF).collect():
+        found.setdefault(r["river"], []).append(r)
+    assert {k: as_chains(v) for k, v in found.items()} == {k: (c, sorted(s)) for k, v in rivers.items() for c, s in [chains_by_the_rule(v, 3000)]}
+    assert all([c for c, _ in [as_chains(v)]] for v in found.values())
+
+
 def test_river_gaps_and_chains(spark):
-    """Gaps are the edges of a least spanning tree between the pieces; chains visit every line of a river once."""
-    rivers = spark.createDataFrame([(1, "r", [(0.0, 0.0), (10.0, 0.0)]), (2, "r", [(15.0, 0.0), (30.0, 0.0)]), (3, "r", [(130.0, 0.0), (150.0, 0.0)]), (4, "s", [(0.0, 5.0), (9.0, 5.0)])], "line_id long, river string, points array<struct<x:double,z:double>>")
-    gaps = [r.asDict() for r in network.river_gaps(rivers, joined=60.0).collect()]
-    assert [round(g["gap"], 6) for g in gaps if g["river"] == "r"] == [100.0]
+    """Gaps are the edges of a least spanning tree between the pieces; a line without neighbours is in no chain."""
+    line = "line_id long, river string, points array<struct<x:double,z:double>>"
+    rivers = spark.createDataFrame([(1, "r", [(0.0, 0.0), (10.0, 0.0)]), (2, "r", [(15.0, 0.0), (30.0, 0.0)]), (3, "r", [(130.0, 0.0), (150.0, 0.0)]), (4, "s", [(0.0, 5.0), (9.0, 5.0)]), (5, None, [(0.0, 5.0), (9.0, 5.0)]), (6, "s", [])], line)
+    gaps = network.river_gaps(rivers, joined=60.0)
+    assert [(r["river"], r["a"], r["b"], round(r["gap"], 6)) for r in gaps.collect()] == [("r", 2, 3, 100.0)]
     chains = [r.asDict() for r in network.river_chains(rivers, joined=60.0).collect()]
-    assert Counter(c["line_id"] for c in chains) == Counter([1, 2, 3, 4])
+    assert Counter(c["line_id"] for c in chains) == Counter([1, 2, 3, 4, 5]) and {c["line_id"] for c in chains if c["chain"] is None} == {3, 4, 5}
+    audit = {r["river"]: (r["segments"], r["components"], r["gaps"], r["max_gap"], r["total_length"]) for r in network.river_continuity(rivers, gaps).collect()}
+    assert audit == {"r": (3, 2, 1, 100.0, 45), "s": (1, 1, 0, 0.0, 9), None: (1, 1, 0, 0.0, 9)}
+    cause = lambda *v: spark.range(1).select(network.gap_cause(*map(F.lit, v)).alias("c")).first()["c"]
+    assert [cause(80.0, True, 5.0), cause(81.0, True, 5.0), cause(81.0, False, 119.0), cause(401.0, False, 120.0), cause(400.0, False, None)] == list("ADCBE")
+    fork = spark.createDataFrame([(1, "r", [(0.0, 0.0), (1000.0, 0.0)]), (2, "r", [(1050.0, 0.0), (2000.0, 0.0)]), (3, "r", [(1005.0, 0.0), (1005.0, 900.0)])], line)
+    assert as_chains(network.river_chains(fork).collect()) == ([[(1, False), (2, False)], [(3, False)]], [])
+
+
+def test_spanning_forest(spark):
+    """Against a tree grown part by part, with equal distances, several points a part, and far pieces."""
+    rng = random.Random(10)
+    rows = [(f"g{g}", 100 * g + k, float(rng.randrange(40) * 7 + far), float(rng.randrange(40) * 7)) for g in range(3) for k in range(30) for far in [0 if k < 25 else 90_000] for _ in range(rng.choice([1, 2, 3]))]
+    points = spark.createDataFrame([*rows, (None, 999, 0.0, 0.0), ("g0", 7000, None, 1.0)], "grp string, part long, x double, z double")
+    own = {}
+    for g, k, x, z in rows:
+        own.setdefault(g, {}).setdefault(k, []).append((x, z))
+    expected = []
+    for g, parts in own.items():
+        edges = sorted((min((x - u) ** 2 + (z - v) ** 2 for x, z in parts[a] for u, v in parts[b]), b, a) for a in parts for b in parts if a < b)
+        up = {k: k for k in parts}
+        for d2, b, a in edges:
+            ends = [a, b]
+            for i in (0, 1):
+                while up[ends[i]] != ends[i]:
+                    ends[i] = up[ends[i]]
+            if ends[0] != ends[1]:
+                up[ends[0]] = ends[1]
+                if d2 > 25 * 25:
+                    expected.append((g, a, b, d2))
+    found = forest.spanning_forest(points, forest.touching(points, 25.0), 25.0)
+    assert sorted(map(tuple, found.collect())) == sorted(expected) and len(expected) > 10
 
 
 def test_anchors(spark):
