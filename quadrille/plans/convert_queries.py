@@ -263,29 +263,35 @@ def clusters_by_size(spark, sf):
     return grid.clusters(cells, SIZE, 3).orderBy(F.desc("n"), "cluster").select("n", "x0", "z0")
 
 
+def cells_of(table: str, x0: str, x1: str, z0: str, z1: str, size: int = 50) -> str:
+    """SQL for the rows of a table, once for every cell that their box touches."""
+    span = lambda a, b: f"unnest(range(CAST(floor(least({a}, {b}) / {size}) AS BIGINT), CAST(floor(greatest({a}, {b}) / {size}) AS BIGINT) + 1))"
+    return f"(SELECT *, {span(z0, z1)} AS kz FROM (SELECT *, {span(x0, x1)} AS kx FROM {table}))"
+
+
 #: Segments of the lines, each with its best partner and what speaks for or against it.
-EDGES = WITH.replace("WITH ", "WITH RECURSIVE ", 1) + """, lp AS (SELECT *, count(*) OVER (PARTITION BY line_id) AS n, sum(step) OVER (PARTITION BY line_id) AS len FROM (
+EDGES = WITH.replace("WITH ", "WITH RECURSIVE ", 1) + f""", lp AS (SELECT *, count(*) OVER (PARTITION BY line_id) AS n, sum(step) OVER (PARTITION BY line_id) AS len FROM (
   SELECT line_id, pos, x, z, coalesce(sqrt((x - lag(x) OVER w) ^ 2 + (z - lag(z) OVER w) ^ 2), 0) AS step FROM (SELECT line_id, pos, x, z FROM line_points UNION ALL SELECT line_id + 1000000000, pos, x + 6, z + 9 FROM line_points) WINDOW w AS (PARTITION BY line_id ORDER BY pos))),
 walk AS (SELECT line_id, pos, 0.0::DOUBLE AS acc, 0 AS chunk, false AS cut FROM lp WHERE pos = 1 AND n >= 2
   UNION ALL SELECT p.line_id, p.pos, CASE WHEN w.acc + p.step >= 30 OR p.pos = p.n THEN 0.0 ELSE w.acc + p.step END, CASE WHEN w.acc + p.step >= 30 OR p.pos = p.n THEN w.chunk + 1 ELSE w.chunk END, w.acc + p.step >= 30 OR p.pos = p.n FROM walk w JOIN lp p ON p.line_id = w.line_id AND p.pos = w.pos + 1),
 whole AS (SELECT DISTINCT line_id FROM lp WHERE n >= 2 AND n <= 8 AND len <= 66),
 member AS (SELECT line_id, chunk, pos FROM walk WHERE NOT cut AND line_id NOT IN (SELECT line_id FROM whole) UNION ALL SELECT line_id, chunk - 1, pos FROM walk WHERE cut AND line_id NOT IN (SELECT line_id FROM whole)
   UNION ALL SELECT w.line_id, w.chunk, w.pos FROM walk w JOIN lp p ON p.line_id = w.line_id AND p.pos = w.pos WHERE w.cut AND w.pos < p.n AND w.line_id NOT IN (SELECT line_id FROM whole) UNION ALL SELECT line_id, 0, pos FROM lp WHERE line_id IN (SELECT line_id FROM whole)),
-coords AS (SELECT m.line_id AS parent, m.chunk AS n, m.pos, p.x, p.z FROM member m JOIN lp p ON p.line_id = m.line_id AND p.pos = m.pos),
+coords AS MATERIALIZED (SELECT m.line_id AS parent, m.chunk AS n, m.pos, p.x, p.z FROM member m JOIN lp p ON p.line_id = m.line_id AND p.pos = m.pos),
 sg AS (SELECT parent, n, arg_min(x, pos) AS px, arg_min(z, pos) AS pz, arg_max(x, pos) AS qx, arg_max(z, pos) AS qz FROM coords GROUP BY 1, 2),
-s AS (SELECT *, (px + qx) / 2 AS mx, (pz + qz) / 2 AS mz, (qx - px) / CASE WHEN d > 0 THEN d ELSE 1 END AS ux, (qz - pz) / CASE WHEN d > 0 THEN d ELSE 1 END AS uz FROM (SELECT *, sqrt((qx - px) ^ 2 + (qz - pz) ^ 2) AS d FROM sg)),
+s AS MATERIALIZED (SELECT *, floor((px + qx) / 90) AS cx, floor((pz + qz) / 90) AS cz, (px + qx) / 2 AS mx, (pz + qz) / 2 AS mz, (qx - px) / CASE WHEN d > 0 THEN d ELSE 1 END AS ux, (qz - pz) / CASE WHEN d > 0 THEN d ELSE 1 END AS uz FROM (SELECT *, sqrt((qx - px) ^ 2 + (qz - pz) ^ 2) AS d FROM sg)),
 pr AS (SELECT a.parent AS ap, a.n AS an, b.parent AS bp, b.n AS bn, a.mx AS x0, a.mz AS z0, b.mx AS x1, b.mz AS z1, sqrt((a.mx - b.mx) ^ 2 + (a.mz - b.mz) ^ 2) AS dist, abs(a.ux * b.ux + a.uz * b.uz) AS parallel,
-  a.px * a.ux + a.pz * a.uz AS a0, a.qx * a.ux + a.qz * a.uz AS a1, b.px * a.ux + b.pz * a.uz AS b0, b.qx * a.ux + b.qz * a.uz AS b1 FROM s a JOIN s b ON a.parent <> b.parent AND abs(a.mx - b.mx) <= 45 AND abs(a.mz - b.mz) <= 45),
+  a.px * a.ux + a.pz * a.uz AS a0, a.qx * a.ux + a.qz * a.uz AS a1, b.px * a.ux + b.pz * a.uz AS b0, b.qx * a.ux + b.qz * a.uz AS b1 FROM (SELECT *, cx + unnest([-1, 0, 1]) AS kx FROM s) a JOIN (SELECT *, cz + unnest([-1, 0, 1]) AS kz FROM s) b ON a.kx = b.cx AND a.cz = b.kz AND a.parent <> b.parent AND abs(a.mx - b.mx) <= 45 AND abs(a.mz - b.mz) <= 45),
 po AS (SELECT *, least(1, greatest(0, least(greatest(a0, a1), greatest(b0, b1)) - greatest(least(a0, a1), least(b0, b1))) / CASE WHEN least(abs(a1 - a0), abs(b1 - b0)) <> 0 THEN least(abs(a1 - a0), abs(b1 - b0)) ELSE 1 END) AS overlap FROM pr WHERE dist BETWEEN 3 AND 45 AND parallel >= 0.75),
-sc AS (SELECT *, floor((0.32 * parallel + 0.28 * overlap + 0.20 * CASE WHEN dist BETWEEN 4 AND 35 THEN 1.0 ELSE 0.65 END + 0.20 * 0.6) * 1000 + 0.5) / 1000 AS score FROM po WHERE overlap >= 0.35),
-ba AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY ap, an ORDER BY score DESC, bp, bn) = 1), bb AS (SELECT bp, bn, ap, an FROM sc QUALIFY row_number() OVER (PARTITION BY bp, bn ORDER BY score DESC, ap, an) = 1),
-piece AS (SELECT * FROM (SELECT parent, n, x AS ex1, z AS ez1, lag(x) OVER w AS ex0, lag(z) OVER w AS ez0 FROM coords WINDOW w AS (PARTITION BY parent, n ORDER BY pos)) WHERE ex0 IS NOT NULL),
-hit AS (SELECT DISTINCT ap, an FROM (SELECT l.ap, l.an, l.x0, l.z0, l.x1 - l.x0 AS lx, l.z1 - l.z0 AS lz, e.ex0, e.ez0, e.ex1 - e.ex0 AS ex, e.ez1 - e.ez0 AS ez FROM ba l JOIN piece e ON NOT (e.parent = l.ap AND e.n = l.an) AND NOT (e.parent = l.bp AND e.n = l.bn)
+sc AS MATERIALIZED (SELECT *, floor((0.32 * parallel + 0.28 * overlap + 0.20 * CASE WHEN dist BETWEEN 4 AND 35 THEN 1.0 ELSE 0.65 END + 0.20 * 0.6) * 1000 + 0.5) / 1000 AS score FROM po WHERE overlap >= 0.35),
+ba AS MATERIALIZED (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY ap, an ORDER BY score DESC, bp, bn) = 1), bb AS (SELECT bp, bn, ap, an FROM sc QUALIFY row_number() OVER (PARTITION BY bp, bn ORDER BY score DESC, ap, an) = 1),
+piece AS MATERIALIZED (SELECT * FROM (SELECT parent, n, x AS ex1, z AS ez1, lag(x) OVER w AS ex0, lag(z) OVER w AS ez0 FROM coords WINDOW w AS (PARTITION BY parent, n ORDER BY pos)) WHERE ex0 IS NOT NULL),
+hit AS (SELECT DISTINCT ap, an FROM (SELECT l.ap, l.an, l.x0, l.z0, l.x1 - l.x0 AS lx, l.z1 - l.z0 AS lz, e.ex0, e.ez0, e.ex1 - e.ex0 AS ex, e.ez1 - e.ez0 AS ez FROM {cells_of('ba', 'x0', 'x1', 'z0', 'z1')} l JOIN {cells_of('piece', 'ex0', 'ex1', 'ez0', 'ez1')} e ON l.kx = e.kx AND l.kz = e.kz AND NOT (e.parent = l.ap AND e.n = l.an) AND NOT (e.parent = l.bp AND e.n = l.bn)
   AND least(l.x0, l.x1) <= greatest(e.ex0, e.ex1) AND greatest(l.x0, l.x1) >= least(e.ex0, e.ex1) AND least(l.z0, l.z1) <= greatest(e.ez0, e.ez1) AND greatest(l.z0, l.z1) >= least(e.ez0, e.ez1))
   WHERE abs(lx * ez - lz * ex) >= 1e-9 AND ((ex0 - x0) * ez - (ez0 - z0) * ex) / (lx * ez - lz * ex) > 0.05 AND ((ex0 - x0) * ez - (ez0 - z0) * ex) / (lx * ez - lz * ex) < 0.95
     AND ((ex0 - x0) * lz - (ez0 - z0) * lx) / (lx * ez - lz * ex) > 0.05 AND ((ex0 - x0) * lz - (ez0 - z0) * lx) / (lx * ez - lz * ex) < 0.95),
 node AS (SELECT floor(x / 0.75 + 0.5) * 0.75 AS x, floor(z / 0.75 + 0.5) * 0.75 AS z FROM lp WHERE n >= 2 AND (pos = 1 OR pos = n) GROUP BY 1, 2 HAVING count(*) >= 3),
-close AS (SELECT DISTINCT ap, an FROM ba JOIN node ON sqrt((ba.x0 - node.x) ^ 2 + (ba.z0 - node.z) ^ 2) <= 10 OR sqrt((ba.x1 - node.x) ^ 2 + (ba.z1 - node.z) ^ 2) <= 10),
+close AS (SELECT DISTINCT ap, an FROM (SELECT ap, an, x0 AS x, z0 AS z FROM ba UNION ALL SELECT ap, an, x1, z1 FROM ba) m JOIN (SELECT *, unnest([-1, 0, 1]) + floor(x / 10) AS kx FROM node) q ON floor(m.x / 10) = q.kx AND sqrt((m.x - q.x) ^ 2 + (m.z - q.z) ^ 2) <= 10),
 verdict AS (SELECT ba.*, coalesce(bb.ap = ba.ap AND bb.an = ba.an, false) AS mutual, hit.ap IS NOT NULL AS crossed, close.ap IS NOT NULL AS near_crossroad FROM ba LEFT JOIN bb ON ba.bp = bb.bp AND ba.bn = bb.bn LEFT JOIN hit ON hit.ap = ba.ap AND hit.an = ba.an LEFT JOIN close ON close.ap = ba.ap AND close.an = ba.an)
 """
 
@@ -305,9 +311,15 @@ def edge_verdicts(spark, sf):
     return v.select(name("a"), name("b"), "score", "mutual", "crossed", "near_crossroad", "confidence")
 
 
-@query("q_4_37_edge_claims")
+@query("q_4_37_edge_claims", EDGES + """,
+told AS (SELECT *, CASE WHEN crossed THEN 'reject' WHEN NOT mutual THEN 'low' WHEN near_crossroad THEN 'medium' WHEN score >= 0.78 AND floor(parallel * 1000 + 0.5) / 1000 >= 0.88 AND floor(overlap * 1000 + 0.5) / 1000 >= 0.55 THEN 'high' WHEN score >= 0.55 THEN 'medium' ELSE 'low' END AS confidence FROM verdict),
+seg AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY p, k) AS n FROM (SELECT ap AS p, an AS k FROM ba UNION SELECT bp, bn FROM ba)),
+f AS MATERIALIZED (SELECT t.*, a.n AS n, b.n AS j FROM told t JOIN seg a ON a.p = t.ap AND a.k = t.an JOIN seg b ON b.p = t.bp AND b.k = t.bn),
+pq AS (SELECT n AS i, j FROM f), m AS (SELECT n AS i, j, confidence <> 'reject' AS takes FROM f)"""
+       + LOOP.format(step="CASE WHEN list_contains(w.gone, m.j) THEN list_concat(w.gone, [-g.n]) WHEN m.takes THEN list_concat(w.gone, [g.n, m.j]) ELSE list_concat(w.gone, [g.n]) END").replace("FROM pr", "FROM pq").replace("THEN w.gone ELSE", "THEN list_concat(w.gone, [-g.n]) ELSE")
+       + "SELECT ap || '#' || an AS a, bp || '#' || bn AS b, confidence FROM f WHERE -n NOT IN (SELECT n FROM lost)")
 def edge_claims(spark, sf):
-    """The pairs that stand; a test holds them against a plain loop over the verdicts."""
+    """The pairs that stand. In the SQL a negative number marks a segment whose own pair did not."""
     v = matching.claim_edges(matching.edge_verdicts(_paths(spark, sf)))
     name = lambda c: F.concat_ws("#", F.col(f"{c}.parent"), F.col(f"{c}.n")).alias(c)
     return v.select(name("a"), name("b"), "confidence")

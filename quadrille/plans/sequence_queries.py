@@ -72,9 +72,9 @@ LOOP = """,
 edge AS (SELECT i, j FROM pr UNION ALL SELECT j, i FROM pr),
 chained(n, root) AS (SELECT i, i FROM edge UNION SELECT e.j, c.root FROM chained c JOIN edge e ON e.i = c.n),
 g AS (SELECT *, row_number() OVER (PARTITION BY comp ORDER BY n) AS k FROM (SELECT n, min(root) AS comp FROM chained GROUP BY n)),
-walk(comp, k, gone) AS (SELECT DISTINCT comp, CAST(0 AS BIGINT), []::BIGINT[] FROM g
-  UNION ALL SELECT w.comp, g.k, CASE WHEN m.i IS NULL OR list_contains(w.gone, g.n) THEN w.gone ELSE {step} END FROM walk w JOIN g ON g.comp = w.comp AND g.k = w.k + 1 LEFT JOIN m ON m.i = g.n),
-lost AS (SELECT unnest(arg_max(gone, k)) AS n FROM walk GROUP BY comp)
+taken(comp, k, gone) AS (SELECT DISTINCT comp, CAST(0 AS BIGINT), []::BIGINT[] FROM g
+  UNION ALL SELECT w.comp, g.k, CASE WHEN m.i IS NULL OR list_contains(w.gone, g.n) THEN w.gone ELSE {step} END FROM taken w JOIN g ON g.comp = w.comp AND g.k = w.k + 1 LEFT JOIN m ON m.i = g.n),
+lost AS (SELECT unnest(arg_max(gone, k)) AS n FROM taken GROUP BY comp)
 """
 RECURSIVE = WITH.replace("WITH ", "WITH RECURSIVE ", 1)
 FACILITY_NAMES = ["中央小学校前広場", "みなと図書館分館北", "Kita Park Hall"]
