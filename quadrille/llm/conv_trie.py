@@ -27,6 +27,8 @@ from quadrille.storage import read_table, scratch, stored
 
 #: Hex digits of a digest that one sum takes: 60 bits, so that sums stay exact in a decimal.
 PART_HEX = 15
+#: Keys over which the members of one group are dealt.
+SALTS = 256
 NODES = ("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens")
 
 
@@ -76,10 +78,13 @@ def _prints(turns: DataFrame) -> DataFrame:
 
 def _grouped(step: DataFrame, depth: int) -> DataFrame:
     """A level: every member of step's groups by (parent, key) with its node, the node's members, and whether they
-    are all the same conversation."""
+    are all the same conversation. A group is aggregated before its members meet it over SALTS keys, so a turn that
+    very many conversations share is not one task's work."""
     same = reduce(lambda x, y: x & y, (F.min(c) == F.max(c) for c in ("length", "p0", "p1", "p2", "p3")))
-    groups = step.groupBy("parent", "key").agg(F.min("conv_id").alias("node"), F.count("*").alias("n"), same.alias("retired"))
-    return step.join(groups, ["parent", "key"]).drop("key").withColumn("depth", F.lit(depth).cast("long"))
+    salted = step.withColumn("salt", F.pmod(F.xxhash64("conv_id"), F.lit(SALTS)).cast("int"))
+    groups = salted.groupBy("parent", "key").agg(F.min("conv_id").alias("node"), F.count("*").alias("n"), same.alias("retired"), F.collect_set("salt").alias("salts"))
+    dealt = groups.select("parent", "key", "node", "n", "retired", F.explode("salts").alias("salt"))
+    return salted.join(dealt, ["parent", "key", "salt"]).drop("key", "salt").withColumn("depth", F.lit(depth).cast("long"))
 
 
 def _levels(turns: DataFrame) -> DataFrame:
