@@ -16,9 +16,11 @@ name is the best; repeated rows each get their row.
 from __future__ import annotations
 
 import bisect
+import heapq
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import groupby
 from pathlib import Path
 
 import numpy as np
@@ -147,7 +149,9 @@ def named(words: list[bytes], pairs: list[tuple[int, int]], template: list[bytes
 def windows(places: list[tuple[int, int]], n: int, slack: float) -> Iterator[tuple[int, int]]:
     """Stretches of the text in which a template of n words may lie, given places (text word, template word)."""
     if n <= LONG:
-        yield from ((i - int(j * slack) - 1, i + int((n - j) * slack) + 1) for i, j in places)
+        for i, j in places:
+            yield i - j, i - j + n  # word for word, also among its own copies
+            yield i - int(j * slack) - 1, i + int((n - j) * slack) + 1
         return
     step, wide = n // 10, int(n * (slack - 1)) + 1
     for start in dict.fromkeys((i - j) // step * step for i, j in places):  # one begin for a tenth of the template
@@ -155,37 +159,88 @@ def windows(places: list[tuple[int, int]], n: int, slack: float) -> Iterator[tup
         yield start - wide, start + step + n + wide
 
 
-def best_in(words: list[bytes], template: list[bytes], counted: Counter, least: float, slack: float, all_places: bool) -> list[tuple[int, int]] | None:
-    """The best occurrence of a template: its aligned pairs. It is looked for around every place of the template's
-    rarest words, so a common word elsewhere in the text does not hide it."""
+def searched(words: list[bytes], template: list[bytes], counted: Counter, least: float, slack: float) -> tuple[int, list[tuple[int, int]]]:
+    """The words that an occurrence of the template needs, and the stretches in which one may lie: around every place of
+    the template's rarest words, so a common word elsewhere in the text does not hide it."""
     need = int(np.ceil(least * len(template)))
-    shared = counted.keys() & set(words)
-    if sum(counted[w] for w in shared) < need:
-        return None
-    room = int(len(template) * slack) + 1
+    counts = Counter(w for w in words if w in counted)
+    if sum(counted[w] for w in counts) < need:
+        return need, []
     # An occurrence has at least `distinct` different words, so one of these rarest ones is among them.
     distinct = need - (len(template) - len(counted))
-    counts = Counter(w for w in words if w in shared)
-    rarest = set(sorted(shared, key=lambda w: (counts[w], w))[: max(1, len(shared) - distinct + 1)])
+    rarest = set(sorted(counts, key=lambda w: (counts[w], w))[: max(1, len(counts) - distinct + 1)])
     where: dict[bytes, list[int]] = {}
     for j, w in enumerate(template):
         if w in rarest:
             where.setdefault(w, []).append(j)
-    best, rank = None, (0, 0)
-    for low, high in windows([(i, j) for i, w in enumerate(words) for j in where.get(w, ())], len(template), slack):
-        low, high = max(0, low), max(0, high)
-        if len(template) > LONG and high - low < need:
-            continue
-        pairs = densest(aligned(words[low:high], template), need, room)
-        if pairs and named(words[low:high], pairs, template):
-            here = len(pairs), -(pairs[-1][0] - pairs[0][0]) if all_places else 0
-            if best is None or here > rank:
-                best, rank = [(low + i, j) for i, j in pairs], here
-            if len(pairs) == len(template) and not all_places:
+    places = [(i, j) for i, w in enumerate(words) for j in where.get(w, ())]
+    return need, list(dict.fromkeys((max(0, low), min(len(words), high)) for low, high in windows(places, len(template), slack) if high > 0))
+
+
+def occurrence(words: list[bytes], template: list[bytes], low: int, high: int, need: int, slack: float) -> list[tuple[int, int]] | None:
+    """The aligned pairs of the template within one stretch of the text, in places of the whole text."""
+    if high - low < need:
+        return None
+    pairs = densest(aligned(words[low:high], template), need, int(len(template) * slack) + 1)
+    return [(low + i, j) for i, j in pairs] if pairs and named(words[low:high], pairs, template) else None
+
+
+def best_in(words: list[bytes], template: list[bytes], counted: Counter, least: float, slack: float) -> list[tuple[int, int]] | None:
+    """The occurrence of a template that has most of its words: its aligned pairs."""
+    need, stretches = searched(words, template, counted, least, slack)
+    best = None
+    for low, high in stretches:
+        pairs = occurrence(words, template, low, high, need, slack)
+        if pairs and (best is None or len(pairs) > len(best)):
+            best = pairs
+            if len(pairs) == len(template):
                 break
     return best
 
 
+def all_in(words: list[bytes], template: list[bytes], counted: Counter, least: float, slack: float) -> list[list[tuple[int, int]]]:
+    """Occurrences of a template that do not overlap, the best ones first. All stretches are aligned once; one that a
+    better occurrence reaches into is aligned again in what is left of it, so the time grows with the text."""
+    need, stretches = searched(words, template, counted, least, slack)
+    heap: list[tuple] = []
+
+    def put(low: int, high: int) -> None:
+        if pairs := occurrence(words, template, low, high, need, slack):
+            heapq.heappush(heap, (-len(pairs), pairs[-1][0] - pairs[0][0], pairs[0][0], low, high, pairs))
+
+    for low, high in stretches:
+        put(low, high)
+    starts: list[int] = []  # of the occurrences taken, in order, with their ends
+    ends: list[int] = []
+    out = []
+    while heap:
+        *_, low, high, pairs = heapq.heappop(heap)
+        a, b = pairs[0][0], pairs[-1][0] + 1
+        k = bisect.bisect_right(ends, a)
+        if k == len(starts) or starts[k] >= b:
+            starts.insert(k, a)
+            ends.insert(k, b)
+            out.append(pairs)
+            continue
+        k = bisect.bisect_right(ends, low)
+        while low < high:  # the free parts of the stretch
+            until = min(high, starts[k]) if k < len(starts) else high
+            put(low, until)
+            low, k = (ends[k] if k < len(starts) else high), k + 1
+    return out
+
+
+def not_inside(found: list[dict]) -> list[dict]:
+    """Without those that lie inside one of more words: a longer notice holds the words of a shorter one. Occurrences of
+    one license do not overlap, so few are open at any place."""
+    out, open_ = [], []
+    for _, here in groupby(sorted(found, key=lambda x: x["start"]), key=lambda x: x["start"]):
+        here = list(here)
+        open_ = [y for y in open_ if y["end"] >= here[0]["start"]] + here
+        out += [x for x in here if not any(x["end"] <= y["end"] and y["n"] > x["n"] for y in open_)]
+    return out
+
+
 def find_in(text: bytes, templates: list[tuple[str, list[bytes], Counter, set[bytes]]], least: float, slack: float, every: bool = False) -> list[dict]:
     """Licenses of one text. every: all occurrences of a license that do not overlap, else its best one."""
     words = text.translate(FOLD).split()
@@ -193,23 +248,17 @@ def find_in(text: bytes, templates: list[tuple[str, list[bytes], Counter, set[by
     for name, template, counted, own in templates:
         if sum(counted[w] for w in own & have) < int(np.ceil(least * len(template))):
             continue
-        stretches = [(0, len(words))]
-        while stretches:
-            low, high = stretches.pop()
-            pairs = best_in(words[low:high], template, counted, least, slack, every)
-            if not pairs:
-                continue
+        if every:
+            places = all_in(words, template, counted, least, slack)
+        else:
+            places = [pairs] if (pairs := best_in(words, template, counted, least, slack)) else []
+        for pairs in places:
             if spans is None:
                 spans = [m.span() for m in WORD.finditer(text.translate(FOLD))]
                 points = np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)
-            a, b = low + pairs[0][0], low + pairs[-1][0]
-            if every:
-                stretches += [(low, a), (b + 1, high)]
-            first, last = spans[a], spans[b]
+            first, last = spans[pairs[0][0]], spans[pairs[-1][0]]
             found.append({"license": name, "n": len(pairs), "coverage": round(len(pairs) / len(template), 6), "start": int(points[first[0] - 1]) if first[0] else 0, "end": int(points[last[1] - 1])})
-    inside = lambda x, y: y["start"] <= x["start"] and x["end"] <= y["end"] and y["n"] > x["n"]
-    kept = [x for x in found if not any(inside(x, y) for y in found)]  # a longer notice holds the words of a shorter one
-    return [{k: x[k] for k in ("license", "coverage", "start", "end")} for x in sorted(kept, key=lambda x: (-x["coverage"], x["license"], x["start"]))]
+    return [{k: x[k] for k in ("license", "coverage", "start", "end")} for x in sorted(not_inside(found), key=lambda x: (-x["coverage"], x["license"], x["start"]))]
 
 
 def prepared(templates: dict[str, str]) -> list[tuple[str, list[bytes], Counter, set[bytes]]]:

@@ -43,7 +43,7 @@ KINDS = (
 )
 ORDER = {kind: i for i, (kind, *_) in enumerate(KINDS)}
 #: A text without any of these cannot have a finding of the kind (wider than the pattern itself).
-HINTS = {"assign": r"(?i)password|passwd|secret|token|api_?key", "access": "AKIA", "hex": "[0-9a-f]{24}"}
+HINTS = {"assign": r"(?i:password|passwd|secret|token|api_?key)", "access": "AKIA", "hex": "[0-9a-f]{24}"}
 WRAPPED = r"%[0-9A-Fa-f]{2}|\\[uUx][0-9A-Fa-f{]|&#|[A-Za-z0-9+/_-]{16}"
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|(?:\\x[0-9A-Fa-f]{2})+|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};")
@@ -88,9 +88,9 @@ def unescape(found: str) -> str | None:
 
 def opener_of(data: bytes):
     """What opens the compressed stream that data starts with; None if it starts with none."""
-    if data[:1] == b"\x78" and len(data) > 2 and (data[0] * 256 + data[1]) % 31 == 0:
+    if bytes(data[:1]) == b"\x78" and len(data) > 2 and (data[0] * 256 + data[1]) % 31 == 0:
         return zlib.decompressobj
-    return {b"\x1f\x8b": lambda: zlib.decompressobj(31), b"BZ": bz2.BZ2Decompressor, b"\xfd7": lzma.LZMADecompressor, b"\x28\xb5": lambda: zstandard.ZstdDecompressor().decompressobj()}.get(data[:2])
+    return {b"\x1f\x8b": lambda: zlib.decompressobj(31), b"BZ": bz2.BZ2Decompressor, b"\xfd7": lzma.LZMADecompressor, b"\x28\xb5": lambda: zstandard.ZstdDecompressor().decompressobj()}.get(bytes(data[:2]))
 
 
 ERRORS = (zlib.error, OSError, EOFError, lzma.LZMAError, zstandard.ZstdError, ValueError)
@@ -107,28 +107,40 @@ def bytewise(stream, data: bytes, had: int) -> Iterator[bytes]:
         had = max(0, had - len(got))
 
 
-def unpack(data: bytes, limit: int) -> tuple[list[bytes] | None, bytes]:
-    """The contents of the members of the stream that data starts with, and the bytes behind them; None beyond the limit."""
+def unpack(data: bytes | memoryview, limit: int) -> tuple[list[bytes] | None, bytes, int, bool]:
+    """The contents of the members of the stream that data starts with, the bytes behind them, how many bytes were read
+    as a stream, and whether the last member is damaged; no contents beyond the limit. Behind a damaged member nothing
+    is left, and reading ends there."""
     members: list[bytes] = []
-    size = 0
+    size, used, damaged = 0, 0, False
     while (opener := opener_of(data)) is not None:
-        out, stream, rest = [], opener(), b""
+        out, stream, rest, read = [], opener(), b"", len(data)
         try:
             for i in range(0, len(data), 1024):  # small steps bound what one step can unpack to
                 out.append(stream.decompress(data[i : i + 1024]))
                 size += len(out[-1])
                 if size > limit:
-                    return None, b""
+                    return None, b"", used + len(data), False
                 if stream.eof:
-                    rest = stream.unused_data + data[i + 1024 :]
+                    rest = stream.unused_data + bytes(data[i + 1024 :])
+                    read = len(data) - len(rest)
                     break
         except ERRORS:
-            out += bytewise(opener(), data, sum(map(len, out)))
+            again = opener()  # up to the damaged step as before, then byte by byte
+            for k in range(0, i, 1024):
+                again.decompress(data[k : k + 1024])
+            for k in range(i, min(len(data), i + 1024)):
+                try:
+                    out.append(again.decompress(data[k : k + 1]))
+                except ERRORS:
+                    break
             if not any(out):
                 break  # no stream after all
+            read, damaged = k + 1, True
         members.append(b"".join(out))
+        used += read
         data = rest
-    return members, data
+    return members, bytes(data) if members else b"", used, damaged
 
 
 #: Bytes of a large stream that are held as one layer, and bytes read twice where a piece ends within a line.
@@ -241,7 +253,7 @@ def contents(data: bytes, limit: int | None) -> Iterator[str | None]:
     seen, work = {data}, [(data, False)]
     while work:
         data, packed = work.pop()
-        members, rest = unpack(data, PIECE if limit is None else limit)
+        members, rest, *_ = unpack(data, PIECE if limit is None else limit)
         if members is None:
             if limit is None:
                 yield from (decoded(piece) or piece.decode("latin-1") for piece in pieces(opened(iter([data]))))
@@ -311,13 +323,13 @@ def lines_with(text: str, pattern: re.Pattern) -> Iterator[tuple[int, int]]:
             yield start, done
 
 
-def spelled(text: str, start: int, token: re.Pattern, plus: int) -> tuple[bytes, list[int]]:
-    """The bytes that the escapes and characters from ``start`` on stand for, and where each one ends."""
+def spelled(text: str, start: int, token: re.Pattern) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """The bytes that the escapes and characters from ``start`` on stand for, where each one ends, and which are a +."""
     out, ends, at = bytearray(), [], start
     while m := token.match(text, at):
         at, found = m.end(), m.group()
         if len(found) == 1:
-            out.append(plus if found == "+" else ord(found))
+            out.append(ord(found))
         elif found[0] == "%":
             out.append(int(found[1:], 16))
         elif len(found) == 4:
@@ -325,26 +337,47 @@ def spelled(text: str, start: int, token: re.Pattern, plus: int) -> tuple[bytes,
         else:
             out.append(PLAIN_ESCAPES.get(found[1], ord(found[1])))
         ends.append(at)
-    return bytes(out), ends
+    ends = np.array(ends, np.int64)
+    return bytes(out), ends, np.flatnonzero((np.frombuffer(bytes(out), np.uint8) == 43) & (np.diff(ends, prepend=start) == 1))
+
+
+#: How compressed streams begin; a bzip2 stream goes on with a block or its end.
+HEADS = re.compile(rb"\x1f\x8b|BZh[1-9](?:1AY&SY|\x17rE8P\x90)|x[\x01\x5e\x9c\xda]|\xfd7|\(\xb5")
+
+
+def streams_in(form: bytes, limit: int | None) -> Iterator[tuple[int, int, bool]]:
+    """(start, end, open) of the streams among the bytes of a run, each looked for behind the one before. A damaged one
+    may reach to the end of the run; others are looked for behind the damage all the same."""
+    done, view = 0, memoryview(form)
+    for m in HEADS.finditer(form):
+        if m.start() >= done:
+            members, _, used, damaged = unpack(view[m.start() :], PIECE if limit is None else limit)
+            if members is None or any(members):
+                done = m.start() + used
+                yield m.start(), len(form) if damaged else done, members is not None or limit is None
 
 
 def spelled_streams(layer: Layer, limit: int | None) -> Iterator[Layer | None]:
-    """The contents of compressed streams whose bytes are spelled with URL or \\x escapes and plain characters."""
-    for sign, magic, token, pluses in (("%", PERCENT_MAGIC, PERCENT_TOKEN, b"+ "), ("\\x", HEX_MAGIC, HEX_TOKEN, b"+")):  # forms write a blank as +
+    """The contents of compressed streams whose bytes are spelled with URL or \\x escapes and plain characters. A run is
+    spelled once, and the streams are looked for among its bytes."""
+    for sign, magic, token, blank in (("%", PERCENT_MAGIC, PERCENT_TOKEN, True), ("\\x", HEX_MAGIC, HEX_TOKEN, False)):  # forms write a blank as +
         done = 0
         for m in magic.finditer(layer.text) if sign in layer.text else ():
             if m.start() < done:
                 continue
-            for plus in pluses:
-                form, ends = spelled(layer.text, m.start(), token, plus)
-                members, rest = unpack(form, PIECE if limit is None else limit)
-                if members is None and limit is not None:
-                    yield None
-                    break
-                if members is None or any(members):
-                    done = ends[len(form) - len(rest) - 1]
-                    a, b = layer.origin(m.start(), done)
-                    yield from whole_at(contents(form[: len(form) - len(rest)], limit), a, b)
+            form, ends, plus = spelled(layer.text, m.start(), token)
+            done = int(ends[-1])
+            forms = [form]
+            if blank and len(plus):
+                other = np.frombuffer(form, np.uint8).copy()
+                other[plus] = 32
+                forms.append(other.tobytes())
+            for form in forms:
+                for a, b, is_open in streams_in(form, limit):
+                    if not is_open:
+                        yield None
+                        continue
+                    yield from whole_at(contents(form[a:b], limit), *layer.origin(int(ends[a - 1]) if a else m.start(), int(ends[b - 1])))
 
 
 def whole_at(texts: Iterator[str | None], a: int, b: int) -> Iterator[Layer | None]:
@@ -361,13 +394,44 @@ def inner_layers(layer: Layer, limit: int | None) -> Iterator[Layer | None]:
                 yield new
     for m in BASE64.finditer(layer.text):
         run = "".join(m.group().split()).translate({45: 43, 95: 47}).rstrip("=")
-        if len(run) % 4 == 1:
-            continue
-        try:
-            data = base64.b64decode(run + "=" * (-len(run) % 4), validate=True)
-        except (binascii.Error, ValueError):
+        if (data := from_base64(run)) is not None and len(run) % 4 != 1:
+            yield from whole_at(contents(data, limit), *layer.origin(*m.span()))
+        yield from whole_at(behind_prefixes("".join(m.group().split()), limit), *layer.origin(*m.span()))
+
+
+def from_base64(run: str) -> bytes | None:
+    """The bytes of a run in the plain alphabet; a last character that stands for no byte is left out."""
+    run = run[:-1] if len(run) % 4 == 1 else run
+    try:
+        return base64.b64decode(run + "=" * (-len(run) % 4), validate=True)
+    except (binascii.Error, ValueError):
+        return None
+
+
+#: What may stand before base64 in one run.
+JOINT = re.compile(r"[-_/+]")
+WORTH = re.compile("|".join([*HINTS.values(), WRAPPED]))
+
+
+def behind_prefixes(run: str, limit: int | None) -> Iterator[str | None]:
+    """What a run holds if base64 begins later in it, behind a name or a path. A place in the run can begin base64 in one
+    of four alignments, so four decodings hold them all: text among the bytes is taken where it could hold anything,
+    streams where they begin behind a joint or with the alignment."""
+    plain = run.translate({45: 43, 95: 47}).rstrip("=")
+    joints = [m.end() for m in JOINT.finditer(run)]
+    for shift in range(4):
+        if (data := from_base64(plain[shift:])) is None or len(data) < 6:
             continue
-        yield from whole_at(contents(data, limit), *layer.origin(*m.span()))
+        text = data.decode("utf-8", "replace")
+        if WORTH.search(text) and (shift or "\ufffd" in text or len(plain) % 4 == 1):
+            yield text
+        done, view = 0, memoryview(data)
+        for at in dict.fromkeys([0] * (shift > 0) + [(p - shift) // 4 * 3 for p in joints if p > shift and (p - shift) % 4 == 0]):
+            if done <= at < len(data) and opener_of(view[at : at + 6]):
+                members, _, used, _ = unpack(view[at:], PIECE if limit is None else limit)
+                if members is None or any(members):
+                    done = at + used
+                    yield from contents(data[at:done], limit)
 
 
 def unwrap(text: str, limit: int | None) -> tuple[set[Span], int, int]:
