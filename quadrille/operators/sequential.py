@@ -125,50 +125,6 @@ def place_labels(candidates: DataFrame, view: str = "view", columns: int = 8, ro
     return inside.groupBy(view).applyInPandas(run, f"{view} {kind}, id long, placed boolean, reason string")
 
 
-def best_path(scores: np.ndarray, switch: float = 0.55, none: float = 0.15) -> list[int]:
-    """The best state at each step: scores[step, state], nan where a state has no candidate; state 0 is none.
-    A change between two real states costs ``switch``, being in none costs ``none``."""
-    steps, states = scores.shape
-    local = np.where(np.isnan(scores), -np.inf, scores)
-    local[:, 0] = -none
-    cost = np.full((states, states), switch)
-    cost[0, :] = cost[:, 0] = 0
-    np.fill_diagonal(cost, 0)
-    total, back = local[0].copy(), np.zeros((steps, states), int)
-    for i in range(1, steps):
-        come = total[None, :] - cost
-        back[i] = come.argmax(axis=1)
-        total = local[i] + come.max(axis=1)
-    path = [int(total.argmax())]
-    for i in range(steps - 1, 0, -1):
-        path.append(int(back[i, path[-1]]))
-    return path[::-1]
-
-
-def track_corridors(candidates: DataFrame, track: str = "track", states: int = 10) -> DataFrame:
-    """(track, pos, partner): the partner of every segment of a track by dynamic programming over the track.
-
-    ``candidates``: track, pos, partner (null where a segment has none), score; the partners a track meets
-    most often are its states."""
-    kind = dict(candidates.dtypes)[track]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        order = sorted(pdf["pos"].unique())
-        real = pdf[pdf["partner"].notna()]
-        counts = real.groupby("partner").agg(n=("pos", "size"), first=("pos", "min")).reset_index().sort_values(["n", "first", "partner"], ascending=[False, True, True])
-        top = counts["partner"].tolist()[:states]
-        scores = np.full((len(order), len(top) + 1), np.nan)
-        at, place = {p: i for i, p in enumerate(order)}, {p: i + 1 for i, p in enumerate(top)}
-        for r in real.itertuples(index=False):
-            if r.partner in place:
-                i, j = at[r.pos], place[r.partner]
-                scores[i, j] = np.nanmax([scores[i, j], r.score])
-        path = best_path(scores)
-        return pd.DataFrame({track: pdf[track].iloc[0], "pos": order, "partner": pd.array([top[j - 1] if j else None for j in path], dtype="Int64")})
-
-    return candidates.groupBy(track).applyInPandas(run, f"{track} {kind}, pos long, partner long")
-
-
 def stitched(ways: list[list[tuple]]) -> tuple[list[list[tuple]], list[list[tuple]]]:
     """Ways joined where their ends meet: (closed rings, chains left open)."""
     open_, rings = [], []

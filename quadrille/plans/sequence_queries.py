@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quadrille.functions import geo, kernels
 from quadrille.functions.num import half_up
 from quadrille.operators import sequential
+from quadrille.operators.corridors import corridor_switches, track_corridors
 from quadrille.operators.spatial import near_pairs
 from quadrille.plans import views
 from quadrille.plans.registry import query
@@ -105,11 +106,38 @@ def smoothed_widths(spark, sf):
     return sequential.smooth_widths(w, "river", "pos", "width")
 
 
-@query("q_6_06_corridors")
-def corridors(spark, sf):
+#: The best sequence of partners of each track, segment by segment; worths in millionths, state 1 is none.
+TRACKS = """
+WITH RECURSIVE raw AS (SELECT l_orderkey % 997 AS track, l_orderkey // 997 AS pos, CASE WHEN l_linenumber <> 4 THEN l_suppkey % 5 END AS partner, l_linenumber AS seg, floor(l_discount * 100) / 10 AS score FROM lineitem),
+best AS (SELECT track, pos, partner, seg, CAST(round(score * 1000000) AS BIGINT) AS worth, row_number() OVER (PARTITION BY track, pos ORDER BY score DESC, seg, partner) AS rank FROM raw WHERE partner IS NOT NULL QUALIFY rank <= 3),
+state AS (SELECT track, partner, row_number() OVER (PARTITION BY track ORDER BY n DESC, first) + 1 AS s FROM (SELECT track, partner, count(*) AS n, min(pos * 10 + rank) AS first FROM best GROUP BY 1, 2)),
+cand AS (SELECT b.track, b.pos, s.s, max(worth) AS worth, arg_max(b.seg, worth * 10 - rank) AS seg FROM best b JOIN state s USING (track, partner) GROUP BY 1, 2, 3),
+grid AS (SELECT track, pos, list(CASE WHEN k.s = 1 THEN -150000 ELSE c.worth END ORDER BY k.s) AS l FROM (SELECT DISTINCT track, pos FROM raw) JOIN (SELECT track, s FROM state UNION ALL SELECT DISTINCT track, 1 FROM raw) k USING (track) LEFT JOIN cand c USING (track, pos, s) GROUP BY 1, 2),
+g AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY track ORDER BY pos) AS i FROM grid),
+fwd(track, i, v) AS (SELECT track, i, l FROM g WHERE i = 1
+  UNION ALL SELECT g.track, g.i, list_transform(range(1, len(g.l) + 1), lambda s: g.l[s] + list_max(list_transform(range(1, len(g.l) + 1), lambda q: f.v[q] - CASE WHEN q <> s AND q > 1 AND s > 1 THEN 550000 ELSE 0 END))) FROM fwd f JOIN g ON g.track = f.track AND g.i = f.i + 1),
+kept AS MATERIALIZED (SELECT * FROM fwd),
+back(track, i, s) AS (SELECT track, i, list_position(v, list_max(v)) FROM kept QUALIFY row_number() OVER (PARTITION BY track ORDER BY i DESC) = 1
+  UNION ALL SELECT track, i, list_position(w, list_max(w)) FROM (SELECT k.track, k.i, list_transform(range(1, len(k.v) + 1), lambda q: k.v[q] - CASE WHEN q <> b.s AND q > 1 AND b.s > 1 THEN 550000 ELSE 0 END) AS w FROM back b JOIN kept k ON k.track = b.track AND k.i = b.i - 1)),
+path AS (SELECT b.track, g.pos, b.s, lag(b.s) OVER (PARTITION BY b.track ORDER BY b.i) AS before FROM back b JOIN g ON g.track = b.track AND g.i = b.i)
+"""
+
+
+def _corridors(spark, sf):
     k = F.col("l_orderkey")
-    c = read_table(spark, sf, "lineitem").select((k % 997).alias("track"), F.floor(k / 997).alias("pos"), F.when(F.col("l_linenumber") != 4, F.col("l_suppkey") % 5).alias("partner"), (F.floor(F.col("l_discount") * 100) / 10).alias("score"))
-    return sequential.track_corridors(c)
+    c = read_table(spark, sf, "lineitem").select((k % 997).alias("track"), F.floor(k / 997).alias("pos"), F.when(F.col("l_linenumber") != 4, F.col("l_suppkey") % 5).alias("partner"), F.col("l_linenumber").alias("seg"), (F.floor(F.col("l_discount") * 100) / 10).alias("score"))
+    return track_corridors(c)
+
+
+@query("q_6_06_corridors", TRACKS + """SELECT p.track, p.pos, s.partner, c.seg, c.worth / 1000000 AS score, coalesce(p.s <> p.before AND p.s > 1 AND p.before > 1, false) AS switched
+FROM path p LEFT JOIN state s ON s.track = p.track AND s.s = p.s LEFT JOIN cand c ON c.track = p.track AND c.pos = p.pos AND c.s = p.s""")
+def corridors(spark, sf):
+    return _corridors(spark, sf)
+
+
+@query("q_6_06_corridor_switches", TRACKS + "SELECT track, count(*) AS segments, count(*) FILTER (s > 1) AS paired, count(*) FILTER (s <> before AND s > 1 AND before > 1) AS switches FROM path GROUP BY 1")
+def switches(spark, sf):
+    return corridor_switches(_corridors(spark, sf))
 
 
 @query("q_6_09_anchors", RECURSIVE + """, f AS (SELECT point_id AS id, row_number() OVER (ORDER BY point_id) AS n, x, z, segment || '-' || point_id % 20 AS name FROM pts),

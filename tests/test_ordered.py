@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quadrille.functions import geo
-from quadrille.operators import forest, matching, network, rounds, sequential
+from quadrille.operators import corridors, forest, matching, network, rounds, sequential
 from quadrille.operators.graph import components
 from quadrille.plans import catalogue, views
 
@@ -383,42 +383,80 @@ def test_request_windows_of_the_query(spark):
     assert found == expected
 
 
-def test_best_path_against_all_paths():
+def plain_track(segments):
+    """One track as a plain program: segments are lists of (score, seg, partner); returns (partner, seg) by segment."""
+    best = [sorted(((-round(score * 1e6), seg, partner) for score, seg, partner in found))[:3] for found in segments]
+    met = Counter(partner for found in best for *_, partner in found)
+    first = {}
+    for found in best:
+        for *_, partner in found:
+            first.setdefault(partner, len(first))
+    states = [None, *sorted(met, key=lambda p: (-met[p], first[p]))[:10]]
+
+    def local(i, state):
+        if state is None:
+            return -150_000, None
+        return next(((-w, seg) for w, seg, partner in best[i] if partner == state), None)
+
+    worth, back = [], []
+    for i in range(len(segments)):
+        row, come = [], []
+        for state in states:
+            here = local(i, state)
+            before = [] if i == 0 or here is None else [(v - (550_000 if None not in (state, o) and state != o else 0), -k) for k, (v, o) in enumerate(zip(worth[-1], states)) if v is not None]
+            row.append(None if here is None else here[0] + (max(before)[0] if before else 0))
+            come.append(-max(before)[1] if before else 0)
+        worth.append(row)
+        back.append(come)
+    at = max(range(len(states)), key=lambda k: (worth[-1][k] is not None, worth[-1][k] or 0, -k))
+    path = []
+    for i in reversed(range(len(segments))):
+        path.append((states[at], local(i, states[at])[1]))
+        at = back[i][at]
+    return path[::-1]
+
+
+def test_steps_against_all_paths():
     from itertools import product
 
     import numpy as np
 
     rng = np.random.default_rng(3)
     for _ in range(60):
-        steps, states = rng.integers(1, 6), rng.integers(1, 4)
-        scores = np.where(rng.random((steps, states + 1)) < 0.3, np.nan, rng.random((steps, states + 1)))
-
-        def worth(path):
-            if any(s and np.isnan(scores[i, s]) for i, s in enumerate(path)):
-                return -np.inf
-            local = sum(scores[i, s] if s else -0.15 for i, s in enumerate(path))
-            return local - sum(0.55 for a, b in zip(path, path[1:]) if a and b and a != b)
-
-        found = sequential.best_path(scores.copy())
-        assert worth(found) == pytest.approx(max(map(worth, product(range(states + 1), repeat=steps))))
+        n, states = rng.integers(1, 6), rng.integers(2, 5)
+        local = np.where(rng.random((n, states)) < 0.3, corridors.NEVER, rng.integers(0, 10**6, (n, states)))
+        local[:, 0] = -150_000
+        steps = corridors._segment_steps(list(local))
+        enter = np.where(np.arange(states) == 0, 0, corridors.NEVER)
+        worth = lambda path: sum(int(local[i, s]) for i, s in enumerate(path)) - 550_000 * sum(1 for a, b in zip(path, path[1:]) if a and b and a != b)
+        best = max(map(worth, product(range(states), repeat=int(n))))
+        assert corridors.after(enter, corridors.product(steps)).max() == best == worth(corridors.walk_back(enter, steps, None)[1])
+
+
+@pytest.mark.parametrize("block", [2, 3, 7, 256])
+def test_tracks_in_blocks(spark, block):
+    """A track cut in blocks, and in blocks of blocks, gives the path of the plain program, equals included."""
+    rng = random.Random(11)
+    tracks = {t: [[(rng.randrange(10) / 10, seg, rng.randrange(12 if t == 2 else 4)) for seg in range(rng.randrange(5))] for _ in range(n)] for t, n in enumerate((1, 2, 90, 40))}
+    rows = [(t, i, p, seg, score) for t, segments in tracks.items() for i, found in enumerate(segments) for score, seg, p in found or [(None, None, None)]]
+    found = corridors.track_corridors(spark.createDataFrame(rows, "track long, pos long, partner long, seg long, score double"), block=block).collect()
+    got = {}
+    for r in sorted(found, key=lambda r: (r["track"], r["pos"])):
+        got.setdefault(r["track"], []).append(r)
+    for t, segments in tracks.items():
+        path = plain_track(segments)
+        assert [(r["partner"], r["seg"]) for r in got[t]] == path
+        assert [r["switched"] for r in got[t]] == [False] + [None not in (a, b) and a != b for (a, _), (b, _) in zip(path, path[1:])]
 
 
 def test_corridors_of_the_query(spark):
-    """Each track's path is worth as much as the best one found state by state."""
-    rows = spark.read.parquet(f"{SF}/lineitem.parquet").selectExpr("l_orderkey % 997 AS track", "l_orderkey div 997 AS pos", "CASE WHEN l_linenumber <> 4 THEN l_suppkey % 5 END AS partner", "floor(l_discount * 100) / 10 AS score").collect()
-    best = {}
+    rows = spark.read.parquet(f"{SF}/lineitem.parquet").selectExpr("l_orderkey % 997 AS track", "l_orderkey div 997 AS pos", "l_suppkey % 5 AS partner", "l_linenumber AS seg", "floor(l_discount * 100) / 10 AS score").collect()
+    tracks = {}
     for r in rows:
-        steps = best.setdefault(r["track"], {}).setdefault(r["pos"], {})
-        if r["partner"] is not None:
-            steps[r["partner"]] = max(steps.get(r["partner"], 0.0), float(r["score"]))
-    worth = lambda steps, path: sum(steps[p][s] if s is not None else -0.15 for p, s in path) - sum(0.55 for (_, a), (_, b) in zip(path, path[1:]) if None not in (a, b) and a != b)
-    paths = {}
+        here = tracks.setdefault(r["track"], {}).setdefault(r["pos"], [])
+        if r["seg"] != 4:
+            here.append((float(r["score"]), r["seg"], r["partner"]))
+    got = {}
     for r in catalogue.QUERIES["q_6_06_corridors"](spark, SF).collect():
-        paths.setdefault(r["track"], []).append((r["pos"], r["partner"]))
-    assert set(paths) == set(best)
-    for track, steps in best.items():
-        total = {None: 0.0}
-        for i, p in enumerate(sorted(steps)):
-            now = {None: -0.15, **steps[p]}
-            total = {s: v + (max(t - (0.55 if None not in (s, o) and s != o else 0) for o, t in total.items()) if i else 0) for s, v in now.items()}
-        assert worth(steps, sorted(paths[track])) == pytest.approx(max(total.values()))
+        got.setdefault(r["track"], {})[r["pos"]] = (r["partner"], r["seg"])
+    assert {t: [p[k] for k in sorted(p)] for t, p in got.items()} == {t: plain_track([p[k] for k in sorted(p)]) for t, p in tracks.items()}
