@@ -1,11 +1,11 @@
-"""Rivers and water: widths between banks, ribbons, conflicts with buildings, depths from the shore."""
+"""Rivers and water: widths between banks, ribbons, conflicts with buildings."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quadrille.functions import geo, kernels
-from quadrille.operators.spatial import hits, near_pairs
+from quadrille.operators.spatial import hits
 
 
 def _steps(points: Column) -> Column:
@@ -82,14 +82,3 @@ def building_conflicts(rivers: DataFrame, buildings: DataFrame, river_id: str, s
     best = fits.groupBy(river_id).agg(F.max(F.when(F.col("fits"), F.col("scale"))).alias("scale"), F.bool_or("inside").alias("inside"))
     scale = F.when(~F.col("inside"), F.col("scale"))
     return best.select(river_id, F.when(scale.isNull(), "suppress").when(scale == 1.0, "keep").otherwise("shrink").alias("action"), F.coalesce(scale, F.lit(0.0)).alias("scale"))
-
-
-def depths(water: DataFrame, land: DataFrame, most: float) -> DataFrame:
-    """(cx, cz, depth) of water cells: steps to the nearest land cell, where a diagonal step counts the root of
-    two; null beyond ``most``. Nothing outside the given cells is land."""
-    w = water.select("cx", "cz", F.col("cx").cast("double").alias("wx"), F.col("cz").cast("double").alias("wz"))
-    l = land.select(F.col("cx").cast("double").alias("lx"), F.col("cz").cast("double").alias("lz"))
-    pairs = near_pairs(w, l, "wx", "wz", "lx", "lz", most)
-    dx, dz = F.abs(F.col("wx") - F.col("lx")), F.abs(F.col("wz") - F.col("lz"))
-    best = pairs.groupBy("cx", "cz").agg(F.min(F.greatest(dx, dz) + F.least(dx, dz) * (2**0.5 - 1)).alias("depth"))
-    return water.select("cx", "cz").join(best, ["cx", "cz"], "left").withColumn("depth", F.when(F.col("depth") <= most, F.col("depth")))

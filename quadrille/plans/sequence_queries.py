@@ -6,13 +6,14 @@ from pyspark.sql import functions as F
 
 from quadrille.functions import geo, kernels
 from quadrille.functions.num import half_up
+from quadrille.functions.triangles import triangulate
 from quadrille.operators import sequential
 from quadrille.operators.corridors import corridor_switches, track_corridors
 from quadrille.operators.spatial import near_pairs
 from quadrille.plans import views
 from quadrille.plans.registry import query
 from quadrille.plans.scalar_queries import pick, sql_pick
-from quadrille.plans.views import WITH
+from quadrille.plans.views import SHAPES, WITH
 from quadrille.storage import read_table
 from quadrille.streaming import events
 
@@ -22,6 +23,41 @@ def inner_point(spark, sf):
     return views.rects(spark, sf).select("rect_id", kernels.inner_point_of(F.col("ring")).alias("p")).select("rect_id", "p.x", "p.z", "p.method")
 
 
+@query("q_10_07_inner_point_shapes", WITH + SHAPES + """, c AS (SELECT *, CASE kind WHEN 1 THEN (1.5 * w * w + 2 * (h - 3)) / (3 * w + 2 * (h - 3)) WHEN 2 THEN w / 3 ELSE w / 2 END AS cx,
+  CASE kind WHEN 1 THEN (4.5 * w + 2 * (h - 3) * (3 + (h - 3) / 2)) / (3 * w + 2 * (h - 3)) WHEN 2 THEN h / 3 WHEN 4 THEN 0 ELSE h / 2 END AS cz FROM shape),
+m AS (SELECT *, CASE WHEN kind = 4 THEN 'box' WHEN kind = 1 AND cx >= 2 AND cz >= 3 THEN 'scan-line' ELSE 'centroid' END AS method FROM c)
+SELECT shape_id, CAST(floor(floor((x0 + CASE WHEN method = 'scan-line' THEN 1 ELSE cx END) * 100 + 0.5) / 100) AS BIGINT) AS x, CAST(floor(floor((z0 + cz) * 100 + 0.5) / 100) AS BIGINT) AS z, method FROM m""")
+def inner_point_shapes(spark, sf):
+    """Whole metres of a point inside: the centroid, a scan line's middle where the centroid is outside, or the box's."""
+    found = views.shapes(spark, sf).select("shape_id", kernels.inner_point_of(F.col("ring")).alias("p"))
+    return found.select("shape_id", F.floor("p.x").alias("x"), F.floor("p.z").alias("z"), "p.method")
+
+
+@query("q_10_12_thinned_shapes", WITH + SHAPES + """SELECT shape_id, CAST(CASE WHEN kind = 1 THEN 6 ELSE 4 END AS BIGINT) AS n, CASE kind WHEN 1 THEN 3 * w + 2 * (h - 3) WHEN 2 THEN w * h / 2 WHEN 4 THEN 0 ELSE w * h END AS area FROM shape""")
+def thinned_shapes(spark, sf):
+    """Outlines with a point in the middle of every edge: a corner is never dropped, and four points stay."""
+    e = geo.edges(F.col("ring"))
+    dense = F.flatten(F.transform(e, lambda s: F.array(s["p"], F.struct(((s["p"]["x"] + s["q"]["x"]) / 2).alias("x"), ((s["p"]["z"] + s["q"]["z"]) / 2).alias("z")))))
+    out = views.shapes(spark, sf).select("shape_id", kernels.thin_ring(dense, F.lit(1.0)).alias("f")).select("shape_id", kernels.unflat(F.col("f")).alias("r"))
+    return out.select("shape_id", F.size("r").cast("long").alias("n"), half_up(geo.area(F.col("r")), 6).alias("area"))
+
+
+@query("q_10_14_clipped_shapes", WITH + SHAPES + """SELECT shape_id, floor(CASE kind WHEN 1 THEN (w - 1) * 2 + (h - 3) WHEN 2 THEN w * h / 2 * (1 - 1 / w - 1 / h) ^ 2 WHEN 4 THEN 0 ELSE (w - 1) * (h - 1) END * 1e6 + 0.5) / 1e6 AS area FROM shape""")
+def clipped_shapes(spark, sf):
+    """Outlines clipped by a rectangle of their size that stands a metre to the north-east."""
+    at = lambda v, d: F.col(v) + d
+    window = geo.rectangle(at("x0", 1), at("z0", 1), at("x0", 1) + F.col("w"), at("z0", 1) + F.col("h"))
+    out = views.shapes(spark, sf).select("shape_id", kernels.clip(F.col("ring"), window).alias("f")).select("shape_id", kernels.unflat(F.col("f")).alias("r"))
+    return out.select("shape_id", half_up(F.coalesce(geo.area(F.col("r")), F.lit(0.0)), 6).alias("area"))
+
+
+@query("q_10_18_triangles", WITH + SHAPES + """SELECT shape_id, CASE kind WHEN 1 THEN 4 WHEN 2 THEN 1 WHEN 3 THEN 8 WHEN 4 THEN 0 ELSE 2 END AS n, CASE kind WHEN 1 THEN 3 * w + 2 * (h - 3) WHEN 2 THEN w * h / 2 WHEN 3 THEN w * h - 4 WHEN 4 THEN 0 ELSE w * h END AS filled,
+  CASE WHEN kind = 4 THEN 'empty' END AS problem FROM shape""")
+def triangle_faces(spark, sf):
+    """The faces of each shape: how many, their area, and what is wrong with them."""
+    return triangulate(views.shapes(spark, sf)).select("shape_id", F.size("faces").alias("n"), half_up(F.col("filled"), 6).alias("filled"), "problem")
+
+
 @query("q_10_09_sampled_overlap", WITH + """, o AS (SELECT rect_id, a.x0 AS ax0, a.z0 AS az0, a.x1 AS ax1, a.z1 AS az1, b.x0 AS bx0, b.z0 AS bz0, b.x1 AS bx1, b.z1 AS bz1, least(a.x0, b.x0) AS lx, least(a.z0, b.z0) AS lz,
   greatest(a.x1, b.x1) - least(a.x0, b.x0) AS wide, greatest(a.z1, b.z1) - least(a.z0, b.z0) AS high, greatest(0.25::DOUBLE, greatest(1.0::DOUBLE, least(a.w, a.h, b.w, b.h)) / 12) AS cell FROM rects a JOIN rects_b b USING (rect_id)),
 gx AS (SELECT *, lx + cell * (unnest(range(0, CAST(ceil(wide / cell) AS BIGINT))) + 0.5::DOUBLE) AS x FROM o), g AS (SELECT *, lz + cell * (unnest(range(0, CAST(ceil(high / cell) AS BIGINT))) + 0.5::DOUBLE) AS z FROM gx),

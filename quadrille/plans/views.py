@@ -45,6 +45,22 @@ def _shape(df: DataFrame) -> DataFrame:
     return df.withColumns({"x1": x1, "z1": z1, "box": box, "ring": geo.rectangle(F.col("x0"), F.col("z0"), x1, z1), "area": F.col("w") * F.col("h")})
 
 
+def shapes(spark: SparkSession, sf: str) -> DataFrame:
+    """shape_id, kind, x0, z0, w, h, rings (outline and holes), ring (outline), one a part: kind 0 a rectangle, 1 an L, 2 a
+    triangle, 3 a rectangle with a hole, 4 a line without an area. w is odd and h even, so no edge of a triangle meets
+    the middle of a square metre."""
+    key = F.col("p_partkey")
+    s = read_table(spark, sf, "part").select(key.alias("shape_id"), (key % 5).cast("int").alias("kind"), ix(key).alias("x0"), iz(key).alias("z0"), (5 + 2 * (key % 10)).cast("double").alias("w"), (6 + 2 * ((key * 7) % 10)).cast("double").alias("h"))
+    at = lambda x, z: geo.point(F.col("x0") + x, F.col("z0") + z)
+    w, h, none = F.col("w"), F.col("h"), F.lit(0)
+    box = F.array(at(none, none), at(w, none), at(w, h), at(none, h))
+    angle = F.array(at(none, none), at(w, none), at(w, F.lit(3)), at(F.lit(2), F.lit(3)), at(F.lit(2), h), at(none, h))
+    flat = F.array(at(none, none), at(w, none), at(w / 2, none))
+    ring = F.when(F.col("kind") == 1, angle).when(F.col("kind") == 2, F.array(at(none, none), at(w, none), at(none, h))).when(F.col("kind") == 4, flat).otherwise(box)
+    hole = F.array(at(F.lit(1), F.lit(2)), at(F.lit(3), F.lit(2)), at(F.lit(3), F.lit(4)), at(F.lit(1), F.lit(4)))
+    return s.withColumn("ring", ring).withColumn("rings", F.when(F.col("kind") == 3, F.array("ring", hole)).otherwise(F.array("ring")))
+
+
 def wards(spark: SparkSession, sf: str) -> DataFrame:
     """ward_id, polygons: a 5 x 5 grid of nations. Ward 7 has a hole, ward 18 has one that ward 3 fills as an
     exclave, and ward 24 reaches 300 m into ward 23."""
@@ -91,6 +107,12 @@ line_points AS (
          row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS pos FROM orders)
 """
 
+#: The shapes for SQL, and whether a place (x, z) from a shape's corner is inside.
+SHAPES = """, shape AS (SELECT p_partkey AS shape_id, p_partkey % 5 AS kind, CAST((p_partkey * 7919) % 24001 - 12000 AS DOUBLE) AS x0, CAST((p_partkey * 104729) % 20001 - 10000 AS DOUBLE) AS z0,
+  CAST(5 + 2 * (p_partkey % 10) AS DOUBLE) AS w, CAST(6 + 2 * ((p_partkey * 7) % 10) AS DOUBLE) AS h FROM part)
+"""
+IN_SHAPE = "CASE kind WHEN 0 THEN true WHEN 1 THEN x < 2 OR z < 3 WHEN 2 THEN x * h + z * w < w * h WHEN 3 THEN NOT (x >= 1 AND x < 3 AND z >= 2 AND z < 4) ELSE false END"
+
 #: A point (x, z) inside a row of ward_parts: edges to the west and north count, holes do not.
 IN_WARD = "{x} >= w.x0 AND {x} < w.x1 AND {z} >= w.z0 AND {z} < w.z1 AND NOT (w.holed AND {x} >= w.hx0 AND {x} < w.hx0 + 1000 AND {z} >= w.hz0 AND {z} < w.hz0 + 800)"
 

@@ -6,12 +6,12 @@ from pyspark.sql import functions as F
 
 from quadrille.functions import geo, kernels, names
 from quadrille.functions.num import half_up
-from quadrille.operators import grid, spatial, water
+from quadrille.operators import grid, raster, spatial, water
 from quadrille.plans import views
 from quadrille.plans.grid_queries import GRID, SIZE, _parts
 from quadrille.plans.registry import query
 from quadrille.plans.scalar_queries import pick
-from quadrille.plans.views import WITH
+from quadrille.plans.views import IN_SHAPE, SHAPES, WITH
 from quadrille.storage import read_table
 
 
@@ -48,14 +48,25 @@ def river_conflicts(spark, sf):
 
 
 @query("q_10_15_water_depths", GRID + """, wc AS (SELECT cx, cz FROM landcell WHERE ward_id % 3 = 0), lc AS (SELECT cx, cz FROM landcell WHERE ward_id % 3 <> 0)
-SELECT w.cx, w.cz, floor(min(CASE WHEN greatest(abs(w.cx - l.cx), abs(w.cz - l.cz)) + (sqrt(2) - 1) * least(abs(w.cx - l.cx), abs(w.cz - l.cz)) <= 5 THEN greatest(abs(w.cx - l.cx), abs(w.cz - l.cz)) + (sqrt(2) - 1) * least(abs(w.cx - l.cx), abs(w.cz - l.cz)) END) * 1e6 + 0.5) / 1e6 AS depth
+SELECT w.cx, w.cz, floor(min(greatest(abs(w.cx - l.cx), abs(w.cz - l.cz)) + (sqrt(2) - 1) * least(abs(w.cx - l.cx), abs(w.cz - l.cz))) * 1e6 + 0.5) / 1e6 AS depth
 FROM wc w, lc l GROUP BY 1, 2""")
 def water_depths(spark, sf):
+    """Steps to the shore, however far, over a raster of several blocks."""
     land = grid.land_cells(_parts(spark, sf), SIZE)
-    out = water.depths(land.where("ward_id % 3 = 0"), land.where("ward_id % 3 <> 0"), 5.0)
+    cells = land.select("cx", "cz", F.when(F.col("ward_id") % 3 == 0, 1).otherwise(2).alias("mask"))
+    out = raster.shore_depths(raster.of_cells(cells, side=16), 1, 2, side=16)
     return out.withColumn("depth", half_up(F.col("depth"), 6))
 
 
+@query("q_10_15_bit_planes", WITH + SHAPES + f""", c AS (SELECT *, i + 0.5 AS x, unnest(range(0, CAST(h AS BIGINT))) + 0.5 AS z FROM (SELECT *, unnest(range(0, CAST(w AS BIGINT))) AS i FROM shape)),
+m AS (SELECT floor(x0 + x) AS cx, floor(z0 + z) AS cz, bit_or(1 << CAST(shape_id % 3 AS INTEGER)) AS mask FROM c WHERE {IN_SHAPE} GROUP BY 1, 2)
+SELECT CAST(b AS BIGINT) AS bit, count(*) AS cells, count(*) FILTER (mask = (1 << b)) AS alone FROM m, (VALUES (0), (1), (2)) v(b) WHERE (mask >> b) & 1 = 1 GROUP BY 1""")
+def bit_planes(spark, sf):
+    """Three layers of shapes in square metres: rectangles, L shapes, triangles, and rectangles with holes."""
+    layers = views.shapes(spark, sf).select("rings", (F.col("shape_id") % 3).alias("bit"))
+    return raster.plane_counts(raster.fill(layers, 1.0))
+
+
 @query("q_9_08_cross_language", "SELECT c_custkey AS id, CAST(c_custkey % 6 AS INT) IN (0, 1, 4) AS agrees FROM customer")
 def cross_language(spark, sf):
     k = F.col("c_custkey")
