@@ -14,8 +14,8 @@ from quadrille.plans import views
 from quadrille.plans.registry import query
 from quadrille.plans.scalar_queries import pick, sql_pick
 from quadrille.plans.views import SHAPES, WITH
-from quadrille.storage import read_table
-from quadrille.streaming import events
+from quadrille.storage import read_table, scratch
+from quadrille.streaming import events, ids
 
 
 @query("q_10_07_inner_point", WITH + "SELECT rect_id, floor((x0 + w / 2) * 100 + 0.5) / 100 AS x, floor((z0 + h / 2) * 100 + 0.5) / 100 AS z, 'centroid' AS method FROM rects")
@@ -213,18 +213,19 @@ def request_windows(spark, sf):
 
 @query("q_11_03_resumed_batches", "SELECT event_id FROM events")
 def resumed(spark, sf):
-    """A stream that is run, and run again with the same checkpoint, takes every event once."""
-    from quadrille.storage import scratch
-
+    """A stream that is run, and run again with the same checkpoint and with a lost one, takes every event once: each
+    batch is in the table's log."""
     checkpoint, path = scratch(spark, "resumed-checkpoint"), scratch(spark, "resumed")
-    for _ in range(2):
-        out = events.drained(events.event_stream(spark, sf).select("event_id"), "resumed", checkpoint=checkpoint, path=path)
+    stream = events.event_stream(spark, sf).select("event_id")
+    for folder in (checkpoint, checkpoint, scratch(spark, "resumed-anew")):
+        out = events.ledgered(stream, path, folder)
     return out
 
 
 @query("q_11_05_stream_dedup", "SELECT DISTINCT user_id, event_type FROM events")
 def stream_dedup(spark, sf):
-    return events.drained(events.first_of_key(events.event_stream(spark, sf), "user_id", "event_type"), "dedup")
+    """The first event of each key, by a store of ids on disk; the stream itself has no state."""
+    return ids.dedup_stream(events.event_stream(spark, sf), ["user_id", "event_type"], scratch(spark, "dedup"), scratch(spark, "dedup-checkpoint"))
 
 
 @query("q_11_06_tumbling_windows", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, CAST(sum(floor(value * 100)) AS BIGINT) AS cents FROM events GROUP BY 1, 2")

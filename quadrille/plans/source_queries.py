@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from quadrille.plans import views
 from quadrille.plans.registry import query
 from quadrille.plans.views import WITH
-from quadrille.sources import files, sinks
+from quadrille.sources import files, sinks, versions
 from quadrille.storage import read_table, scratch
 
 
@@ -90,10 +90,11 @@ def admin_areas(spark, sf):
 @query("q_2_01_checked_write", "SELECT s_suppkey AS k, s_name AS name, s_acctbal AS balance FROM supplier")
 def checked_write(spark, sf):
     s = read_table(spark, sf, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("balance"))
+    """Published twice: readers see one version or the other, by the table's log."""
     path = scratch(spark, "checked")
-    sinks.write_checked(s.limit(1), path, "parquet")
-    sinks.write_checked(s, path, "parquet")
-    return spark.read.parquet(path)
+    versions.publish(s.limit(1), path)
+    versions.publish(s, path)
+    return versions.current(spark, path, s.schema)
 
 
 @query("q_2_03_tile_manifest", WITH + """, t AS (SELECT r.*, CAST(floor(x0 / 2000) AS BIGINT) AS tx, CAST(floor(z0 / 2000) AS BIGINT) AS tz FROM rects r WHERE floor(x0 / 2000) = floor((x1 - 1e-9) / 2000) AND floor(z0 / 2000) = floor((z1 - 1e-9) / 2000))

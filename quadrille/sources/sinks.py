@@ -33,7 +33,7 @@ def manifest(features: DataFrame, box: str, size: float) -> DataFrame:
 def write_checked(df: DataFrame, path: str, format: str = "json") -> int:
     """Write to a staging folder beside ``path``, compare rows and content, then swap it in; a failure
     leaves the old data. Returns the number of rows. Folders cannot be swapped at once: a reader that opens ``path``
-    between the two renames finds nothing and must try again."""
+    between the two renames finds nothing and must try again; ``versions.publish`` has no such moment."""
     spark = df.sparkSession
     staged, old = f"{path}.staged", f"{path}.old"
     df.write.mode("overwrite").format(format).save(staged)

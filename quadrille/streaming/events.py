@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from quadrille.sources.versions import append_batch, appended
 from quadrille.storage import scratch
 
 EVENT = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
@@ -34,6 +35,17 @@ def drained(stream: DataFrame, label: str, mode: str = "append", checkpoint: str
     return spark.read.schema(stream.schema).parquet(path)
 
 
+def ledgered(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Run a stream until its files are done; each batch is added with its entry in the table's log, once, also if it was
+    cut off before or behind that entry. All batches so far."""
+
+    def take(batch: DataFrame, number: int) -> None:
+        append_batch(batch, number, path)
+
+    stream.writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint).foreachBatch(take).start().awaitTermination()
+    return appended(stream.sparkSession, path, stream.schema)
+
+
 def admit(requests: list[int], start: int | None, in_window: int, in_session: int, window: int, per_window: int, per_session: int) -> tuple[list[str], int | None, int, int]:
     """Verdicts on requests at times in order, and the state after: a window opens with the first request after
     the last one's end, and both the window and the session have a cap."""
@@ -65,11 +77,6 @@ def request_windows(events: DataFrame, window_s: int = 3600, per_window: int = 2
     return events.groupBy("user_id").applyInPandasWithState(run, "user_id long, event_id long, verdict string", "start long, n long, total long", "append", GroupStateTimeout.NoTimeout)
 
 
-def first_of_key(events: DataFrame, *keys: str, delay: str = "3650 days") -> DataFrame:
-    """One event a key; the keys seen are kept for ``delay`` of event time."""
-    return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(list(keys)).select(*keys)
-
-
 def tumbling(events: DataFrame, width: str = "1 hour", delay: str = "1 day") -> DataFrame:
     """Counts and sums by window and type (an extension; the windows are aligned to the epoch)."""
     return events.withWatermark("ts", delay).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"), F.sum(F.floor(F.col("value") * 100)).alias("cents")).select(F.col("window.start").alias("start"), "event_type", "n", "cents")
