@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import io
+import lzma
 import struct
 import zipfile
 import zlib
 from collections.abc import Callable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from quadrille.functions import geo, names
@@ -116,6 +118,57 @@ def osm_primitives(spark, sf):
     return osm.decoded_blobs(made).select("type", "id", grain("lat"), grain("lon"), tag, F.size("refs").alias("n_refs"), F.element_at("refs", -1).alias("last_ref")).withColumn("n_refs", F.when(F.col("n_refs") >= 0, F.col("n_refs")))
 
 
+def _osm_file(pdf: pd.DataFrame) -> bytes:
+    """A sorted extract: a blob of nodes, one with a way along them and one with a relation of the way and the first node,
+    packed in a way of its own."""
+    rows, file = pdf.sort_values("k"), int(pdf["file"].iloc[0])
+    words = [b"", b"name", b"highway", b"road", b"outer", *(n.encode() for n in rows["name"])]
+    tags = b"".join(_varint(1) + _varint(5 + i) + _varint(0) for i in range(len(rows)))
+    dense = _message(1, _steps(rows["k"])) + _message(8, _steps(rows["k"] * 1000)) + _message(9, _steps(rows["k"] * -2000)) + _message(10, tags)
+    way = _varint(1 << 3) + _varint(file + 1) + _message(2, _varint(2)) + _message(3, _varint(3)) + _message(8, _steps(rows["k"]))
+    relation = _varint(1 << 3) + _varint(file + 1) + _message(8, _varint(4) + _varint(0)) + _message(9, _steps([file + 1, rows["k"].iloc[0]])) + _message(10, _varint(1) + _varint(0))
+    number, pack = {0: (1, bytes), 1: (3, zlib.compress), 2: (4, lzma.compress), 3: (6, lambda data: pa.Codec("lz4_raw").compress(data, asbytes=True)), 4: (7, lambda data: pa.Codec("zstd").compress(data, asbytes=True))}[file % 5]
+
+    def blob(kind: bytes, data: bytes) -> bytes:
+        body = _varint(2 << 3) + _varint(len(data)) + _message(number, pack(data))
+        head = _message(1, kind) + _varint(3 << 3) + _varint(len(body))
+        return struct.pack(">I", len(head)) + head + body
+
+    blocks = [_message(1, b"".join(_message(1, w) for w in words)) + _message(2, _message(n, m)) for n, m in ((2, dense), (3, way), (4, relation))]
+    return blob(b"OSMHeader", _message(4, b"DenseNodes") + _message(5, b"Sort.Type_then_ID")) + b"".join(blob(b"OSMData", b) for b in blocks)
+
+
+def _extracts(spark, sf) -> str:
+    """A folder of extracts, one a nation, written by tasks to the shared folder."""
+    folder = scratch(spark, "extracts")
+
+    def write(batches):
+        import pyarrow.fs
+
+        store, at = pyarrow.fs.FileSystem.from_uri(folder)
+        for pdf in batches:
+            store.create_dir(at)
+            for path, content in zip(pdf["path"], pdf["content"]):
+                with store.open_output_stream(at + path) as out:
+                    out.write(content)
+            yield pdf[["path"]]
+
+    _packed(_supplier(spark, sf), "file", _osm_file, ".osm.pbf").mapInPandas(write, "path string").write.format("noop").mode("overwrite").save()
+    return folder
+
+
+@query("q_1_08_osm_source", """
+SELECT 'way' AS type, s_nationkey + 1 AS id, 'road' AS tag, CAST(count(*) AS INT) AS n_refs, NULL AS members FROM supplier WHERE s_nationkey >= 4 GROUP BY s_nationkey
+UNION ALL SELECT 'relation', s_nationkey + 1, NULL, NULL, 'way/' || s_nationkey + 1 || '/outer,node/' || min(s_suppkey) || '/' FROM supplier WHERE s_nationkey >= 4 GROUP BY s_nationkey""")
+def osm_source(spark, sf):
+    """Ways and relations of a folder of extracts in five packings, from id 5 on: the source makes no task for blobs of
+    nodes."""
+    osm.register(spark)
+    found = spark.read.format("osmpbf").load(_extracts(spark, sf)).where("type in ('way', 'relation') and id >= 5")
+    members = F.array_join(F.transform("members", lambda m: F.concat_ws("/", m["type"], m["ref"].cast("string"), m["role"])), ",")
+    return found.select("type", "id", F.col("tags")["highway"].alias("tag"), F.when(F.col("refs").isNotNull(), F.size("refs")).alias("n_refs"), members.alias("members"))
+
+
 def _shp(pdf: pd.DataFrame) -> bytes:
     """Squares, each with a hole and an island in the hole, in no particular order of rings."""
     out = bytes(100)

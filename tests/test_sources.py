@@ -109,6 +109,66 @@ def test_osm_extract(spark, tmp_path):
     assert rows[2]["refs"] == [5, 6] and [tuple(m) for m in rows[3]["members"]] == [("way", 9, "outer")]
 
 
+def extract(blocks, order=b"Sort.Type_then_ID", packings=(1, 3, 4, 5, 6, 7)):
+    """An extract of one blob a block, each packed in another way."""
+    import bz2
+    import lzma
+
+    import pyarrow as pa
+
+    pack = {1: bytes, 3: zlib.compress, 4: lzma.compress, 5: bz2.compress, 6: lambda d: pa.Codec("lz4_raw").compress(d, asbytes=True), 7: lambda d: pa.Codec("zstd").compress(d, asbytes=True)}
+    out = b""
+    for i, (kind, data) in enumerate([(b"OSMHeader", ld(5, order)), *((b"OSMData", b) for b in blocks)]):
+        n = packings[i % len(packings)]
+        body = key(2, 0) + vi(len(data)) + ld(n, pack[n](data))
+        head = ld(1, kind) + key(3, 0) + vi(len(body))
+        out += struct.pack(">I", len(head)) + head + body
+    return out
+
+
+def block_of(kind, ids):
+    words = ld(1, b"") + ld(1, b"k") + ld(1, b"v")
+    deltas = b"".join(zz(b - a) for a, b in zip([0, *ids], ids))
+    if kind == "node":
+        return ld(1, words) + ld(2, ld(2, ld(1, deltas) + ld(8, zz(0) * len(ids)) + ld(9, zz(0) * len(ids))))
+    if kind == "way":
+        return ld(1, words) + b"".join(ld(2, ld(3, key(1, 0) + vi(i) + ld(2, vi(1)) + ld(3, vi(2)) + ld(8, zz(i) + zz(1)))) for i in ids)
+    return ld(1, words) + b"".join(ld(2, ld(4, key(1, 0) + vi(i) + ld(8, vi(2)) + ld(9, zz(i)) + ld(10, vi(1)))) for i in ids)
+
+
+def test_osm_filters_skip_blobs(spark, tmp_path):
+    """Whatever the filter, the rows are those of the whole extract; a sorted one has no task for blobs that cannot match."""
+    parts = [("node", range(1, 40)), ("node", range(40, 90)), ("node", range(90, 120)), ("way", range(3, 30)), ("way", range(30, 60)), ("relation", range(1, 9)), ("relation", range(9, 20))]
+    blocks = [block_of(k, list(ids)) for k, ids in parts]
+    (tmp_path / "sorted.pbf").write_bytes(extract(blocks))
+    (tmp_path / "loose.pbf").write_bytes(extract(blocks, order=b"none"))
+    osm.register(spark)
+    whole = [(k, i) for k, ids in parts for i in ids]
+    cases = {
+        "type = 'way'": 3, "type in ('way', 'relation') and id > 25": 5, "type = 'node' and id = 41": 1, "type = 'node' and id >= 100": 1, "id between 5 and 6": 7,
+        "type = 'relation' and id < 3": 2, "type = 'way' and id in (4, 59)": 3, "type = 'area'": 0, "type = 'way' and id > 7 and id < 6": 0, "tags['k'] = 'v'": 7, "type <> 'node'": 7,
+    }
+    for name in ("sorted", "loose"):
+        frame = spark.read.format("osmpbf").load(str(tmp_path / f"{name}.pbf"))
+        assert sorted((r["type"], r["id"]) for r in frame.collect()) == sorted(whole)
+        for condition, tasks in cases.items():
+            picked = frame.where(condition)
+            expected = [(k, i) for k, i in whole if eval_condition(condition, k, i)]
+            assert sorted((r["type"], r["id"]) for r in picked.collect()) == sorted(expected), condition
+            if name == "sorted":
+                assert picked.rdd.getNumPartitions() <= max(1, tasks), condition
+    both = spark.read.format("osmpbf").load(str(tmp_path)).where("type = 'relation'").collect()
+    assert len(both) == 38 and all([tuple(m) for m in r["members"]] == [("way", r["id"], "v")] for r in both)
+
+
+def eval_condition(condition, kind, i):
+    return {
+        "type = 'way'": kind == "way", "type in ('way', 'relation') and id > 25": kind != "node" and i > 25, "type = 'node' and id = 41": kind == "node" and i == 41,
+        "type = 'node' and id >= 100": kind == "node" and i >= 100, "id between 5 and 6": 5 <= i <= 6, "type = 'relation' and id < 3": kind == "relation" and i < 3,
+        "type = 'way' and id in (4, 59)": kind == "way" and i in (4, 59), "type = 'area'": False, "type = 'way' and id > 7 and id < 6": False, "tags['k'] = 'v'": kind == "way", "type <> 'node'": kind != "node",
+    }[condition]
+
+
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string")
     path = f"{tmp_path}/out"
