@@ -18,7 +18,7 @@ from quadrille.plans import views
 from quadrille.plans.registry import query
 from quadrille.plans.scalar_queries import pick, sql_pick
 from quadrille.plans.views import WITH
-from quadrille.sources import files, osm, sinks
+from quadrille.sources import files, osm, sinks, split
 from quadrille.storage import read_table, scratch
 
 
@@ -138,9 +138,9 @@ def _osm_file(pdf: pd.DataFrame) -> bytes:
     return blob(b"OSMHeader", _message(4, b"DenseNodes") + _message(5, b"Sort.Type_then_ID")) + b"".join(blob(b"OSMData", b) for b in blocks)
 
 
-def _extracts(spark, sf) -> str:
-    """A folder of extracts, one a nation, written by tasks to the shared folder."""
-    folder = scratch(spark, "extracts")
+def _written(spark, label: str, *packed: DataFrame) -> str:
+    """A folder of the files of (path, content) rows, written by tasks to the shared folder."""
+    folder = scratch(spark, label)
 
     def write(batches):
         import pyarrow.fs
@@ -153,7 +153,8 @@ def _extracts(spark, sf) -> str:
                     out.write(content)
             yield pdf[["path"]]
 
-    _packed(_supplier(spark, sf), "file", _osm_file, ".osm.pbf").mapInPandas(write, "path string").write.format("noop").mode("overwrite").save()
+    for rows in packed:
+        rows.mapInPandas(write, "path string").write.format("noop").mode("overwrite").save()
     return folder
 
 
@@ -164,7 +165,7 @@ def osm_source(spark, sf):
     """Ways and relations of a folder of extracts in five packings, from id 5 on: the source makes no task for blobs of
     nodes."""
     osm.register(spark)
-    found = spark.read.format("osmpbf").load(_extracts(spark, sf)).where("type in ('way', 'relation') and id >= 5")
+    found = spark.read.format("osmpbf").load(_written(spark, "extracts", _packed(_supplier(spark, sf), "file", _osm_file, ".osm.pbf"))).where("type in ('way', 'relation') and id >= 5")
     members = F.array_join(F.transform("members", lambda m: F.concat_ws("/", m["type"], m["ref"].cast("string"), m["role"])), ",")
     return found.select("type", "id", F.col("tags")["highway"].alias("tag"), F.when(F.col("refs").isNotNull(), F.size("refs")).alias("n_refs"), members.alias("members"))
 
@@ -200,6 +201,41 @@ def shapefile(spark, sf):
     return p.select(F.col("attributes")["CODE"].alias("code"), F.col("attributes")["NAME"].alias("name"), F.size("p").alias("n_polygons"), F.aggregate("p", F.lit(0), lambda acc, x: acc + F.size(x["holes"])).alias("n_holes"), total.alias("area"))
 
 
+def _shx(pdf: pd.DataFrame) -> bytes:
+    """The index of _shp's records: place and length of each in words of two bytes."""
+    size = (44 + 12 + 8 * 30) // 2
+    return bytes(100) + b"".join(struct.pack(">ii", 50 + i * (size + 4), size) for i in range(len(pdf)))
+
+
+@query("q_1_16_shapefile_source", "SELECT s_nationkey AS file, CAST(s_suppkey AS VARCHAR) AS code, '町' || s_name AS name, 3 AS n_parts FROM supplier")
+def shapefile_source(spark, sf):
+    """Shapefiles read by their index, a few records a task."""
+    split.register(spark)
+    s = _supplier(spark, sf)
+    folder = _written(spark, "shapes", *(_packed(s, "file", make, ending) for make, ending in ((_shp, ".shp"), (_shx, ".shx"), (_dbf, ".dbf"))))
+    found = spark.read.format("shapefile").option("taskbytes", 700).load(folder)
+    return found.select(F.col("stem").cast("int").alias("file"), F.col("attributes")["CODE"].alias("code"), F.col("attributes")["NAME"].alias("name"), F.size("parts").alias("n_parts"))
+
+
+@query("q_1_20_archive_source", "SELECT s_nationkey || '.zip' AS file, 'part/' || s_suppkey || '.txt' AS entry, CAST(40 * length(s_name) AS BIGINT) AS size, CAST(ceil(40 * length(s_name) / 100) AS INTEGER) AS pieces, repeat(s_name, 40) AS text FROM supplier")
+def archive_source(spark, sf):
+    """Archives read by their directory: entries in pieces of 100 bytes, put together again."""
+
+    def make(pdf: pd.DataFrame) -> bytes:
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            for k, name in zip(pdf["k"], pdf["name"]):
+                z.writestr(f"part/{k}.txt", name * 40)
+            z.writestr("other/note.txt", "not asked for")
+        return out.getvalue()
+
+    split.register(spark)
+    folder = _written(spark, "archives", _packed(_supplier(spark, sf), "file", make, ".zip"))
+    found = spark.read.format("zipentries").option("taskbytes", 2000).option("piecebytes", 100).load(folder).where(F.col("entry").startswith("part/"))
+    pieces = F.sort_array(F.collect_list(F.struct("piece", F.decode("content", "UTF-8").alias("text"))))
+    return found.groupBy("file", "entry", "size").agg(F.count("*").cast("int").alias("pieces"), pieces.alias("p")).select("file", "entry", "size", "pieces", F.array_join(F.transform("p", lambda x: x["text"]), "").alias("text"))
+
+
 @query("q_1_20_archive", "SELECT s_nationkey || '.zip' AS file, 'part/' || s_suppkey || '.txt' AS entry, CAST(length(s_name) AS BIGINT) AS size, s_name AS text FROM supplier")
 def archive(spark, sf):
     def make(pdf: pd.DataFrame) -> bytes:
