@@ -39,6 +39,8 @@ from quadrille.llm.text import BLANKS, blobs, id_text, read_table, rows, slices,
 CHUNK = 1 << 17
 MOST_BITS = 1 << 30
 PROBES = 3
+#: Bytes of filters that all tasks together send to be merged: with more, tasks fold several partitions each.
+SENT_BYTES = 1 << 40
 #: Stands for a null doc_id where the first document of a line is chosen.
 LAST = (1 << 63) - 1
 FILTERS = pa.schema([("chunk", pa.int32()), ("once", pa.binary()), ("twice", pa.binary())])
@@ -97,6 +99,13 @@ def _chunks(bitmap: np.ndarray) -> list[np.ndarray]:
     return [bitmap[i : i + CHUNK] for i in range(0, len(bitmap), CHUNK)]
 
 
+def in_fewer_tasks(docs: DataFrame, bits: int, most: int = SENT_BYTES) -> DataFrame:
+    """The rows in so many tasks that two filters of each are not more than ``most`` bytes in all, nothing shuffled; in four
+    a core at least."""
+    tasks = max(4 * docs.sparkSession.sparkContext.defaultParallelism, most // (bits // 4))
+    return docs.coalesce(tasks) if docs.rdd.getNumPartitions() > tasks else docs
+
+
 def twice_filter(docs: DataFrame, bits: int, keys: Callable[[bytes], Iterable[bytes]] = line_keys) -> np.ndarray:
     """The filter of keys that may occur twice or more; ``keys(text)``: by default a text's lines, each once."""
 
@@ -127,7 +136,7 @@ def twice_filter(docs: DataFrame, bits: int, keys: Callable[[bytes], Iterable[by
 
     ddl = "chunk int, once binary, twice binary"
     out = np.zeros(bits // 8, np.uint8)
-    merged = docs.mapInArrow(build, ddl).repartition(max(1, bits // 8 // CHUNK), "chunk").mapInArrow(merge, ddl)
+    merged = in_fewer_tasks(docs, bits).mapInArrow(build, ddl).repartition(max(1, bits // 8 // CHUNK), "chunk").mapInArrow(merge, ddl)
     for row in merged.select("chunk", "twice").collect():  # at most MOST_BITS bits, whatever the input
         part = np.frombuffer(zstandard.decompress(row["twice"]), np.uint8)
         out[row["chunk"] * CHUNK : row["chunk"] * CHUNK + len(part)] = part

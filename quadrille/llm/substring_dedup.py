@@ -282,9 +282,9 @@ def passage_spans(docs: DataFrame, **how) -> DataFrame:
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents that lose passages: how many and how many repeated words, where (start:end:first document), and
-    the digest of what is kept. Other documents do not appear."""
+    """The documents that lose passages: how many and how many repeated words, where (start:end:first document, empty if
+    that has no id), and the digest of what is kept. Other documents do not appear."""
     cut = cut_passages(read_table(spark, sf_dir, "documents"))
-    places = F.transform("spans", lambda s: F.concat_ws(":", s["start"], s["end"], s["first_doc_id"]))
+    places = F.transform("spans", lambda s: F.concat_ws(":", s["start"], s["end"], F.coalesce(s["first_doc_id"].cast("string"), F.lit(""))))
     words = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s["n_words"])
     return cut.select("doc_id", F.size("spans").cast("long").alias("n_spans"), words.alias("n_words"), F.array_join(places, ",").alias("spans"), F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))

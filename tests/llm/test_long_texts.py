@@ -146,3 +146,23 @@ def test_blocks_one_at_a_time(spark):
     clean = decontaminate.decontaminate(docs, bench, block_bytes=300)
     assert clean._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
     assert sorted(r["doc_id"] for r in clean.collect()) == sorted(at for at, (_, n_hit, _) in expected.items() if not n_hit)
+
+
+def test_filters_of_many_tasks(spark):
+    """Filters of very many partitions are folded in fewer tasks; the filter is the same."""
+    from quadrille.llm import line_dedup
+
+    docs = table(spark, [f"line {i % 40}\nown {i}" for i in range(200)]).select("doc_id", "text").repartition(60)
+    few = line_dedup.in_fewer_tasks(docs, 1 << 20, most=1 << 20)
+    assert few.rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism < 60 == line_dedup.in_fewer_tasks(docs, 1 << 20).rdd.getNumPartitions()
+    assert (line_dedup.twice_filter(few, 1 << 20) == line_dedup.twice_filter(docs, 1 << 20)).all()
+
+
+def test_spans_of_a_document_without_id(spark, tmp_path):
+    """A passage whose first document has no id is printed with an empty third field."""
+    from quadrille.llm import queries
+
+    passage = words(random.Random(9), 60, 90_000)
+    spark.createDataFrame([(None, passage, "en", "s", 1), (None, "own " + passage, "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spans = [r["spans"] for r in queries.QUERIES["op1_substring_dedup"](spark, str(tmp_path)).collect()]
+    assert spans and all(s.count(":") == 2 and s.endswith(":") for s in spans)
