@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quadrille.functions import geo, kernels
+from quadrille.functions import geo
 from quadrille.operators.spatial import hits
 
 
@@ -59,26 +59,46 @@ def river_widths(lines: DataFrame, banks: DataFrame, line_id: str, samples: int
     return out.select(line_id, F.when(F.col("n") >= 3, F.col("trimmed")).otherwise(F.col("m")).alias("width"), F.when(F.col("n") >= 3, F.col("n")).otherwise(F.col("c")).alias("n"))
 
 
+#: The scales tried, the one tried more for a river that should stay, and the shares of the points.
+SCALES, THIN_SCALE = (1.0, 0.85, 0.70, 0.55), 0.40
+EDGE_FITS, EDGE_FITS_THIN, CENTRE_FITS, CENTRE_HIDES = 0.15, 0.35, 0.30, 0.55
+
+
 def building_conflicts(rivers: DataFrame, buildings: DataFrame, river_id: str, size: float = 150.0) -> DataFrame:
-    """(river_id, action, scale): the widest of four scales at which at most 15 % of the edge points and 30 % of
-    the centre points lie in buildings; suppressed from 55 % of the centre, or if no scale fits.
-    ``rivers``: points, half; ``buildings``: building_id, ring."""
-    # The scales and the shares.
-    scales = F.array(*(F.lit(s) for s in (1.0, 0.85, 0.70, 0.55)))
-    v = rivers.select(river_id, "half", "points", F.explode(scales).alias("scale"))
-    left, right = (kernels.side_line(F.col("points"), F.col("half") * F.col("scale") * sign, F.lit(1.0)) for sign in (1.0, -1.0))
-    v = v.select(river_id, "scale", "points", left.alias("l"), right.alias("r"))  # UDFs cannot stand in a lambda
-    v = v.select(river_id, "scale", F.posexplode(F.arrays_zip(F.col("points").alias("p"), kernels.unflat(F.col("l")).alias("l"), kernels.unflat(F.col("r")).alias("r"))).alias("i", "t"))
-    v = v.select(river_id, "scale", "i", F.posexplode(F.array("t.p", "t.l", "t.r")).alias("which", "p")).select(river_id, "scale", "i", "which", "p.x", "p.z")
+    """(river_id, action, scale, edge_share, centre_share, tried, thin): keep, shrink or suppress a river by the share of
+    its points, and of its edges' points, that lie in buildings.
+
+    The first scale fits at which few enough of both do; a river that lies mostly in buildings is suppressed at once. One
+    that should stay (``prefer``) may get thinner, and then stays with more of its edge in buildings. ``rivers``: points,
+    ``halves`` (half a width for each point, the last one for all that follow) or one ``half``, and ``prefer`` if there is
+    any; ``buildings``: building_id, ring. The edge at a point is half a width off, square to the way from the point
+    before to the one behind. A line of one point is kept."""
+    halves = F.col("halves") if "halves" in rivers.columns else F.array(F.col("half").cast("double"))
+    prefer = F.coalesce(F.col("prefer"), F.lit(False)) if "prefer" in rivers.columns else F.lit(False)
+    own = rivers.select(river_id, "points", halves.alias("halves"), prefer.alias("prefer"), F.size("points").alias("n"), F.array(*map(F.lit, SCALES)).alias("scales"))
+    own = own.withColumn("scales", F.when(F.col("prefer"), F.concat("scales", F.array(F.lit(THIN_SCALE)))).otherwise(F.col("scales")))
+    at = lambda i: F.element_at("points", F.least(F.greatest(i, F.lit(1)), F.col("n")))
+    v = own.where("n >= 2").select(river_id, "points", "halves", "n", "scales", F.posexplode("points").alias("i", "p"))
+    v = v.select(river_id, "scales", "i", F.col("p.x").alias("x"), F.col("p.z").alias("z"), at(F.col("i")).alias("a"), at(F.col("i") + 2).alias("b"), F.element_at("halves", F.least(F.col("i") + 1, F.size("halves"))).alias("h"))
+    tx, tz = F.col("b.x") - F.col("a.x"), F.col("b.z") - F.col("a.z")
+    long = F.when(F.hypot(tx, tz) > 0, F.hypot(tx, tz)).otherwise(1.0)
+    v = v.select(river_id, "scales", "i", "x", "z", "h", (-tz / long).alias("nx"), (tx / long).alias("nz"))
+    side = lambda sign, s: F.struct((F.col("x") + sign * F.col("nx") * (F.col("h") * s)).alias("x"), (F.col("z") + sign * F.col("nz") * (F.col("h") * s)).alias("z"))
+    edges = v.select(river_id, "i", "x", "z", "h", "nx", "nz", F.posexplode("scales").alias("step", "s")).select(river_id, "i", "step", F.explode(F.array(side(1, F.col("s")), side(-1, F.col("s")))).alias("p")).select(river_id, "i", "step", "p.x", "p.z")
+    spots = edges.unionByName(v.select(river_id, "i", F.lit(-1).alias("step"), "x", "z"))  # the centre is the same at all scales
     none = F.array().cast("array<array<struct<x:double,z:double>>>")
     parts = buildings.select("building_id", F.col("ring").alias("outer"), none.alias("holes"), geo.bbox(F.col("ring")).alias("box"))
-    keys = [river_id, "scale", "i", "which"]
-    held = hits(v, parts, size, "building_id").select(*keys).distinct()
-    points = held.groupBy(river_id, "scale", "i").agg(F.max((F.col("which") == 0).cast("int")).alias("centre"), F.max((F.col("which") > 0).cast("int")).alias("edge"))
-    sums = points.groupBy(river_id, "scale").agg(F.sum("centre").alias("centre"), F.sum("edge").alias("edge"))
-    n = rivers.select(river_id, F.size("points").alias("n"), F.explode(scales).alias("scale")).join(sums, [river_id, "scale"], "left")
-    share = lambda c: F.coalesce(F.col(c), F.lit(0)) / F.col("n")
-    fits = n.withColumn("fits", (share("edge") <= 0.15) & (share("centre") <= 0.30)).withColumn("inside", (F.col("scale") == 1.0) & (share("centre") >= 0.55))
-    best = fits.groupBy(river_id).agg(F.max(F.when(F.col("fits"), F.col("scale"))).alias("scale"), F.bool_or("inside").alias("inside"))
-    scale = F.when(~F.col("inside"), F.col("scale"))
-    return best.select(river_id, F.when(scale.isNull(), "suppress").when(scale == 1.0, "keep").otherwise("shrink").alias("action"), F.coalesce(scale, F.lit(0.0)).alias("scale"))
+    held = hits(spots, parts, size, "building_id").select(river_id, "i", "step").distinct().groupBy(river_id, "step").agg(F.count("*").alias("n"))
+    held = held.groupBy(river_id).agg(F.map_from_entries(F.collect_list(F.struct("step", "n"))).alias("held"))  # six steps at most
+    share = lambda step: F.coalesce(F.try_element_at("held", step), F.lit(0)) / F.col("n")
+    out = own.select(river_id, "scales", "prefer", F.greatest("n", F.lit(1)).alias("n")).join(held, river_id, "left").withColumn("centre", share(F.lit(-1)))
+    out = out.withColumn("edges", F.transform("scales", lambda _, i: share(i)))
+    first = F.when(F.col("centre") <= CENTRE_FITS, F.array_position(F.transform("edges", lambda e: e <= EDGE_FITS), True)).otherwise(F.lit(0)).cast("int")
+    last, count = F.element_at("edges", -1), F.size("scales")
+    out = out.withColumns({"first": first, "hidden": F.col("centre") >= CENTRE_HIDES})
+    thin = ~F.col("hidden") & (F.col("first") == 0) & F.col("prefer") & (F.col("centre") <= CENTRE_FITS) & (last <= EDGE_FITS_THIN)
+    fits = ~F.col("hidden") & (F.col("first") > 0)
+    scale = F.when(fits, F.element_at("scales", F.greatest("first", F.lit(1)))).when(thin, F.lit(THIN_SCALE)).otherwise(0.0)
+    tried = F.when(F.col("hidden"), 1).when(fits, F.col("first")).otherwise(count)
+    action = F.when(scale == 1.0, "keep").when(scale > 0, "shrink").otherwise("suppress")
+    return out.select(river_id, action.alias("action"), scale.alias("scale"), F.element_at("edges", tried).alias("edge_share"), F.col("centre").alias("centre_share"), tried.alias("tried"), thin.alias("thin"))

@@ -8,6 +8,7 @@ from quadrille.functions import geo, kernels, names
 from quadrille.functions.num import half_up
 from quadrille.operators import grid, raster, spatial, water
 from quadrille.plans import views
+from quadrille.plans.convert_queries import cells_of
 from quadrille.plans.grid_queries import GRID, SIZE, _parts
 from quadrille.plans.registry import query
 from quadrille.plans.scalar_queries import pick
@@ -40,9 +41,24 @@ def ribbons(spark, sf):
     return out.select("rect_id", half_up(geo.area(F.col("r")), 6).alias("area"), F.size("r").cast("long").alias("n"))
 
 
-@query("q_4_39_river_conflicts")
+@query("q_4_39_river_conflicts", WITH + f""", n AS (SELECT line_id, count(*) AS n FROM line_points GROUP BY 1 HAVING count(*) >= 2),
+v AS (SELECT p.*, n, 8.0 + (pos - 1) % 5 * 2 AS h, coalesce(lead(x) OVER w, x) - coalesce(lag(x) OVER w, x) AS tx, coalesce(lead(z) OVER w, z) - coalesce(lag(z) OVER w, z) AS tz FROM line_points p JOIN n USING (line_id) WINDOW w AS (PARTITION BY line_id ORDER BY pos)),
+t AS (SELECT *, -tz / CASE WHEN d > 0 THEN d ELSE 1 END AS nx, tx / CASE WHEN d > 0 THEN d ELSE 1 END AS nz FROM (SELECT *, sqrt(tx ^ 2 + tz ^ 2) AS d FROM v)),
+sc(step, s) AS (VALUES (0, 1.0::DOUBLE), (1, 0.85::DOUBLE), (2, 0.7::DOUBLE), (3, 0.55::DOUBLE), (4, 0.4::DOUBLE)),
+spot AS (SELECT line_id, pos, -1 AS step, x, z FROM t UNION ALL SELECT line_id, pos, step, x + g * nx * (h * s), z + g * nz * (h * s) FROM t, sc, (VALUES (1), (-1)) k(g) WHERE step < 4 OR line_id % 3 = 0),
+b AS (SELECT x0 - w * 8 AS x0, x1 + w * 8 AS x1, z0 - h * 8 AS z0, z1 + h * 8 AS z1 FROM rects),
+held AS (SELECT DISTINCT line_id, pos, step FROM spot p JOIN {cells_of('b', 'x0', 'x1', 'z0', 'z1', 300)} c ON floor(p.x / 300) = c.kx AND floor(p.z / 300) = c.kz AND p.x >= c.x0 AND p.x < c.x1 AND p.z >= c.z0 AND p.z < c.z1),
+e AS (SELECT n.line_id, s.step, s.s, n.n, count(h.pos) / n.n AS share FROM n JOIN (SELECT * FROM sc UNION ALL SELECT -1, 0) s ON s.step < 4 OR n.line_id % 3 = 0 LEFT JOIN held h ON h.line_id = n.line_id AND h.step = s.step GROUP BY 1, 2, 3, 4),
+f AS (SELECT line_id, max(share) FILTER (step = -1) AS centre, min(step) FILTER (step >= 0 AND share <= 0.15) AS first, max(step) AS last FROM e GROUP BY 1),
+g AS (SELECT *, centre >= 0.55 AS hidden, centre < 0.55 AND centre <= 0.3 AND first IS NOT NULL AS fits FROM f),
+m AS (SELECT g.*, NOT hidden AND NOT fits AND line_id % 3 = 0 AND centre <= 0.3 AND (SELECT share FROM e WHERE e.line_id = g.line_id AND e.step = g.last) <= 0.35 AS thin, CASE WHEN hidden THEN 0 WHEN fits THEN first ELSE last END AS at FROM g)
+SELECT m.line_id, CASE WHEN fits AND first = 0 THEN 'keep' WHEN fits OR thin THEN 'shrink' ELSE 'suppress' END AS action, CASE WHEN fits THEN e.s WHEN thin THEN 0.4 ELSE 0 END AS scale, e.share AS edge_share, m.centre AS centre_share, CAST(m.at + 1 AS INTEGER) AS tried, thin
+FROM m JOIN e ON e.line_id = m.line_id AND e.step = m.at""")
 def river_conflicts(spark, sf):
-    lines = views.lines(spark, sf).where("size(points) >= 2").select("line_id", "points", F.lit(12.0).alias("half"))
+    """Lines of changing width against large rectangles; every third line should stay."""
+    k = F.col("line_id")
+    widths = F.transform("points", lambda _, i: 8.0 + i % 5 * 2)
+    lines = views.lines(spark, sf).where("size(points) >= 2").select("line_id", "points", widths.alias("halves"), (k % 3 == 0).alias("prefer"))
     b = views.rects(spark, sf).select(F.col("rect_id").alias("building_id"), geo.rectangle(F.col("x0") - F.col("w") * 8, F.col("z0") - F.col("h") * 8, F.col("x1") + F.col("w") * 8, F.col("z1") + F.col("h") * 8).alias("ring"))
     return water.building_conflicts(lines, b, "line_id", 300.0)
 

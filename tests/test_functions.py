@@ -217,3 +217,53 @@ def test_conflicts_against_a_loop(spark):
     b = spark.createDataFrame([(i, [(x0, z0), (x1, z0), (x1, z1), (x0, z1)]) for i, x0, z0, x1, z1 in rects], "building_id long, ring array<struct<x:double,z:double>>")
     found = {x["river"]: (x["action"], x["scale"]) for x in water.building_conflicts(r, b, "river").collect()}
     assert found == {1: ("shrink", 0.7), 2: ("suppress", 0.0), 3: ("keep", 1.0)}
+
+
+def test_conflicts_of_all_kinds(spark):
+    """Widths that change along a river, and rivers that should stay, against the rule as a plain loop."""
+    import math
+    import random
+
+    from quadrille.operators import water
+
+    rng = random.Random(5)
+    rects = [(i, x := rng.uniform(-300, 300), z := rng.uniform(-300, 300), x + rng.uniform(10, 90), z + rng.uniform(10, 90)) for i in range(40)]
+
+    def held(x, z):
+        return any(x0 <= x < x1 and z0 <= z < z1 for _, x0, z0, x1, z1 in rects)
+
+    def plain(points, halves, prefer):
+        def shares(scale):
+            centre = edge = 0
+            for i, (x, z) in enumerate(points):
+                (ax, az), (bx, bz) = points[max(0, i - 1)], points[min(len(points) - 1, i + 1)]
+                d = math.hypot(bx - ax, bz - az) or 1
+                nx, nz, h = -(bz - az) / d, (bx - ax) / d, halves[min(i, len(halves) - 1)] * scale
+                centre += held(x, z)
+                edge += held(x + nx * h, z + nz * h) or held(x - nx * h, z - nz * h)
+            return (centre / len(points), edge / len(points)) if len(points) > 1 else (0, 0)
+
+        if shares(1)[0] >= 0.55:
+            return "suppress", 0.0, 1, False
+        scales = [1.0, 0.85, 0.70, 0.55, *[0.40] * prefer]
+        for tried, scale in enumerate(scales, 1):
+            centre, edge = shares(scale)
+            if edge <= 0.15 and centre <= 0.30:
+                return "keep" if scale == 1 else "shrink", scale, tried, False
+        if prefer and centre <= 0.30 and edge <= 0.35:
+            return "shrink", 0.40, len(scales), True
+        return "suppress", 0.0, len(scales), False
+
+    rivers = []
+    for k in range(160):
+        x, z, a, points = rng.uniform(-300, 300), rng.uniform(-300, 300), rng.uniform(0, 6.3), []
+        for _ in range(rng.choice([1, 2, 9, 25])):
+            points.append((x, z))
+            a += rng.uniform(-0.3, 0.3)
+            x, z = x + 12 * math.cos(a), z + 12 * math.sin(a)
+        rivers.append((k, points, [rng.uniform(2, 25) for _ in range(rng.choice([1, 3, len(points)]))], k % 2 == 0))
+    r = spark.createDataFrame(rivers, "river long, points array<struct<x:double,z:double>>, halves array<double>, prefer boolean")
+    b = spark.createDataFrame([(i, [(x0, z0), (x1, z0), (x1, z1), (x0, z1)]) for i, x0, z0, x1, z1 in rects], "building_id long, ring array<struct<x:double,z:double>>")
+    found = {x["river"]: (x["action"], x["scale"], x["tried"], x["thin"]) for x in water.building_conflicts(r, b, "river").collect()}
+    assert found == {k: plain(*rest) for k, *rest in rivers}
+    assert {(a, t) for a, _, _, t in found.values()} == {("keep", False), ("shrink", False), ("shrink", True), ("suppress", False)}
