@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quadrille.functions import classify, geo, kernels, names
 from quadrille.functions.num import cell_value, half_up, nearest_rank, percent
-from quadrille.operators import graph, grid, resolve, sequential, spatial
+from quadrille.operators import corridors, graph, grid, resolve, sequential, spatial
 from quadrille.streaming.events import admit
 
 
@@ -76,7 +76,9 @@ def test_kernels():
 
 def test_ordered_decisions():
     assert sequential.smoothed([10, 10, 50, 10, 10]) == [10, 10, 10.0, 10, 10] and sequential.smoothed([1, 2]) == [1, 2]
-    assert sequential.best_path(np.array([[0, 1.0, 0.9], [0, 0.2, 0.4], [0, 1.0, np.nan]])) == [1, 1, 1]
+    none, never = -150_000, corridors.NEVER
+    steps = corridors._segment_steps([[none, 1_000_000, 900_000], [none, 200_000, 400_000], [none, 1_000_000, never]])
+    assert corridors.walk_back(np.array([0, never, never]), steps, None)[1] == [1, 1, 1]
     rings, left = sequential.stitched([[(0, 0), (1, 0)], [(1, 1), (1, 0)], [(1, 1), (0, 0)], [(5, 5), (6, 6)]])
     assert len(rings) == 1 and rings[0][0] == rings[0][-1] and left == [[(5, 5), (6, 6)]]
     assert admit([0, 1, 2, 70, 71], None, 0, 0, 60, 2, 3)[0] == ["executed", "executed", "rate-limit", "executed", "session-limit"]
