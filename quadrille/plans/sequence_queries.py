@@ -18,6 +18,9 @@ from quadrille.storage import read_table, scratch
 from quadrille.streaming import events, ids
 
 
+RECURSIVE = WITH.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 @query("q_10_07_inner_point", WITH + "SELECT rect_id, floor((x0 + w / 2) * 100 + 0.5) / 100 AS x, floor((z0 + h / 2) * 100 + 0.5) / 100 AS z, 'centroid' AS method FROM rects")
 def inner_point(spark, sf):
     return views.rects(spark, sf).select("rect_id", kernels.inner_point_of(F.col("ring")).alias("p")).select("rect_id", "p.x", "p.z", "p.method")
@@ -80,7 +83,17 @@ def thinned_rings(spark, sf):
     return out.select("rect_id", F.size("r").cast("long").alias("n"), half_up(geo.area(F.col("r")), 6).alias("area"))
 
 
-@query("q_10_12_thinned_lines")
+@query("q_10_12_thinned_lines", RECURSIVE + """, n AS (SELECT line_id, count(*) AS n FROM line_points GROUP BY 1),
+p AS MATERIALIZED (SELECT line_id, pos, x, z FROM line_points),
+part(line_id, a, b) AS (SELECT line_id, CAST(1 AS BIGINT), n FROM n
+  UNION ALL SELECT line_id, unnest([a, pos]), unnest([pos, b]) FROM (
+    SELECT line_id, a, b, pos, d, row_number() OVER (PARTITION BY line_id, a, b ORDER BY d DESC, pos) AS rank FROM (
+      SELECT line_id, a, b, pos, (x - ax - t * (bx - ax)) ^ 2 + (z - az - t * (bz - az)) ^ 2 AS d FROM (
+        SELECT q.line_id, q.a, q.b, m.pos, m.x, m.z, f.x AS ax, f.z AS az, l.x AS bx, l.z AS bz, least(1, greatest(0, ((m.x - f.x) * (l.x - f.x) + (m.z - f.z) * (l.z - f.z)) / greatest((l.x - f.x) ^ 2 + (l.z - f.z) ^ 2, 1e-9))) AS t
+        FROM part q JOIN p m ON m.line_id = q.line_id AND m.pos > q.a AND m.pos < q.b JOIN p f ON f.line_id = q.line_id AND f.pos = q.a JOIN p l ON l.line_id = q.line_id AND l.pos = q.b))) WHERE rank = 1 AND d > 3600),
+kept AS (SELECT line_id, a AS pos FROM part UNION SELECT line_id, b FROM part),
+step AS (SELECT line_id, coalesce(sqrt((x - lag(x) OVER w) ^ 2 + (z - lag(z) OVER w) ^ 2), 0) AS d FROM kept JOIN p USING (line_id, pos) WINDOW w AS (PARTITION BY line_id ORDER BY pos))
+SELECT line_id, CAST(any_value(n) AS INTEGER) AS before, CAST(count(*) AS INTEGER) AS after, floor(sum(d) * 1000 + 0.5) / 1000 AS length FROM step JOIN n USING (line_id) GROUP BY 1""")
 def thinned_lines(spark, sf):
     out = views.lines(spark, sf).select("line_id", F.size("points").alias("before"), kernels.thin_line(F.col("points"), F.lit(60.0)).alias("f")).select("line_id", "before", kernels.unflat(F.col("f")).alias("p"))
     return out.select("line_id", "before", F.size("p").alias("after"), half_up(geo.path_length(F.col("p")), 3).alias("length"))
@@ -113,7 +126,6 @@ taken(comp, k, gone) AS (SELECT DISTINCT comp, CAST(0 AS BIGINT), []::BIGINT[] F
   UNION ALL SELECT w.comp, g.k, CASE WHEN m.i IS NULL OR list_contains(w.gone, g.n) THEN w.gone ELSE {step} END FROM taken w JOIN g ON g.comp = w.comp AND g.k = w.k + 1 LEFT JOIN m ON m.i = g.n),
 lost AS (SELECT unnest(arg_max(gone, k)) AS n FROM taken GROUP BY comp)
 """
-RECURSIVE = WITH.replace("WITH ", "WITH RECURSIVE ", 1)
 FACILITY_NAMES = ["中央小学校前広場", "みなと図書館分館北", "Kita Park Hall"]
 
 
@@ -136,7 +148,15 @@ def station_clusters(spark, sf):
     return sequential.station_clusters(s, 600.0, 3000.0, 1500.0)
 
 
-@query("q_6_03_smoothed_widths")
+@query("q_6_03_smoothed_widths", """
+WITH RECURSIVE raw AS (SELECT o_custkey AS river, o_orderkey AS pos, floor(o_totalprice / 1000) + 5 AS w FROM orders),
+s AS MATERIALIZED (SELECT *, row_number() OVER v AS i, lead(w) OVER v AS behind, count(*) OVER (PARTITION BY river) AS n, median(w) OVER (PARTITION BY river) AS mid FROM raw WINDOW v AS (PARTITION BY river ORDER BY pos)),
+done(river, pos, i, width) AS (
+  SELECT river, pos, i, CASE WHEN n < 3 THEN w WHEN e / mid BETWEEN 1 / 2.6::DOUBLE AND 2.6 THEN e ELSE (e + mid) / 2 END FROM (SELECT *, CASE WHEN w / behind BETWEEN 1 / 2.1::DOUBLE AND 2.1 THEN w ELSE (w + behind) / 2 END AS e FROM s WHERE i = 1)
+  UNION ALL SELECT river, pos, i, CASE WHEN n < 3 THEN w WHEN i = n THEN CASE WHEN e / mid BETWEEN 1 / 2.6::DOUBLE AND 2.6 THEN e ELSE (e + mid) / 2 END
+      WHEN greatest(before, behind) / least(before, behind) < 1.8 AND NOT w / ((before + behind) / 2) BETWEEN 1 / 1.8::DOUBLE AND 1.8 THEN (before + behind) / 2 ELSE w END
+    FROM (SELECT s.*, d.width AS before, CASE WHEN s.w / d.width BETWEEN 1 / 2.1::DOUBLE AND 2.1 THEN s.w ELSE (s.w + d.width) / 2 END AS e FROM done d JOIN s ON s.river = d.river AND s.i = d.i + 1))
+SELECT river, pos, width FROM done""")
 def smoothed_widths(spark, sf):
     w = read_table(spark, sf, "orders").select(F.col("o_custkey").alias("river"), F.col("o_orderkey").alias("pos"), (F.floor(F.col("o_totalprice") / 1000) + 5).alias("width"))
     return sequential.smooth_widths(w, "river", "pos", "width")
