@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 from quadrille.operators.graph import labelled
 from quadrille.operators.rounds import drop_contained, first_apart, greedy_dedupe  # noqa: F401
 from quadrille.operators.spatial import near_pairs
+from quadrille.storage import stored
 
 
 def contained_names(items: DataFrame, radius: float = 100.0) -> DataFrame:
@@ -25,7 +26,10 @@ def contained_names(items: DataFrame, radius: float = 100.0) -> DataFrame:
 def station_clusters(stations: DataFrame, radius: float = 130, group_radius: float = 900, name_radius: float = 420) -> DataFrame:
     """(station_id, cluster): stations chained within ``radius``; then clusters of a group within
     ``group_radius`` of the group's first one; then clusters of one label within ``name_radius``, in order,
-    with the running mean position. ``stations``: station_id, name, grp (null: none), x, z."""
+    with the running mean position. ``stations``: station_id, name, grp (null: none), x, z.
+
+    A mean lies between the cluster it took last and where it was before, so what it takes next is within twice the
+    radius of that cluster: clusters that such steps do not chain together are decided apart from each other."""
     b = stations.select(F.col("station_id").alias("b"), F.col("x").alias("bx"), F.col("z").alias("bz"))
     edges = near_pairs(stations, b, "x", "z", "bx", "bz", radius).where("station_id < b and dist < " + str(radius)).select(F.col("station_id").alias("a"), "b")
     chained = labelled(stations.withColumn("node", F.col("station_id")), edges)
@@ -53,7 +57,10 @@ def station_clusters(stations: DataFrame, radius: float = 130, group_radius: flo
         return pd.DataFrame({"base": list(to), "cluster": list(to.values())})
 
     kind = dict(stations.dtypes)["station_id"]
-    final = merged.groupBy("label").applyInPandas(same_label, f"base {kind}, cluster {kind}")
+    merged = stored(merged, "clusters")
+    other = merged.select(F.col("base").alias("b"), F.col("label").alias("b_label"), F.col("x").alias("bx"), F.col("z").alias("bz"))
+    steps = near_pairs(merged, other, "x", "z", "bx", "bz", 2 * name_radius).where((F.col("base") < F.col("b")) & F.col("label").eqNullSafe(F.col("b_label")))
+    final = labelled(merged.withColumn("node", F.col("base")), steps.select(F.col("base").alias("a"), "b")).groupBy("comp").applyInPandas(same_label, f"base {kind}, cluster {kind}")
     return chained.join(joined.select("comp", "base"), "comp").join(final, "base").select("station_id", "cluster")
 
 
