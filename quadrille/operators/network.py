@@ -145,12 +145,16 @@ def estimate_origin(refs: DataFrame, inlier: float = 50.0) -> DataFrame:
     return fits.orderBy(F.desc("n"), "residual").limit(1)
 
 
-def nested_rings(rings: DataFrame, area_id: str = "area_id") -> DataFrame:
+def nested_rings(rings: DataFrame, area_id: str = "area_id", cell: float = 500.0) -> DataFrame:
     """(area_id, ring_id, depth, outer_id): rings of an area by how many others hold their first point; an odd
-    depth is a hole of the smallest ring that holds it. ``rings``: area_id, ring_id, ring."""
-    inner = rings.select(area_id, F.col("ring_id").alias("i"), F.element_at("ring", 1).alias("p"), geo.area(F.col("ring")).alias("ai"))
-    outer = rings.select(area_id, F.col("ring_id").alias("o"), F.col("ring").alias("r"), geo.area(F.col("ring")).alias("ao"))
-    held = inner.join(outer, area_id).where((F.col("i") != F.col("o")) & (F.col("ao") > F.col("ai")) & geo.in_ring(F.col("p.x"), F.col("p.z"), F.col("r")))
+    depth is a hole of the smallest ring that holds it. ``rings``: area_id, ring_id, ring. A ring meets those in whose
+    box its first point lies, by cells."""
+    at, own = F.element_at("ring", 1), geo.area(F.col("ring"))
+    here = F.struct(at["x"].alias("x0"), at["z"].alias("z0"), at["x"].alias("x1"), at["z"].alias("z1"))
+    inner = rings.select(F.col(area_id).alias("_area"), F.col("ring_id").alias("i"), at.alias("p"), own.alias("ai"), here.alias("at"))
+    outer = rings.select(area_id, F.col("ring_id").alias("o"), F.col("ring").alias("r"), own.alias("ao"), geo.bbox(F.col("ring")).alias("box"))
+    met = box_pairs(inner, outer, "at", "box", cell).where(F.col(area_id) == F.col("_area"))
+    held = met.where((F.col("i") != F.col("o")) & (F.col("ao") > F.col("ai")) & geo.in_ring(F.col("p.x"), F.col("p.z"), F.col("r")))
     depth = held.groupBy(area_id, "i").agg(F.count("*").alias("depth"), F.min_by("o", F.struct("ao", "o")).alias("o"))
     out = rings.select(area_id, F.col("ring_id").alias("i")).join(depth, [area_id, "i"], "left")
     n = F.coalesce("depth", F.lit(0))
