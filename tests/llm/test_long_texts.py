@@ -166,3 +166,32 @@ def test_spans_of_a_document_without_id(spark, tmp_path):
     spark.createDataFrame([(None, passage, "en", "s", 1), (None, "own " + passage, "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spans = [r["spans"] for r in queries.QUERIES["op1_substring_dedup"](spark, str(tmp_path)).collect()]
     assert spans and all(s.count(":") == 2 and s.endswith(":") for s in spans)
+
+
+def test_long_texts_of_the_classifier_and_the_files(spark, tmp_path):
+    """The same for the classifier and the token files: whole texts count."""
+    import zlib
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from quadrille.llm import queries
+
+    rng = random.Random(11)
+    texts = [words(rng, 80, 3000).replace(" ", "### " if i % 2 else " ") for i in range(60)] + [words(rng, 300_000, 50_000), None]
+    spark.createDataFrame([(i, t, "en", "s", None) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, i % 2, 0) for i in range(60)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    scores = {r["doc_id"]: r["score"] for r in queries.QUERIES["op3_quality_model"](spark, str(tmp_path)).collect()}
+    assert set(scores) == set(range(len(texts))) and all(0 <= s <= 1 for s in scores.values())
+    library, at = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), 0
+    for r in queries.QUERIES["op9_token_files"](spark, str(tmp_path)).orderBy("doc_id").collect():
+        ids = [*library.encode(texts[r["doc_id"]] or "", add_special_tokens=False).ids, 2]
+        assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        at += len(ids)
+
+
+def test_licenses_that_tie(spark):
+    """Two templates of the same words are both found, at the same place; the first by name is the best."""
+    notice = "permission is granted to anyone to use this made up notice for any purpose"
+    found = licenses.find_licenses(table(spark, [f"see {notice} end", None]), {"second": notice, "first": notice.upper()}, every=True).collect()
+    assert {r["doc_id"]: [(x["license"], x["coverage"], x["start"], x["end"]) for x in r["found"]] for r in found} == {0: [("first", 1.0, 4, 4 + len(notice)), ("second", 1.0, 4, 4 + len(notice))], 1: []}
