@@ -156,7 +156,7 @@ def _digests(ends: DataFrame) -> DataFrame:
 def prefix_trie(turns: DataFrame) -> DataFrame:
     """From (conv_id, pos, key, chars), positions from 1 without gaps and a null pos for a conversation without turns:
     per node conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256."""
-    turns = stored(turns.repartition("conv_id").sortWithinPartitions("pos", "conv_id"), "turns")
+    turns = stored(turns.repartition("conv_id", "pos").sortWithinPartitions("pos", "conv_id"), "turns")  # a long conversation is several tasks' too
     levels, count = _levels(turns)
     tops = levels.where(F.col("conv_id") == F.col("node")).drop("conv_id", "p0", "p1", "p2", "p3")
     told = turns.where(F.col("pos").isNotNull())
