@@ -191,8 +191,7 @@ def points_in_smallest(spark, sf):
     r = views.rects(spark, sf)
     ring = geo.rectangle(F.col("x0") - F.col("w") * 10, F.col("z0") - F.col("h") * 10, F.col("x1") + F.col("w") * 10, F.col("z1") + F.col("h") * 10)
     parts = r.select("rect_id", "area", ring.alias("outer"), F.array().cast("array<array<struct<x:double,z:double>>>").alias("holes")).withColumn("box", geo.bbox(F.col("outer")))
-    found = spatial.hits(views.pts(spark, sf).select("point_id", "x", "z"), parts, 400.0, "rect_id")
-    return found.groupBy("point_id").agg(F.min_by("rect_id", F.struct("area", "rect_id")).alias("rect_id"))
+    return spatial.smallest_hit(views.pts(spark, sf), parts, 400.0, "point_id", "rect_id")
 
 
 @query("q_4_35_vertex_ratio", WITH + f""", v AS (SELECT p.line_id, p.pos, min(w.ward_id) AS ward_id FROM line_points p LEFT JOIN ward_parts w ON {in_ward()} GROUP BY 1, 2), n AS (SELECT line_id, count(*) AS total FROM line_points GROUP BY 1)
