@@ -74,9 +74,38 @@ def crossing(ring: np.ndarray) -> bool:
     return bool(((d1 * d2 < 0) & (d3 * d4 < 0)).any())
 
 
+#: Rings of up to so many points are thinned by plain numbers, as arrays of a few points cost more than the sums.
+SMALL = 24
+
+
+def _crosses(ring: list[list[float]]) -> bool:
+    """``crossing`` of a few points."""
+    n = len(ring)
+    for i in range(n - 2):
+        (ax, az), (bx, bz) = ring[i], ring[i + 1]
+        for j in range(i + 2, n - (i == 0)):
+            (cx, cz), (dx, dz) = ring[j], ring[(j + 1) % n]
+            if ((dx - cx) * (az - cz) - (dz - cz) * (ax - cx)) * ((dx - cx) * (bz - cz) - (dz - cz) * (bx - cx)) < 0 and ((bx - ax) * (cz - az) - (bz - az) * (cx - ax)) * ((bx - ax) * (dz - az) - (bz - az) * (dx - ax)) < 0:
+                return True
+    return False
+
+
+def _thinned_small(ring: list[list[float]], tolerance: float, least: int) -> np.ndarray:
+    while len(ring) > least:
+        size = [abs((p[0] - a[0]) * (b[1] - a[1]) - (b[0] - a[0]) * (p[1] - a[1])) / 2 for a, p, b in zip(ring[-1:] + ring[:-1], ring, ring[1:] + ring[:1])]
+        i = size.index(min(size))
+        rest = ring[:i] + ring[i + 1 :]
+        if size[i] > tolerance**2 or _crosses(rest):
+            break
+        ring = rest
+    return points(ring)
+
+
 def thinned_ring(ring: np.ndarray, tolerance: float, least: int = 4) -> np.ndarray:
     """Drop the point whose triangle is smallest, while it is at most tolerance squared, ``least`` points stay,
     and the ring does not cross itself by it."""
+    if len(ring) <= SMALL:
+        return _thinned_small(ring.tolist(), tolerance, least)
     ring = ring.copy()
     while len(ring) > least:
         before, after = np.roll(ring, 1, axis=0), np.roll(ring, -1, axis=0)

@@ -40,3 +40,32 @@ def test_smallest_hit_in_classes(spark):
         if held:
             expected[i] = min(held)[1]
     assert {r["point_id"]: r["ward_id"] for r in found.collect()} == expected
+
+
+def test_small_rings_are_thinned_as_large_ones(monkeypatch):
+    import numpy as np
+
+    from quadrille.functions import kernels
+
+    rng = np.random.default_rng(3)
+    rings = [np.round(rng.uniform(0, 4, (n, 2)), 1) for n in range(3, 13) for _ in range(30)]
+    found = [kernels.thinned_ring(r, 1.5) for r in rings]
+    monkeypatch.setattr(kernels, "SMALL", 0)
+    assert all(np.array_equal(a, kernels.thinned_ring(r, 1.5)) for a, r in zip(found, rings))
+
+
+def test_rows_are_dealt_by_number(spark):
+    from quadrille.storage import dealt
+
+    rows = spark.range(1000).coalesce(1)
+    assert dealt(rows, 100).rdd.getNumPartitions() == 10 and dealt(rows, 100).count() == 1000
+    assert dealt(rows).rdd.getNumPartitions() == 1
+
+
+def test_equal_distances_are_equal(spark):
+    """Beside the left and the right edge of a wide rectangle; a place computed on the edge is off by a rounding."""
+    points = spark.range(1, 4000, 7).select(F.col("id").cast("double").alias("x"), (F.col("id") * 3).cast("double").alias("z"))
+    ring = geo.rectangle(F.lit(-7200.0), F.lit(-2000.0), F.lit(-2400.0), F.lit(70000.0))
+    other = geo.rectangle(F.lit(-2400.0), F.lit(-2000.0), F.lit(-2400.5), F.lit(70000.3))
+    apart = points.select((geo.to_ring(F.col("x"), F.col("z"), ring) != F.col("x") + 2400).alias("off"))
+    assert apart.where("off").count() == 0 and points.select(geo.to_ring(F.col("x"), F.col("z"), other).alias("d")).where("d is null").count() == 0
