@@ -63,9 +63,18 @@ def test_rows_are_dealt_by_number(spark):
 
 
 def test_equal_distances_are_equal(spark):
-    """Beside the left and the right edge of a wide rectangle; a place computed on the edge is off by a rounding."""
-    points = spark.range(1, 4000, 7).select(F.col("id").cast("double").alias("x"), (F.col("id") * 3).cast("double").alias("z"))
-    ring = geo.rectangle(F.lit(-7200.0), F.lit(-2000.0), F.lit(-2400.0), F.lit(70000.0))
-    other = geo.rectangle(F.lit(-2400.0), F.lit(-2000.0), F.lit(-2400.5), F.lit(70000.3))
-    apart = points.select((geo.to_ring(F.col("x"), F.col("z"), ring) != F.col("x") + 2400).alias("off"))
-    assert apart.where("off").count() == 0 and points.select(geo.to_ring(F.col("x"), F.col("z"), other).alias("d")).where("d is null").count() == 0
+    """A point on the edge of two rectangles is at 0.0 of both; a place computed on the edge is off by a rounding."""
+    p = spark.range(2500, 7100).select(F.col("id").cast("double").alias("x"), F.lit(2000.0).alias("z"))
+    one, two = (geo.rectangle(F.lit(2400), F.lit(z), F.lit(7200), F.lit(z + 4000)) for z in (-2000, 2000))
+    assert p.where((geo.to_ring(F.col("x"), F.col("z"), one) != 0) | (geo.to_ring(F.col("x"), F.col("z"), two) != 0)).count() == 0
+
+
+def test_equal_ways_over_blocks(spark):
+    """Of equal ways, the one that the walk back meets first, wherever blocks begin: the same for all block sizes."""
+    from quadrille.operators.corridors import track_corridors
+
+    rng = random.Random(11)
+    rows = [(t, pos, rng.choice([0, 1, 2, 3, None]), seg, rng.randrange(5) / 10) for t in range(40) for pos in range(17) for seg in (1, 2)]
+    candidates = spark.createDataFrame(rows, "track long, pos long, partner long, seg long, score double")
+    whole, cut = ({tuple(r) for r in track_corridors(candidates, block=n).collect()} for n in (64, 3))
+    assert len(whole) == 40 * 17 and cut == whole
