@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from quadrille.functions import geo
 from quadrille.operators.spatial import hits
+from quadrille.storage import stored
 
 
 def _steps(points: Column) -> Column:
@@ -23,8 +24,7 @@ def frame_at(points: Column, share: Column) -> Column:
         way = lambda k, t: F.when(here, (s["q"][k] - s["p"][k]) / s["d"]).otherwise(acc[t])
         return F.struct(F.when(acc["done"], acc["left"]).otherwise(acc["left"] - s["d"]).alias("left"), place("x").alias("x"), place("z").alias("z"), way("x", "tx").alias("tx"), way("z", "tz").alias("tz"), (acc["done"] | (acc["left"] - s["d"] <= 0)).alias("done"))
 
-    found = F.aggregate(_steps(points), start, walk)
-    return F.struct(*(found[k].alias(k) for k in ("x", "z", "tx", "tz")))
+    return F.aggregate(_steps(points), start, walk, lambda acc: F.struct(*(acc[k].alias(k) for k in ("x", "z", "tx", "tz"))))
 
 
 def ray_to_ring(x: Column, z: Column, dx: Column, dz: Column, ring: Column) -> Column:
@@ -47,12 +47,14 @@ def river_widths(lines: DataFrame, banks: DataFrame, line_id: str, samples: int
     give no width. ``banks``: bank_id, ring."""
     shares = F.array(*(F.lit(margin + (1 - 2 * margin) * i / max(1, samples - 1)) for i in range(samples)))
     at = lines.where(geo.path_length(F.col("points")) > 0).select(line_id, "points", F.explode(shares).alias("share"))
-    at = at.select(line_id, "share", frame_at(F.col("points"), F.col("share")).alias("f")).select(line_id, "share", "f.*")
+    at = at.select(line_id, "share", frame_at(F.col("points"), F.col("share")).alias("f"))
+    at = stored(at, "frames").select(line_id, "share", "f.*")  # the walk along the line is done once a sample
     none = F.array().cast("array<array<struct<x:double,z:double>>>")
     parts = banks.select("bank_id", F.col("ring").alias("outer"), none.alias("holes"), geo.bbox(F.col("ring")).alias("box"), geo.area(F.col("ring")).alias("area"))
     held = hits(at, parts, size, "bank_id").groupBy(line_id, "share").agg(F.min_by(F.struct("x", "z", "tx", "tz", "outer"), F.struct("area", "bank_id")).alias("b"))
     x, z, tx, tz, ring = (F.col(f"b.{k}") for k in ("x", "z", "tx", "tz", "outer"))
-    wide = held.select(line_id, (ray_to_ring(x, z, -tz, tx, ring) + ray_to_ring(x, z, tz, -tx, ring)).alias("w")).where("w is not null")
+    wide = held.select(line_id, (ray_to_ring(x, z, -tz, tx, ring) + ray_to_ring(x, z, tz, -tx, ring)).alias("w"))
+    wide = stored(wide, "samples").where("w is not null")  # used twice
     rough = wide.groupBy(line_id).agg(F.median("w").alias("m"), F.count("*").alias("c"))
     kept = wide.join(rough, line_id).withColumn("near", F.col("w").between(F.col("m") * 0.35, F.col("m") * 2.5))
     out = kept.groupBy(line_id, "c", "m").agg(F.median(F.when(F.col("near"), F.col("w"))).alias("trimmed"), F.count_if("near").alias("n")).where("c >= 3")
