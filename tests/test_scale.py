@@ -78,3 +78,18 @@ def test_equal_ways_over_blocks(spark):
     candidates = spark.createDataFrame(rows, "track long, pos long, partner long, seg long, score double")
     whole, cut = ({tuple(r) for r in track_corridors(candidates, block=n).collect()} for n in (64, 3))
     assert len(whole) == 40 * 17 and cut == whole
+
+
+def test_nearest_meets_few_targets_where_they_lie_thick(spark, monkeypatch):
+    rng = random.Random(2)
+    targets = [(i, float(rng.randrange(100)), float(rng.randrange(100))) for i in range(400)]
+    points = [(i, float(rng.randrange(140)), float(rng.randrange(100))) for i in range(80)]
+    near_pairs, reach = spatial.near_pairs, []
+    monkeypatch.setattr(spatial, "near_pairs", lambda *a: reach.append(a[-1]) or near_pairs(*a))
+    p, t = spark.createDataFrame(points, "p long, x double, z double"), spark.createDataFrame(targets, "t long, tx double, tz double")
+    order = {i: sorted((((x - tx) ** 2 + (z - tz) ** 2) ** 0.5, k) for k, tx, tz in targets) for i, x, z in points}
+    found = {r["p"]: r["t"] for r in spatial.nearest(p, t, "p", "t", 30.0).collect()}
+    assert found == {i: d[0][1] for i, d in order.items() if d[0][0] <= 30} and reach[0] < 10 and reach[-1] <= 30
+    del reach[:]
+    found = sorted((r["p"], r["rank"], r["t"]) for r in spatial.knn(p, t, "p", "t", 3, 90.0).collect())
+    assert found == sorted((i, n, d[n - 1][1]) for i, d in order.items() for n in (1, 2, 3)) and reach[0] < 20
