@@ -10,9 +10,10 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, functions as F
-from pyspark.sql.types import ArrayType, BooleanType, DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, LongType, StringType, StructField, StructType
 
 FLAT = ArrayType(DoubleType())
+CELLS = StructType([StructField(k, ArrayType(LongType())) for k in ("full", "met")])
 OVERLAP = StructType([StructField(k, DoubleType()) for k in ("iou", "covered_a", "covered_b")])
 POINT = StructType([StructField("x", DoubleType()), StructField("z", DoubleType()), StructField("method", StringType())])
 
@@ -198,6 +199,27 @@ def ribbon(line: np.ndarray, width: float, most: float, ratio: float) -> np.ndar
     return np.concatenate([sideways(line, width / 2, ratio), sideways(line, -width / 2, ratio)[::-1]])
 
 
+def polygon_cells(outer: np.ndarray, holes: list[np.ndarray], size: float) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of the cells that lie wholly inside a polygon, and of those that an edge may meet (its box touches them)."""
+    low = np.floor(outer.min(0) / size).astype(np.int64)
+    n = np.floor(outer.max(0) / size).astype(np.int64) - low + 1
+    met = np.zeros(n, bool)
+    slack = 1e-6 * size
+    for ring in (outer, *holes):
+        other = np.roll(ring, -1, axis=0)
+        begin = np.clip(np.floor((np.minimum(ring, other) - slack) / size).astype(np.int64) - low, 0, n)
+        end = np.clip(np.floor((np.maximum(ring, other) + slack) / size).astype(np.int64) - low + 1, 0, n)
+        for (x0, z0), (x1, z1) in zip(begin.tolist(), end.tolist()):
+            met[x0:x1, z0:z1] = True
+    cx, cz = np.arange(n[0]) + low[0], np.arange(n[1]) + low[1]
+    x, z = np.meshgrid((cx + 0.5) * size, (cz + 0.5) * size, indexing="ij")
+    held = inside(x, z, outer)
+    for hole in holes:
+        held &= ~inside(x, z, hole)
+    code = (cx[:, None] << 32) + cz[None, :]
+    return code[held & ~met], code[met]
+
+
 _made: dict[str, Callable] = {}
 
 
@@ -218,6 +240,16 @@ def overlap_of(a: Column, b: Column) -> Column:
     return _udf("overlap", OVERLAP, lambda p, q: overlap(points(p), points(q)))(flat(a), flat(b))
 
 
+def cells_of_polygon(outer: Column, holes: Column, size: float) -> Column:
+    """struct<full, met>: ``polygon_cells``; a cell's code is ``cell_code``."""
+    many = F.transform(F.coalesce(holes, F.array()), flat)
+    return _udf("cells", CELLS, lambda p, h, s: polygon_cells(points(p), [points(r) for r in h if len(r)], s) if len(p) else ([], []))(flat(outer), many, F.lit(size))
+
+
+def cell_code(cx: Column, cz: Column) -> Column:
+    return F.shiftleft(cx.cast("long"), 32) + cz.cast("long")
+
+
 def crosses_itself(ring: Column) -> Column:
     return _udf("crossing", BooleanType(), lambda p: crossing(points(p)))(flat(ring))
 

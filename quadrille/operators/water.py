@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quadrille.functions import geo
-from quadrille.operators.spatial import hits
+from quadrille.operators.spatial import hits, in_any
 from quadrille.storage import stored
 
 
@@ -89,8 +89,8 @@ def building_conflicts(rivers: DataFrame, buildings: DataFrame, river_id: str, s
     edges = v.select(river_id, "i", "x", "z", "h", "nx", "nz", F.posexplode("scales").alias("step", "s")).select(river_id, "i", "step", F.explode(F.array(side(1, F.col("s")), side(-1, F.col("s")))).alias("p")).select(river_id, "i", "step", "p.x", "p.z")
     spots = edges.unionByName(v.select(river_id, "i", F.lit(-1).alias("step"), "x", "z"))  # the centre is the same at all scales
     none = F.array().cast("array<array<struct<x:double,z:double>>>")
-    parts = buildings.select("building_id", F.col("ring").alias("outer"), none.alias("holes"), geo.bbox(F.col("ring")).alias("box"))
-    held = hits(spots, parts, size, "building_id").select(river_id, "i", "step").distinct().groupBy(river_id, "step").agg(F.count("*").alias("n"))
+    parts = buildings.where("size(ring) > 0").select(F.col("ring").alias("outer"), none.alias("holes"))
+    held = in_any(spots, parts, size / 6).select(river_id, "i", "step").distinct().groupBy(river_id, "step").agg(F.count("*").alias("n"))
     held = held.groupBy(river_id).agg(F.map_from_entries(F.collect_list(F.struct("step", "n"))).alias("held"))  # six steps at most
     share = lambda step: F.coalesce(F.try_element_at("held", step), F.lit(0)) / F.col("n")
     out = own.select(river_id, "scales", "prefer", F.greatest("n", F.lit(1)).alias("n")).join(held, river_id, "left").withColumn("centre", share(F.lit(-1)))

@@ -93,3 +93,20 @@ def test_nearest_meets_few_targets_where_they_lie_thick(spark, monkeypatch):
     del reach[:]
     found = sorted((r["p"], r["rank"], r["t"]) for r in spatial.knn(p, t, "p", "t", 3, 90.0).collect())
     assert found == sorted((i, n, d[n - 1][1]) for i, d in order.items() for n in (1, 2, 3)) and reach[0] < 20
+
+
+def test_in_any_asks_few_where_polygons_lie_thick(spark, monkeypatch):
+    """Points in any of many polygons over each other: cells inside one need no test, and pairs are few."""
+    rng = random.Random(9)
+    rows = [(float(rng.randrange(-60, 60)), float(rng.randrange(-60, 60)), float(40 + rng.randrange(60)), i % 3 == 0) for i in range(150)]
+    ring = lambda a, b: geo.rectangle(F.col("x0") + a, F.col("z0") + a, F.col("x0") + F.col("w") - b, F.col("z0") + F.col("w") - b)
+    holes = F.when(F.col("holed"), F.array(ring(5.0, 5.0))).otherwise(F.array().cast("array<array<struct<x:double,z:double>>>"))
+    parts = spark.createDataFrame(rows, "x0 double, z0 double, w double, holed boolean").select(ring(0.0, 0.0).alias("outer"), holes.alias("holes"))
+    places = [(i, rng.randrange(-90, 190) / 1.0 + rng.choice([0.0, 0.5]), rng.randrange(-90, 190) / 1.0) for i in range(3000)]
+    points = spark.createDataFrame(places, "p long, x double, z double")
+    held = lambda x, z: any(x0 <= x < x0 + w and z0 <= z < z0 + w and not (h and x0 + 5 <= x < x0 + w - 5 and z0 + 5 <= z < z0 + w - 5) for x0, z0, w, h in rows)
+    expected = {i for i, x, z in places if held(x, z)}
+    for few in (spatial.FEW, 0):
+        monkeypatch.setattr(spatial, "FEW", few)
+        found = [r["p"] for r in spatial.in_any(points, parts, 7.0).collect()]
+        assert set(found) == expected and len(found) < 3 * len(expected)
