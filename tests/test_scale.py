@@ -140,3 +140,13 @@ def test_medians_of_near_points_without_pairs(spark, monkeypatch):
         monkeypatch.setattr(folds, "BLOCK", block)
         found = folds.near_medians(points, "v", 25.0)
         assert no_pairs(found) and {r["id"]: (r["m"], r["c"]) for r in found.collect()} == expected
+
+
+def test_kinds_of_near_points_without_pairs(spark):
+    from quadrille.operators import matching
+
+    rows, points = scattered(spark, 400, 4)
+    expected = {i: len({s[4] for s in near} - {None}) for i, near in near_of(rows, 25.0).items()}
+    stations = points.select(F.col("id").alias("station_id"), F.col("k").alias("operator"), "x", "z")
+    found = matching.transfers(stations, 25.0)
+    assert "_cx" not in found._jdf.queryExecution().toString() and {r["station_id"]: r["operators"] for r in found.collect()} == expected
