@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quadrille.functions import geo, kernels, names
 from quadrille.functions.num import half_up
-from quadrille.operators import grid, raster, spatial, water
+from quadrille.operators import folds, grid, raster, spatial, water
 from quadrille.plans import views
 from quadrille.plans.convert_queries import cells_of
 from quadrille.plans.grid_queries import GRID, SIZE, _parts
@@ -106,7 +106,8 @@ SELECT rect_id, partners FROM o WHERE partners >= 2 AND covered >= 0.0005""")
 def envelopes(spark, sf):
     """Outlines that cover two or more others whose areas make up enough of theirs."""
     r = views.rects(spark, sf)
-    a = r.select("rect_id", F.struct((F.col("x0") - F.col("w") * 20).alias("x0"), (F.col("z0") - F.col("h") * 20).alias("z0"), (F.col("x1") + F.col("w") * 20).alias("x1"), (F.col("z1") + F.col("h") * 20).alias("z1")).alias("ab"))
-    p = spatial.box_pairs(a, r.select(F.col("box").alias("bb")), "ab", "bb", 500.0).withColumn("s", geo.overlap_area(F.col("ab"), F.col("bb"))).where("s > 0")
-    o = p.groupBy("rect_id").agg(F.count("*").alias("partners"), (F.sum("s") / F.first(geo.box_area(F.col("ab")))).alias("covered"))
-    return o.where("partners >= 2 and covered >= 0.0005").select("rect_id", "partners")
+    corners = {"x0": F.col("x0") - F.col("w") * 20, "z0": F.col("z0") - F.col("h") * 20, "x1": F.col("x1") + F.col("w") * 20, "z1": F.col("z1") + F.col("h") * 20}
+    a = r.select(F.col("rect_id").alias("id"), F.struct(*(v.alias(k) for k, v in corners.items())).alias("box"))
+    areas = a.select("id", geo.box_area(F.col("box")).alias("area")).dropDuplicates(["id"])
+    o = folds.covered_by(a, r.select("box"), 500.0).where("partners >= 2").join(areas, "id")
+    return o.where("shared / area >= 0.0005").select(F.col("id").alias("rect_id"), "partners")

@@ -150,3 +150,16 @@ def test_kinds_of_near_points_without_pairs(spark):
     stations = points.select(F.col("id").alias("station_id"), F.col("k").alias("operator"), "x", "z")
     found = matching.transfers(stations, 25.0)
     assert "_cx" not in found._jdf.queryExecution().toString() and {r["station_id"]: r["operators"] for r in found.collect()} == expected
+
+
+def test_covered_boxes_without_pairs(spark):
+    from quadrille.operators import folds
+
+    rng = random.Random(6)
+    box = lambda most: tuple((lambda x, z: (x, z, x + 1.0 + rng.randrange(most), z + 1.0 + rng.randrange(most)))(float(rng.randrange(-50, 50)), float(rng.randrange(-50, 50))))
+    big, small = [(i, box(50)) for i in range(60)], [(box(9),) for _ in range(200)]
+    kind = "struct<x0:double,z0:double,x1:double,z1:double>"
+    found = folds.covered_by(spark.createDataFrame(big, f"id long, box {kind}"), spark.createDataFrame(small, f"box {kind}"), 10.0)
+    shared = lambda a, b: max(0.0, min(a[2], b[2]) - max(a[0], b[0])) * max(0.0, min(a[3], b[3]) - max(a[1], b[1]))
+    expected = {i: ([shared(a, b) > 0 for (b,) in small].count(True), sum(shared(a, b) for (b,) in small)) for i, a in big}
+    assert no_pairs(found) and {r["id"]: (r["partners"], r["shared"]) for r in found.collect()} == {i: e for i, e in expected.items() if e[0]}
