@@ -163,3 +163,12 @@ def test_covered_boxes_without_pairs(spark):
     shared = lambda a, b: max(0.0, min(a[2], b[2]) - max(a[0], b[0])) * max(0.0, min(a[3], b[3]) - max(a[1], b[1]))
     expected = {i: ([shared(a, b) > 0 for (b,) in small].count(True), sum(shared(a, b) for (b,) in small)) for i, a in big}
     assert no_pairs(found) and {r["id"]: (r["partners"], r["shared"]) for r in found.collect()} == {i: e for i, e in expected.items() if e[0]}
+
+
+def test_pairs_are_dealt_over_all_tasks(spark):
+    """Few rows that make many pairs are not folded in one task by their bytes."""
+    p = spark.range(4000).select(F.col("id").alias("p"), (F.col("id") % 97).cast("double").alias("x"), (F.col("id") % 89).cast("double").alias("z"))
+    q = p.select(F.col("p").alias("q"), F.col("x").alias("bx"), F.col("z").alias("bz"))
+    assert spatial.near_pairs(p, q, "x", "z", "bx", "bz", 3.0).rdd.getNumPartitions() == 4
+    box = lambda x, z: F.struct(F.col(x).alias("x0"), F.col(z).alias("z0"), (F.col(x) + 2).alias("x1"), (F.col(z) + 2).alias("z1"))
+    assert spatial.box_pairs(p.select(box("x", "z").alias("a")), q.select(box("bx", "bz").alias("b")), "a", "b", 5.0).rdd.getNumPartitions() == 4
