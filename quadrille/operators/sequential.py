@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from quadrille.operators.folds import chain_edges
 from quadrille.operators.graph import labelled
 from quadrille.operators.rounds import drop_contained, first_apart, greedy_dedupe  # noqa: F401
 from quadrille.operators.spatial import near_pairs
@@ -30,8 +31,7 @@ def station_clusters(stations: DataFrame, radius: float = 130, group_radius: flo
 
     A mean lies between the cluster it took last and where it was before, so what it takes next is within twice the
     radius of that cluster: clusters that such steps do not chain together are decided apart from each other."""
-    b = stations.select(F.col("station_id").alias("b"), F.col("x").alias("bx"), F.col("z").alias("bz"))
-    edges = near_pairs(stations, b, "x", "z", "bx", "bz", radius).where("station_id < b and dist < " + str(radius)).select(F.col("station_id").alias("a"), "b")
+    edges = chain_edges(stations.select(F.col("station_id").alias("id"), "x", "z"), radius)
     chained = labelled(stations.withColumn("node", F.col("station_id")), edges)
     names = chained.groupBy("comp", "name").agg(F.count("*").alias("n"), F.min("station_id").alias("first"))
     common = names.groupBy("comp").agg(F.min_by("name", F.struct(-F.col("n"), F.col("first"))).alias("common"))

@@ -172,3 +172,29 @@ def test_pairs_are_dealt_over_all_tasks(spark):
     assert spatial.near_pairs(p, q, "x", "z", "bx", "bz", 3.0).rdd.getNumPartitions() == 4
     box = lambda x, z: F.struct(F.col(x).alias("x0"), F.col(z).alias("z0"), (F.col(x) + 2).alias("x1"), (F.col(z) + 2).alias("z1"))
     assert spatial.box_pairs(p.select(box("x", "z").alias("a")), q.select(box("bx", "bz").alias("b")), "a", "b", 5.0).rdd.getNumPartitions() == 4
+
+
+def test_chains_by_few_edges(spark):
+    """The edges connect what all pairs connect, and are few where points lie thick."""
+    from quadrille.operators import folds, graph
+
+    rows, points = scattered(spark, 500, 8)
+    edges = folds.chain_edges(points, 6.0)
+    root = {r[0]: r[0] for r in rows}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    n = 0
+    for a in rows:
+        for b in rows:
+            if a[0] < b[0] and ((a[1] - b[1]) ** 2 + (a[2] - b[2]) ** 2) ** 0.5 < 6.0:
+                n += 1
+                low, high = sorted((find(a[0]), find(b[0])))
+                root[high] = low
+    found = {r["id"]: r["comp"] for r in graph.labelled(points, edges, "id").collect()}
+    assert found == {i: find(i) for i in root} and 1 < len(set(found.values()))
+    _, thick = scattered(spark, 500, 9)
+    assert folds.chain_edges(thick, 40.0).count() < 1200
