@@ -13,6 +13,7 @@ from pyspark.sql import Column, functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, LongType, StringType, StructField, StructType
 
 FLAT = ArrayType(DoubleType())
+GAPS = StructType([StructField(k, DoubleType()) for k in ("apart", "hausdorff")])
 CELLS = StructType([StructField(k, ArrayType(LongType())) for k in ("full", "met")])
 OVERLAP = StructType([StructField(k, DoubleType()) for k in ("iou", "covered_a", "covered_b")])
 POINT = StructType([StructField("x", DoubleType()), StructField("z", DoubleType()), StructField("method", StringType())])
@@ -220,6 +221,34 @@ def polygon_cells(outer: np.ndarray, holes: list[np.ndarray], size: float) -> tu
     return code[held & ~met], code[met]
 
 
+def _to_edges(p: np.ndarray, ring: np.ndarray) -> np.ndarray:
+    """Distances of each pair's points (n, k, 2) to its ring's (n, m, 2) nearest edge, as ``geo.to_segment``."""
+    at, q = ring[:, None], np.roll(ring, -1, axis=1)[:, None]
+    d, v, w = q - at, p[:, :, None] - at, p[:, :, None] - q
+    square, along = (d * d).sum(-1), (v * d).sum(-1)
+    beside = np.divide(np.abs(v[..., 0] * d[..., 1] - v[..., 1] * d[..., 0]), np.sqrt(square), out=np.zeros_like(along), where=square > 0)
+    first, last = np.hypot(v[..., 0], v[..., 1]), np.hypot(w[..., 0], w[..., 1])
+    return np.where((along <= 0) | (square == 0), first, np.where(along >= square, last, beside)).min(-1)
+
+
+def _holds(ring: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Whether each pair's ring (n, m, 2) holds its point (n, 2), as ``geo.in_ring``."""
+    q, x, z = np.roll(ring, -1, axis=1), p[:, None, 0], p[:, None, 1]
+    spans, rise = (q[..., 1] > z) != (ring[..., 1] > z), ring[..., 1] - q[..., 1]
+    meets = x < np.divide((ring[..., 0] - q[..., 0]) * (z - q[..., 1]), rise, out=np.zeros_like(rise), where=rise != 0) + q[..., 0]
+    return (spans & meets).sum(1) % 2 == 1
+
+
+def ring_gap(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``geo.rings_apart`` and ``geo.hausdorff`` of many pairs of rings (n, k, 2) and (n, m, 2)."""
+    one, two = _to_edges(a, b), _to_edges(b, a)
+    side = lambda o, p, q: (p[..., 0] - o[..., 0]) * (q[..., 1] - o[..., 1]) - (p[..., 1] - o[..., 1]) * (q[..., 0] - o[..., 0])
+    ap, aq, bp, bq = a[:, :, None], np.roll(a, -1, axis=1)[:, :, None], b[:, None], np.roll(b, -1, axis=1)[:, None]
+    crossing = ((side(ap, aq, bp) * side(ap, aq, bq) < 0) & (side(bp, bq, ap) * side(bp, bq, aq) < 0)).any(axis=(1, 2))
+    meet = crossing | _holds(b, a[:, 0]) | _holds(a, b[:, 0])
+    return np.where(meet, 0.0, np.minimum(one.min(1), two.min(1))), np.maximum(one.max(1), two.max(1))
+
+
 _made: dict[str, Callable] = {}
 
 
@@ -240,6 +269,34 @@ def overlap_of(a: Column, b: Column) -> Column:
     return _udf("overlap", OVERLAP, lambda p, q: overlap(points(p), points(q)))(flat(a), flat(b))
 
 
+#: Corner pairs of a block of ring pairs.
+RING_BLOCK = 1 << 18
+
+
+def ring_gaps(a: Column, b: Column) -> Column:
+    """struct<apart, hausdorff> of two flat rings: pairs of rings of as many corners are taken together as arrays."""
+    if "gaps" not in _made:
+        import pyarrow as pa
+
+        def gaps(p: pa.Array, q: pa.Array) -> pa.Array:
+            out = np.full((len(p), 2), np.nan)
+            starts = [s.offsets.to_numpy()[:-1] for s in (p, q)]
+            sizes = np.stack([np.where(s.is_valid().to_numpy(zero_copy_only=False), np.diff(s.offsets.to_numpy()), 0) for s in (p, q)], axis=1)
+            numbers = [s.values.to_numpy(zero_copy_only=False) for s in (p, q)]
+            for n, m in np.unique(sizes[(sizes > 0).all(axis=1)], axis=0).tolist():
+                rows = np.nonzero((sizes[:, 0] == n) & (sizes[:, 1] == m))[0]
+                step = max(1, 4 * RING_BLOCK // (n * m))
+                for i in range(0, len(rows), step):
+                    at = rows[i : i + step]
+                    first, second = (numbers[k][starts[k][at][:, None] + np.arange(w)].reshape(len(at), -1, 2) for k, w in ((0, n), (1, m)))
+                    out[at] = np.stack(ring_gap(first, second), axis=1)
+            return pa.StructArray.from_arrays([pa.array(out[:, i], from_pandas=True) for i in range(2)], names=GAPS.names)
+
+        gaps.__annotations__ = {"p": pa.Array, "q": pa.Array, "return": pa.Array}
+        _made["gaps"] = F.arrow_udf(gaps, GAPS)
+    return _made["gaps"](a, b)
+
+
 def cells_of_polygon(outer: Column, holes: Column, size: float) -> Column:
     """struct<full, met>: ``polygon_cells``; a cell's code is ``cell_code``."""
     many = F.transform(F.coalesce(holes, F.array()), flat)

@@ -198,3 +198,23 @@ def test_chains_by_few_edges(spark):
     assert found == {i: find(i) for i in root} and 1 < len(set(found.values()))
     _, thick = scattered(spark, 500, 9)
     assert folds.chain_edges(thick, 40.0).count() < 1200
+
+
+def test_ring_gaps_as_the_plain_expressions(spark):
+    """Many pairs at a time give what the expressions give for each, for rings of any number of corners."""
+    from quadrille.functions import kernels
+
+    rng = random.Random(12)
+    ring = lambda: [(float(rng.randrange(20)), float(rng.randrange(20))) for _ in range(rng.randrange(1, 6))]
+    kind = "array<struct<x:double,z:double>>"
+    rows = spark.createDataFrame([(i, ring(), ring()) for i in range(300)], f"i long, a {kind}, b {kind}")
+    both = rows.select("i", geo.rings_apart(F.col("a"), F.col("b")).alias("apart"), geo.hausdorff(F.col("a"), F.col("b")).alias("hausdorff"), kernels.ring_gaps(kernels.flat(F.col("a")), kernels.flat(F.col("b"))).alias("d"))
+    for r in both.collect():
+        assert abs(r["apart"] - r["d"]["apart"]) < 1e-9 and abs(r["hausdorff"] - r["d"]["hausdorff"]) < 1e-9, r
+
+
+def test_ring_distances_are_taken_many_at_a_time(spark):
+    from quadrille.plans import catalogue
+
+    plan = catalogue.QUERIES["q_10_10_ring_distances"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "ArrowEvalPython" in plan or "ArrowPythonUDF" in plan or "gaps(" in plan
