@@ -218,3 +218,35 @@ def test_ring_distances_are_taken_many_at_a_time(spark):
 
     plan = catalogue.QUERIES["q_10_10_ring_distances"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert "ArrowEvalPython" in plan or "ArrowPythonUDF" in plan or "gaps(" in plan
+
+
+def test_edge_partners_without_pairs(spark, monkeypatch):
+    """Partners and crossed links as plain loops find them, with no row for a pair of segments."""
+    from math import hypot
+
+    from quadrille.operators import folds, matching
+
+    rng = random.Random(13)
+    rows = [(i, [(float(x + rng.randrange(-40, 40)), float(z + rng.randrange(-40, 40))) for _ in range(4)]) for i, (x, z) in enumerate((rng.randrange(-300, 300), rng.randrange(-300, 300)) for _ in range(120))]
+    lines = spark.createDataFrame(rows, "line_id long, points array<struct<x:double,z:double>>")
+    segments = {tuple(r["seg"]): [tuple(p) for p in r["coords"]] for r in matching.edge_segments(lines).collect()}
+
+    def facts(a, b):
+        (px, pz), (qx, qz), (rx, rz), (sx, sz) = segments[a][0], segments[a][-1], segments[b][0], segments[b][-1]
+        la, lb = hypot(qx - px, qz - pz) or 1.0, hypot(sx - rx, sz - rz) or 1.0
+        ux, uz, vx, vz = (qx - px) / la, (qz - pz) / la, (sx - rx) / lb, (sz - rz) / lb
+        far, parallel = hypot((px + qx - rx - sx) / 2, (pz + qz - rz - sz) / 2), abs(ux * vx + uz * vz)
+        a0, a1 = sorted((px * ux + pz * uz, qx * ux + qz * uz))
+        b0, b1 = sorted((rx * ux + rz * uz, sx * ux + sz * uz))
+        overlap = min(1.0, max(0.0, min(a1, b1) - max(a0, b0)) / (min(a1 - a0, b1 - b0) or 1.0))
+        return int((0.32 * parallel + 0.28 * overlap + 0.2 * (1.0 if 4 <= far <= 35 else 0.65) + 0.2 * 0.6) * 1000 + 0.5) if 3 <= far <= 45 and parallel >= 0.75 and overlap >= 0.35 else None
+
+    pairs = {(a, b): f for a in segments for b in segments if a[0] != b[0] and (f := facts(a, b)) is not None}
+    best = {a: min((-f, b) for (c, b), f in pairs.items() if c == a)[1] for a, _ in pairs}
+    back = {b: min((-f, a) for (a, c), f in pairs.items() if c == b)[1] for _, b in pairs}
+    monkeypatch.setattr(matching, "box_pairs", None, raising=False)
+    for block in (1 << 20, 40):
+        monkeypatch.setattr(folds, "BLOCK", block)
+        found = matching.edge_verdicts(lines).collect()
+        assert {tuple(r["a"]): (tuple(r["b"]), r["mutual"]) for r in found} == {a: (b, back[b] == a) for a, b in best.items()}
+        assert len({r["crossed"] for r in found}) == 2
