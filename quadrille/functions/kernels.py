@@ -16,6 +16,7 @@ FLAT = ArrayType(DoubleType())
 GAPS = StructType([StructField(k, DoubleType()) for k in ("apart", "hausdorff")])
 CELLS = StructType([StructField(k, ArrayType(LongType())) for k in ("full", "met")])
 OVERLAP = StructType([StructField(k, DoubleType()) for k in ("iou", "covered_a", "covered_b")])
+SAMPLES = StructType([StructField(k, LongType()) for k in ("total", "n")])
 POINT = StructType([StructField("x", DoubleType()), StructField("z", DoubleType()), StructField("method", StringType())])
 
 
@@ -307,6 +308,28 @@ def cell_code(cx: Column, cz: Column) -> Column:
     return F.shiftleft(cx.cast("long"), 32) + cz.cast("long")
 
 
+def sampled(ring: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places of a grid of ``steps`` by ``steps`` over a ring's box that are inside the ring."""
+    low, high, at = ring.min(0), ring.max(0), (np.arange(steps) + 0.5) / steps
+    x, z = (v.ravel() for v in np.meshgrid(low[0] + at * (high[0] - low[0]), low[1] + at * (high[1] - low[1]), indexing="ij"))
+    held = inside(x, z, ring)
+    return x[held], z[held]
+
+
+def samples_in(ring: np.ndarray, outer: np.ndarray, holes: list[np.ndarray], steps: int) -> tuple[int, int]:
+    """How many samples of a ring there are, and how many of them a polygon holds."""
+    x, z = sampled(ring, steps)
+    held = inside(x, z, outer)
+    for hole in holes:
+        held &= ~inside(x, z, hole)
+    return len(x), int(held.sum())
+
+
+def samples_held(ring: Column, outer: Column, holes: Column, steps: int) -> Column:
+    """struct<total, n>: ``samples_in`` of a flat ring and a flat outline with its flat holes."""
+    return _udf("samples", SAMPLES, lambda r, p, h, s: samples_in(points(r), points(p), [points(v) for v in h if len(v)], s) if len(r) and len(p) else (0, 0))(ring, outer, holes, F.lit(steps))
+
+
 def crosses_itself(ring: Column) -> Column:
     return _udf("crossing", BooleanType(), lambda p: crossing(points(p)))(flat(ring))
 

@@ -250,3 +250,23 @@ def test_edge_partners_without_pairs(spark, monkeypatch):
         found = matching.edge_verdicts(lines).collect()
         assert {tuple(r["a"]): (tuple(r["b"]), r["mutual"]) for r in found} == {a: (b, back[b] == a) for a, b in best.items()}
         assert len({r["crossed"] for r in found}) == 2
+
+
+def test_samples_of_a_shape_are_no_rows(spark):
+    _, parts = squares(spark, 30, 90)
+    areas = parts.select("ward_id", F.array(F.struct("outer", "holes"), F.struct(geo.rectangle(F.lit(-50), F.lit(-50), F.lit(-20), F.lit(-20)).alias("outer"), F.array(geo.rectangle(F.lit(-40), F.lit(-40), F.lit(-30), F.lit(-30))).alias("holes"))).alias("polygons"))
+    shapes = [(i, [(x, z), (x + 60.0, z + 5.0), (x + 10.0, z + 70.0)]) for i, (x, z) in enumerate((float(i * 13 % 150 - 60), float(i * 29 % 150 - 60)) for i in range(25))]
+    found = spatial.sampled_share(spark.createDataFrame(shapes, "s long, ring array<struct<x:double,z:double>>"), areas, 40.0, "s", 9)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Generate") <= 4
+    box = {r["ward_id"]: [(r["box"]["x0"], r["box"]["z0"], r["box"]["x1"], r["box"]["z1"])] for r in parts.collect()}
+    expected = {}
+    for s, ring in shapes:
+        (x0, z0), (x1, z1) = (tuple(f(c) for c in zip(*ring)) for f in (min, max))
+        side = lambda p, a, b: (b[0] - a[0]) * (p[1] - a[1]) - (b[1] - a[1]) * (p[0] - a[0])
+        at = [(x0 + (i + 0.5) / 9 * (x1 - x0), z0 + (j + 0.5) / 9 * (z1 - z0)) for i in range(9) for j in range(9)]
+        at = [p for p in at if all(side(p, a, b) > 0 for a, b in zip(ring, ring[1:] + ring[:1]))]
+        for w, ((a, b, c, d),) in box.items():
+            n = sum((a <= x < c and b <= z < d) + (-50 <= x < -20 and -50 <= z < -20 and not (-40 <= x < -30 and -40 <= z < -30)) for x, z in at)
+            if n:
+                expected[s, w] = (n, round(n / len(at), 9))
+    assert {(r["s"], r["ward_id"]): (r["n"], round(r["share"], 9)) for r in found.collect()} == expected
