@@ -270,3 +270,29 @@ def test_samples_of_a_shape_are_no_rows(spark):
             if n:
                 expected[s, w] = (n, round(n / len(at), 9))
     assert {(r["s"], r["ward_id"]): (r["n"], round(r["share"], 9)) for r in found.collect()} == expected
+
+
+def test_touching_without_pairs(spark, monkeypatch):
+    """Parts of one group that points as far apart as the radius connect too, and those of another group do not."""
+    from quadrille.operators import folds, forest
+
+    rng = random.Random(14)
+    rows = [(f"g{i % 3}" if i % 11 else None, i // 2 * 6 + i % 3, float(rng.randrange(40) * 5), float(rng.randrange(40) * 5)) for i in range(400)]
+    rows = [(g if (p % 6) == int((g or "g0")[1]) else None, p, x, z) for g, p, x, z in rows]
+    root = {r[1]: r[1] for r in rows}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a in rows:
+        for b in rows:
+            if a[0] is not None and a[0] == b[0] and (a[2] - b[2]) ** 2 + (a[3] - b[3]) ** 2 <= 225:
+                low, high = sorted((find(a[1]), find(b[1])))
+                root[high] = low
+    points = spark.createDataFrame(rows, "grp string, part long, x double, z double")
+    monkeypatch.setattr(spatial, "near_pairs", None)
+    for block in (1 << 20, 3):
+        monkeypatch.setattr(folds, "BLOCK", block)
+        assert {r["part"]: r["comp"] for r in forest.touching(points, 15.0).collect()} == {i: find(i) for i in root}
