@@ -296,3 +296,22 @@ def test_touching_without_pairs(spark, monkeypatch):
     for block in (1 << 20, 3):
         monkeypatch.setattr(folds, "BLOCK", block)
         assert {r["part"]: r["comp"] for r in forest.touching(points, 15.0).collect()} == {i: find(i) for i in root}
+
+
+def test_near_lines_are_counted_not_joined(spark, monkeypatch):
+    from quadrille.operators import folds, network
+
+    rng = random.Random(15)
+    place = lambda: (float(rng.randrange(40) * 5), float(rng.randrange(40) * 5))
+    rows = [(f"r{i % 2}", i, [place(), place()]) for i in range(120)]
+    lines = spark.createDataFrame(rows, "river string, line_id long, points array<struct<x:double,z:double>>")
+    near = lambda p, q: any((a[0] - b[0]) ** 2 + (a[1] - b[1]) ** 2 <= 225 for a in p for b in q)
+    expected = {i: n for r, i, p in rows if (n := sum(s == r and i != j and near(p, q) for s, j, q in rows))}
+    monkeypatch.setattr(spatial, "near_pairs", None)
+    monkeypatch.setattr(network, "near_pairs", None, raising=False)
+    ends = lines.select("river", F.col("line_id").alias("id"), F.element_at("points", 1).alias("first"), F.element_at("points", -1).alias("last"))
+    for block in (1 << 20, 30):
+        monkeypatch.setattr(folds, "BLOCK", block)
+        assert {r["id"]: r["n"] for r in folds.near_lines(ends, 15.0, "river").collect()} == expected
+    walks = [r for r in network.river_chains(lines, joined=15.0).collect() if r["chain"] is not None]
+    assert {r["line_id"] for r in walks} == set(expected)
