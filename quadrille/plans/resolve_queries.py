@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quadrille.functions import geo
 from quadrille.functions.num import half_up, percent
-from quadrille.operators import resolve, spatial
+from quadrille.operators import folds, resolve, spatial
 from quadrille.operators.graph import labelled
 from quadrille.plans import views
 from quadrille.plans.registry import query
@@ -343,8 +343,7 @@ def _near(spark, sf):
 SELECT p.point_id, CASE WHEN count(n.target_id) = 1 THEN min(n.target_id) END AS target_id, floor(min(n.dist) * 10 + 0.5) / 10 AS dist,
        CASE count(n.target_id) WHEN 0 THEN 'none-nearby' WHEN 1 THEN 'unique' ELSE 'ambiguous' END AS reason FROM pts p LEFT JOIN near n ON p.point_id = n.point_id GROUP BY 1""")
 def single_within(spark, sf):
-    found = views.pts(spark, sf).select("point_id").join(_near(spark, sf).select("point_id", "target_id", "dist"), "point_id", "left")
-    return resolve.single_within(found, "point_id", "target_id", "dist")
+    return resolve.single_near(views.pts(spark, sf), _targets(spark, sf), 600.0)
 
 
 @query("q_4_29_name_and_place", NEAR + """, same AS (SELECT p.point_id, s.target_id, sqrt((p.x - s.tx) ^ 2 + (p.z - s.tz) ^ 2) AS dist FROM pts p JOIN sup s ON p.ward = s.kind AND p.point_id % 8 = s.target_id % 8),
@@ -355,8 +354,7 @@ SELECT point_id, CASE WHEN d1 <= 4000 AND NOT coalesce(d2 - d1 < 300, false) THE
 def name_and_place(spark, sf):
     p = views.pts(spark, sf).withColumn("m", F.col("point_id") % 8)
     s = _targets(spark, sf).withColumn("m", F.col("target_id") % 8).withColumnRenamed("kind", "ward")
-    same = p.join(s, ["ward", "m"]).withColumn("dist", geo.distance(F.col("x"), F.col("z"), F.col("tx"), F.col("tz")))
-    return resolve.by_name_and_place(same, "point_id", "target_id", "dist", 4000, 300)
+    return resolve.by_name_and_place(folds.two_nearest(p, s, ["ward", "m"]), "point_id", "target_id", "dist", 4000, 300)
 
 
 @query("q_4_30_settle_claims", """

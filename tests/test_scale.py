@@ -315,3 +315,29 @@ def test_near_lines_are_counted_not_joined(spark, monkeypatch):
         assert {r["id"]: r["n"] for r in folds.near_lines(ends, 15.0, "river").collect()} == expected
     walks = [r for r in network.river_chains(lines, joined=15.0).collect() if r["chain"] is not None]
     assert {r["line_id"] for r in walks} == set(expected)
+
+
+def test_nearest_targets_without_pairs(spark, monkeypatch):
+    from quadrille.operators import folds, resolve
+
+    rng = random.Random(16)
+    points = [(i, float(rng.randrange(60)), float(rng.randrange(60)), rng.choice(["a", "b", "c", None])) for i in range(150)]
+    targets = [(i, float(rng.randrange(60)), float(rng.randrange(60)), "abb"[i % 3] if i else "c") for i in range(60)]
+    p, t = spark.createDataFrame(points, "point_id long, x double, z double, k string"), spark.createDataFrame(targets, "target_id long, tx double, tz double, k string")
+    far = {i: sorted((((x - tx) ** 2 + (z - tz) ** 2) ** 0.5, j, k == q) for j, tx, tz, q in targets) for i, x, z, k in points}
+    for block in (1 << 20, 70):
+        monkeypatch.setattr(folds, "BLOCK", block)
+        found = folds.two_nearest(p, t, ["k"])
+        assert no_pairs(found) and sorted((r["point_id"], r["target_id"]) for r in found.collect()) == sorted((i, j) for i, f in far.items() for _, j, _ in [v for v in f if v[2]][:2])
+        single = {r["point_id"]: (r["target_id"], r["reason"]) for r in resolve.single_near(p, t, 5.0).collect()}
+        near = {i: [j for d, j, _ in f if d <= 5] for i, f in far.items()}
+        assert single == {i: (n[0], "unique") if len(n) == 1 else (None, "ambiguous" if n else "none-nearby") for i, n in near.items()}
+
+
+def test_short_groups_are_rows_of_a_task(spark):
+    """Rings of a relation and widths of a river: no group of its own in a Python worker, and dealt over all tasks."""
+    from quadrille.plans import catalogue
+
+    for name in ("q_10_16_assembled_rings", "q_6_03_smoothed_widths"):
+        found = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")
+        assert "FlatMapGroups" not in found._jdf.queryExecution().toString() and found.rdd.getNumPartitions() == 4
