@@ -8,11 +8,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from quadrille.functions import kernels
 from quadrille.operators.folds import chain_edges
 from quadrille.operators.graph import labelled
 from quadrille.operators.rounds import drop_contained, first_apart, greedy_dedupe  # noqa: F401
 from quadrille.operators.spatial import near_pairs
-from quadrille.storage import stored
+from quadrille.storage import stored, tasks
 
 
 def contained_names(items: DataFrame, radius: float = 100.0) -> DataFrame:
@@ -87,14 +88,11 @@ def smoothed(widths: list[float], spike: float = 1.8, pull: float = 2.1, wide: f
 
 def smooth_widths(series: DataFrame, key: str, order: str, width: str) -> DataFrame:
     """(key, order, width) with the widths of each key smoothed in order."""
-    kinds = dict(series.dtypes)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        pdf[width] = smoothed(pdf[width].astype(float).tolist())
-        return pdf
-
-    return series.select(key, order, F.col(width).cast("double").alias(width)).groupBy(key).applyInPandas(run, f"{key} {kinds[key]}, {order} {kinds[order]}, {width} double")
+    steps = F.sort_array(F.collect_list(F.struct(F.col(order).alias("at"), F.col(width).cast("double").alias("w"))))
+    whole = series.repartition(tasks(series), key).groupBy(key).agg(steps.alias("s"))
+    one = F.pandas_udf(lambda widths: pd.Series([smoothed(w.tolist()) for w in widths]), "array<double>")
+    out = whole.select(key, "s", one(F.transform("s", lambda v: v["w"])).alias("w"))
+    return out.select(key, F.explode(F.arrays_zip("s", "w")).alias("v")).select(key, F.col("v.s.at").alias(order), F.col("v.w").alias(width))
 
 
 def anchors(items: DataFrame, key: str, radius: float) -> DataFrame:
@@ -160,13 +158,15 @@ def stitched(ways: list[list[tuple]]) -> tuple[list[list[tuple]], list[list[tupl
 def assemble_rings(ways: DataFrame, relation: str = "relation") -> DataFrame:
     """(relation, role, ring, n, closed): a relation's ways stitched by role; open chains are reported.
     ``ways``: relation, role, ord, points ARRAY<STRUCT<x,z>>."""
-    kind = dict(ways.dtypes)[relation]
+    own = ways.where(F.col("role").isNotNull()).repartition(tasks(ways), relation).groupBy(relation, "role")
+    whole = own.agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", kernels.flat(F.col("points")).alias("p")))), lambda w: w["p"]).alias("ways"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(rows: pd.Series) -> pd.Series:
         out = []
-        for role, part in pdf.sort_values("ord").groupby("role", sort=True):
-            rings, left = stitched([[(p["x"], p["z"]) for p in way] for way in part["points"]])
-            out += [(pdf[relation].iloc[0], role, i, len(r) - closed, closed) for closed, many in ((True, rings), (False, left)) for i, r in enumerate(many)]
-        return pd.DataFrame(out, columns=[relation, "role", "ring", "n", "closed"])
+        for many in rows:
+            rings, left = stitched([list(zip(way[::2], way[1::2])) for way in (w.tolist() for w in many)])
+            out.append([{"ring": i, "n": len(r) - closed, "closed": closed} for closed, part in ((True, rings), (False, left)) for i, r in enumerate(part)])
+        return pd.Series(out)
 
-    return ways.groupBy(relation).applyInPandas(run, f"{relation} {kind}, role string, ring long, n long, closed boolean")
+    told = whole.select(relation, "role", F.pandas_udf(run, "array<struct<ring:long,n:long,closed:boolean>>")("ways").alias("r"))
+    return told.select(relation, "role", F.explode("r").alias("r")).select(relation, "role", "r.*")
