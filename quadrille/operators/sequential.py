@@ -1,4 +1,4 @@
-"""Order-dependent operators. Greedy decisions over near pairs are taken in parallel rounds (``rounds``); the others
+"""Order-dependent operators. Greedy decisions over near items are taken in parallel rounds (``prefixes``, ``rounds``); the others
 run a short loop inside a group, which is one river, one track, one label or one view, never a whole table.
 """
 
@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from quadrille.functions import kernels
+from quadrille.operators import prefixes
 from quadrille.operators.folds import chain_edges
 from quadrille.operators.graph import labelled
 from quadrille.operators.rounds import drop_contained, first_apart, greedy_dedupe  # noqa: F401
@@ -18,11 +19,18 @@ from quadrille.storage import stored, tasks
 
 def contained_names(items: DataFrame, radius: float = 100.0) -> DataFrame:
     """Facilities (id, ord, name, category, x, z) without those whose name is part of a nearby one's of their category:
-    see ``rounds.drop_contained``. Nearby is below ``radius``. A null name or category has no partner."""
-    other = items.select(F.col("id").alias("b"), *(F.col(c).alias(f"b_{c}") for c in ("name", "category", "x", "z")))
-    part_of = F.contains("name", "b_name") | F.contains("b_name", "name")
-    pairs = near_pairs(items, other, "x", "z", "b_x", "b_z", radius).where((F.col("id") != F.col("b")) & (F.col("dist") < radius) & (F.col("category") == F.col("b_category")) & part_of)
-    return drop_contained(items.withColumn("size", F.length("name")), pairs.select(F.col("id").alias("a"), "b")).drop("size")
+    see ``rounds.drop_contained``, whose rule this is, decided by ``prefixes``, as dense places have too many pairs for
+    rows. Nearby is below ``radius``. A null name or category has no partner."""
+    known = F.col("name").isNotNull() & F.col("category").isNotNull()
+    rows = prefixes.placed(items.select("id", "ord", "x", "z", "name", F.length("name").alias("size"), F.when(known, F.struct("category")).alias("kind")), "ord", radius)
+    part_of = lambda a, b: F.contains(f"{b}_name", f"{a}_name")
+    starters, lost = prefixes.starters(rows, radius, beats=(F.col("i_size") >= F.col("j_size")) & part_of("j", "i"))
+    # A starter goes if a longer later partner is still there when it is met.
+    still = F.col("j_by").isNull() | (F.col("j_by") > F.col("i_pos"))
+    longer = (F.col("j_pos") > F.col("i_pos")) & (F.col("j_size") > F.col("i_size")) & part_of("i", "j")
+    goes = prefixes.near(rows.join(starters, "pos", "left_semi"), rows.join(lost, "pos", "left"), radius, False, longer & still, "left_semi")
+    gone = stored(lost.select("pos").unionByName(goes.select(F.col("i_pos").alias("pos"))).distinct(), "gone")
+    return items.join(rows.join(gone, "pos", "left_semi").select("id").distinct(), "id", "left_anti")
 
 
 def station_clusters(stations: DataFrame, radius: float = 130, group_radius: float = 900, name_radius: float = 420) -> DataFrame:
@@ -97,10 +105,8 @@ def smooth_widths(series: DataFrame, key: str, order: str, width: str) -> DataFr
 
 def anchors(items: DataFrame, key: str, radius: float) -> DataFrame:
     """Of same-key items, taken by ``ord``, the ids of those that are farther than ``radius`` from all kept before."""
-    own = items.select(key, "id", "ord", "x", "z")
-    other = own.select(F.col(key).alias("_key"), F.col("id").alias("b"), F.col("x").alias("bx"), F.col("z").alias("bz"))
-    near = near_pairs(own, other, "x", "z", "bx", "bz", radius).where(F.col(key).eqNullSafe(F.col("_key")) & (F.col("id") < F.col("b"))).select(F.col("id").alias("a"), "b")
-    return first_apart(own.select("id", "ord"), near).select("id")
+    rows = prefixes.placed(items.select("id", "ord", "x", "z", F.struct(key).alias("kind")), "ord", radius)
+    return rows.join(prefixes.starters(rows, radius, closed=True)[0], "pos", "left_semi").select("id")
 
 
 def place_labels(candidates: DataFrame, view: str = "view", columns: int = 8, rows: int = 6, per_cell: int = 4, cap: int = 120) -> DataFrame:

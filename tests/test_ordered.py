@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 from collections import Counter
 
@@ -9,9 +10,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from quadrille.functions import geo
-from quadrille.operators import corridors, forest, matching, network, rounds, sequential
+from quadrille.operators import corridors, forest, matching, network, prefixes, rounds, sequential
 from quadrille.operators.graph import components
 from quadrille.plans import catalogue, views
+from quadrille.storage import stored
 
 SF = "/root/testdata/sf0.01"
 
@@ -127,6 +129,40 @@ def test_contained_names(spark):
         assert {r["id"] for r in sequential.contained_names(facilities(spark, rows)).collect()} == plain
 
 
+@pytest.mark.parametrize("pairs", [None, 400])
+def test_near_items_by_prefixes(spark, monkeypatch, pairs):
+    """Many prefixes, few pairs each, decide as one does; null keys are a key of their own."""
+    if pairs:
+        monkeypatch.setattr(prefixes, "LEAST", pairs)
+        monkeypatch.setattr(prefixes, "PAIRS", 1)
+    rng = random.Random(11)
+    rows = [(i, "abcdefgh"[: rng.randrange(1, 9)], rng.choice("cd"), float(rng.randrange(400)), float(rng.randrange(400))) for i in range(300)]
+    assert {r["id"] for r in sequential.contained_names(facilities(spark, rows)).collect()} == without_contained(rows, 100)
+    kept = []
+    for i, _, kind, x, z in rows:
+        if all(k != kind or math.hypot(x - a, z - b) > 50 for _, k, a, b in kept):
+            kept.append((i, kind, x, z))
+    points = facilities(spark, rows).withColumn("category", F.when(F.col("category") == "c", "c"))
+    assert sorted(r["id"] for r in sequential.anchors(points, "category", 50.0).collect()) == [i for i, *_ in kept]
+
+
+def test_a_crowd_makes_no_row_for_each_pair(spark, monkeypatch):
+    """20,000 items within reach of each other: 200 million pairs."""
+    crowd = spark.range(20_000).select("id", F.col("id").alias("ord"), F.substring(F.lit("abcdefgh"), 1, 1).alias("name"), F.lit("c").alias("category"), (F.col("id") % 7).cast("double").alias("x"), (F.col("id") % 11).cast("double").alias("z"))
+    crowd = crowd.withColumn("name", F.when(F.col("id") == 15_000, "ab").otherwise(F.col("name")))
+    sizes = []
+
+    def counted(df, label):
+        out = stored(df, label)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(rounds, "stored", counted)
+    assert [r["id"] for r in sequential.anchors(crowd, "category", 50.0).collect()] == [0]
+    assert [r["id"] for r in sequential.contained_names(crowd, 50.0).collect()] == [15_000]
+    assert max(sizes) <= prefixes.LEAST
+
+
 def test_settle(spark):
     """Random formulas over earlier variables, with literals that can never hold."""
     rng = random.Random(8)
