@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from quadrille.functions import classify, geo, names
+from quadrille.functions import classify, geo, names, ringsets
 from quadrille.functions.num import cell_value, half_up, percent, suppressed_sum
 from quadrille.plans import views
 from quadrille.plans.registry import query
@@ -501,9 +501,8 @@ def haversine(spark, sf):
 
 @query("q_10_05_ring_measures", WITH + "SELECT rect_id, area, 2 * (w + h) AS perimeter, x0 + w / 2 AS cx, z0 + h / 2 AS cz, CAST(CASE WHEN w >= h THEN 0 ELSE 90 END AS DOUBLE) AS direction FROM rects WHERE w <> h")
 def ring_measures(spark, sf):
-    r, c = F.col("ring"), geo.centroid(F.col("ring"))
-    out = views.rects(spark, sf).where("w <> h").select("rect_id", geo.area(r).alias("area"), geo.perimeter(r).alias("perimeter"), half_up(c["x"], 6).alias("cx"), half_up(c["z"], 6).alias("cz"), half_up(geo.orientation(r), 6).alias("direction"))
-    return out
+    out = views.rects(spark, sf).where("w <> h").select("rect_id", ringsets.measures(F.col("ring")).alias("m"))
+    return out.select("rect_id", "m.area", "m.perimeter", *(half_up(F.col(f"m.{k}"), 6).alias(k) for k in ("cx", "cz", "direction")))
 
 
 @query("q_10_08_boxes", WITH + """
