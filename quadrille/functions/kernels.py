@@ -266,10 +266,6 @@ def _udf(name: str, kind, function: Callable) -> Callable:
     return _made[name]
 
 
-def overlap_of(a: Column, b: Column) -> Column:
-    return _udf("overlap", OVERLAP, lambda p, q: overlap(points(p), points(q)))(flat(a), flat(b))
-
-
 #: Corner pairs of a block of ring pairs.
 RING_BLOCK = 1 << 18
 
@@ -344,11 +340,6 @@ def thin_line(line: Column, tolerance: Column) -> Column:
     return _udf("line", FLAT, lambda p, t: thinned_line(points(p), t).ravel())(flat(line), tolerance)
 
 
-def clip(ring: Column, window: Column) -> Column:
-    """Flat, as ``thin_ring``."""
-    return _udf("clip", FLAT, lambda p, w: clipped(points(p), points(w)).ravel())(flat(ring), flat(window))
-
-
 def inner_point_of(ring: Column) -> Column:
     return _udf("inner", POINT, lambda p: inner_point(points(p)))(flat(ring))
 
