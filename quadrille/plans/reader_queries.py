@@ -172,7 +172,7 @@ def osm_source(spark, sf):
 
 def _shp(pdf: pd.DataFrame) -> bytes:
     """Squares, each with a hole and an island in the hole, in no particular order of rings."""
-    out = bytes(100)
+    out = bytearray(100)
     for i, k in enumerate(sorted(pdf["k"])):
         rings = []
         for low, high, forward in ((30.0, 70.0, False), (0.0, 100.0, True), (40.0, 60.0, True)):
@@ -181,7 +181,7 @@ def _shp(pdf: pd.DataFrame) -> bytes:
         flat = [v for r in rings for p in r for v in p]
         body = struct.pack("<i4dii", 5, k, 0, k + 100, 100, 3, 15) + struct.pack("<3i", 0, 5, 10) + struct.pack(f"<{len(flat)}d", *flat)
         out += struct.pack(">ii", i + 1, len(body) // 2) + body
-    return out
+    return bytes(out)
 
 
 def _dbf(pdf: pd.DataFrame) -> bytes:

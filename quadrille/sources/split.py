@@ -53,6 +53,23 @@ class Part(InputPartition):
         self.path, self.items = path, items
 
 
+#: Tasks of a read: more pieces than that are dealt to them, so small pieces do not make a task each.
+MOST = 1024
+
+
+def dealt(parts: list[Part]) -> list[Part]:
+    """Neighbours of one file put together, if there are more than ``MOST``; a task takes its pieces one after the other."""
+    if len(parts) <= MOST:
+        return parts
+    each, out = -(-len(parts) // MOST), []
+    for part in parts:
+        if out and out[-1][0].path == part.path and len(out[-1]) < each:
+            out[-1].append(part)
+        else:
+            out.append([part])
+    return [Part(many[0].path, [item for part in many for item in part.items]) for many in out]
+
+
 class ArchiveReader(DataSourceReader):
     def __init__(self, path: str, task: int, piece: int):
         self.path, self.task, self.piece, self.wanted = path, task, piece, []
@@ -74,7 +91,7 @@ class ArchiveReader(DataSourceReader):
             with opened(path) as file, zipfile.ZipFile(file) as z:
                 entries = [(e.header_offset, e.filename, e.file_size, e.compress_size) for e in z.infolist() if not e.is_dir() and self._wants(e.filename)]
             out += [Part(path, [e[1] for e in group]) for group in grouped(sorted(entries), lambda e: max(e[2], e[3]), self.task)]
-        return out
+        return dealt(out)
 
     def read(self, partition: Part | None) -> Iterator[tuple]:
         if partition is None:
@@ -114,33 +131,30 @@ class ShapeReader(DataSourceReader):
                 index = file.read()
             places = [(n + 1, 2 * at, 8 + 2 * size) for n, (at, size) in enumerate(struct.iter_unpack(">ii", index[100 : 100 + (len(index) - 100) // 8 * 8]))]
             out += [Part(path, [(g[0][0], len(g), min(x[1] for x in g), max(x[1] + x[2] for x in g))]) for g in grouped(places, lambda x: x[2], self.task)]
-        return out
+        return dealt(out)
 
     def read(self, partition: Part | None) -> Iterator[tuple]:
         from quadrille.sources.files import shape_rows
 
         if partition is None:
             return
-        first, count, low, high = partition.items[0]
-        with opened(f"{partition.path[:-4]}.dbf") as file:
-            head = file.read(32)
-            total, start, width = struct.unpack_from("<IHH", head, 4)
-            names = file.read(start - 32)
-            file.seek(start + (first - 1) * width)
-            facts = file.read(count * width)
-        fields = [(names[i : i + 11].split(b"\x00")[0].decode(self.charset), names[i + 16]) for i in range(0, len(names) - 1, 32)]
-        with opened(partition.path) as file:
-            file.seek(low)
-            shapes = bytes(100) + file.read(high - low)
         stem = partition.path.rsplit("/", 1)[-1][:-4]
-        for number, parts in shape_rows(shapes):
-            row = facts[(number - first) * width :][:width]
-            if first <= number < first + count and number <= total and row[:1] != b"*":
-                at, values = 1, {}
-                for name, n in fields:
-                    values[name] = row[at : at + n].decode(self.charset, "strict").strip()
-                    at += n
-                yield stem, number, parts, values
+        with opened(f"{partition.path[:-4]}.dbf") as table, opened(partition.path) as file:
+            total, start, width = struct.unpack_from("<IHH", table.read(32), 4)
+            names = table.read(start - 32)
+            fields = [(names[i : i + 11].split(b"\x00")[0].decode(self.charset), names[i + 16]) for i in range(0, len(names) - 1, 32)]
+            for first, count, low, high in partition.items:
+                table.seek(start + (first - 1) * width)
+                facts = table.read(count * width)
+                file.seek(low)
+                for number, parts in shape_rows(bytes(100) + file.read(high - low)):
+                    row = facts[(number - first) * width :][:width]
+                    if first <= number < first + count and number <= total and row[:1] != b"*":
+                        at, values = 1, {}
+                        for name, n in fields:
+                            values[name] = row[at : at + n].decode(self.charset, "strict").strip()
+                            at += n
+                        yield stem, number, parts, values
 
 
 class ShapeSource(DataSource):

@@ -63,3 +63,27 @@ def test_one_shapefile_by_many_tasks(spark, tmp_path, task):
     assert found == expected
     whole = {(r["stem"].rsplit("/", 1)[-1], r["record"]): (r["attributes"]["CODE"], r["parts"]) for r in files.read_shapefile(spark, str(tmp_path)).collect()}
     assert whole == expected
+
+
+def test_small_pieces_are_dealt_to_few_tasks(spark, tmp_path, monkeypatch):
+    """A record a piece, but not a task each: a task takes several pieces of one file."""
+    rows = [(f"町{i}", [(float(i), 0.0), (i + 1.0, 0.0), (float(i), 1.0)]) for i in range(60)]
+    shapefile(tmp_path, "a", rows)
+    shapefile(tmp_path, "b", rows[:7])
+    monkeypatch.setattr(split, "MOST", 8)
+    parts = split.ShapeReader(str(tmp_path), 1, "cp932").partitions()
+    assert len(parts) <= 8 + 2 and sum(len(p.items) for p in parts) == 67
+    found = [r for p in parts for r in split.ShapeReader(str(tmp_path), 1, "cp932").read(p)]
+    assert [(stem, number, values["CODE"]) for stem, number, _, values in found] == [(s, i + 1, f"町{i}") for s, n in (("a", 60), ("b", 7)) for i in range(n)]
+
+
+def test_polygons_are_nested_once(spark):
+    """Many rings in one shape: each is looked at by each other one, and computed once."""
+    from pyspark.sql import functions as F
+
+    square = lambda x, r: [v for p in ((x - r, -r), (x - r, r), (x + r, r), (x + r, -r), (x - r, -r)) for v in map(float, p)]
+    parts = [square(20 * i, r) for i in range(20) for r in (3, 9, 6)]
+    plan = spark.createDataFrame([(parts,)], "parts array<array<double>>").select(files.polygons_of(F.col("parts")).alias("p"))
+    assert plan._jdf.queryExecution().optimizedPlan().toString().count("zip_with") <= 3  # its area, and two tests of a place
+    found = plan.first()["p"]
+    assert len(found) == 40 and sorted(len(p["holes"]) for p in found) == [0] * 20 + [1] * 20
