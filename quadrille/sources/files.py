@@ -351,12 +351,15 @@ def polygons_of(parts: Column) -> Column:
     numbers = lambda flat: F.when(F.size(flat) >= 2, F.sequence(F.lit(1), (F.size(flat) / 2).cast("int"))).otherwise(F.array().cast("array<int>"))
     ring = lambda flat: F.transform(numbers(flat), lambda i: geo.point(F.element_at(flat, i * 2 - 1), F.element_at(flat, i * 2)))
     open_ = lambda r: F.when((F.size(r) > 1) & (F.element_at(r, 1) == F.element_at(r, -1)), F.slice(r, 1, F.size(r) - 1)).otherwise(r)
-    rows = F.transform(parts, lambda f: F.struct(geo.area(open_(ring(f))).alias("area"), open_(ring(f)).alias("ring")))
-    rows = F.filter(rows, lambda r: (F.size(r["ring"]) >= 3) & (r["area"] > 0))
-    around = lambda r: F.filter(rows, lambda o: (o["area"] > r["area"]) & geo.in_ring(r["ring"][0]["x"], r["ring"][0]["z"], o["ring"]))
-    deep = F.transform(rows, lambda r: F.struct(r["ring"].alias("ring"), F.size(around(r)).alias("depth"), F.array_min(F.transform(around(r), lambda o: o["area"])).alias("parent"), r["area"].alias("area")))
-    holes = lambda o: F.transform(F.filter(deep, lambda r: (r["depth"] == o["depth"] + 1) & (r["parent"] == o["area"]) & geo.in_ring(r["ring"][0]["x"], r["ring"][0]["z"], o["ring"])), lambda r: r["ring"])
-    return F.transform(F.filter(deep, lambda r: r["depth"] % 2 == 0), lambda o: F.struct(o["ring"].alias("outer"), holes(o).alias("holes")))
+    # What is used more than once is a variable: written out, it would be computed anew for every ring that looks at it.
+    let = lambda value, of: F.element_at(F.transform(F.array(value), of), 1)
+    rings = F.transform(F.transform(parts, ring), open_)
+    sized = F.filter(F.transform(rings, lambda r: F.struct(geo.area(r).alias("area"), r.alias("ring"))), lambda r: (F.size(r["ring"]) >= 3) & (r["area"] > 0))
+    around = lambda r, rows: F.transform(F.filter(rows, lambda o: (o["area"] > r["area"]) & geo.in_ring(r["ring"][0]["x"], r["ring"][0]["z"], o["ring"])), lambda o: o["area"])
+    deep = lambda rows: F.transform(rows, lambda r: let(around(r, rows), lambda sizes: F.struct(r["ring"].alias("ring"), F.size(sizes).alias("depth"), F.array_min(sizes).alias("parent"), r["area"].alias("area"))))
+    holes = lambda o, rows: F.transform(F.filter(rows, lambda r: (r["depth"] == o["depth"] + 1) & (r["parent"] == o["area"]) & geo.in_ring(r["ring"][0]["x"], r["ring"][0]["z"], o["ring"])), lambda r: r["ring"])
+    nested = lambda rows: F.transform(F.filter(rows, lambda r: r["depth"] % 2 == 0), lambda o: F.struct(o["ring"].alias("outer"), holes(o, rows).alias("holes")))
+    return let(sized, lambda rows: let(deep(rows), nested))
 
 
 # ---- GeoJSON ---------------------------------------------------------------------------------------
