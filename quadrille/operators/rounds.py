@@ -15,19 +15,20 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from quadrille.storage import scratch, stored
 
 
-def settle(items: DataFrame, literals: DataFrame, rounds: int = 200) -> DataFrame:
+def settle(items: DataFrame, literals: DataFrame, rounds: int = 200, known: DataFrame | None = None) -> DataFrame:
     """(id, value) of every row of ``items`` (id): true if all its literals hold. ``literals`` (id, on, want): holds if
     the variable ``on`` comes out as ``want``; a null ``on`` never holds. Literals may stand on earlier variables only,
-    of whatever order; a literal that leads back to its own variable ends in an error."""
+    of whatever order; a literal that leads back to its own variable ends in an error. ``known``: (id, value) of further
+    variables, which have no literals."""
     spark, folder = items.sparkSession, scratch(items.sparkSession, "settled")
     now = stored(literals.select("id", "on", "want").distinct(), "literals")
     new = items.select("id").distinct().join(now.select("id").distinct(), "id", "left_anti").select("id", F.lit(True).alias("value"))
-    new.write.parquet(f"{folder}/0")
+    (new if known is None else new.unionByName(known)).write.parquet(f"{folder}/0")
     new = spark.read.parquet(f"{folder}/0")
     for at in range(1, rounds):
         if now.isEmpty():
             break
-        met = now.join(new.select(F.col("id").alias("on"), "value"), "on", "left")
+        met = stored(now.join(new.select(F.col("id").alias("on"), "value"), "on", "left"), "met")
         unknown = F.col("on").isNotNull() & F.col("value").isNull()
         state = met.groupBy("id").agg(
             F.count_if(~unknown & (F.col("on").isNull() | (F.col("value") != F.col("want")))).alias("broken"), F.count_if(unknown).alias("open"), F.min(F.when(unknown, F.struct("on", "want"))).alias("one")
@@ -101,30 +102,52 @@ def first_apart(items: DataFrame, pairs: DataFrame, id_col: str = "id", order: s
     return items.join(kept.where("value").select(F.col("id").alias(id_col)), id_col, "left_semi")
 
 
+#: So many distinct numbers are broadcast.
+FEW = 1 << 20
+
+
 def claims(wishes: DataFrame) -> DataFrame:
     """Rows of ``wishes`` (a, b, takes) that stand. Taken by a, which is unique: a row stands if neither a nor b is used
-    up; a is used up by it, and b too if ``takes``.
+    up; a is used up by it, and b too if ``takes``. a and b are whole numbers below 2^62."""
+    return wishes.join(standing(wishes), "a", "left_semi").select(wishes.columns)
+
+
+def standing(wishes: DataFrame) -> DataFrame:
+    """The a of the rows that stand (``claims``).
 
-    The variable (1, x, k) says that none of the first k rows that would take x stands; (0, a, 0) that a's row does."""
+    The variable 2a says that a's row stands; 2a + 1, of a row that takes b, that neither it stands nor any before it that
+    takes b. Only rows that ask for something that is taken by some row depend on the latter. A row without such takers
+    stands if b comes after a or has no row, and does not if b's row stands for the same reason, so most rows need no round."""
+    kind = dict(wishes.dtypes)["a"]
+    row, free = (lambda c, by=by: (F.col(c) * 2 + by).cast(kind) for by in (0, 1))
+    few = lambda df: df.hint("broadcast" if df.count() <= FEW else "merge")
     takers = wishes.where("takes").select(F.col("b").alias("x"), "a")
-    asks = wishes.select("a", F.explode(F.array("a", "b")).alias("x"))
-    # For every row that asks for x: how many takers of x come before it. For every taker: its own number.
-    both = takers.select("x", "a", F.lit(1).alias("takes"), F.lit(1).alias("late")).unionByName(asks.select("x", "a", F.lit(0).alias("takes"), F.lit(0).alias("late")))
-    so_far = Window.partitionBy("x").orderBy("a", "late").rowsBetween(Window.unboundedPreceding, 0)
-    told = stored(both.select("x", "a", "takes", F.sum("takes").over(so_far).alias("k")), "takers")
-    row = lambda c: F.struct(F.lit(0).alias("kind"), F.col(c).alias("item"), F.lit(0).cast("long").alias("k"))
-    free = lambda k: F.struct(F.lit(1).alias("kind"), F.col("x").alias("item"), k.cast("long").alias("k"))
+    taken = few(stored(takers.select("x").distinct(), "taken"))
+    asks = wishes.select("a", F.explode(F.array("a", "b")).alias("x")).join(taken, "x", "left_semi")
+    # For every row that asks for x, and for every taker: the last taker of x before it.
+    both = takers.select("x", "a", F.lit(1).alias("takes")).unionByName(asks.select("x", "a", F.lit(0).alias("takes")))
+    so_far = Window.partitionBy("x").orderBy("a", "takes").rowsBetween(Window.unboundedPreceding, -1)
+    told = stored(both.select("a", "takes", F.last(F.when(F.col("takes") == 1, F.col("a")), ignorenulls=True).over(so_far).alias("last")), "takers")
+    own, asked = told.where("takes = 1"), told.where("takes = 0 and last is not null")
+    bound = few(stored(asked.select("a").distinct().withColumn("bound", F.lit(True)), "bound"))
+    rows = wishes.select("a", "b").join(bound, "a", "left").withColumn("bound", F.coalesce("bound", F.lit(False)))
+    on = rows.select(F.col("a").alias("b"), (~F.col("bound") & (F.col("b") >= F.col("a"))).alias("stands"))
+    # stands: whether b's row does, if that is known so far; null without a row that comes before.
+    rows = rows.where("b >= a").withColumn("stands", F.lit(None).cast("boolean")).unionByName(rows.where("b < a").join(on, "b", "left").select("a", "b", "bound", "stands"))
+    rows = stored(rows, "rows")
+    known = rows.where("stands or (stands is null and not bound)").select(row("a").alias("id"), F.col("stands").isNull().alias("value"))
     lit = lambda df, a, b, want: df.select(a.alias("id"), b.alias("on"), F.lit(want).alias("want"))
-    own = told.where("takes = 1")
+    still = rows.where("not stands or (stands is null and bound)")
     literals = [
-        lit(own, free(F.col("k")), row("a"), False),
-        lit(own.where("k > 1"), free(F.col("k")), free(F.col("k") - 1), True),
-        lit(told.where("takes = 0 and k > 0"), row("a"), free(F.col("k")), True),
-        lit(wishes.where("b < a").join(wishes.select(F.col("a").alias("b")), "b", "left_semi"), row("a"), row("b"), False),
+        lit(own, free("a"), row("a"), False),
+        lit(own.where("last is not null"), free("a"), free("last"), True),
+        lit(asked.join(few(still.where("bound").select("a")), "a", "left_semi"), row("a"), free("last"), True),
+        lit(still.where("not stands"), row("a"), row("b"), False),
     ]
-    items = wishes.select(row("a").alias("id")).unionByName(own.select(free(F.col("k")).alias("id")))
-    stand = settle(items, reduce(DataFrame.unionByName, literals)).where("value and id.kind = 0").select(F.col("id.item").alias("a"))
-    return wishes.join(stand, "a", "left_semi")
+    items = still.select(row("a").alias("id")).unionByName(own.select(free("a").alias("id")))
+    found = settle(items, reduce(DataFrame.unionByName, literals), known=known).where("value")
+    half = F.expr("id div 2") if kind in ("tinyint", "smallint", "int", "bigint") else (F.col("id") / 2).cast(kind)
+    return found.where("id % 2 = 0").select(half.cast(kind).alias("a"))
 
 
 def partners(pairs: DataFrame, a: Column, b: Column) -> DataFrame:

@@ -309,6 +309,61 @@ def test_edge_partners_without_pairs(spark, monkeypatch):
         assert len({r["crossed"] for r in found}) == 2
 
 
+def test_edge_partners_look_at_few_directions(monkeypatch):
+    """Where segments lie thick, partners are those of all pairs, and few pairs are scored; so with crossed links."""
+    import numpy as np
+    import pandas as pd
+
+    from quadrille.operators import matching
+
+    rng = np.random.default_rng(17)
+    n = 1500
+    middle, turn, half = rng.integers(50, 250, (n, 2)), rng.uniform(0, 2 * np.pi, n), rng.uniform(20, 90, n)
+    step = np.stack([np.cos(turn), np.sin(turn)], axis=1) * half[:, None]
+    p, q = np.round(middle - step), np.round(middle + step)
+    rows = pd.DataFrame({"cell": 0, "parent": np.arange(n), "n": 0, "flags": 7, "px": p[:, 0], "pz": p[:, 1], "qx": q[:, 0], "qz": q[:, 1], "ex": np.nan, "ez": np.nan})
+    facts, looked = matching._facts, []
+    monkeypatch.setattr(matching, "_facts", lambda a, i, *rest: looked.append(len(i)) or facts(a, i, *rest))
+    found = matching._verdicts(rows.sample(frac=1, random_state=1))
+
+    m, d = (p + q) / 2, np.hypot(*(q - p).T)
+    u = (q - p) / d[:, None]
+    s = {"from": (p * u).sum(axis=1), "to": (q * u).sum(axis=1)} | {f"{k}{c}": v[:, e] for k, v in (("p", p), ("q", q), ("u", u)) for e, c in enumerate("xz")}
+    i, j = (v.ravel() for v in np.indices((n, n)))
+    far, parallel = ((m[i] - m[j]) ** 2).sum(axis=1), np.abs((u[i] * u[j]).sum(axis=1))
+    near = (far >= 9) & (far <= 2025) & (i != j)
+    score, overlap = facts(s, i, s, j, parallel, far)
+    i, j, score = (v[near & (parallel >= 0.75) & (overlap >= 0.35)] for v in (i, j, score))
+    pairs = pd.DataFrame({"i": i, "j": j, "score": -score})
+    best = pairs.sort_values(["score", "j"]).groupby("i")["j"].first()
+    back = pairs.sort_values(["score", "i"]).groupby("j")["i"].first()
+    assert dict(zip(found["parent"], found["o_parent"])) == best.to_dict() and len(best) > 1400
+    assert list(found["mutual"]) == [back[b] == a for a, b in zip(found["parent"], found["o_parent"])] and found["mutual"].any()
+    assert sum(looked) < near.sum() / 4
+
+    def meets(a, b):
+        (x, z), (lx, lz) = m[a], m[b] - m[a]
+        det = lx * (q - p)[:, 1] - lz * (q - p)[:, 0]
+        dx, dz, ok = p[:, 0] - x, p[:, 1] - z, np.abs(det) >= 1e-9
+        det = np.where(ok, det, 1.0)
+        t, v = (dx * (q - p)[:, 1] - dz * (q - p)[:, 0]) / det, (dx * lz - dz * lx) / det
+        ok[[a, b]] = False
+        return bool((ok & (t > 0.05) & (t < 0.95) & (v > 0.05) & (v < 0.95)).any())
+
+    assert list(found["crossed"]) == [meets(a, b) for a, b in zip(found["parent"], found["o_parent"])] and not found["crossed"].all()
+
+
+def test_edge_claims_by_number(spark):
+    """Segments are taken by the number of their line, below zero and of any size too."""
+    from quadrille.operators import matching
+
+    side = "struct<parent:long,n:int>"
+    for far in (0, 1 << 62):
+        rows = [((-12, 0), (-5, 0), "high"), ((-5, 0), (3, 0), "high"), ((3, 0), (-12, 0), "high"), ((4 + far, 1), (3, 0), "reject"), ((5 + far, 0), (4 + far, 1), "low")]
+        found = matching.claim_edges(spark.createDataFrame(rows, f"a {side}, b {side}, confidence string")).collect()
+        assert sorted(tuple(r["a"]) for r in found) == [(-12, 0), (4 + far, 1)]
+
+
 def test_samples_of_a_shape_are_no_rows(spark):
     _, parts = squares(spark, 30, 90)
     areas = parts.select("ward_id", F.array(F.struct("outer", "holes"), F.struct(geo.rectangle(F.lit(-50), F.lit(-50), F.lit(-20), F.lit(-20)).alias("outer"), F.array(geo.rectangle(F.lit(-40), F.lit(-40), F.lit(-30), F.lit(-30))).alias("holes"))).alias("polygons"))
