@@ -429,6 +429,74 @@ def test_near_lines_are_counted_not_joined(spark, monkeypatch):
     assert {r["line_id"] for r in walks} == set(expected)
 
 
+def test_near_lines_are_counted_by_squares(monkeypatch):
+    """Only lines about a radius away are looked at one by one; far ends, single places and missing ends count as they should."""
+    import numpy as np
+
+    from quadrille.operators import folds
+
+    rng, looked, within = np.random.default_rng(18), [], folds.within
+    monkeypatch.setattr(folds, "within", lambda dx, dz, radius: looked.append(len(dx)) or within(dx, dz, radius))
+    for n, span, radius in ((3000, 2400, 300.0), (300, 40, 5.0), (200, 3, 2.0), (1, 5, 1.0), (60, 10**7, 50.0)):
+        first = rng.integers(0, span, (n, 2)).astype(float)
+        lines = np.hstack([first, first + rng.integers(-20, 20, (n, 2))])
+        lines[::50, 2:] += span
+        del looked[:]
+        found = folds.count_near(lines, lines, radius)
+        near = np.zeros((n, n), bool)
+        for e in (0, 2):
+            for f in (0, 2):
+                near |= np.hypot(lines[:, None, e] - lines[:, f], lines[:, None, e + 1] - lines[:, f + 1]) <= radius
+        assert (found == near.sum(axis=1)).all()
+        if n == 3000:
+            assert sum(looked) < 4 * n * n / 3
+
+
+def test_lines_without_an_end(spark):
+    """A line with one known end is near by that one, and is counted once."""
+    from quadrille.operators import folds
+
+    place = lambda x: None if x is None else {"x": float(x), "z": 0.0}
+    rows = [("r", 1, place(0), place(500)), ("r", 2, None, place(4)), ("r", 3, place(503), None), ("r", 4, None, None), ("s", 5, place(1), place(2)), ("r", 6, place(2), place(3))]
+    lines = spark.createDataFrame(rows, "river string, id long, first struct<x:double,z:double>, last struct<x:double,z:double>")
+    assert {r["id"]: r["n"] for r in folds.near_lines(lines, 10.0, "river").collect()} == {1: 3, 2: 2, 3: 1, 6: 2}
+
+
+def test_a_walk_of_many_lines_looks_at_few():
+    """As the plain loop walks, and 30,000 lines of one component within seconds."""
+    import time
+
+    import numpy as np
+
+    from quadrille.operators import network
+
+    def plain(first, last, degree, joined):
+        free, chains = list(range(len(first))), []
+        near = lambda i, p: np.hypot(*(first[i] - p)) <= joined or np.hypot(*(last[i] - p)) <= joined
+        on = lambda p: next((i for i in free if near(i, p)), None)
+        for start in sorted(free, key=lambda i: (degree[i], i)):
+            part, chain, came = start if start in free else None, [], None
+            while part is not None:
+                free.remove(part)
+                turned = np.hypot(*(last[part] - came)) < np.hypot(*(first[part] - came)) if came is not None else on(first[part]) is not None and on(last[part]) is None
+                chain.append((part, bool(turned)))
+                came = first[part] if turned else last[part]
+                part = on(came)
+            if chain:
+                chains.append(chain)
+        return chains
+
+    rng = np.random.default_rng(19)
+    for n, span, joined in ((150, 300, 30.0), (80, 20, 15.0), (40, 5, 0.0), (60, 10**6, 90_000.0), (1, 1, 5.0)):
+        first = rng.integers(0, span, (n, 2)).astype(float)
+        last, degree = first + rng.integers(-9, 9, (n, 2)), rng.integers(0, 5, n)
+        assert network._walks(first, last, degree, joined) == plain(first, last, degree, joined)
+    first = rng.uniform(0, 24_000, (30_000, 2))
+    began = time.process_time()
+    chains = network._walks(first, first + rng.uniform(-200, 200, first.shape), rng.integers(0, 99, len(first)), 3000.0)
+    assert sum(map(len, chains)) == len(first) and time.process_time() - began < 15
+
+
 def test_nearest_targets_without_pairs(spark, monkeypatch):
     from quadrille.operators import folds, resolve
 
